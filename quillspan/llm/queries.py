@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embed_dedup, fingerprints, langid, minhash, mixing, quality, sharding, token_count
+from . import bpe, embed_dedup, fingerprints, langid, minhash, mixing, quality, sharding, token_binary, token_count
 from .tokenizer_files import tokenizer_json
 
 
@@ -26,6 +26,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(_table(spark, sf_dir, "documents"), tokenizer_json(name="word_bpe_49k.json"))
 
 
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_binary.ids_digest(_table(spark, sf_dir, "documents"), tokenizer_json())
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_token_counts": op3_token_counts,
+    "op4_token_ids": op4_token_ids,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_bpe_round_trip": op7_bpe_round_trip,
