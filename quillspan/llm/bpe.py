@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Encodings of pieces that a worker keeps, at the most; then it starts anew.
-CACHE = 300_000
+CACHE = 150_000
 #: Fixed value: the pre-token pattern of byte-level BPE; white space is spelled out, as engines differ on U+001C to U+001F.
 _WS = r"\t-\r \x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
@@ -83,7 +83,7 @@ class Codec:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether a and b stay apart: undoing merges on both sides of the border, latest first, none that joins it came before those undone."""
-        if len(self.fits) > 1_000_000:
+        if len(self.fits) > self.most:
             self.fits.clear()
         x, y, limit, out = a, b, 1 << 30, True
         while True:
