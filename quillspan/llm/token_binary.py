@@ -135,6 +135,8 @@ def read_files(files: list[bytes]) -> list[tuple[list[int | None], list[np.ndarr
         ranks += idcoder.decode(codes[p : p + idcoder.LANES], sizes[p : p + idcoder.LANES])
     out = []
     for ids, lengths, values, first, many in parsed:
+        if any(len(r) and r.max() >= len(values) for r in ranks[first : first + many]):
+            raise ValueError("a damaged block")
         blocks = [values[r] for r in ranks[first : first + many]]
         for k, b in enumerate(blocks):
             if zlib.crc32(b.astype("<u4").tobytes()) != sums[first + k]:
