@@ -11,7 +11,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def source_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, kind, content, sha1, mtime) of a tree's scripts, pages and manifests, read whole."""
+    """(path, kind, content, sha1, mtime) of a tree's scripts, pages and manifests, read whole. Files of no bytes are not listed: they hold no facts."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     name = F.element_at(F.split("path", "/"), -1)
     kind = F.when(name == "appsscript.json", "manifest").when(F.lower(name).endswith(".gs"), "gs").when(F.lower(name).rlike(r"\.html?$"), "html")
