@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -60,6 +62,18 @@ def facts(files: DataFrame) -> DataFrame:
     return files.select("project", "file", "kind", "content").where("kind in ('gs', 'html')").mapInPandas(extract, SCHEMA)
 
 
+def written(store: DataFrame) -> DataFrame:
+    """The store as a table in the shared folder, partitioned by fact: sources are parsed once, and a view reads its own files only."""
+    spark = store.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillspan-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    at = f"{folder}/quillspan-facts-{uuid.uuid4().hex}"
+    store.write.partitionBy("fact").parquet(at)
+    return spark.read.schema(store.schema).parquet(at)
+
+
 SCHEMA_NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
@@ -87,7 +101,7 @@ def manifests(files: DataFrame) -> DataFrame:
     return (
         files.where("kind = 'manifest'").withColumn("_m", m)
         .select("project", named(empty(F.col("_m.dependencies.libraries"), libraries)).alias("libraries"), named(empty(F.col("_m.dependencies.enabledAdvancedServices"), services)).alias("services"),
-                empty(F.col("_m.oauthScopes"), "array<string>").alias("scopes"), empty(F.col("_m.urlFetchWhitelist"), "array<string>").alias("whitelist"), F.coalesce(F.try_parse_json("content"), F.parse_json(F.lit("null"))).cast("string").startswith("{").alias("present"))
+                empty(F.col("_m.oauthScopes"), "array<string>").alias("scopes"), empty(F.col("_m.urlFetchWhitelist"), "array<string>").alias("whitelist"), F.coalesce(F.try_parse_json("content").cast("string").startswith("{"), F.lit(False)).alias("present"))
     )
 
 

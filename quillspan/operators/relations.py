@@ -66,16 +66,15 @@ def log_metrics(log: DataFrame, since: Column | None = None) -> DataFrame:
     return told.withColumn("rate_1000", F.floor(F.col("errors") * 1000 / F.col("runs")).cast("long"))
 
 
-def nearest_names(names: DataFrame, candidates: DataFrame, name: str, key: str, most: int) -> DataFrame:
-    """The `most` candidates by edit distance for each name, ties by key, among those that share the first letter's block.
+def nearest_names(names: DataFrame, name: str, candidates: list[str], most: int) -> DataFrame:
+    """The `most` nearest candidates by edit distance, ties by name: those within max(2, a third of the length) or contained.
 
-    Blocks keep the join an equi-join; names without a block mate get none.
+    Candidates are a fixed list (methods, functions of one project), so they are an expression: no join, no shuffle.
     """
-    block = lambda c: F.substring(F.lower(c), 1, 1)
-    a = names.select(F.col(key).alias("id"), F.col(name).alias("_n"), block(F.col(name)).alias("_b1"))
-    b = candidates.select(F.col(key).alias("other"), F.col(name).alias("_m"), block(F.col(name)).alias("_b2"))
-    met = a.join(b, (F.col("_b1") == F.col("_b2")) & (F.col("id") != F.col("other"))).withColumn("distance", F.levenshtein("_n", "_m"))
-    return met.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("distance", "other"))).where(F.col("place") <= most).select("id", "other", "distance", "place")
+    far = lambda x: F.levenshtein(F.col(name), x).alias("distance")
+    near = F.filter(F.transform(F.array(*map(F.lit, candidates)), lambda x: F.struct(far(x), x.alias("other"))), lambda s: (s["distance"] <= F.greatest(F.lit(2), F.floor(F.length(name) / 3))) | F.col(name).contains(s["other"]))
+    kept = [c for c in names.columns if c != name]
+    return names.select(*kept, F.posexplode(F.slice(F.array_sort(near), 1, most)).alias("_at", "_s")).select(*kept, "_s.other", "_s.distance", (F.col("_at") + 1).alias("place"))
 
 
 def upsert_counts(entries: DataFrame, text: str, order: list[str]) -> DataFrame:

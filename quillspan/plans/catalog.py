@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import findings as fd
 from quillspan.functions.text import body_fingerprint, rounded
+from quillspan.operators import facts as fs
 from quillspan.operators import relations as op
+from quillspan.plans import rules
 from quillspan.sources.tables import process_log, table
 from quillspan.streaming.log import windows
 
@@ -80,25 +82,25 @@ def cross_project_env_fallback(spark: SparkSession, d: str) -> DataFrame:
     return op.fallback_join(customers, [(near, "s_nationkey", "c_nationkey", "v"), (far, "n_regionkey", "n_regionkey", "v")], "provider").select("c_custkey", "provider")
 
 
-@query("""WITH a AS (SELECT o_orderkey AS k, o_orderstatus AS s FROM orders WHERE o_orderkey % 7 <> 0),
-b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS s FROM orders WHERE o_orderkey % 11 <> 0)
+@query("""WITH a AS (SELECT o_orderkey AS k, o_orderstatus AS s FROM orders),
+b AS (SELECT CASE WHEN o_orderstatus = 'P' THEN -1 - o_orderkey ELSE o_orderkey END AS k, CASE WHEN o_orderpriority LIKE '1%' THEN 'X' ELSE o_orderstatus END AS s FROM orders)
 SELECT coalesce(a.k, b.k) AS o_orderkey, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' ELSE 'changed' END AS change
 FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL OR a.s IS DISTINCT FROM b.s""")
 def snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
-    """Two versions of the orders, derived by rule."""
-    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("s"))
-    before = o.where("o_orderkey % 7 <> 0")
-    after = o.where("o_orderkey % 11 <> 0").withColumn("s", F.when(F.expr("o_orderkey % 5 = 0"), "X").otherwise(F.col("s")))
+    """All orders and a later version of them all: pending ones got new keys, urgent ones a new status."""
+    o = table(spark, d, "orders")
+    before = o.select("o_orderkey", F.col("o_orderstatus").alias("s"))
+    after = o.select(F.expr("CASE WHEN o_orderstatus = 'P' THEN -1 - o_orderkey ELSE o_orderkey END").alias("o_orderkey"), F.when(F.col("o_orderpriority").like("1%"), "X").otherwise(F.col("o_orderstatus")).alias("s"))
     return op.snapshot_diff(before, after, "o_orderkey", "s")
 
 
 @query(r"""WITH d AS (SELECT doc_id, substr(sha256(trim(regexp_replace(text, '[\t-\r \x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+', ' ', 'g'))), 1, 16) AS fingerprint FROM documents),
-n AS (SELECT *, doc_id % 2 AS side, row_number() OVER (PARTITION BY fingerprint, doc_id % 2 ORDER BY doc_id) AS i FROM d)
-SELECT a.fingerprint, a.doc_id AS old, b.doc_id AS new FROM n a JOIN n b ON a.fingerprint = b.fingerprint AND a.i = b.i AND a.side = 0 AND b.side = 1""")
+a AS (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY doc_id) AS i FROM d), b AS (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY -doc_id) AS i FROM d)
+SELECT a.fingerprint, a.doc_id AS old, -b.doc_id AS new FROM a JOIN b ON a.fingerprint = b.fingerprint AND a.i = b.i""")
 def rename_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as function bodies: even ids were removed, odd ones added; equal bodies are paired one to one."""
+    """Documents as function bodies, all removed and all added again under negated ids: equal bodies are paired one to one in order."""
     docs = table(spark, d, "documents").select("doc_id", body_fingerprint(F.col("text")).alias("fingerprint"))
-    return op.pair_one_to_one(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1"), "fingerprint", "doc_id")
+    return op.pair_one_to_one(docs, docs.withColumn("doc_id", -F.col("doc_id")), "fingerprint", "doc_id")
 
 
 @query("""SELECT l_orderkey, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey AND l_linenumber > CASE WHEN o_orderpriority LIKE '1%' THEN 2 ELSE 4 END""")
@@ -183,14 +185,14 @@ def latest_version_drift(spark: SparkSession, d: str) -> DataFrame:
     return o.where("o_orderstatus = 'O'").join(latest, (F.col("o_custkey") == F.col("_c")) & (F.col("o_orderdate") < F.col("latest"))).select("o_orderkey")
 
 
-@query("""WITH a AS (SELECT doc_id, sha1(text) AS h FROM documents WHERE doc_id % 3 <> 0), b AS (SELECT doc_id, sha1(CASE WHEN doc_id % 4 = 0 THEN text || 'x' ELSE text END) AS h FROM documents WHERE doc_id % 5 <> 0)
-SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'only_local' WHEN a.doc_id IS NULL THEN 'only_remote' ELSE 'modified' END AS status FROM a FULL JOIN b ON a.doc_id = b.doc_id WHERE a.h IS DISTINCT FROM b.h""")
+@query("""WITH a AS (SELECT doc_id, sha1(text) AS h FROM documents), b AS (SELECT CASE WHEN lang = 'fr' THEN -1 - doc_id ELSE doc_id END AS doc_id, sha1(CASE WHEN source LIKE '%a%' THEN text || 'x' ELSE text END) AS h FROM documents)
+SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'only_local' WHEN a.doc_id IS NULL THEN 'only_remote' ELSE 'modified' END AS status FROM a FULL JOIN b ON a.doc_id = b.doc_id WHERE a.doc_id IS NULL OR b.doc_id IS NULL OR a.h IS DISTINCT FROM b.h""")
 def hash_content_diff(spark: SparkSession, d: str) -> DataFrame:
-    """Local and deployed versions of the documents, derived by rule, compared by digest."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    remote = docs.where("doc_id % 5 <> 0").withColumn("text", F.when(F.expr("doc_id % 4 = 0"), F.concat("text", F.lit("x"))).otherwise(F.col("text")))
+    """All documents and their deployed versions, compared by digest: French ones got new ids, those of some sources new text."""
+    docs = table(spark, d, "documents")
+    remote = docs.select(F.when(F.col("lang") == "fr", -1 - F.col("doc_id")).otherwise(F.col("doc_id")).alias("doc_id"), F.when(F.col("source").like("%a%"), F.concat("text", F.lit("x"))).otherwise(F.col("text")).alias("text"))
     digest = lambda df: df.select("doc_id", F.sha1(F.col("text").cast("binary")).alias("h"))
-    return op.content_diff(digest(docs.where("doc_id % 3 <> 0")), digest(remote), "doc_id", "h")
+    return op.content_diff(digest(docs), digest(remote), "doc_id", "h")
 
 
 @query("""SELECT r_name, n_name, count(*) AS customers, CAST(grouping(r_name) + grouping(n_name) AS BIGINT) AS level FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)""")
@@ -206,12 +208,16 @@ def request_upsert(spark: SparkSession, d: str) -> DataFrame:
     return op.upsert_counts(table(spark, d, "conversations"), "text", ["conv_id", "turn"])
 
 
-@query("""SELECT id, other, CAST(distance AS INT) AS distance, CAST(place AS INT) AS place FROM (SELECT a.p_partkey AS id, b.p_partkey AS other, levenshtein(a.p_name, b.p_name) AS distance, row_number() OVER (PARTITION BY a.p_partkey ORDER BY levenshtein(a.p_name, b.p_name), b.p_partkey) AS place
-FROM part a JOIN part b ON lower(a.p_name[1]) = lower(b.p_name[1]) AND a.p_partkey <> b.p_partkey WHERE a.p_partkey % 100 = 1) WHERE place <= 3""")
+#: Names to choose from, as a type's methods are.
+KNOWN = ["anvil", "bolt", "cold gear", "gear", "gizmo", "plate", "red ring", "ring", "rod", "widget"]
+
+
+@query("""SELECT p_partkey, other, CAST(distance AS INT) AS distance, CAST(place AS INT) AS place FROM (SELECT p_partkey, other, levenshtein(p_name, other) AS distance, row_number() OVER (PARTITION BY p_partkey ORDER BY levenshtein(p_name, other), other) AS place
+FROM part, (SELECT unnest(['anvil', 'bolt', 'cold gear', 'gear', 'gizmo', 'plate', 'red ring', 'ring', 'rod', 'widget']) AS other)
+WHERE levenshtein(p_name, other) <= greatest(2, length(p_name) // 3) OR contains(p_name, other)) WHERE place <= 3""")
 def topk_similar(spark: SparkSession, d: str) -> DataFrame:
-    """The three nearest part names for each hundredth part (the names asked for), among all parts."""
-    part = table(spark, d, "part").select("p_partkey", "p_name")
-    return op.nearest_names(part.where("p_partkey % 100 = 1"), part, "p_name", "p_partkey", 3)
+    """The three nearest of the known names for each part's name, as misspelt methods get theirs."""
+    return op.nearest_names(table(spark, d, "part").select("p_partkey", "p_name"), "p_name", KNOWN, 3)
 
 
 @query("""SELECT o_custkey, count(*) AS sites, min(o_orderkey) AS first_site FROM orders GROUP BY 1 HAVING count(*) >= 3""")
@@ -252,3 +258,41 @@ def _findings(spark: SparkSession, d: str) -> DataFrame:
 def log_windows(spark: SparkSession, d: str) -> DataFrame:
     """Runs in windows of seven days; the same plan takes a stream."""
     return windows(process_log(table(spark, d, "events"))).select(F.unix_micros("from").alias("from_us"), "function", "runs", "errors")
+
+
+def scripts(spark: SparkSession, d: str, later: bool) -> DataFrame:
+    """Each order as a script of two functions in its customer's project; later ones have lost a parameter (F) or have a new name (P)."""
+    o = table(spark, d, "orders")
+    key, status = F.col("o_orderkey").cast("string"), F.col("o_orderstatus")
+    name = F.when((status == "P") & F.lit(later), "h").otherwise("f")
+    params = F.when((status == "F") & F.lit(later), "a").otherwise("a, b")
+    code = F.concat(F.lit("/** Order. */\nfunction "), name, key, F.lit("("), params, F.lit(") {\n  if (a > 1) { return g"), key, F.lit("(a, 'x)'); }\n  return null;\n}\nconst g"), key, F.lit(" = x => ({id: x, s: `${f"), key, F.lit("(x, 1)}`});\n"))
+    return o.select(F.col("o_custkey").cast("string").alias("project"), F.concat(key, F.lit(".gs")).alias("file"), F.lit("gs").alias("kind"), code.alias("content"))
+
+
+@query("""SELECT CAST(o_custkey AS VARCHAR) AS project, CAST(2 * count(*) AS BIGINT) AS functions, CAST(2 * count(*) AS BIGINT) AS calls, CAST(count(*) AS BIGINT) AS nullable FROM orders GROUP BY 1""")
+def scan_scripts(spark: SparkSession, d: str) -> DataFrame:
+    """Scripts parsed to facts, counted by project."""
+    n = lambda kind, also=True: F.count_if((F.col("fact") == kind) & also)
+    return fs.facts(scripts(spark, d, False)).groupBy("project").agg(n("function").alias("functions"), n("call").alias("calls"), n("returns", F.coalesce("flag", F.lit(False))).alias("nullable"))
+
+
+@query("""SELECT CAST(o_custkey AS VARCHAR) AS project, CASE WHEN o_orderstatus = 'F' THEN 'param.removed' ELSE 'function_renamed' END AS change, 'f' || o_orderkey AS symbol, CASE WHEN o_orderstatus = 'F' THEN 'b' ELSE 'h' || o_orderkey END AS detail FROM orders WHERE o_orderstatus IN ('F', 'P')""")
+def script_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Changes between two snapshots of parsed scripts."""
+    return rules.changes(fs.written(fs.facts(scripts(spark, d, False))), fs.written(fs.facts(scripts(spark, d, True))))
+
+
+@query("""SELECT CAST(o_custkey AS VARCHAR) AS project, 'internal_caller' AS kind, 'break' AS severity, o_orderkey || '.gs' AS file, CAST(6 AS INT) AS line, 'f' || o_orderkey AS symbol,
+CASE WHEN o_orderstatus = 'F' THEN 'passes removed parameter b' ELSE 'still names a function that is now h' || o_orderkey END AS reason FROM orders WHERE o_orderstatus IN ('F', 'P')""")
+def script_check(spark: SparkSession, d: str) -> DataFrame:
+    """What those changes break: calls that pass the lost parameter, calls by the old name."""
+    none = spark.createDataFrame([], "project string")
+    return rules.diff(fs.written(fs.facts(scripts(spark, d, False))), fs.written(fs.facts(scripts(spark, d, True))), none)
+
+
+@query(r"""SELECT CAST(page_id AS VARCHAR) AS file, count(*) AS links FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href="([^"#][^"]*)"[^>]*>')) AS tag FROM pages) WHERE NOT contains(tag, 'target=') GROUP BY 1""")
+def page_links(spark: SparkSession, d: str) -> DataFrame:
+    """Links without a target by page, from the facts of whole pages."""
+    pages = table(spark, d, "pages").select(F.lit("site").alias("project"), F.col("page_id").cast("string").alias("file"), F.lit("html").alias("kind"), F.col("html").alias("content"))
+    return fs.view(fs.facts(pages), "html_link").groupBy("file").agg(F.count("*").alias("links"))
