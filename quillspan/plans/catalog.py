@@ -262,7 +262,8 @@ def log_windows(spark: SparkSession, d: str) -> DataFrame:
 
 def scripts(spark: SparkSession, d: str, later: bool) -> DataFrame:
     """Each order as a script of two functions in its customer's project; later ones have lost a parameter (F) or have a new name (P)."""
-    o = table(spark, d, "orders")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # parsing is costly and a table of few row groups would be one task
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus").repartition(n, "o_orderkey")
     key, status = F.col("o_orderkey").cast("string"), F.col("o_orderstatus")
     name = F.when((status == "P") & F.lit(later), "h").otherwise("f")
     params = F.when((status == "F") & F.lit(later), "a").otherwise("a, b")
