@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Spaces between words: U+0020 and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Narrow rows of a written file: a few MB.
+FILE_ROWS = 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,10 +33,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: lineage ends, columns can be pruned, sizes are known."""
+def stored(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it back: lineage ends, columns can be pruned, sizes are known.
+
+    With an estimate of its narrow rows, partitions are put together without a shuffle into
+    files of about FILE_ROWS, where Spark's own coalescing hasn't done so: many tiny files
+    cost more than the work on them. Fewer partitions than that stay as they are.
+    """
     at = f"{shared_dir(df.sparkSession)}/quillspan-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    (df if rows is None else df.coalesce(rows // FILE_ROWS + 1)).write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 

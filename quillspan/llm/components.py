@@ -5,41 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import stored
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array(F.struct(F.col("u"), F.col("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
 
 
-def _star(links: DataFrame, keep: str) -> DataFrame:
-    """Each neighbour v of u for which `keep` holds is linked to the least of u and its neighbours.
-
-    The least is a partial aggregate, cut off and joined back, never a
-    gathered list: the skew join can split a hub with millions of neighbours.
-    """
-    least = materialize(links.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m0")).select("c", F.least("c", "m0").alias("m")))
-    return links.join(least, links.u == least.c).where(keep).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-
-
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None, most: int = 60) -> DataFrame:
     """(id, component): for each end of an edge (u, v), the least id it reaches.
 
     Self-links, repeated and reversed edges are allowed; nulls are not.
-    An empty input gives an empty result. Rounds end when no link changes.
+    An empty input gives an empty result. `rows`, if given, is about how many
+    edges differ; only the number of files depends on it. A round makes two tables: for each
+    node the least of its neighbours and how many of them are smaller and
+    larger, and the edges that large-star and then small-star leave. Rounds
+    end when the first of them shows that the edges are stars already: no
+    node has two smaller neighbours, or smaller and larger ones.
+
+    Leasts are partial aggregates joined back, never gathered lists: the skew
+    join can split a hub with millions of neighbours, and a table of leasts
+    is broadcast only if its files are under Spark's broadcast threshold.
     """
-    edges = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
+    edges = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), rows)
+    rows = edges.count()
     for _ in range(most):
-        large = _star(_both_ways(edges), "v > c").distinct()
-        large = materialize(large)
-        # small-star: edges go from the larger end u to the smaller v; u and its smaller neighbours get the least of them
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = materialize(down.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m")))
-        small = down.join(low, down.u == low.c).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select(F.col("c").alias("u"), F.col("m").alias("v")))
-        edges = materialize(small.distinct())
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if not state[0] or state == before:
+        links = _both_ways(edges)
+        near = stored(links.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("least"), F.count_if(F.col("v") < F.col("u")).alias("down"), F.count_if(F.col("v") > F.col("u")).alias("up")), 2 * rows)
+        if near.where("down > 1 or (down > 0 and up > 0)").isEmpty():
             break
-        before = state
+        # large-star: larger neighbours of c go to the least of c and its neighbours
+        large = links.join(near.select("c", F.least("c", "least").alias("m")), F.col("u") == F.col("c")).where("v > c").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # small-star: edges go from the larger end u to the smaller v; u and its smaller neighbours get the least of them
+        low = large.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m"))
+        small = large.join(low, F.col("u") == F.col("c")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v")
+        edges = stored(small.distinct(), rows)
+    else:
+        raise RuntimeError(f"components did not settle in {most} rounds")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

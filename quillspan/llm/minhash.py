@@ -194,14 +194,15 @@ def near_duplicates(docs: DataFrame, size: int = 4, num: int = 80, den: int = 10
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = stored(slim.mapInArrow(_sketches(size, bands, rows), _SKETCH))
     full = known.where("n_shingles > 0 and doc_id is not null")
-    classes = stored(full.groupBy("set_key").agg(F.min("doc_id").alias("rep")))
-    reps = full.select("doc_id", "set_key", "n_shingles", "bands").join(classes.withColumnRenamed("set_key", "_key"), (F.col("doc_id") == F.col("rep")) & (F.col("set_key") == F.col("_key")))
-    buckets = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
-    least = stored(buckets.groupBy(F.col("key").alias("k")).agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("k", "least"))
+    n = known.count()
+    classes = stored(full.groupBy("set_key").agg(F.min("doc_id").alias("rep")), n)
+    reps = stored(full.join(classes.withColumnRenamed("set_key", "_key"), (F.col("doc_id") == F.col("rep")) & (F.col("set_key") == F.col("_key"))).select(F.col("doc_id").alias("id"), "n_shingles", "sig", "bands"), 4 * n)
+    buckets = reps.select("id", F.explode("bands").alias("key"))
+    least = stored(buckets.groupBy(F.col("key").alias("k")).agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("k", "least"), n)
     ties = buckets.join(least, F.col("key") == F.col("k")).where("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v"))
-    members = stored(components(ties))
+    members = components(ties, n)
 
-    sized = reps.select(F.col("doc_id").alias("id"), "n_shingles").distinct().join(members, "id")
+    sized = stored(reps.select("id", "n_shingles").distinct().join(members, "id"), n)
     whole = sized.groupBy("component").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("total")).where((F.col("docs") > BLOCK_DOCS) | (F.col("total") > BLOCK_SHINGLES))
     step = -np.log(num / den)
     level = F.floor(F.log(F.col("n_shingles").cast("double")) / step - 1e-9).cast("int")
@@ -224,14 +225,14 @@ def near_duplicates(docs: DataFrame, size: int = 4, num: int = 80, den: int = 10
         F.transform(up_to(F.lit(0), count(-1) - 1), lambda b: task(name(lev - 1, b, lev, own), no)),
     )
     tasks = placed.select("id", F.when(F.col("by_level").isNull(), F.array(task(name(lev, own, lev, own), yes))).otherwise(many).alias("tasks"))
-    ids = known.join(classes.withColumnRenamed("set_key", "_key"), (F.col("doc_id") == F.col("rep")) & (F.col("set_key") == F.col("_key"))).select("doc_id", "sig").join(tasks, F.col("doc_id") == F.col("id")).drop("doc_id").dropDuplicates(["id"])
+    ids = reps.select("id", "sig").join(tasks, "id").dropDuplicates(["id"])
     dealt = slim.where("text is not null").join(ids, F.col("doc_id") == F.col("id")).select("id", "sig", "tasks", "text")
     kinds = "id long, sig binary, tasks array<struct<task:long,left:boolean>>, shingles binary"
     dealt = dealt.mapInArrow(_sets(size), kinds).select("id", "sig", "shingles", F.explode("tasks").alias("t")).select(F.col("t.task").alias("task"), "id", "sig", "shingles", F.col("t.left").alias("left"))
     edges = dealt.repartition(partitions(spark), "task").sortWithinPartitions("task").mapInArrow(_verify(num, den), "u long, v long")
-    linked = stored(components(edges))
+    linked = components(edges, n)
     component = classes.join(linked, F.col("rep") == F.col("id"), "left").select(F.col("set_key").alias("_key"), F.coalesce("component", "rep").alias("c"))
-    component = stored(component)
+    component = stored(component, n)
     out = known.select("doc_id", "n_shingles", "set_key").join(component, F.col("set_key") == F.col("_key"), "left")
     found = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("c"))).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", found.alias("component_id"), (F.col("doc_id") == found).alias("kept"))
