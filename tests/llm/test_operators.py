@@ -237,13 +237,56 @@ def test_samples_agree_as_often_as_jaccard():
     assert abs(fingerprints.likeness(sampler.signature(words[a]), sampler.signature(words[b])) - jaccard) < 0.03
 
 
+def targets_of(sizes):
+    order = sorted(sizes, key=lambda k: (k is None, k or ""))
+    weight, left, share, target = {k: 1 + i % 3 for i, k in enumerate(order)}, set(order), sum(sizes.values()), {}
+    while left:
+        unit = share / sum(weight[k] for k in left)
+        over = {k for k in left if weight[k] * unit > 3 * sizes[k]}
+        if not over:
+            return target | {k: weight[k] * unit for k in left}
+        target |= {k: 3 * sizes[k] for k in over}
+        share, left = share - sum(3 * sizes[k] for k in over), left - over
+    return target
+
+
 def test_pipeline_stages(spark):
+    """Each stage against its own input: filters keep rows as they are, the others equal brute force or the library."""
+    from tokenizers import Tokenizer
+
     import corpus_pipeline
 
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
+    seen = [docs.collect()]
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, docs, d)
         assert i + 1 == len(corpus_pipeline.STAGES) or out.columns == docs.columns
         docs = corpus_pipeline.stored(out)
-    assert docs.count() > 0 and isinstance(docs.limit(1).toPandas(), pd.DataFrame)
+        seen.append(docs.collect())
+    read, language, scored, unique, mixed, encoded = seen
+    assert set(language) <= set(read) and set(scored) <= set(language) and set(unique) <= set(scored)
+
+    sets = sets_of([(r.doc_id, r.text) for r in scored], corpus_pipeline.SHINGLE_WORDS)
+    ids = sorted(sets)
+    linked = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    least = least_reachable(ids, linked)
+    assert sorted(r.doc_id for r in unique) == [i for i in ids if least[i] == i]
+
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    sizes, taken = Counter(), Counter()
+    for r in unique:
+        sizes[r.source] += words(r.text)
+    for r in mixed:
+        taken[r.source] += words(r.text)
+    for source, target in targets_of(sizes).items():
+        assert abs(taken[source] - target) <= 1, source
+
+    library = Tokenizer.from_str(tokenizer_json())
+    library.no_truncation()
+    library.no_padding()
+    want = Counter()
+    for r in mixed:
+        got = library.encode(r.text or "", add_special_tokens=False).ids
+        want[r.doc_id, len(got), hashlib.sha256(np.array(got, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(got, skip_special_tokens=False).encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in encoded) == want
