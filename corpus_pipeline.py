@@ -43,7 +43,7 @@ def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("quality_classifier", quality_classifier), ("minhash_near_dedup", minhash_near_dedup), ("mix_sources", mix_sources), ("bpe_encode", bpe_encode)]
 
-#: Filters, hash minima and merges are not SQL; their operators are tested against brute force, the stages for running in order.
+#: Filters, hash minima and merges are not SQL; the stages are tested against brute force and the library in tests/llm.
 ORACLE_SQL = None
 
 
