@@ -77,6 +77,22 @@ def nearest_names(names: DataFrame, name: str, candidates: list[str], most: int)
     return names.select(*kept, F.posexplode(F.slice(F.array_sort(near), 1, most)).alias("_at", "_s")).select(*kept, "_s.other", "_s.distance", (F.col("_at") + 1).alias("place"))
 
 
+def similar_names(names: DataFrame, candidates: DataFrame, name: str, most: int) -> DataFrame:
+    """The `most` nearest of all candidates' names for each row's name, by edit distance of the names in lower case, ties by name.
+
+    Near are names within max(2, a third of the asked name's length), and names that contain the asked one; a name is
+    not near itself. Both sides are made distinct first. All pairs of distinct names are looked at, in one join without
+    a key: the length is compared first, so most pairs cost no edit distance. A null name has no near one.
+    """
+    asked = names.select(F.col(name).alias("_a")).distinct()
+    known = candidates.select(F.col(name).alias("other")).distinct()
+    a, b, most_far = F.lower("_a"), F.lower("other"), F.greatest(F.lit(2), F.floor(F.length("_a") / 3))
+    close = (F.abs(F.length(a) - F.length(b)) <= most_far) & (F.levenshtein(a, b) <= most_far)
+    near = asked.join(known, (F.col("_a") != F.col("other")) & (close | b.contains(a))).withColumn("distance", F.levenshtein(a, b))
+    first = near.withColumn("place", F.row_number().over(Window.partitionBy("_a").orderBy("distance", "other"))).where(F.col("place") <= most)
+    return names.join(first, F.col(name) == F.col("_a")).select(*[c for c in names.columns if c != name], "other", "distance", "place")
+
+
 def upsert_counts(entries: DataFrame, text: str, order: list[str]) -> DataFrame:
     """Entries with the same normalised text count as one: occurrences, first and last time."""
     need = F.trim(F.regexp_replace(F.lower(F.col(text)), "[^a-z0-9]+", " "))

@@ -220,6 +220,16 @@ def topk_similar(spark: SparkSession, d: str) -> DataFrame:
     return op.nearest_names(table(spark, d, "part").select("p_partkey", "p_name"), "p_name", KNOWN, 3)
 
 
+@query("""WITH n AS (SELECT DISTINCT p_name AS name FROM part),
+s AS (SELECT a.name, b.name AS other, levenshtein(lower(a.name), lower(b.name)) AS distance FROM n a JOIN n b ON a.name <> b.name WHERE levenshtein(lower(a.name), lower(b.name)) <= greatest(2, length(a.name) // 3) OR contains(lower(b.name), lower(a.name))),
+t AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY distance, other) AS place FROM s)
+SELECT p_partkey, other, CAST(distance AS INT) AS distance, CAST(place AS INT) AS place FROM part JOIN t ON p_name = name WHERE place <= 3""")
+def similar_part_names(spark: SparkSession, d: str) -> DataFrame:
+    """The three nearest part names for each part's name, among all part names."""
+    part = table(spark, d, "part").select("p_partkey", "p_name")
+    return op.similar_names(part, part, "p_name", 3)
+
+
 @query("""SELECT o_custkey, count(*) AS sites, min(o_orderkey) AS first_site FROM orders GROUP BY 1 HAVING count(*) >= 3""")
 def first_site(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("sites"), F.min("o_orderkey").alias("first_site")).where("sites >= 3")
