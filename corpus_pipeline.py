@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quillspan.llm import bpe, langid, minhash, mixing, quality
 from quillspan.llm.common import stored
@@ -24,11 +23,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the least doc_id stays; of repeated doc_ids, one row."""
-    groups = minhash.near_duplicates(docs.select("doc_id", "text"), size=SHINGLE_WORDS)
-    kept = stored(groups.where("kept").select(F.col("doc_id").alias("_kept")).distinct())
-    unknown = docs.where("doc_id is null")
-    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"]).unionByName(unknown)
+    """Of each group of near duplicates, a row of the least doc_id stays; rows that only share a doc_id stay both."""
+    return minhash.without_near_duplicates(docs, size=SHINGLE_WORDS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,3 +43,22 @@ def components(edges: DataFrame, rows: int | None = None, most: int = 60) -> Dat
     else:
         raise RuntimeError(f"components did not settle in {most} rounds")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
+def id_ties(rows: DataFrame, classes: DataFrame, key: str) -> DataFrame:
+    """Edges (u, v) that make the classes of one id's rows one component.
+
+    rows (id, key) may repeat ids; classes has a node for each key. Only rows of repeated ids are joined.
+    """
+    again = rows.groupBy(F.col("id").alias("_again")).agg(F.count("*").alias("_n")).where("_n > 1")
+    nodes = rows.join(again, F.col("id") == F.col("_again"), "left_semi").select("id", F.col(key).alias("_key")).distinct().join(classes.select(F.col(key).alias("_key2"), "node"), F.col("_key") == F.col("_key2")).select("id", "node")
+    least = nodes.groupBy(F.col("id").alias("_id")).agg(F.min("node").alias("v"), F.max("node").alias("_most")).where("v < _most")
+    return nodes.join(least, F.col("id") == F.col("_id")).where("node <> v").select(F.col("node").alias("u"), "v")
+
+
+def least_ids(classes: DataFrame, edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """classes (node, rep, ...) with component, a node of the node's component, and c, the least rep in it."""
+    linked = stored(components(edges, rows), rows)
+    least = linked.join(classes.select("node", "rep"), F.col("id") == F.col("node")).groupBy(F.col("component").alias("_c")).agg(F.min("rep").alias("_least"))
+    found = linked.join(least, F.col("component") == F.col("_c")).select(F.col("id").alias("_id"), "_c", "_least")
+    return classes.join(found, F.col("node") == F.col("_id"), "left").withColumn("component", F.coalesce("_c", "node")).withColumn("c", F.coalesce("_least", "rep")).drop("_id", "_c", "_least")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_sample, partitions, stored
-from .components import components
+from .components import id_ties, least_ids
 from .wordhash import mixed
 
 #: The rotation is fitted to at most so many vectors; it only orders and prunes, results don't depend on it.
@@ -216,16 +216,19 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
 
     Vectors that are null, empty, zero or hold null, NaN or infinite
     components link with nothing; vectors of different lengths don't link.
-    Rows of one id count as one node (the least key's vector); a null id links
-    with nothing and has a null component. An empty table gives no rows.
+    Rows of one id are one component, each with the links of its own vector: a
+    node is a class of equal vectors, not an id. A null id links with nothing
+    and has a null component. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     sc, eps = spark.sparkContext, float(np.sqrt(2 - 2 * threshold))
     slim = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
     known = stored(slim.mapInArrow(_keyed, "id long, key binary, dim int"))
-    classes = stored(known.where("key is not null and id is not null").groupBy("key", "dim").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
+    usable = known.where("key is not null and id is not null")
+    classes = stored(usable.groupBy("key", "dim").agg(F.min("id").alias("rep"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()))
     sizes = {r["dim"]: r["rows"] for r in classes.groupBy("dim").agg(F.count("*").alias("rows")).collect()}
-    reps = stored(slim.mapInArrow(_with_key, f"id long, key binary, v {dict(slim.dtypes)['v']}").join(classes.withColumnRenamed("key", "_k"), (F.col("id") == F.col("rep")) & (F.col("key") == F.col("_k"))).select("rep", "n", "dim", "v").dropDuplicates(["rep"]))
+    reps = stored(slim.mapInArrow(_with_key, f"id long, key binary, v {dict(slim.dtypes)['v']}").join(classes.withColumnRenamed("key", "_k"), (F.col("id") == F.col("rep")) & (F.col("key") == F.col("_k"))).select("node", "rep", "n", "dim", "v").dropDuplicates(["node"]))
+    nodes = lambda df: df.select(F.col("node").alias("rep"), "n", "v")
     grids, bounds = {}, {}
     for d, rows in sizes.items():
         sample = bounded_sample(reps.where(F.col("dim") == d).select("rep", "v"), "rep", rows, FIT_ROWS).select("v").toPandas()["v"]
@@ -233,11 +236,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     grids = sc.broadcast(grids)
     for d, rows in sizes.items():
         blocks = -(-rows // BLOCK)
-        keys = bounded_sample(reps.where(F.col("dim") == d), "rep", rows, 32 * blocks).mapInArrow(_placed(grids, None), "dim int, ord long").select("ord").toPandas()["ord"].to_numpy(np.int64)
+        keys = nodes(bounded_sample(reps.where(F.col("dim") == d), "rep", rows, 32 * blocks)).mapInArrow(_placed(grids, None), "dim int, ord long").select("ord").toPandas()["ord"].to_numpy(np.int64)
         keys.sort()
         bounds[d] = keys[np.linspace(0, len(keys), blocks + 1).astype(np.int64)[1:-1]] if len(keys) else keys
     bounds = sc.broadcast(bounds)
-    placed = reps.mapInArrow(_placed(grids, bounds), "dim int, block long, ord long, rep long, n long, v binary")
+    placed = nodes(reps).mapInArrow(_placed(grids, bounds), "dim int, block long, ord long, rep long, n long, v binary")
     kinds = "dim int, block long, first long, last long, lo array<double>, hi array<double>, reps binary, ns binary, vs binary"
     blocks = stored(placed.groupBy("dim", "block").applyInArrow(_packed(grids), kinds))
     box = blocks.select("dim", "block", "lo", "hi", F.explode(F.sequence("first", "last")).alias("cell"))
@@ -249,10 +252,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     both = both.join(side("2"), (F.col("dim") == F.col("_d2")) & (F.col("block2") == F.col("_b2"))).drop("_d2", "_b2")
     links = stored(both.repartition(partitions(spark), "block", "block2").mapInArrow(_joined(grids, threshold), "u long, v long, n long"))
     found = links.where("n is not null").groupBy(F.col("u").alias("id")).agg(F.sum("n").alias("others"))
-    linked = components(links.where("v is not null").select("u", "v"))
-    told = stored(
-        classes.join(found, F.col("rep") == F.col("id"), "left").drop("id").join(linked, F.col("rep") == F.col("id"), "left").select(F.col("key").alias("_key"), (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("c"))
-    )
+    edges = links.where("v is not null").select("u", "v").unionByName(id_ties(usable, classes, "key"))
+    linked = least_ids(classes, edges)
+    told = stored(linked.join(found, F.col("node") == F.col("id"), "left").select(F.col("key").alias("_key"), (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"), "c"))
     out = known.join(told, F.col("key") == F.col("_key"), "left")
     alone = F.col("key").isNull() | F.col("id").isNull()
     out = out.select(F.col("id").alias(id_col), F.when(alone, F.lit(0)).otherwise(F.col("links")).cast("long").alias("n_links"), F.when(alone, F.col("id")).otherwise(F.col("c")).alias("component_id"))

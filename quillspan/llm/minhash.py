@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, stored
-from .components import components
+from .common import WORD, materialize, partitions, stored
+from .components import components, id_ties, least_ids
 from .wordhash import mixed, shingles, word_hashes
 
 #: 30 bands of 5 minima: a pair at similarity 0.8 shares none with probability 7e-6.
@@ -53,25 +54,32 @@ def document_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
             yield np.unique(shingles(h[bounds[k] : bounds[k + 1]], size))
 
 
-_SKETCH = "doc_id long, n_shingles long, set_key binary, sig binary, bands array<long>"
+_SKETCH = "doc_id long, text_key long, n_shingles long, set_key binary, sig binary, bands array<long>"
+
+
+def set_key(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
+def text_key(text: Column | str) -> Column:
+    """Tells the texts of one doc_id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def _sketches(size: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         minima = Minima(bands, rows)
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for s in document_sets(batch.column("text"), size):
                 sig = minima.signature(s)
                 out[0].append(len(s))
-                out[1].append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                out[1].append(set_key(s))
                 out[2].append((sig & _U(255)).astype(np.uint8).tobytes())
                 out[3].append(minima.keys(sig).view(np.int64) if len(s) else np.zeros(0, np.int64))
             lengths = np.cumsum([0, *map(len, out[3])])
             bands_ = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(out[3]) if out[3] else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary()), bands_], ["doc_id", "n_shingles", "set_key", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary()), bands_], ["doc_id", "text_key", "n_shingles", "set_key", "sig", "bands"])
 
     return run
 
@@ -82,7 +90,11 @@ def _sets(size: int):
             at = batch.schema.get_field_index("text")
             for p in range(0, batch.num_rows, 256):
                 part = batch.slice(p, 256)
-                yield part.set_column(at, "shingles", pa.array([s.tobytes() for s in document_sets(part.column(at), size)], pa.binary()))
+                sets = list(document_sets(part.column(at), size))
+                part = part.set_column(at, "shingles", pa.array([s.tobytes() for s in sets], pa.binary()))
+                # a row of the same doc_id with another set is another node's
+                own = [set_key(s) == k for s, k in zip(sets, part.column("set_key").to_pylist())]
+                yield part if all(own) else part.filter(pa.array(own))
 
     return run
 
@@ -168,35 +180,21 @@ def _verify(num: int, den: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, size: int = 4, num: int = 80, den: int = 100, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: documents linked at den * |and| >= num * |or| of their word shingle sets.
+_FULL = "n_shingles > 0 and doc_id is not null"
 
-    1. One pass turns each whole text into its set's size, a 128-bit key of
-       the set, band keys and an 8-bit signature; copies of a set become one
-       class, so groups of exact copies never meet.
-    2. Members of a band's bucket are tied to the bucket's least id (a partial
-       aggregate joined back; no bucket is gathered). Ties make candidate
-       clusters: two documents that share any bucket are in the same cluster.
-    3. Inside a cluster every pair is compared, in tasks over two blocks of
-       bounded size; large clusters are cut by set size (pairs that can link
-       differ by a quarter at the most) and a hash, so no task holds a whole
-       cluster. Signatures rule out what is far below the threshold, full sets
-       decide, and a task returns a forest, not all pairs.
-    4. The least id of each component is found by large-star and small-star.
 
-    Null and empty texts have no shingles, component doc_id, kept true. Rows
-    of one doc_id count as one node. Rows with a null doc_id link with
-    nothing: their component_id and kept are null. A text longer than memory
-    allows in one row fails in Spark's reader, not here. An empty table gives
-    no rows.
+def _linked_sets(docs: DataFrame, size: int, num: int, den: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Steps 1 to 3 of near_duplicates(): known (doc_id, text_key, n_shingles, set_key, ...) for each row, classes (set_key, rep, node), edges between nodes, rows.
+
+    A class is a set; its node is a number that is fixed as the classes are written.
     """
     spark = docs.sparkSession
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key("text").alias("text_key"))
     known = stored(slim.mapInArrow(_sketches(size, bands, rows), _SKETCH))
-    full = known.where("n_shingles > 0 and doc_id is not null")
+    full = known.where(_FULL)
     n = known.count()
-    classes = stored(full.groupBy("set_key").agg(F.min("doc_id").alias("rep")), n)
-    reps = stored(full.join(classes.withColumnRenamed("set_key", "_key"), (F.col("doc_id") == F.col("rep")) & (F.col("set_key") == F.col("_key"))).select(F.col("doc_id").alias("id"), "n_shingles", "sig", "bands"), 4 * n)
+    classes = stored(full.groupBy("set_key").agg(F.min("doc_id").alias("rep")).withColumn("node", F.monotonically_increasing_id()), n)
+    reps = stored(full.join(classes.withColumnRenamed("set_key", "_key"), (F.col("doc_id") == F.col("rep")) & (F.col("set_key") == F.col("_key"))).select(F.col("node").alias("id"), "rep", "set_key", "n_shingles", "sig", "bands"), 4 * n)
     buckets = reps.select("id", F.explode("bands").alias("key"))
     least = stored(buckets.groupBy(F.col("key").alias("k")).agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("k", "least"), n)
     ties = buckets.join(least, F.col("key") == F.col("k")).where("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v"))
@@ -225,14 +223,60 @@ def near_duplicates(docs: DataFrame, size: int = 4, num: int = 80, den: int = 10
         F.transform(up_to(F.lit(0), count(-1) - 1), lambda b: task(name(lev - 1, b, lev, own), no)),
     )
     tasks = placed.select("id", F.when(F.col("by_level").isNull(), F.array(task(name(lev, own, lev, own), yes))).otherwise(many).alias("tasks"))
-    ids = reps.select("id", "sig").join(tasks, "id").dropDuplicates(["id"])
-    dealt = slim.where("text is not null").join(ids, F.col("doc_id") == F.col("id")).select("id", "sig", "tasks", "text")
-    kinds = "id long, sig binary, tasks array<struct<task:long,left:boolean>>, shingles binary"
+    ids = reps.select("id", "rep", "set_key", "sig").join(tasks, "id").dropDuplicates(["id"])
+    dealt = slim.where("text is not null").join(ids, F.col("doc_id") == F.col("rep")).select("id", "set_key", "sig", "tasks", "text")
+    kinds = "id long, set_key binary, sig binary, tasks array<struct<task:long,left:boolean>>, shingles binary"
     dealt = dealt.mapInArrow(_sets(size), kinds).select("id", "sig", "shingles", F.explode("tasks").alias("t")).select(F.col("t.task").alias("task"), "id", "sig", "shingles", F.col("t.left").alias("left"))
     edges = dealt.repartition(partitions(spark), "task").sortWithinPartitions("task").mapInArrow(_verify(num, den), "u long, v long")
-    linked = components(edges, n)
-    component = classes.join(linked, F.col("rep") == F.col("id"), "left").select(F.col("set_key").alias("_key"), F.coalesce("component", "rep").alias("c"))
-    component = stored(component, n)
+    return known, classes, edges, n
+
+
+def near_duplicates(docs: DataFrame, size: int = 4, num: int = 80, den: int = 100, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: documents linked at den * |and| >= num * |or| of their word shingle sets.
+
+    1. One pass turns each whole text into its set's size, a 128-bit key of
+       the set, band keys and an 8-bit signature; copies of a set become one
+       class, so groups of exact copies never meet.
+    2. Members of a band's bucket are tied to the bucket's least id (a partial
+       aggregate joined back; no bucket is gathered). Ties make candidate
+       clusters: two documents that share any bucket are in the same cluster.
+    3. Inside a cluster every pair is compared, in tasks over two blocks of
+       bounded size; large clusters are cut by set size (pairs that can link
+       differ by a quarter at the most) and a hash, so no task holds a whole
+       cluster. Signatures rule out what is far below the threshold, full sets
+       decide, and a task returns a forest, not all pairs.
+    4. The least id of each component is found by large-star and small-star.
+
+    Null and empty texts have no shingles, component doc_id, kept true. Rows
+    of one doc_id are one component, and each of their sets links on its own:
+    a node is a set, not a doc_id. Rows with a null doc_id link with
+    nothing: their component_id and kept are null. A text longer than memory
+    allows in one row fails in Spark's reader, not here. An empty table gives
+    no rows.
+    """
+    known, classes, edges, n = _linked_sets(docs, size, num, den, bands, rows)
+    ties = id_ties(known.where(_FULL).select(F.col("doc_id").alias("id"), "set_key"), classes, "set_key")
+    component = stored(least_ids(classes, edges.unionByName(ties), n).select(F.col("set_key").alias("_key"), "c"), n)
     out = known.select("doc_id", "n_shingles", "set_key").join(component, F.col("set_key") == F.col("_key"), "left")
     found = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("c"))).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", found.alias("component_id"), (F.col("doc_id") == found).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, size: int = 4, num: int = 80, den: int = 100, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """Of each group of rows linked as in near_duplicates(), one row of the least doc_id; all rows that link with nothing.
+
+    Here rows are linked by their sets only, not by their doc_id: two rows of
+    one doc_id stay both unless they are found to be near duplicates. Of equal
+    texts of one doc_id the row that is least in the other columns stays.
+    """
+    known, classes, edges, n = _linked_sets(docs, size, num, den, bands, rows)
+    found = least_ids(classes, edges, n)
+    heads = found.where("rep = c").groupBy("component").agg(F.min("node").alias("_head"))
+    heads = found.join(heads.select("_head"), F.col("node") == F.col("_head"), "left_semi").select("rep", F.col("set_key").alias("_key"))
+    kept = known.join(heads, (F.col("set_key") == F.col("_key")) & (F.col("doc_id") == F.col("rep"))).groupBy(F.col("doc_id").alias("_doc"), "_key").agg(F.min("text_key").alias("_kept"))
+    kept = stored(kept.select("_doc", "_kept"), n)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    linkable = F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    told = docs.where(linkable).withColumn("_text", text_key("text")).join(kept, (F.col("doc_id").cast("long") == F.col("_doc")) & (F.col("_text") == F.col("_kept")))
+    told = told.withColumn("_row", F.row_number().over(Window.partitionBy("_doc", "_kept").orderBy("_text", *others))).where("_row = 1")
+    return told.select(*docs.columns).unionByName(docs.where(~linkable))

@@ -290,3 +290,36 @@ def test_pipeline_stages(spark):
         got = library.encode(r.text or "", add_special_tokens=False).ids
         want[r.doc_id, len(got), hashlib.sha256(np.array(got, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(got, skip_special_tokens=False).encode()).hexdigest()] += 1
     assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in encoded) == want
+
+
+def test_rows_of_one_id_link_each_on_its_own(spark):
+    """Rows of one doc_id or vec_id with different contents: none loses its links, and no row goes but near duplicates."""
+    rng = np.random.default_rng(5)
+    text = lambda: " ".join(f"w{i}" for i in rng.integers(0, 10_000, 120))
+    edit = lambda t: t + " end"
+    a, b, c, e = (text() for _ in range(4))
+    data = [(5, a), (5, b), (7, edit(b)), (3, edit(a)), (9, c), (9, edit(c)), (9, c), (9, c.upper()), (11, e), (11, c), (2, e), (12, text()), (12, text()), (13, ""), (13, None), (13, "x y"), (None, a), (20, text())]
+    data = [(i, t, f"s{n}") for n, (i, t) in enumerate(data)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(5)
+    sets = [next(iter(sets_of([(0, t)], 4).values())) for _, t, _ in data]
+    linked = [(x, y) for x in range(len(data)) for y in range(x) if sets[x] and sets[y] and None not in (data[x][0], data[y][0]) and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])]
+    least = least_reachable({i for i, *_ in data if i is not None}, [(data[x][0], data[y][0]) for x, y in linked])
+    got = Counter((r.doc_id, r.component_id) for r in minhash.near_duplicates(df).collect() if r.n_shingles)
+    assert got == Counter((i, i if i is None else least[i]) for (i, *_), s in zip(data, sets) if s)
+    assert {least[i] for i in (3, 5, 7)} == {3} and {least[i] for i in (2, 9, 11)} == {2}
+
+    group = least_reachable(range(len(data)), linked)
+    kept = minhash.without_near_duplicates(df).collect()
+    at = [int(r.source[1:]) for r in kept]
+    assert Counter(group[x] for x in at) == Counter(set(group.values()))
+    assert all(data[x][0] is None or data[x][0] == min(data[y][0] for y in group if group[y] == group[x]) for x in at)
+
+    x, y, z = rng.normal(size=(3, 16))
+    vectors = [(5, x), (5, y), (7, y + 0.01), (3, x + 0.01), (9, z), (9, z), (1, x * 2), (30, -z)]
+    out = embed_dedup.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in vectors], "vec_id long, embedding array<double>").repartition(4)).collect()
+    d = np.array([v for _, v in vectors])
+    d /= np.linalg.norm(d, axis=1, keepdims=True)
+    near = (d @ d.T >= 0.95) & ~np.eye(len(d), dtype=bool)
+    least = least_reachable({i for i, _ in vectors}, [(vectors[p][0], vectors[q][0]) for p, q in zip(*np.nonzero(near))])
+    assert Counter((r.vec_id, r.n_links, r.component_id) for r in out) == Counter((i, int(near[p].sum()), least[i]) for p, (i, _) in enumerate(vectors))
+    assert least[7] == 1
