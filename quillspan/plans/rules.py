@@ -302,11 +302,13 @@ def doc_rules(store: DataFrame) -> DataFrame:
 # ---- API
 
 
-def api_rules(store: DataFrame, registry: Sequence[tuple]) -> DataFrame:
+def api_rules(store: DataFrame, registry: Sequence[tuple], by_prefix: bool = False) -> DataFrame:
     """Chains of calls against registry rows (type, method, returns, least arguments, deprecated or None).
 
     The registry, a few hundred rows whatever the input, is one constant map; each chain is folded through it in a
     projection, without a join. A step of a type that the registry hasn't ends the chain quietly; method '*' stands for a type.
+    Near methods are compared in lower case: within max(3, half the length), containing the one asked for, or with by_prefix
+    starting like it, by min(4, half the length) characters.
     """
     entries = {f"{t}.{m}": {"returns": r, "arity_min": n, "deprecated": d} for t, m, r, n, d in registry}
     methods: dict[str, list[str]] = {}
@@ -330,8 +332,11 @@ def api_rules(store: DataFrame, registry: Sequence[tuple]) -> DataFrame:
         )
 
     c = c.withColumn("_o", F.explode(F.aggregate("steps", start, step, lambda s: s["out"])))
-    far = lambda x: F.levenshtein(x, F.col("_o.method"))
-    close = F.filter(F.element_at("_all", F.col("_o.type")), lambda x: (far(x) <= F.greatest(F.lit(3), F.floor(F.length("_o.method") / 2))) | x.contains(F.col("_o.method")))
+    asked = F.lower("_o.method")
+    half = F.floor(F.length("_o.method") / 2)
+    start_of = F.substring(asked, F.lit(1), F.least(F.lit(4), half).cast("int"))
+    far = lambda x: F.levenshtein(F.lower(x), asked)
+    close = F.filter(F.element_at("_all", F.col("_o.type")), lambda x: (far(x) <= F.greatest(F.lit(3), half)) | F.lower(x).contains(asked) | (F.lit(by_prefix) & (start_of != "") & F.lower(x).startswith(start_of)))
     near = F.array_sort(F.transform(close, lambda x: F.struct(far(x).alias("d"), x.alias("m"))))
     names = F.array_join(F.transform(F.slice(near, 1, 3), lambda x: x["m"]), ", ")
     kind = F.col("_o.kind")

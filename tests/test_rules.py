@@ -154,6 +154,14 @@ def test_api_rules(spark):
     assert next(r.reason for r in rows if r.kind == "api.unknown_method").endswith("near: getRange")
 
 
+def test_api_suggestions_in_lower_case_and_by_prefix(spark):
+    registry = [("SpreadsheetApp", m, "Spreadsheet", 0, None) for m in ("GETACTIVEXYZ", "getActiveSpreadsheetOfTheWholeProject", "myGETACTIVExyzs", "openById", "create")]
+    store = fs.facts(files(spark, "function f() { SpreadsheetApp.getactivexyz(); SpreadsheetApp.open2(); SpreadsheetApp.q(); }", ""))
+    near = lambda by: {r.symbol.split(".")[-1]: r.reason.split("near: ")[-1].strip() for r in rules.api_rules(store, registry, by).collect()}
+    assert near(False)["getactivexyz"] == "GETACTIVEXYZ, myGETACTIVExyzs"
+    assert near(True) == {"getactivexyz": "GETACTIVEXYZ, myGETACTIVExyzs, getActiveSpreadsheetOfTheWholeProject", "open2": "openById", "q": ""}
+
+
 def test_environment_rules(spark):
     prod, dev, other = "P" * 24, "D" * 24, "Z" * 24
     f = files(spark, f"const A = '{dev}', B = '{prod}';\nfunction f() {{ DriveApp.getFileById('{other}'); }}", "", MANIFEST, "core/prod")
