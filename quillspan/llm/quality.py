@@ -87,6 +87,10 @@ def features(texts: pa.Array, n_chars: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.array(bounds, np.int64), np.concatenate(ids) if ids else np.zeros(0, np.int32), np.concatenate(values) if values else np.zeros(0, np.float32), dense
 
 
+#: Passes over the labelled documents, at every size.
+EPOCHS = 40
+
+
 class Machine:
     """y = w0 + sum w x + 1/2 sum over factors of (sum v x)^2 - sum (v x)^2: linear in the nonzero features."""
 
@@ -175,7 +179,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> M
         ids = np.frombuffer(i, np.int32)
         rows.append(machine.rows(np.array([0, len(ids)]), ids, np.frombuffer(x, np.float32), d[None])[1:])
     y = (got.column("y").to_numpy() > 0.5).astype(np.float32)
-    machine.fit(rows, y, epochs=max(8, min(40, 16_000 // len(y))))
+    machine.fit(rows, y, epochs=EPOCHS)
     return machine
 
 

@@ -205,6 +205,15 @@ def test_language_and_quality(spark, docs, empty):
         assert len(out) == df.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in out)
 
 
+def test_epochs_do_not_depend_on_size(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality.Machine, "fit", lambda self, rows, y, epochs: seen.append((len(y), epochs)))
+    for n in (40, 900):
+        docs = spark.range(n).selectExpr("id as doc_id", "concat('a b ', id) as text")
+        quality.learn(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality"))
+    assert seen[0][0] < 400 < seen[1][0] and seen[0][1] == seen[1][1] == quality.EPOCHS
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
