@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +17,37 @@ CACHE = 150_000
 #: Fixed value: the pre-token pattern of byte-level BPE; white space is spelled out, as engines differ on U+001C to U+001F.
 _WS = r"\t-\r \x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
-_RUN = regex.compile(rf" [{_WS}]|[{_WS}] ")
-_CONTROL = re.compile("[\t\x0b-\r]")
 #: The same pattern for characters below U+02B0, whose classes are few and fixed.
 _FEW = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zªµºÀ-ÖØ-öø-ʯ]+| ?[0-9²³¹¼-¾]+| ?[^\t-\r \x85\xa0A-Za-zªµºÀ-ÖØ-öø-ʯ0-9²³¹¼-¾]+|[\t-\r \x85\xa0]+(?![^\t-\r \x85\xa0])|[\t-\r \x85\xa0]+")
 
 
+_ANY, _BEYOND = regex.compile(PATTERN), re.compile("[^\x00-\u02af]")
+
+
+def pretokens(text: str) -> list[str]:
+    """The pre-tokens of a text without special strings; no merge crosses their borders."""
+    return (_FEW if text.isascii() or not _BEYOND.search(text) else _ANY).findall(text)
+
+
+class Pieces(dict):
+    """Ids of pre-tokens, as little-endian unsigned 32-bit integers; those met last are kept, 2 * most at the most."""
+
+    def __init__(self, encode: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.encode, self.most, self.older = encode, most, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        out = self.older.get(piece)
+        out = self[piece] = self.encode(piece) if out is None else out
+        return out
+
+    def ids(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, pretokens(text)))
+
+
 def byte_letters() -> dict[str, int]:
     """The letters by which vocabulary files write bytes: printable ones stand for themselves, the others follow U+0100."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -72,9 +97,8 @@ class Codec:
         self.packed = [i.to_bytes(4, "little") for i in self.ids]
         self.sizes = [len(t) for t in self.texts]
         self.fits: dict[tuple[int, int], bool] = {}
-        self.pattern = regex.compile(PATTERN)
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.pieces, self.most = _Pieces(self), cache
+        self.pieces, self.most = Pieces(self._packed, cache), cache
         # the offset table: token i is blob[start[i] : start[i] + size[i]]
         top = max(self.text_of) + 1
         self.size = np.array([len(self.text_of.get(i, b"")) for i in range(top)], np.int64)
@@ -142,19 +166,11 @@ class Codec:
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers; special strings in it become their ids."""
         if self.split and any(s in text for s in self.special):
-            return b"".join(self.special[t].to_bytes(4, "little") if t in self.special else self._plain(t) for t in self.split.split(text) if t)
-        return self._plain(text)
-
-    def _plain(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if len(self.pieces) > self.most:
-            self.pieces.clear()
-        if "  " in text or text[0] == " " or text[-1] == " " or " \n" in text or "\n " in text or not text.isascii() and _RUN.search(text) or _CONTROL.search(text):
-            return b"".join(map(self.pieces.plain, (_FEW if max(text) < "\u02b0" else self.pattern).findall(text)))
-        # single spaces: each starts a pre-token, so the pieces between them are encoded alone
-        first, *rest = text.split(" ")
-        return b"".join((self.pieces.plain(first, True) if first else b"", *map(self.pieces.__getitem__, rest)))
+            return b"".join(self.special[t].to_bytes(4, "little") if t in self.special else self.pieces.ids(t) for t in self.split.split(text) if t)
+        return self.pieces.ids(text)
+
+    def _packed(self, piece: str) -> bytes:
+        return b"".join([self.packed[t] for t in self.encode_piece(piece.encode())])
 
     def decode(self, ids: np.ndarray) -> bytes:
         size = self.size[ids]
@@ -163,29 +179,6 @@ class Codec:
         return self.blob[at + np.repeat(self.start[ids] - (ends - size), size)].tobytes()
 
 
-class _Pieces(dict):
-    """Ids of " " + piece for each piece met."""
-
-    def __init__(self, codec: Codec):
-        super().__init__()
-        self.codec, self.single = codec, {}
-
-    def __missing__(self, piece: str) -> bytes:
-        out = self[piece] = self.plain(" " + piece, True)
-        return out
-
-    def plain(self, piece: str, many: bool = False) -> bytes:
-        """Ids of one pre-token, or of a piece with many."""
-        if many:
-            return b"".join(map(self.plain, (_FEW if piece.isascii() or max(piece) < "\u02b0" else self.codec.pattern).findall(piece)))
-        if (out := self.single.get(piece)) is None:
-            if len(self.single) > self.codec.most:
-                self.single.clear()
-            c = self.codec
-            out = self.single[piece] = b"".join([c.packed[t] for t in c.encode_piece(piece.encode())])
-        return out
-
-
 def _digests(shared, cache: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(shared.value, cache)

@@ -8,100 +8,118 @@ import numpy as np
 BLOCK = 2048
 #: Blocks that are coded side by side.
 LANES = 4096
-_SLOTS, _RENEW = 1024, 32
+#: Bits of a file's order-0 frequencies, at the most, and of the chance that a prediction holds.
+FREQUENCY_BITS, CHANCE_BITS = 20, 12
+_ONE = 1 << CHANCE_BITS
+#: Places for contexts in a block's tables of order 1 and of order 2, and the greatest confidence.
+_SLOTS, _SURE = 1024, 7
 _U = np.uint64
-_TOP, _BOTTOM = _U(1 << 56), _U(1 << 52)
+_WORD, _LOW = _U(32), _U((1 << 32) - 1)
 
 
 def _curves() -> tuple[np.ndarray, np.ndarray]:
-    """stretch(p) = ln(p / (1 - p)) in 1/256 for p in 1/4096, and its inverse; integers, so that every machine agrees."""
-    x = np.arange(-2047, 2048)
-    squash = np.clip(np.rint(4096 / (1 + np.exp(-x / 256))), 1, 4095).astype(np.int32)
+    """stretch(p) = ln(p / (1 - p)) by p in 1/4096, and its inverse by x in 1/64 from -8, in 1/4096, never 0 or 1."""
     p = np.clip(np.arange(4096), 1, 4095)
-    return np.clip(np.rint(256 * np.log(p / (4096 - p))), -2047, 2047).astype(np.int32), squash
+    squash = 4096 / (1 + np.exp(-(np.arange(1025) - 512) / 64))
+    # rounded, so that machines whose last bits of exp and log differ agree
+    return (np.rint(np.log(p / (4096 - p)) * 4096) / 4096).astype(np.float32), np.clip(np.rint(squash), 1, _ONE - 1).astype(np.int32)
 
 
 _STRETCH, _SQUASH = _curves()
-#: Bit lengths of ranks: 0 for rank 0, to 16.
-_LENGTHS = 17
+#: A prediction's first chance, in 1/65536, by how often orders 2 and 1 were right in a row and whether they agree.
+_FIRST = np.array([min(60000, 2500 * (1 + 3 * two + one) * (1 + same)) for two in range(8) for one in range(8) for same in range(2)], np.int32)
+
+
+class Frequencies:
+    """Order 0 of a file: frequencies of its ranks, out of 2^bits, from their counts' logarithms in 1/8 bits.
+
+    bits follow from the number of ids: twice as many points at the least, so each rank has one.
+    """
+
+    def __init__(self, levels: np.ndarray, ids: int):
+        self.bits = min(FREQUENCY_BITS, max(12, max(ids, len(levels)).bit_length() + 1))
+        weight = np.floor(np.exp2(np.arange(256) / 8) * 16)[levels]
+        # at least one each; the rest by weight; what rounding leaves goes to the first of the heaviest
+        self.size = (1 + np.floor(weight * (((1 << self.bits) - len(levels)) / max(1.0, float(weight.sum()))))).astype(np.int64)
+        if len(levels):
+            self.size[int(weight.argmax())] += (1 << self.bits) - int(self.size.sum())
+        self.start = np.cumsum(self.size) - self.size
+
+    @staticmethod
+    def levels(counts: np.ndarray) -> np.ndarray:
+        return np.rint(8 * np.log2(np.maximum(counts, 1))).astype(np.uint8)
+
+
+class _Orders:
+    """The frequencies of several files, one after the other; a lane's rank r is at base + r, its point p at points + p."""
+
+    def __init__(self, files: list[Frequencies], owner: np.ndarray):
+        self.files, bits = files, np.array([f.bits for f in files], np.int64)
+        first = lambda n: (np.cumsum(n) - n)[owner]
+        self.base, self.points = first(np.array([len(f.size) for f in files], np.int64)), first(np.int64(1) << bits)
+        self.bits, self.whole = bits[owner].astype(np.uint64), (np.int64(1) << (bits + 32))[owner].astype(np.uint64)
+        size, start = np.concatenate([f.size for f in files]), np.concatenate([f.start for f in files])
+        self.packed = size.astype(np.uint64) << _WORD | start.astype(np.uint64)
+        self.stretch = np.concatenate([_STRETCH[np.clip(f.size << 12 >> f.bits, 1, 4095)] for f in files])
+
+    def ranks(self) -> np.ndarray:
+        """The rank at each point."""
+        return np.concatenate([np.repeat(np.arange(len(f.size), dtype=np.uint16), f.size) if len(f.size) else np.zeros(1 << f.bits, np.uint16) for f in self.files])
 
 
 class _Model:
     """One model for each lane.
 
-    Orders 1 and 2 each predict the next rank (the one last seen after the
-    same one or two) with a confidence; order 0 is the lane's own hit rate,
-    and adaptive frequencies of ranks' bit lengths. A logistic mixer weighs
-    what the three orders say of the order-2 prediction; if it fails, order 1
-    is tried, and then the rank is spelled by length and remaining bits.
+    Orders 1 and 2 each predict the next rank, the one last seen after the
+    same one or two, and how often in a row that was right; the prediction of
+    order 2 is taken where it was right before, else that of order 1. Order 0
+    predicts every rank by the file's frequencies. A logistic mixer weighs
+    what orders 1 and 2 together and order 0 say of the prediction, with
+    chances and weights learned in the lane; if it fails, order 0 spells the
+    rank.
     """
 
-    def __init__(self, lanes: int):
-        self.lane = np.arange(lanes, dtype=np.int64)
+    def __init__(self, orders: _Orders):
+        lanes = len(orders.base)
+        self.orders = orders
+        self.slots, self.contexts = np.arange(lanes, dtype=np.int64) * _SLOTS, np.arange(lanes, dtype=np.int32) * 128
         self.seen1, self.seen2 = np.zeros(lanes * _SLOTS, np.int32), np.zeros(lanes * _SLOTS, np.int32)
-        self.last1, self.last2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.hit2, self.hit1, self.hit0 = np.full(lanes * 8, 1 << 15, np.int32), np.full(lanes * 16, 1 << 15, np.int32), np.full(lanes, 1 << 15, np.int32)
-        self.second = np.full(lanes * 8, 1 << 14, np.int32)
-        self.weights = np.full((3, lanes), 26000, np.int32)
-        self.counts = np.ones((lanes, _LENGTHS), np.int64)
-        self.renew(lanes)
-
-    def renew(self, n: int) -> None:
-        """Cumulative frequencies of lengths, out of 4096."""
-        c = self.counts[:n]
-        f = 1 + c * (4096 - _LENGTHS) // c.sum(axis=1, keepdims=True)
-        f[:, 0] += 4096 - f.sum(axis=1)
-        self.cum = np.zeros((n, _LENGTHS + 1), np.int64)
-        np.cumsum(f, axis=1, out=self.cum[:, 1:])
+        self.last, self.context = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
+        self.hits = np.tile(_FIRST, lanes)
+        self.w1, self.w0, self.step = np.full(lanes, 0.8 * 64, np.float32), np.full(lanes, 0.2 * 64, np.float32), 0
 
     def predict(self, n: int) -> np.ndarray:
-        """Probability, in 1/4096, that the order-2 prediction holds."""
-        lane, a, b = self.lane[:n], self.last1[:n], self.last2[:n]
-        self.at1 = lane * _SLOTS + ((a * 40503 >> 3) & (_SLOTS - 1))
-        self.at2 = lane * _SLOTS + (((a * 0x9E3779B1 + b * 0x85EBCA77) >> 13) & (_SLOTS - 1))
+        """How much of 1/4096 the prediction gets."""
+        slots, last = self.slots[:n], self.last[:n]
+        self.at1 = slots + (last & (_SLOTS - 1))
+        self.at2 = slots + (self.context[:n] & (_SLOTS - 1))
         v1, v2 = self.seen1.take(self.at1), self.seen2.take(self.at2)
-        self.p1, self.c1, self.p2, self.c2 = v1 >> 3, v1 & 7, v2 >> 3, v2 & 7
-        self.i2 = lane * 8 + self.c2
-        self.i1 = lane * 16 + self.c1 * 2 + (self.p1 == self.p2)
-        self.ib = lane * 8 + self.c1
-        self.q = self.hit0[:n], self.hit1.take(self.i1), self.hit2.take(self.i2)
-        self.s = [_STRETCH.take(q >> 4) for q in self.q]
-        w = self.weights
-        dot = (w[0, :n] * self.s[0] + w[1, :n] * self.s[1] + w[2, :n] * self.s[2]) >> 16
-        self.p = _SQUASH.take(np.minimum(np.maximum(dot, -2047), 2047) + 2047)
-        return self.p
-
-    def second_chance(self, n: int) -> np.ndarray:
-        """Probability, in 1/4096, that order 1 holds where order 2 has failed."""
-        return self.second.take(self.ib) >> 4 | 1
-
-    def update(self, n: int, rank: np.ndarray, hit: np.ndarray, asked: np.ndarray, hit1: np.ndarray, lengths: np.ndarray, spelled: np.ndarray, step: int) -> None:
-        error = hit * np.int32(4096) - self.p
-        for k in range(3):
-            self.weights[k, :n] += (self.s[k] * error + 8192) >> 14
-        goal = hit * np.int32(65535)
-        self.hit1[self.i1] = self.q[1] + ((goal - self.q[1]) >> 4)
-        self.hit2[self.i2] = self.q[2] + ((goal - self.q[2]) >> 4)
-        self.hit0[:n] += (goal - self.q[0]) >> 5
-        i = self.ib.take(asked)
-        old = self.second.take(i)
-        self.second[i] = old + ((hit1.take(asked) * np.int32(65535) - old) >> 4)
-        self.counts[spelled, lengths] += 24
-        r = rank.astype(np.int32)
-        self.seen2[self.at2] = np.where(hit, self.p2 << 3 | np.minimum(self.c2 + 1, 7), np.where(self.c2 > 1, self.p2 << 3 | self.c2 >> 1, r << 3 | 1))
-        self.seen1[self.at1] = np.where(hit1, self.p1 << 3 | np.minimum(self.c1 + 1, 7), np.where(self.c1 > 1, self.p1 << 3 | self.c1 >> 1, r << 3 | 1))
-        self.last2[:n] = self.last1[:n]
-        self.last1[:n] = rank
-        if step % _RENEW == _RENEW - 1:
-            self.renew(n)
-
-
-def _where(x: np.ndarray) -> np.ndarray:
-    return x.nonzero()[0]
-
-
-def _bit_lengths(x: np.ndarray) -> np.ndarray:
-    return np.frexp(x.astype(np.float64))[1].astype(np.int64)
+        self.v1, self.v2, self.c1, self.c2 = v1, v2, v1 & _SURE, v2 & _SURE
+        self.p = np.where(self.c2 > 0, v2, v1) >> 3
+        self.i = self.contexts[:n] + (self.c2 << 4)
+        self.i += self.c1 << 1
+        self.i += (v1 ^ v2) <= _SURE
+        self.q = self.hits.take(self.i)
+        self.s1, self.s0 = _STRETCH.take(self.q >> 4), self.orders.stretch.take(self.orders.base[:n] + self.p, mode="clip")
+        x = self.w1[:n] * self.s1
+        x += self.w0[:n] * self.s0
+        x += np.float32(512)
+        self.a = _SQUASH.take(x.astype(np.int32), mode="clip")
+        return self.a
+
+    def update(self, n: int, rank: np.ndarray, hit: np.ndarray) -> None:
+        """rank is what came; hit: whether it was predicted."""
+        self.hits[self.i] = self.q + ((hit * np.int32(65535) - self.q) >> 4)
+        self.step += 1
+        if self.step % 4 == 0:
+            error = (hit * np.float32(_ONE) - self.a) * np.float32(4 / _ONE)
+            self.w1[:n] += error * self.s1
+            self.w0[:n] += error * self.s0
+        fresh = rank << 3
+        for seen, at, v, c in ((self.seen2, self.at2, self.v2, self.c2), (self.seen1, self.at1, self.v1, self.c1)):
+            seen[at] = np.where((v ^ fresh) <= _SURE, v + (c < _SURE), fresh)
+        self.context[:n] = self.last[:n] * np.int32(613) + rank
+        self.last[:n] = rank
 
 
 def _sorted(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,127 +128,108 @@ def _sorted(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(-sizes[order], -np.arange(1, int(sizes.max(initial=0)) + 1), "right")
 
 
-def encode(blocks: list[np.ndarray]) -> list[bytes]:
-    """Each block of ranks (0 to 65535) as bytes; at most LANES blocks."""
+def _narrow(low: np.ndarray, span: np.ndarray, bits: np.ndarray, packed: np.ndarray) -> None:
+    unit = span >> bits
+    low += unit * (packed & _LOW)
+    np.multiply(unit, packed >> _WORD, out=span)
+
+
+def _spent(low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lanes with less than a word of span left, their low, and the span that has one leading word."""
+    at = (span <= _LOW).nonzero()[0]
+    l, s = low.take(at), span.take(at)
+    return at, l, np.where((l ^ (l + s)) > _LOW, (~l + _U(1)) & _LOW, s)
+
+
+def encode(blocks: list[np.ndarray], files: list[Frequencies], owner: list[int]) -> list[bytes]:
+    """Each block of ranks as bytes, by the frequencies of the file that owns it; at most LANES blocks."""
+    if not blocks:
+        return []
     sizes = np.array([len(b) for b in blocks], np.int64)
     order, running = _sorted(sizes)
     lanes = len(blocks)
-    x = np.zeros((len(running), lanes), np.int64)
+    x = np.zeros((len(running), lanes), np.uint16)
     for i, k in enumerate(order):
         x[: sizes[k], i] = blocks[k]
-    model, low, span = _Model(lanes), np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
-    out = np.zeros((lanes, 64), np.uint8)
+    orders = _Orders(files, np.array(owner, np.int64)[order])
+    model, low, span = _Model(orders), np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
+    out = np.zeros((lanes, 256), np.uint32)
     used = np.zeros(lanes, np.int64)
     for t, n in enumerate(running.tolist()):
-        rank = x[t, :n]
-        p = model.predict(n).astype(np.uint64)
-        hit, hit1 = rank == model.p2, rank == model.p1
+        rank = x[t, :n].astype(np.int32)
         lo, sp = low[:n], span[:n]
-        unit = sp >> _U(12)
-        bound = unit * p
+        bound = (sp >> _U(CHANCE_BITS)) * model.predict(n).astype(np.uint64)
+        hit = rank == model.p
         lo += np.where(hit, _U(0), bound)
-        sp[:] = np.where(hit, bound, unit * (_U(4096) - p))
-        asked = _where(~hit & (model.p1 != model.p2))
-        if len(asked):
-            q = model.second_chance(n).take(asked).astype(np.uint64)
-            unit = sp.take(asked) >> _U(12)
-            bound, h = unit * q, hit1.take(asked)
-            lo[asked] += np.where(h, _U(0), bound)
-            sp[asked] = np.where(h, bound, unit * (_U(4096) - q))
-        spelled = _where(~hit & ~hit1)
-        r = rank.take(spelled)
-        lengths = _bit_lengths(r)
-        if len(spelled):
-            unit = sp.take(spelled) >> _U(12)
-            place = spelled * (_LENGTHS + 1) + lengths
-            a, b = model.cum.take(place).astype(np.uint64), model.cum.take(place + 1).astype(np.uint64)
-            base, unit = lo.take(spelled) + unit * a, unit * (b - a)
-            bits = np.maximum(lengths - 1, 0)
-            rest = (r - (np.int64(1) << bits) * (lengths > 0)).astype(np.uint64)
-            unit >>= bits.astype(np.uint64)
-            lo[spelled], sp[spelled] = base + unit * rest, unit
-        while True:
-            settled = (lo ^ (lo + sp)) < _TOP
-            go = settled | (sp < _BOTTOM)
-            at = _where(go)
-            if not len(at):
-                break
-            l, w = lo.take(at), sp.take(at)
-            w = np.where(settled.take(at), w, (~l + _U(1)) & (_BOTTOM - _U(1)))
-            if used.max() + 16 > out.shape[1]:
-                out = np.concatenate([out, np.zeros_like(out)], axis=1)
+        sp[:] = np.where(hit, bound, sp - bound)
+        _narrow(lo, sp, orders.bits[:n], np.where(hit, orders.whole[:n], orders.packed.take(orders.base[:n] + rank)))
+        at, l, s = _spent(lo, sp)
+        if len(at):
             u = used.take(at)
-            out[at, u] = (l >> _U(56)).astype(np.uint8)
+            if int(u.max()) + 4 > out.shape[1]:
+                out = np.concatenate([out, np.zeros_like(out)], axis=1)
+            out[at, u] = l >> _WORD
             used[at] = u + 1
-            lo[at], sp[at] = l << _U(8), w << _U(8)
-        model.update(n, rank, hit, asked, hit1, lengths, spelled, t)
+            lo[at], sp[at] = l << _WORD, s << _WORD
+        model.update(n, rank, hit)
     tails = low.astype(">u8")
+    words = out.astype(">u4")
     result: list[bytes] = [b""] * lanes
     for i, k in enumerate(order):
-        result[k] = out[i, : used[i]].tobytes() + tails[i : i + 1].tobytes() if sizes[k] else b""
+        result[k] = words[i, : used[i]].tobytes() + tails[i : i + 1].tobytes() if sizes[k] else b""
     return result
 
 
-def decode(data: list[bytes], sizes: list[int]) -> list[np.ndarray]:
-    """The blocks that encode() was given."""
+def decode(data: list[bytes], sizes: list[int], files: list[Frequencies], owner: list[int]) -> list[np.ndarray]:
+    """The blocks that encode() was given; of damaged bytes, some ranks."""
+    if not data:
+        return []
+    with np.errstate(all="ignore"):
+        return _decoded(data, sizes, files, owner)
+
+
+def _decoded(data: list[bytes], sizes: list[int], files: list[Frequencies], owner: list[int]) -> list[np.ndarray]:
     want = np.array(sizes, np.int64)
     order, running = _sorted(want)
     lanes = len(data)
-    width = max(map(len, data), default=0) + 16
-    raw = np.zeros((lanes, width), np.uint8)
+    width = max(map(len, data), default=0) // 4 + 4
+    raw = np.zeros((lanes, width), np.uint32)
     for i, k in enumerate(order):
-        raw[i, : len(data[k])] = np.frombuffer(data[k], np.uint8)
-    code = np.ascontiguousarray(raw[:, :8]).view(">u8").ravel().astype(np.uint64)
-    used = np.full(lanes, 8, np.int64)
-    model, low, span = _Model(lanes), np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
-    x = np.zeros((len(running), lanes), np.int64)
+        own = np.frombuffer(data[k], ">u4", len(data[k]) // 4)
+        raw[i, : len(own)] = own
+    code = raw[:, 0].astype(np.uint64) << _WORD | raw[:, 1].astype(np.uint64)
+    used = np.full(lanes, 2, np.int64)
+    orders = _Orders(files, np.array(owner, np.int64)[order])
+    ranks = orders.ranks()
+    model, low, span = _Model(orders), np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
+    x = np.zeros((len(running), lanes), np.uint16)
     for t, n in enumerate(running.tolist()):
-        p = model.predict(n).astype(np.uint64)
         lo, sp, co = low[:n], span[:n], code[:n]
-        unit = sp >> _U(12)
-        bound = unit * p
-        hit = co - lo < bound
-        lo += np.where(hit, _U(0), bound)
-        sp[:] = np.where(hit, bound, unit * (_U(4096) - p))
-        hit1 = hit & (model.p1 == model.p2)
-        asked = _where(~hit & (model.p1 != model.p2))
-        if len(asked):
-            q = model.second_chance(n).take(asked).astype(np.uint64)
-            unit = sp.take(asked) >> _U(12)
-            bound = unit * q
-            h = co.take(asked) - lo.take(asked) < bound
-            lo[asked] += np.where(h, _U(0), bound)
-            sp[asked] = np.where(h, bound, unit * (_U(4096) - q))
-            hit1[asked] = h
-        spelled = _where(~hit & ~hit1)
-        rank = np.where(hit, model.p2, model.p1).astype(np.int64)
-        lengths = np.zeros(0, np.int64)
-        if len(spelled):
-            unit = sp.take(spelled) >> _U(12)
-            v = ((co.take(spelled) - lo.take(spelled)) // unit).astype(np.int64)
-            cum = model.cum.take(spelled, axis=0)
-            lengths = np.minimum((cum[:, 1:] <= v[:, None]).sum(axis=1), _LENGTHS - 1)
-            k = np.arange(len(spelled))
-            a, b = cum[k, lengths].astype(np.uint64), cum[k, lengths + 1].astype(np.uint64)
-            base, unit = lo.take(spelled) + unit * a, unit * (b - a)
-            bits = np.maximum(lengths - 1, 0)
-            unit >>= bits.astype(np.uint64)
-            rest = (co.take(spelled) - base) // unit
-            lo[spelled], sp[spelled] = base + unit * rest, unit
-            rank[spelled] = rest.astype(np.int64) + (np.int64(1) << bits) * (lengths > 0)
-        while True:
-            settled = (lo ^ (lo + sp)) < _TOP
-            at = _where(settled | (sp < _BOTTOM))
-            if not len(at):
-                break
-            l, w, u = lo.take(at), sp.take(at), used.take(at)
-            w = np.where(settled.take(at), w, (~l + _U(1)) & (_BOTTOM - _U(1)))
-            co[at] = co.take(at) << _U(8) | raw[at, np.minimum(u, width - 1)]
+        bound = (sp >> _U(CHANCE_BITS)) * model.predict(n).astype(np.uint64)
+        here = co - lo
+        hit = here < bound
+        skipped = np.where(hit, _U(0), bound)
+        lo += skipped
+        here -= skipped
+        sp[:] = np.where(hit, bound, sp - bound)
+        unit = sp >> orders.bits[:n]
+        # the exact quotient, by a division of doubles and a step back or forth
+        v = (here.astype(np.float64) / unit.astype(np.float64)).astype(np.int64)
+        near = v.view(np.uint64) * unit
+        over = near > here
+        v -= over
+        v += (here - near >= unit) ^ over
+        rank = np.where(hit, model.p, ranks.take(orders.points[:n] + v, mode="clip").astype(np.int32))
+        _narrow(lo, sp, orders.bits[:n], np.where(hit, orders.whole[:n], orders.packed.take(orders.base[:n] + rank, mode="clip")))
+        at, l, s = _spent(lo, sp)
+        if len(at):
+            u = used.take(at)
+            co[at] = co.take(at) << _WORD | raw[at, np.minimum(u, width - 1)]
             used[at] = u + 1
-            lo[at], sp[at] = l << _U(8), w << _U(8)
+            lo[at], sp[at] = l << _WORD, s << _WORD
         x[t, :n] = rank
-        model.update(n, rank, hit, asked, hit1, lengths, spelled, t)
+        model.update(n, rank, hit)
     result: list[np.ndarray] = [np.zeros(0, np.int64)] * lanes
     for i, k in enumerate(order):
-        result[k] = x[: want[k], i].copy()
+        result[k] = x[: want[k], i].astype(np.int64)
     return result

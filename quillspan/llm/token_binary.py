@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -13,116 +12,94 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import idcoder
-from .bpe import _CONTROL, _FEW, _RUN, PATTERN, byte_letters
+from .bpe import Pieces, byte_letters
 from .common import partitions, range_bounds, stored
 
 #: A file closes with the document that brings it to so many ids.
 FILE_IDS = 1 << 19
 #: Buckets of the order by doc_id, for each shuffle partition, and in all at the most.
 BUCKETS_EACH, BUCKETS_MOST = 16, 1 << 16
+#: Encodings of pre-tokens that a worker keeps, at the most, in each of two generations.
 CACHE = 300_000
-_HEAD = struct.Struct("<4sHHIQII")
+_HEAD = struct.Struct("<4sHHIQIII")
 _BLOCK = struct.Struct("<III")
-MAGIC, VERSION = b"QTID", 1
+MAGIC, VERSION = b"QTID", 2
 
 
 class Library:
     """Ids by the tokenizers library; what it says of pre-tokens is kept, as no merge crosses their borders."""
 
     def __init__(self, tokenizer_json: str, cache: int = CACHE):
-        import regex
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_str(tokenizer_json)
+        self.whole.no_truncation()
+        self.whole.no_padding()
         self.model = self.whole.model
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.letters = {b: c for c, b in byte_letters().items()}
-        self.known: dict[str, bytes] = {}
-        self.units = _Units(self)
-        self.pattern, self.most = regex.compile(PATTERN), cache
+        self.pieces = Pieces(self.piece, cache)
 
     def piece(self, p: str) -> bytes:
-        if (out := self.known.get(p)) is None:
-            if len(self.known) > self.most:
-                self.known.clear()
-            out = self.known[p] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(p.encode().decode("latin-1").translate(self.letters))])
-        return out
-
-    def unit(self, u: str) -> bytes:
-        return b"".join(map(self.piece, (_FEW if u.isascii() or max(u) < "ʰ" else self.pattern).findall(u)))
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(p.encode().decode("latin-1").translate(self.letters))])
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
         if any(s in text for s in self.special):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self.units) > self.most:
-            self.units.clear()
-        if "  " in text or text[0] == " " or text[-1] == " " or " \n" in text or "\n " in text or not text.isascii() and _RUN.search(text) or _CONTROL.search(text):
-            return self.unit(text)
-        first, *rest = text.split(" ")
-        return b"".join((self.unit(first), *map(self.units.__getitem__, rest)))
-
-
-class _Units(dict):
-    def __init__(self, library: Library):
-        self.library = library
-
-    def __missing__(self, u: str) -> bytes:
-        out = self[u] = self.library.unit(" " + u)
-        return out
+        return self.pieces.ids(text)
 
 
 def write_files(files: list[tuple[list[int | None], list[np.ndarray]]]) -> list[bytes]:
     """Files of (doc_ids, ids of each document), whose blocks are coded side by side.
 
-    Header: magic, version, flags, documents, ids, distinct ids, blocks; then
-    doc_ids (8 bytes), which of them are null (1 byte), lengths (4 bytes), the
-    distinct ids by falling frequency (4 bytes), the crc32 of all these; then
-    for each block its ids, its bytes, the crc32 of its ids, and its code. A
-    block codes ranks in the file's list of distinct ids.
+    Header: magic, version, flags, documents, ids, distinct ids, blocks, bytes
+    of the tables; the tables, compressed by zlib: doc_ids (8 bytes each),
+    which of them are null (1 byte), lengths (4 bytes), the distinct ids in
+    ascending order as differences (4 bytes), how frequent each is (1 byte);
+    the crc32 of all these. Then for each block its ids, its bytes, the crc32
+    of its ids, and its code. A block codes places in the list of distinct ids.
     """
-    heads, blocks, owner = [], [], []
-    for f, (docs, ids) in enumerate(files):
+    heads, blocks, orders, owner = [], [], [], []
+    for docs, ids in files:
         flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
         values, at, n = np.unique(flat, return_inverse=True, return_counts=True)
-        order = np.argsort(-n, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
         if len(values) > 1 << 16:
             raise ValueError("a file holds 65536 distinct ids at the most")
-        ranks = rank[at.ravel()]
+        ranks, levels = at.ravel().astype(np.uint16), idcoder.Frequencies.levels(n)
         own = [(flat[p : p + idcoder.BLOCK], ranks[p : p + idcoder.BLOCK]) for p in range(0, len(flat), idcoder.BLOCK)]
         blocks += own
-        owner += [f] * len(own)
-        table = b"".join((np.array([d or 0 for d in docs], "<i8").tobytes(), bytes(d is None for d in docs), np.array([len(x) for x in ids], "<u4").tobytes(), values[order].astype("<u4").tobytes()))
-        head = _HEAD.pack(MAGIC, VERSION, 0, len(docs), len(flat), len(values), len(own)) + table
+        owner += [len(orders)] * len(own)
+        orders.append(idcoder.Frequencies(levels, len(flat)))
+        tables = (np.array([d or 0 for d in docs], "<i8").tobytes(), bytes(d is None for d in docs), np.array([len(x) for x in ids], "<u4").tobytes(), np.diff(values, prepend=np.uint32(0)).astype("<u4").tobytes(), levels.tobytes())
+        packed = zlib.compress(b"".join(tables))
+        head = _HEAD.pack(MAGIC, VERSION, 0, len(docs), len(flat), len(values), len(own), len(packed)) + packed
         heads.append([head + struct.pack("<I", zlib.crc32(head))])
     for p in range(0, len(blocks), idcoder.LANES):
         part = blocks[p : p + idcoder.LANES]
-        for k, code in enumerate(idcoder.encode([r for _, r in part])):
+        for k, code in enumerate(idcoder.encode([r for _, r in part], orders, owner[p : p + idcoder.LANES])):
             heads[owner[p + k]].append(_BLOCK.pack(len(part[k][0]), len(code), zlib.crc32(part[k][0].astype("<u4").tobytes())) + code)
     return [b"".join(h) for h in heads]
 
 
 def read_files(files: list[bytes]) -> list[tuple[list[int | None], list[np.ndarray]]]:
     """What write_files() was given; every checksum is checked."""
-    parsed, codes, sizes, sums = [], [], [], []
+    parsed, orders, owner, codes, sizes, sums = [], [], [], [], [], []
     for data in files:
-        magic, version, _, docs, n, distinct, many = _HEAD.unpack_from(data)
+        magic, version, _, docs, n, distinct, many, packed = _HEAD.unpack_from(data)
         if magic != MAGIC or version != VERSION:
             raise ValueError("not a file of ids")
-        at = _HEAD.size
-        ids = np.frombuffer(data, "<i8", docs, at).tolist()
-        null = data[at + 8 * docs : at + 9 * docs]
-        at += 9 * docs
-        lengths = np.frombuffer(data, "<u4", docs, at)
-        values = np.frombuffer(data, "<u4", distinct, at + 4 * docs)
-        at += 4 * docs + 4 * distinct
+        at = _HEAD.size + packed
         if zlib.crc32(data[:at]) != struct.unpack_from("<I", data, at)[0]:
             raise ValueError("a damaged header")
+        tables = zlib.decompress(data[_HEAD.size : at])
+        ids = np.frombuffer(tables, "<i8", docs).tolist()
+        null = tables[8 * docs : 9 * docs]
+        lengths = np.frombuffer(tables, "<u4", docs, 9 * docs)
+        values = np.cumsum(np.frombuffer(tables, "<u4", distinct, 13 * docs), dtype=np.uint32)
+        orders.append(idcoder.Frequencies(np.frombuffer(tables, np.uint8, distinct, 13 * docs + 4 * distinct), n))
         at += 4
         parsed.append(([None if z else d for d, z in zip(ids, null)], lengths, values, len(codes), many))
+        owner += [len(orders) - 1] * many
         for _ in range(many):
             size, width, crc = _BLOCK.unpack_from(data, at)
             at += _BLOCK.size
@@ -132,7 +109,7 @@ def read_files(files: list[bytes]) -> list[tuple[list[int | None], list[np.ndarr
             at += width
     ranks: list[np.ndarray] = []
     for p in range(0, len(codes), idcoder.LANES):
-        ranks += idcoder.decode(codes[p : p + idcoder.LANES], sizes[p : p + idcoder.LANES])
+        ranks += idcoder.decode(codes[p : p + idcoder.LANES], sizes[p : p + idcoder.LANES], orders, owner[p : p + idcoder.LANES])
     out = []
     for ids, lengths, values, first, many in parsed:
         if any(len(r) and r.max() >= len(values) for r in ranks[first : first + many]):

@@ -113,9 +113,13 @@ def test_bpe_and_token_files(docs, rows, empty):
 def test_range_coder_and_damage():
     rng = np.random.default_rng(0)
     blocks = [rng.integers(0, 65536, n) for n in (0, 1, 2, 50, 2048)] + [np.zeros(300, int), np.full(100, 65535), np.tile([1, 2, 3], 500)]
-    code = idcoder.encode(blocks)
-    assert all((a == b).all() for a, b in zip(blocks, idcoder.decode(code, [len(b) for b in blocks])))
-    assert len(code[-1]) < 300
+    counts = np.bincount(np.concatenate(blocks), minlength=65536)
+    files = [idcoder.Frequencies(idcoder.Frequencies.levels(counts), int(counts.sum())), idcoder.Frequencies(idcoder.Frequencies.levels(np.ones(5, int)), 1500)]
+    blocks.append(np.tile([1, 2, 3], 500))
+    owner = [0] * (len(blocks) - 1) + [1]
+    code = idcoder.encode(blocks, files, owner)
+    assert all((a == b).all() for a, b in zip(blocks, idcoder.decode(code, [len(b) for b in blocks], files, owner)))
+    assert len(code[-1]) < 150 and not idcoder.encode([], [], []) and not idcoder.decode([], [], [], [])
     data = token_binary.write_files([([5, None], [np.array([7, 7, 9], np.uint32), np.array([1], np.uint32)])])[0]
     (docs, ids), = token_binary.read_files([data])
     assert docs == [5, None] and [x.tolist() for x in ids] == [[7, 7, 9], [1]]
@@ -123,6 +127,20 @@ def test_range_coder_and_damage():
         token_binary.read_files([data[:-9] + bytes([data[-9] ^ 255]) + data[-8:]])
 
 
+def test_files_of_real_text_are_smaller_than_order_0():
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").to_pylist()
+    library = token_binary.Library(tokenizer_json())
+    ids = [np.frombuffer(library.encode(t or "") + (2).to_bytes(4, "little"), "<u4") for t in texts]
+    data = token_binary.write_files([(list(range(len(ids))), ids)])
+    flat = np.concatenate(ids)
+    n = np.unique(flat, return_counts=True)[1]
+    order_0 = -float((n * np.log2(n / n.sum())).sum())
+    assert 8 * len(data[0]) < 0.98 * order_0  # with the header's tables
+    assert all((a == b).all() for a, b in zip(ids, token_binary.read_files(data)[0][1], strict=True))
+
+
 def sets_of(rows, size):
     out = {}
     for r in rows:
