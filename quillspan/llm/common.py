@@ -17,12 +17,14 @@ FILE_ROWS = 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only if that is unset (tests, one machine)."""
+    """The folder named in spark.checkpoint.dir; a temporary one only if that is unset in local mode (tests, one machine)."""
     sc = spark.sparkContext
     if found := spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir():
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(found)
         return found
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillspan-"))
     return sc.getCheckpointDir()
 
@@ -54,8 +56,14 @@ def crc_fold(key: str, mod: int) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % mod
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many leading underscores more as it takes to differ from all columns."""
+    taken = {c.lower() for c in columns}
+    return [next(x for k in range(len(taken) + 1) if (x := "_" * k + n).lower() not in taken) for n in names]
+
+
 def bounded_sample(df: DataFrame, key: str, rows: int, most: int) -> DataFrame:
-    """About `most` of `rows` rows at the most, chosen by a hash of the key: the same rows on each run."""
+    """About `most` of `rows` rows at the most, chosen by a hash of a key that doesn't repeat: the same rows on each run."""
     if rows <= most:
         return df
     return df.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) < int((1 << 30) * most / rows))
@@ -80,12 +88,13 @@ def groups_of_texts(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int
 def range_bounds(df: DataFrame, key: str, buckets: int) -> np.ndarray:
     """Cut points that deal integer keys out to about `buckets` ranges of about equal row counts.
 
-    They come from a hash sample of at most 64 keys for each bucket, so what
-    the driver gets is bounded by `buckets`; only the key column is read.
+    They come from a sample of about 64 rows for each bucket at the most, so
+    what the driver gets is bounded by `buckets`, however often a key repeats;
+    only the key column is read.
     """
     keys = df.select(F.col(key).cast("long").alias("k")).where(F.col("k").isNotNull())
     rows = keys.count()
-    got = bounded_sample(keys, "k", rows, 64 * buckets).toPandas()["k"].to_numpy(np.int64)
+    got = (keys if rows <= 64 * buckets else keys.sample(64 * buckets / rows, seed=5)).toPandas()["k"].to_numpy(np.int64)
     if not len(got) or buckets < 2:
         return np.zeros(0, np.int64)
     got.sort()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,30 +22,40 @@ BLOCK, LEAF = 2048, 128
 CELL_BITS, PLACE_BITS, SPREAD_BITS = 40, 10, 13
 
 
-def _vectors(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Which rows hold a usable vector (no nulls, all finite, not zero), and those vectors as doubles."""
-    good, out = np.zeros(len(column), bool), []
+def usable_vectors(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length, which rows hold a usable vector of it (no nulls, all finite, not zero), and those vectors as rows of doubles.
+
+    Each vector is scaled by a power of two, so that its greatest component is
+    from 0.5 to 1: no cosine changes, and no norm is too large or too small.
+    """
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    for i, v in enumerate(column):
-        if v.is_valid and len(v) and not v.values.null_count:
-            x = v.values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
-            if np.isfinite(x).all() and x.any():
-                good[i] = True
-                out.append(x)
-    return good, out
+    column = column.cast(pa.large_list(pa.float64()))
+    offsets, values = column.offsets.to_numpy(), column.values
+    starts, sizes = offsets[:-1], np.diff(offsets)
+    flat = values.fill_null(np.nan).to_numpy(zero_copy_only=False)
+    there = column.is_valid().to_numpy(zero_copy_only=False) & (sizes > 0)
+    for d in np.unique(sizes[there]):
+        rows = np.flatnonzero(there & (sizes == d))
+        x = flat[starts[rows][:, None] + np.arange(d)]
+        good = np.isfinite(x).all(axis=1) & x.any(axis=1)
+        rows, x = rows[good], x[good]
+        if len(rows):
+            yield rows, np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None]) + 0.0
+
+
+def vector_keys(column: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """A digest and the length of each row's vector; null where it isn't usable."""
+    keys: list[bytes | None] = [None] * len(column)
+    dims: list[int | None] = [None] * len(column)
+    for rows, x in usable_vectors(column):
+        for i, v in zip(rows.tolist(), x):
+            keys[i], dims[i] = hashlib.blake2b(v.tobytes(), digest_size=16).digest(), x.shape[1]
+    return pa.array(keys, pa.binary()), pa.array(dims, pa.int32())
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import hashlib
-
     for batch in batches:
-        good, vectors = _vectors(batch.column("v"))
-        keys, sizes, it = [], [], iter(vectors)
-        for ok in good:
-            x = next(it) if ok else None
-            keys.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest() if ok else None)
-            sizes.append(len(x) if ok else None)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32())], ["id", "key", "dim"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), *vector_keys(batch.column("v"))], ["id", "key", "dim"])
 
 
 class Grid:
@@ -76,19 +87,16 @@ def _placed(grids, bounds):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good, vectors = _vectors(batch.column("v"))
-            rows, dims = np.flatnonzero(good), np.array([len(x) for x in vectors])
-            ids, n = (batch.column(c).to_numpy(zero_copy_only=False)[rows] for c in ("rep", "n"))
-            for d in np.unique(dims):
-                here = np.flatnonzero(dims == d)
-                x = np.array([vectors[i] for i in here])
-                order = grids.value[int(d)].order(grids.value[int(d)].place(x), ids[here].astype(np.int64))
-                dim = pa.array(np.full(len(here), d, np.int32))
+            reps, copies = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "n"))
+            for rows, x in usable_vectors(batch.column("v")):
+                d, ids, n = x.shape[1], reps[rows], copies[rows]
+                order = grids.value[d].order(grids.value[d].place(x), ids.astype(np.int64))
+                dim = pa.array(np.full(len(rows), d, np.int32))
                 if bounds is None:
                     yield pa.RecordBatch.from_arrays([dim, pa.array(order)], ["dim", "ord"])
                 else:
                     yield pa.RecordBatch.from_arrays(
-                        [dim, pa.array(np.searchsorted(bounds.value[int(d)], order, "right").astype(np.int64)), pa.array(order), pa.array(ids[here]), pa.array(n[here]), pa.array([v.tobytes() for v in x], pa.binary())], ["dim", "block", "ord", "rep", "n", "v"]
+                        [dim, pa.array(np.searchsorted(bounds.value[d], order, "right").astype(np.int64)), pa.array(order), pa.array(ids), pa.array(n), pa.array([v.tobytes() for v in x], pa.binary())], ["dim", "block", "ord", "rep", "n", "v"]
                     )
 
     return run
@@ -231,12 +239,13 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     nodes = lambda df: df.select(F.col("node").alias("rep"), "n", "v")
     grids, bounds = {}, {}
     for d, rows in sizes.items():
-        sample = bounded_sample(reps.where(F.col("dim") == d).select("rep", "v"), "rep", rows, FIT_ROWS).select("v").toPandas()["v"]
-        grids[d] = Grid(np.array([np.asarray(x, np.float64) for x in sample]) if len(sample) else np.eye(d), eps)
+        sample = bounded_sample(reps.where(F.col("dim") == d).select("node", "v"), "node", rows, FIT_ROWS).select("v").toArrow().column("v")
+        found = [x for _, x in usable_vectors(sample)]
+        grids[d] = Grid(found[0] if found else np.eye(d), eps)
     grids = sc.broadcast(grids)
     for d, rows in sizes.items():
         blocks = -(-rows // BLOCK)
-        keys = nodes(bounded_sample(reps.where(F.col("dim") == d), "rep", rows, 32 * blocks)).mapInArrow(_placed(grids, None), "dim int, ord long").select("ord").toPandas()["ord"].to_numpy(np.int64)
+        keys = nodes(bounded_sample(reps.where(F.col("dim") == d), "node", rows, 32 * blocks)).mapInArrow(_placed(grids, None), "dim int, ord long").select("ord").toPandas()["ord"].to_numpy(np.int64)
         keys.sort()
         bounds[d] = keys[np.linspace(0, len(keys), blocks + 1).astype(np.int64)[1:-1]] if len(keys) else keys
     bounds = sc.broadcast(bounds)
@@ -263,5 +272,4 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
 
 def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keyed = next(_keyed(iter([batch])))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), keyed.column("key"), batch.column("v")], ["id", "key", "v"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), vector_keys(batch.column("v"))[0], batch.column("v")], ["id", "key", "v"])

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, partitions
+from .common import partitions, range_bounds
 from .wordhash import mixed, shingles, text_hashes
 
 #: Samples of a fingerprint; each becomes 16 bits of it.
@@ -167,9 +167,7 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("k"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     buckets = min(BUCKETS_MOST, BUCKETS_EACH * partitions(spark))
     ids = rows.select("k")
-    got = bounded_sample(ids, "k", ids.count(), 32 * buckets).toPandas()["k"].to_numpy(np.int64)
-    got.sort()
-    bounds = sc.broadcast(np.unique(got[np.linspace(0, len(got) - 1, buckets + 1).astype(np.int64)[1:-1]]) if len(got) else got)
+    bounds = sc.broadcast(range_bounds(ids, "k", buckets))
     firsts = sorted((r["b"], r["k"]) for r in ids.mapInArrow(_firsts(bounds), "b long, k long").groupBy("b").agg(F.min("k").alias("k")).collect())
     guests = sc.broadcast({k: firsts[i - 1][0] for i, (_, k) in enumerate(firsts)})
     dealt = rows.mapInArrow(_dealt(bounds, guests), "bucket long, late int, k long, z binary, doc_id long")

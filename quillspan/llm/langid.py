@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_fold, utf32
+from .common import crc_fold, unused, utf32
 from .wordhash import mixed
 
 #: Documents of each language that the filters learn from, at the most.
@@ -35,42 +35,54 @@ def _letters() -> np.ndarray:
 _ALPHA: np.ndarray | None = None
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of letter 4-grams of lower-cased texts, the text each is of, and which texts have a letter.
+def symbols(parts: list[str], heads: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Letters of the parts, each run of other characters as one space; the part each is of; which parts have a letter after their head.
 
-    Runs of other characters count as one space, two stand before a text and
-    one after it.
+    A part's first `heads` characters are kept as they are.
     """
-    parts = [utf32("\n\n" + t.lower() + "\n") for t in texts]
-    x, doc = np.concatenate(parts), np.repeat(np.arange(len(texts)), [len(p) for p in parts])
-    heads = np.cumsum([0, *[len(p) for p in parts[:-1]]])
-    alpha = _letters()[x]
-    lettered = np.bincount(doc[alpha], minlength=len(texts)) > 0
-    keep = alpha.copy()
+    points = [utf32(p) for p in parts]
+    x, part = np.concatenate(points), np.repeat(np.arange(len(parts)), [len(p) for p in points])
+    at = np.arange(len(x)) - np.repeat(np.cumsum([0, *[len(p) for p in points[:-1]]]), [len(p) for p in points])
+    alpha, head = _letters()[x], at < np.array(heads)[part]
+    lettered = np.bincount(part[alpha & ~head], minlength=len(parts)) > 0
+    keep = alpha | head
     keep[1:] |= alpha[:-1]
-    keep[heads] = True
-    keep[heads + 1] = True
-    x, doc = np.where(alpha[keep], x[keep], 32).astype(np.uint64), doc[keep]
+    return np.where(alpha[keep], x[keep], 32), part[keep], lettered
+
+
+def grams(parts: list[str], heads: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of 4-grams of the parts' symbols, the part each is of, and which parts have a letter after their head."""
+    x, part, lettered = symbols(parts, heads)
     if len(x) < 4:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), lettered
+    x = x.astype(np.uint64)
     h = mixed((x[:-3] | x[1:-2] << _U(21) | x[2:-1] << _U(42)) + x[3:] * _U(0xD6E8FEB86659FD93))
-    whole = doc[:-3] == doc[3:]
-    return h[whole], doc[:-3][whole], lettered
+    whole = part[:-3] == part[3:]
+    return h[whole], part[:-3][whole], lettered
 
 
-def runs(texts: list[str | None]) -> Iterator[tuple[list[str], list[int]]]:
-    """Pieces of texts, and the text each is of, about _SLICE characters at once; long texts are cut."""
-    pieces, owners, held = [], [], 0
+def runs(texts: list[str | None]) -> Iterator[tuple[list[str], list[int], list[int]]]:
+    """Parts of lower-cased texts, their heads, and the text each is of, about _SLICE characters at once.
+
+    A text has two spaces before it and one after it. A longer one comes in
+    parts; a part's head is the last three symbols before it, so the parts have
+    the n-grams of the whole text.
+    """
+    parts, heads, owners, held = [], [], [], 0
     for i, t in enumerate(texts):
-        for p in range(0, max(1, len(t or "")), _SLICE):
-            pieces.append((t or "")[p : p + _SLICE])
+        text, head = (t or "").lower() + "\n", "\n\n"
+        for p in range(0, len(text), _SLICE):
+            parts.append(head + text[p : p + _SLICE])
+            heads.append(len(head))
             owners.append(i)
-            held += len(pieces[-1])
+            held += len(parts[-1])
+            if p + _SLICE < len(text):
+                head = "".join(map(chr, symbols([parts[-1]], [len(head)])[0][-3:].tolist()))
             if held >= _SLICE:
-                yield pieces, owners
-                pieces, owners, held = [], [], 0
-    if pieces:
-        yield pieces, owners
+                yield parts, heads, owners
+                parts, heads, owners, held = [], [], [], 0
+    if parts:
+        yield parts, heads, owners
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,8 +90,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs = batch.column("lang").to_pylist()
         for lang in set(langs):
             own = [t for t, x in zip(batch.column("text").to_pylist(), langs) if x == lang]
-            for pieces, _ in runs(own):
-                h, n = np.unique(grams(pieces)[0], return_counts=True)
+            for parts, heads, _ in runs(own):
+                h, n = np.unique(grams(parts, heads)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
 
@@ -109,8 +121,8 @@ class Filters:
         """Language, score, and the share of n-grams that the language knows, for each text."""
         n = len(texts)
         total, hits, lettered = np.zeros(n), np.zeros((n, len(self.langs))), np.zeros(n, bool)
-        for pieces, owners in runs(texts):
-            h, doc, some = grams(pieces)
+        for parts, heads, owners in runs(texts):
+            h, doc, some = grams(parts, heads)
             owner = np.array(owners)
             np.logical_or.at(lettered, owner, some)
             doc = owner[doc]
@@ -146,35 +158,32 @@ def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Filters:
     return Filters(langs, sets, max(range(len(langs)), key=lambda i: many[langs[i]]))
 
 
-def _predicted(filters, at: str):
+def _predicted(filters, at: str, keep: list[str], added: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f: Filters = filters.value
         for batch in batches:
             for p in range(0, batch.num_rows, 512):
                 part = batch.slice(p, 512)
                 lang, score, known = f.predict(part.column(at).to_pylist())
-                out = [c for i, c in enumerate(part.columns) if part.schema.names[i] != at or at == "text"]
-                names = [c for c in part.schema.names if c != at or at == "text"]
-                yield pa.RecordBatch.from_arrays([*out, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(known, pa.float64())], [*names, "_lang", "_score", "_known"])
+                yield pa.RecordBatch.from_arrays([*map(part.column, keep), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(known, pa.float64())], [*keep, *added])
 
     return run
 
 
-def predict(docs: DataFrame, filters: Filters, drop_text: bool = False) -> DataFrame:
-    """docs with _lang, _score, _known. Null texts and texts without a letter are 'und' with score 0."""
-    shared = docs.sparkSession.sparkContext.broadcast(filters)
-    source = docs.withColumnRenamed("text", "_text") if drop_text else docs
-    fields = [f for f in source.schema.fields if not (drop_text and f.name == "_text")]
-    kind = T.StructType([*fields, T.StructField("_lang", T.StringType()), T.StructField("_score", T.DoubleType()), T.StructField("_known", T.DoubleType())])
-    return source.mapInArrow(_predicted(shared, "_text" if drop_text else "text"), kind)
+def predict(docs: DataFrame, filters: Filters, keep: list[str]) -> tuple[DataFrame, list[str]]:
+    """The columns kept and language, score and known share, and the names of these three. Null texts and texts without a letter are 'und' with score 0."""
+    shared, added = docs.sparkSession.sparkContext.broadcast(filters), unused(docs.columns, "_lang", "_score", "_known")
+    kind = T.StructType([*[docs.schema[c] for c in keep], *[T.StructField(c, t) for c, t in zip(added, (T.StringType(), T.DoubleType(), T.DoubleType()))]])
+    return docs.mapInArrow(_predicted(shared, "text", keep, added), kind), added
 
 
 def language_digest(docs: DataFrame) -> DataFrame:
     """The digest of op8; where no row has a language, every prediction is 'und'."""
-    out = predict(docs.select("doc_id", "text"), learn(docs), drop_text=True)
-    return out.select("doc_id", (crc_fold("doc_id", 3) == 1).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
+    out, (lang, score, _) = predict(docs.select("doc_id", "text"), learn(docs), ["doc_id"])
+    return out.select("doc_id", (crc_fold("doc_id", 3) == 1).alias("held_out"), F.col(lang).alias("lang_pred"), F.col(score).alias("score"))
 
 
 def language_stage(docs: DataFrame) -> DataFrame:
-    """Keeps documents with letters of whose n-grams the predicted language knows at least 1 - UNKNOWN."""
-    return predict(docs, learn(docs)).where((F.col("_lang") != "und") & (F.col("_known") >= 1 - UNKNOWN)).select(*docs.columns)
+    """Keeps documents with letters of whose n-grams the predicted language knows at least 1 - UNKNOWN; columns may have any names."""
+    out, (lang, _, known) = predict(docs, learn(docs), docs.columns)
+    return out.where((F.col(lang) != "und") & (F.col(known) >= 1 - UNKNOWN)).select(*docs.columns)

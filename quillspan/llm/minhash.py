@@ -277,6 +277,8 @@ def without_near_duplicates(docs: DataFrame, size: int = 4, num: int = 80, den:
     kept = stored(kept.select("_doc", "_kept"), n)
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     linkable = F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike(WORD), F.lit(False))
-    told = docs.where(linkable).withColumn("_text", text_key("text")).join(kept, (F.col("doc_id").cast("long") == F.col("_doc")) & (F.col("_text") == F.col("_kept")))
-    told = told.withColumn("_row", F.row_number().over(Window.partitionBy("_doc", "_kept").orderBy("_text", *others))).where("_row = 1")
-    return told.select(*docs.columns).unionByName(docs.where(~linkable))
+    # whole rows travel as one struct, so their columns may have any names
+    whole = docs.where(linkable).select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), text_key("text").alias("key"))
+    told = whole.join(kept, (F.col("id") == F.col("_doc")) & (F.col("key") == F.col("_kept")))
+    told = told.withColumn("nth", F.row_number().over(Window.partitionBy("_doc", "_kept").orderBy(*[F.col("row")[c] for c in others] or ["key"]))).where("nth = 1")
+    return told.select("row.*").unionByName(docs.where(~linkable))

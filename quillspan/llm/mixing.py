@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, stored
 
-#: Ranges of the hash key, by its first three hexadecimal digits.
-KEY_DIGITS = 3
+#: Ranges of the hash key, by its first four hexadecimal digits.
+KEY_DIGITS = 4
 
 
 def words(text: str = "text") -> Column:
@@ -40,50 +40,52 @@ def targets(sizes: DataFrame, cap: int = 3) -> DataFrame:
     return set_by.select("skey", "source_size", F.coalesce(F.least((F.col("source_size") * cap).cast("double"), F.col("_level") * F.col("weight")), F.lit(0.0)).alias("target"))
 
 
-def mix(docs: DataFrame, cap: int = 3, seed: str = "mix") -> DataFrame:
-    """Every row with size, source_size, target and taken: the words that the mix takes of it.
+def plan(docs: DataFrame, cap: int = 3, seed: str = "mix") -> DataFrame:
+    """Every row, as struct `row`, with size, source_size, target, copies and part.
 
-    Adds `_size, _source_size, _target, _copies, _part`: whole copies, and
-    words taken from one copy more. Within a source, rows are ordered by a
-    hash of doc_id and seed; whole epochs repeat all rows, and the last epoch
-    is cut at the source's exact budget, inside the row where it falls.
-    Prefix sums are distributed: sizes are summed by source and key range
-    (the first hexadecimal digits of the key, so ranges are ordered), then
-    summed along the ranges, and only rows of one range of a source meet in a
-    task; a source with a third of all rows is spread over 4096 ranges.
+    copies are whole ones; part are the words taken from one copy more.
+    Within a source, rows are ordered by a hash of doc_id and seed; whole
+    epochs repeat all rows, and the last epoch is cut at the source's exact
+    budget, inside the row where it falls. Prefix sums are distributed: sizes
+    are summed by source and key range (the first hexadecimal digits of the
+    key, so ranges are ordered), then along the ranges, which gives the one
+    range of each source in which the cut falls. Rows of other ranges are
+    whole in or out by their range alone, so no text of theirs is sorted; rows
+    of the cut's range, a 65536th part of a source, are summed in order.
     Null sources are a source, the last; null texts and texts without words
     have size 0 and nothing is taken; rows of equal doc_id are ordered by
-    size. An empty table gives no rows.
+    size. Columns may have any names. An empty table gives no rows.
     """
-    keyed = (
-        docs.withColumn("_size", words())
-        .withColumn("_skey", F.coalesce(F.concat(F.lit("0"), F.col("source")), F.lit("1")))
-        .withColumn("_key", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|" + seed)).cast("binary")))
-        .withColumn("_range", F.substring("_key", 1, KEY_DIGITS))
-    )
-    ranges = keyed.groupBy(F.col("_skey").alias("skey"), F.col("_range").alias("rng")).agg(F.sum("_size").alias("n"))
-    along = Window.partitionBy("skey").orderBy("rng").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranges.select("skey", "rng", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("start"))
+    keyed = docs.select(
+        F.struct(*docs.columns).alias("row"),
+        words().alias("size"),
+        F.coalesce(F.concat(F.lit("0"), F.col("source")), F.lit("1")).alias("skey"),
+        F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|" + seed)).cast("binary")).alias("key"),
+        F.col("doc_id").alias("id"),
+    ).withColumn("rng", F.substring("key", 1, KEY_DIGITS))
+    ranges = keyed.groupBy("skey", "rng").agg(F.sum("size").alias("n"))
     goals = targets(ranges.groupBy("skey").agg(F.sum("n").alias("source_size")), cap)
-    starts = starts.join(goals, "skey")
-    within = Window.partitionBy("_skey", "_range").orderBy("_key", "doc_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
-    summed = keyed.withColumn("_within", F.coalesce(F.sum("_size").over(within), F.lit(0)))
-    met = summed.join(starts, (F.col("_skey") == F.col("skey")) & (F.col("_range") == F.col("rng")))
     budget = F.round(F.col("target")).cast("long")
-    return (
-        met.withColumn("_copies", F.when(F.col("source_size") > 0, F.expr("least(cast(round(target) as bigint) div source_size, %d)" % cap)).otherwise(F.lit(0)).cast("int"))
-        .withColumn("_left", budget - F.col("_copies") * F.col("source_size") - F.col("start") - F.col("_within"))
-        .withColumn("_part", F.when(F.col("_copies") < cap, F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_left")))).otherwise(F.lit(0)).cast("long"))
-        .withColumnsRenamed({"source_size": "_source_size", "target": "_target"})
-        .select(*docs.columns, "_size", "_source_size", "_target", "_copies", "_part")
-    )
+    copies = F.when(F.col("source_size") > 0, F.expr(f"least(cast(round(target) as bigint) div source_size, {cap})")).otherwise(F.lit(0)).cast("int")
+    goals = goals.withColumn("copies", copies).withColumn("left", F.when(F.col("copies") < cap, budget - F.col("copies") * F.col("source_size")).otherwise(F.lit(0)))
+    # the range in which the words left run out, and how many of them are left at its start
+    along = Window.partitionBy("skey").orderBy("rng").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.select("skey", "rng", "n", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("start"))
+    cuts = starts.join(goals.select("skey", "left"), "skey").where("start + n > left").groupBy(F.col("skey").alias("_c")).agg(F.min(F.struct("rng", (F.col("left") - F.col("start")).alias("here"))).alias("cut"))
+    sources = goals.join(cuts, F.col("skey") == F.col("_c"), "left").select(F.col("skey").alias("_s"), "source_size", "target", "copies", F.col("cut.rng").alias("cut"), F.col("cut.here").alias("here"))
+    # written first, so that its size is known: under Spark's threshold it is broadcast and no text moves, else the join is Spark's choice
+    met = keyed.join(stored(sources), F.col("skey") == F.col("_s"))
+    known = ["row", "size", "source_size", "target", "copies"]
+    whole = F.coalesce(F.col("rng") != F.col("cut"), F.lit(True))
+    out = met.where(whole).select(*known, F.when(F.col("cut").isNull() | (F.col("rng") < F.col("cut")), F.when(F.col("copies") < cap, F.col("size")).otherwise(F.lit(0))).otherwise(F.lit(0)).cast("long").alias("part"))
+    within = Window.partitionBy("skey").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rest = F.col("here") - F.coalesce(F.sum("size").over(within), F.lit(0))
+    return out.unionByName(met.where(~whole).select(*known, F.greatest(F.lit(0), F.least(F.col("size"), rest)).cast("long").alias("part")))
 
 
 def mix_digest(docs: DataFrame) -> DataFrame:
     """The digest of op9."""
-    return mix(docs.select("doc_id", "source", "text")).select(
-        "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size") + F.col("_part")).alias("taken")
-    )
+    return plan(docs.select("doc_id", "source", "text")).select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size") + F.col("part")).alias("taken"))
 
 
 def mixed_rows(docs: DataFrame) -> DataFrame:
@@ -92,17 +94,15 @@ def mixed_rows(docs: DataFrame) -> DataFrame:
     The copy in which a source's budget ends keeps the words that fit, with
     the white space before them; n_chars follows the text.
     """
-    mixed = mix(docs)
-    pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    cut = F.when(F.col("_part") == F.col("_size"), F.col("text")).otherwise(F.array_join(F.slice(pieces, F.lit(1), F.col("_part").cast("int")), ""))
-    copies = F.col("_copies") + F.when(F.col("_part") > 0, F.lit(1)).otherwise(F.lit(0))
-    out = mixed.where(copies > 0).withColumn("_nth", F.explode(F.sequence(F.lit(1), copies)))
-    last = (F.col("_nth") > F.col("_copies")) & (F.col("_part") < F.col("_size"))
-    changed = {"text": F.when(last, cut).otherwise(F.col("text"))}
-    out = out.withColumns(changed)
+    pieces = F.regexp_extract_all("row.text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    copies = F.col("copies") + F.when(F.col("part") > 0, F.lit(1)).otherwise(F.lit(0))
+    out = plan(docs).where(copies > 0).withColumn("nth", F.explode(F.sequence(F.lit(1), copies)))
+    last = (F.col("nth") > F.col("copies")) & (F.col("part") < F.col("size"))
+    text = F.when(last, F.array_join(F.slice(pieces, F.lit(1), F.col("part").cast("int")), "")).otherwise(F.col("row.text"))
+    changed = {"text": text}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(last, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.when(last, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return out.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 MIX_SQL = r"""

@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, crc_fold
+from .common import bounded_sample, crc_fold, unused
 from .wordhash import SLICE, mixed, shingles, word_hashes
 
 #: Labelled documents that the model learns from, at the most.
@@ -143,11 +143,11 @@ class Machine:
                 self.v[used] -= (rate * gv / np.sqrt(sv[used])).astype(np.float32)
 
 
-def _prepared(docs: DataFrame, *keep: str) -> DataFrame:
-    """The columns kept, _t and _n: text and number of characters (the metadata column, where it is there and not null)."""
+def _prepared(docs: DataFrame, names: list[str], *keep: str | Column) -> DataFrame:
+    """The columns kept, and by these two names text and number of characters (the metadata column, where it is there and not null)."""
     n = F.length("text").cast("long")
     n = F.coalesce(F.col("n_chars").cast("long"), n, F.lit(0)) if "n_chars" in docs.columns else F.coalesce(n, F.lit(0))
-    return docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("_t"), F.greatest(n, F.lit(0)).alias("_n"))
+    return docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias(names[0]), F.greatest(n, F.lit(0)).alias(names[1]))
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,12 +163,14 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> M
     """A machine fitted to labels.quality outside fold 2 of 4, of at most train_docs documents, by a hash of doc_id.
 
     The labels chosen are as bounded, so they are broadcast: no text moves.
-    Repeated labels of a document count once, the least; null ones not at all.
+    Repeated labels of a document count once, the least; null ones not at all;
+    of a repeated doc_id one row, the least by text.
     """
     told = labels.where(crc_fold("doc_id", 4) != 2).where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min("quality").cast("double").alias("y"))
     chosen = bounded_sample(told, "_id", told.count(), train_docs)
-    picked = _prepared(docs, F.col("doc_id").cast("long").alias("doc_id")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    got = picked.select("doc_id", "y", "_t", "_n").mapInArrow(_featured, "doc_id long, y double, ids binary, x binary, dense binary").toArrow()
+    picked = _prepared(docs, ["_t", "_n"], F.col("doc_id").cast("long").alias("doc_id")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    one = picked.groupBy("doc_id").agg(F.min("y").alias("y"), F.min(F.struct("_t", "_n")).alias("_r"))
+    got = one.select("doc_id", "y", "_r._t", "_r._n").mapInArrow(_featured, "doc_id long, y double, ids binary, x binary, dense binary").toArrow()
     got = got.take(np.argsort(got.column("doc_id").to_numpy(), kind="stable"))
     if not got.num_rows:
         return Machine(np.zeros(STATS, np.float32), np.ones(STATS, np.float32))
@@ -183,30 +185,32 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> M
     return machine
 
 
-def _scored(machine):
+def _scored(machine, names: list[str], keep: list[str], added: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for p in range(0, batch.num_rows, 512):
                 part = batch.slice(p, 512)
-                names = [c for c in part.schema.names if c not in ("_t", "_n")]
-                score = machine.value.score(part.column("_t"), part.column("_n").to_numpy())
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(score, pa.float64())], [*names, "_score"])
+                score = machine.value.score(part.column(names[0]), part.column(names[1]).to_numpy())
+                yield pa.RecordBatch.from_arrays([*map(part.column, keep), pa.array(score, pa.float64())], [*keep, added])
 
     return run
 
 
-def scored(docs: DataFrame, machine: Machine, *keep: str) -> DataFrame:
+def scored(docs: DataFrame, machine: Machine, *keep: str) -> tuple[DataFrame, Column]:
+    """The columns kept and a score, and that score's column: its name differs from all others."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
-    kind = T.StructType([*[docs.schema[c] for c in keep], T.StructField("_score", T.DoubleType())])
-    return _prepared(docs, *keep).mapInArrow(_scored(shared), kind)
+    *names, added = unused(docs.columns, "_t", "_n", "_score")
+    kind = T.StructType([*[docs.schema[c] for c in keep], T.StructField(added, T.DoubleType())])
+    return _prepared(docs, names, *keep).mapInArrow(_scored(shared, names, list(keep), added), kind), F.col(added)
 
 
 def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The digest of op5: doc_id, held_out, score, predicted; null texts are scored as empty ones."""
-    out = scored(docs, learn(docs, labels), "doc_id")
-    return out.select("doc_id", (crc_fold("doc_id", 4) == 2).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= GOOD).cast("int").alias("predicted"))
+    out, score = scored(docs, learn(docs, labels), "doc_id")
+    return out.select("doc_id", (crc_fold("doc_id", 4) == 2).alias("held_out"), score.alias("score"), (score >= GOOD).cast("int").alias("predicted"))
 
 
 def quality_stage(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Keeps documents that score GOOD or more."""
-    return scored(docs, learn(docs, labels), *docs.columns).where(F.col("_score") >= GOOD).select(*docs.columns)
+    """Keeps documents that score GOOD or more; columns may have any names."""
+    out, score = scored(docs, learn(docs, labels), *docs.columns)
+    return out.where(score >= GOOD).select(*docs.columns)

@@ -27,7 +27,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class _Powers:
+class Powers:
     """Powers of the base; the table grows with the longest word."""
 
     table = np.ones(1, np.uint64)
@@ -56,7 +56,7 @@ def _hashes(raw: np.ndarray, cuts: np.ndarray, lower: bool) -> tuple[np.ndarray,
     at[space] = 0
     value = (_LOWER[raw] if lower else raw).astype(np.uint64)
     value += _U(1)
-    value *= _Powers.of(int(at.max()) + 1)[at]
+    value *= Powers.of(int(at.max()) + 1)[at]
     value[space] = 0
     return mixed(np.add.reduceat(value, starts)), np.searchsorted(starts, cuts)
 

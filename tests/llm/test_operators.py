@@ -365,3 +365,133 @@ def test_rows_of_one_id_link_each_on_its_own(spark):
     least = least_reachable({i for i, _ in vectors}, [(vectors[p][0], vectors[q][0]) for p, q in zip(*np.nonzero(near))])
     assert Counter((r.vec_id, r.n_links, r.component_id) for r in out) == Counter((i, int(near[p].sum()), least[i]) for p, (i, _) in enumerate(vectors))
     assert least[7] == 1
+
+
+def test_frequent_table_catches_most_pieces():
+    """Counted in the even rows of sf0.01, it misses under a quarter of the odd rows' pieces; lengths are the library's."""
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    texts = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").to_pylist() if t]
+    spec, seen = tokenizer_json(name="word_bpe_49k.json"), Counter()
+    for _, _, data in token_count.runs([t for t in texts[::2] if not token_count.odd(t)]):
+        _, starts, ends = token_count.pieces(np.frombuffer(data, np.uint8))
+        seen.update(data[a:b] for a, b in zip(starts.tolist(), ends.tolist()))
+    top = [p for p, _ in seen.most_common(token_count.FREQUENT)]
+    library = Tokenizer.from_str(spec)
+    n = np.array([len(e) for e in library.encode_batch([p.decode() for p in top], add_special_tokens=False)])
+    h, *_ = token_count.pieces(np.frombuffer(b"\n".join(top), np.uint8))
+    table = token_count.Table(h, n.astype(np.uint8))
+    assert (table.lengths(h) == n).all() and not table.lengths(h + np.uint64(1)).any()
+    counter = token_count.Counter(spec, table)
+    assert counter.count(texts[1::2]).tolist() == [len(e) for e in library.encode_batch(texts[1::2], add_special_tokens=False)]
+    assert counter.missed < 0.25 * counter.seen
+
+
+def test_pieces_of_odd_texts_add_up_to_the_library():
+    from tokenizers import Tokenizer
+
+    spec, rng = tokenizer_json(name="word_bpe_49k.json"), np.random.default_rng(4)
+    alphabet = [*"abcXYZ019.,'!-_ \n\t\r\x0b\x00éÉßñ×÷ªº²«»–’€đƒ\x1c\x85\xa0İΣσς中", "'s", "'ll", " 've", "<|endoftext|>", "  ", "don't"]
+    texts = ["".join(rng.choice(alphabet, rng.integers(0, 40))) for _ in range(3000)] + ["x" * 600_000, "ab, " * 300_000]
+    want = [len(e) for e in Tokenizer.from_str(spec).encode_batch(texts, add_special_tokens=False)]
+    assert token_count.Counter(spec, token_count.Table(np.zeros(0, np.uint64), np.zeros(0, np.uint8)), cache=500).count(texts).tolist() == want
+
+
+def grams_of(text):
+    """4-grams of letters, runs of others as one space, two before the text and one after it."""
+    s = "  "
+    for c in text.lower() + "\n":
+        s += c if c.isalpha() else " " if s[-1] != " " else ""
+    return Counter(s[i : i + 4] for i in range(len(s) - 3))
+
+
+def test_ngrams_of_long_texts_are_those_of_the_whole(monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice([*"abcÉσΣ  ..1\n"], n)) for n in (0, 1, 2, 7, 40, 333)] + ["." * 90 + "ab" + " " * 70 + "c", "a" * 100]
+    for size in (1 << 19, 1, 3, 16):
+        monkeypatch.setattr(langid, "_SLICE", size)
+        for t in texts:
+            hashes = Counter()
+            for parts, heads, _ in langid.runs([t]):
+                hashes.update(langid.grams(parts, heads)[0].tolist())
+            assert sorted(hashes.values()) == sorted(grams_of(t).values()), (size, t)
+
+
+def test_filters_against_sets_of_ngrams():
+    """Filters find every learned n-gram, few others, and predict what exact sets predict."""
+    rng = np.random.default_rng(8)
+    words = {lang: ["".join(rng.choice(list(a), rng.integers(2, 7))) for _ in range(300)] for lang, a in (("aa", "abcdefg"), ("bb", "efghijk"), ("cc", "qrstuvw"))}
+    texts = {lang: [" ".join(rng.choice(w, 60)) for _ in range(30)] for lang, w in words.items()}
+    gram_sets = {lang: np.unique(np.concatenate([langid.grams(p, h)[0] for p, h, _ in langid.runs(t[:20])])) for lang, t in texts.items()}
+    filters = langid.Filters(sorted(gram_sets), [gram_sets[k] for k in sorted(gram_sets)], 0)
+    for i, lang in enumerate(sorted(gram_sets)):
+        assert (filters.languages(gram_sets[lang])[:, 0] >> np.uint64(i) & np.uint64(1)).all()
+    others = rng.integers(0, 1 << 63, 50_000).astype(np.uint64)
+    assert (filters.languages(others) != 0).mean() < 1e-3
+    for lang, own in texts.items():
+        predicted, _, known = filters.predict(own[20:])
+        for t, p, k in zip(own[20:], predicted, known):
+            h = np.concatenate([langid.grams(q, z)[0] for q, z, _ in langid.runs([t])])
+            share = {x: np.isin(h, s).mean() for x, s in gram_sets.items()}
+            assert p == max(share, key=share.get) == lang and abs(k - share[lang]) < 0.01
+
+
+def test_factorisation_machine_is_the_sum_over_pairs():
+    rng = np.random.default_rng(9)
+    machine = quality.Machine(np.zeros(quality.STATS), np.ones(quality.STATS))
+    machine.w0, machine.w = 0.3, rng.normal(size=machine.w.shape).astype(np.float32)
+    feature, x = rng.choice(quality.WORDS, 12, replace=False), rng.normal(size=12)
+    want = machine.w0 + (machine.w[feature] * x).sum() + sum(machine.v[feature[i]] @ machine.v[feature[j]] * x[i] * x[j] for i in range(12) for j in range(i))
+    assert abs(machine.raw(1, np.zeros(12, int), feature, x)[0][0] - want) < 1e-4
+
+
+def test_likeness_of_the_query_is_near_jaccard(docs):
+    """near_edited and near_next of the registered query against generalised Jaccard similarity of the word pairs."""
+    unique = docs.where("length(text) > 200 and length(text) < 5000").dropDuplicates(["doc_id"])
+    text = {r.doc_id: r.text for r in unique.collect()}
+    ids = sorted(text)
+    pairs = lambda t: Counter(zip(w, w[1:])) if len(w := re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t))) > 1 else Counter({tuple(w): 1} if w else {})
+    jaccard = lambda a, b: sum((a & b).values()) / max(1, sum((a | b).values()))
+    errors = []
+    for i, r in enumerate(sorted(fingerprints.fingerprints(unique).collect(), key=lambda r: r.doc_id)):
+        t, n = text[r.doc_id], text[ids[(i + 1) % len(ids)]]
+        q = len(t) // 4
+        errors += [r.near_edited - jaccard(pairs(t), pairs(t[: len(t) - q] + n[:q])), r.near_next - jaccard(pairs(t), pairs(n))]
+    assert len(errors) > 100 and abs(np.mean(errors)) < 0.02 and np.sqrt(np.mean(np.square(errors))) < 0.07
+
+
+def test_columns_of_any_name(spark, rows):
+    """Stages take columns with the names that the operators use inside."""
+    import corpus_pipeline
+
+    names = "start target skey source_size size rng key id row cut here nth part copies left _t _n _score _lang _score_ _known _kept _doc _row _text node rep c u v n lang_".split()
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    plain = spark.createDataFrame([r[:5] for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    wide = plain.selectExpr("*", *[f"cast({i} as int) as `{n}`" for i, n in enumerate(names)])
+    stages = {"language": langid.language_stage, "quality": lambda d: quality.quality_stage(d, labels), "minhash": minhash.without_near_duplicates, "mixing": mixing.mixed_rows}
+    for name, stage in stages.items():
+        got = stage(wide)
+        assert got.columns == wide.columns, name
+        few = lambda df: Counter((r.doc_id, r.text) for r in df.select("doc_id", "text").collect())
+        assert few(got) == few(stage(plain)), name
+        assert all(r[n] == i for r in got.select(*names).limit(5).collect() for i, n in enumerate(names))
+    assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_tiny_and_huge_vectors(spark):
+    x = [[3.0, 1.0, 0.0], [1.0, 1.0, 0.0], [0.0, 0.0, 1.0]]
+    data = [(i + 3 * k, [c * s for c in v]) for k, s in enumerate((1.0, 1e-200, 1e200, 1e-310)) for i, v in enumerate(x)]
+    got = {r.vec_id: r for r in embed_dedup.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()}
+    assert all((got[i].n_links, got[i].component_id) == (3, i % 3) for i in got)
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from quillspan.llm import common
+
+    spark = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"))
+    spark.conf = SimpleNamespace(get=lambda *_: None)
+    with pytest.raises(ValueError):
+        common.shared_dir(spark)
