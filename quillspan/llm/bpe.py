@@ -12,8 +12,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Encodings of pieces that a worker keeps, at the most; then it starts anew.
-CACHE = 150_000
+from .pieces import BEYOND, Encoder
+
+#: Encodings of pieces, and of pre-tokens, that a worker keeps, at the most; then it starts anew.
+CACHE = 600_000
 #: Fixed value: the pre-token pattern of byte-level BPE; white space is spelled out, as engines differ on U+001C to U+001F.
 _WS = r"\t-\r \x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
@@ -21,31 +23,55 @@ PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N
 _FEW = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zªµºÀ-ÖØ-öø-ʯ]+| ?[0-9²³¹¼-¾]+| ?[^\t-\r \x85\xa0A-Za-zªµºÀ-ÖØ-öø-ʯ0-9²³¹¼-¾]+|[\t-\r \x85\xa0]+(?![^\t-\r \x85\xa0])|[\t-\r \x85\xa0]+")
 
 
-_ANY, _BEYOND = regex.compile(PATTERN), re.compile("[^\x00-\u02af]")
+_ANY = regex.compile(PATTERN)
 
 
 def pretokens(text: str) -> list[str]:
     """The pre-tokens of a text without special strings; no merge crosses their borders."""
-    return (_FEW if text.isascii() or not _BEYOND.search(text) else _ANY).findall(text)
+    return (_FEW if text.isascii() or not BEYOND.search(text) else _ANY).findall(text)
 
 
-class Pieces(dict):
-    """Ids of pre-tokens, as little-endian unsigned 32-bit integers; those met last are kept, 2 * most at the most."""
+class Texts:
+    """Ids of whole texts by what `encode` says of pre-tokens: by pieces in numpy up to U+02AF, else pre-token by pre-token.
 
-    def __init__(self, encode: Callable[[str], bytes], most: int):
-        super().__init__()
-        self.encode, self.most, self.older = encode, most, {}
+    `whole` encodes texts with special strings. Of pieces and of pre-tokens, `most` each are kept at the most.
+    """
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.most:
-            self.older = dict(self)
-            self.clear()
-        out = self.older.get(piece)
-        out = self[piece] = self.encode(piece) if out is None else out
+    def __init__(self, encode: Callable[[str], list[int]], special: list[str], whole: Callable[[str], list[int]], most: int):
+        self.encode, self.special, self.whole, self.most = encode, special, whole, most
+        self.known: dict[str, list[int]] = {}
+        self.encoder = Encoder(self._piece, most)
+
+    def _piece(self, piece: str) -> list[int]:
+        found = pretokens(piece)
+        return self.encode(piece) if len(found) == 1 else [i for p in found for i in self.encode(p)]
+
+    def ids(self, text: str) -> list[int]:
+        out: list[int] = []
+        for p in pretokens(text):
+            if (ids := self.known.get(p)) is None:
+                if len(self.known) >= self.most:
+                    self.known.clear()
+                ids = self.known[p] = self.encode(p)
+            out += ids
         return out
 
-    def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, pretokens(text)))
+    def many(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text; a null one has none."""
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
+        plain = []
+        for i, t in enumerate(texts):
+            if not t:
+                continue
+            if any(s in t for s in self.special):
+                out[i] = np.array(self.whole(t), np.uint32)
+            elif t.isascii() or not BEYOND.search(t):
+                plain.append(i)
+            else:
+                out[i] = np.array(self.ids(t), np.uint32)
+        for i, ids in zip(plain, self.encoder.many([texts[i] for i in plain])):
+            out[i] = ids
+        return out
 
 
 def byte_letters() -> dict[str, int]:
@@ -94,11 +120,11 @@ class Codec:
             self.matcher.add_word(t.decode("latin-1"), i)
         self.matcher.make_automaton()
         self.shorter = [next((number[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in number), -1) for t in self.texts]
-        self.packed = [i.to_bytes(4, "little") for i in self.ids]
         self.sizes = [len(t) for t in self.texts]
         self.fits: dict[tuple[int, int], bool] = {}
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.pieces, self.most = Pieces(self._packed, cache), cache
+        self.most = cache
+        self.coder = Texts(self._ids, list(self.special), self._with_special, cache)
         # the offset table: token i is blob[start[i] : start[i] + size[i]]
         top = max(self.text_of) + 1
         self.size = np.array([len(self.text_of.get(i, b"")) for i in range(top)], np.int64)
@@ -163,14 +189,15 @@ class Codec:
                 at -= sizes[last]
                 token = self.shorter[last]
 
-    def encode(self, text: str) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers; special strings in it become their ids."""
-        if self.split and any(s in text for s in self.special):
-            return b"".join(self.special[t].to_bytes(4, "little") if t in self.special else self.pieces.ids(t) for t in self.split.split(text) if t)
-        return self.pieces.ids(text)
+    def many(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text; special strings in it become their ids."""
+        return self.coder.many(texts)
+
+    def _with_special(self, text: str) -> list[int]:
+        return [i for t in self.split.split(text) if t for i in ([self.special[t]] if t in self.special else self.coder.ids(t))]
 
-    def _packed(self, piece: str) -> bytes:
-        return b"".join([self.packed[t] for t in self.encode_piece(piece.encode())])
+    def _ids(self, piece: str) -> list[int]:
+        return [self.ids[t] for t in self.encode_piece(piece.encode())]
 
     def decode(self, ids: np.ndarray) -> bytes:
         size = self.size[ids]
@@ -184,12 +211,11 @@ def _digests(shared, cache: int):
         codec = Codec(shared.value, cache)
         for batch in batches:
             n, ids_sha, text_sha = [], [], []
-            for t in batch.column("text").to_pylist():
-                ids = codec.encode(t or "")
-                n.append(len(ids) // 4)
-                ids_sha.append(hashlib.sha256(ids).hexdigest())
-                text = codec.decode(np.frombuffer(ids, "<u4"))
-                text_sha.append(hashlib.sha256(text.decode("utf-8", "replace").encode()).hexdigest())
+            for p in range(0, batch.num_rows, 512):
+                for ids in codec.many(batch.column("text").slice(p, 512).to_pylist()):
+                    n.append(len(ids))
+                    ids_sha.append(hashlib.sha256(ids.astype("<u4", copy=False).tobytes()).hexdigest())
+                    text_sha.append(hashlib.sha256(codec.decode(ids).decode("utf-8", "replace").encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
@@ -212,7 +238,7 @@ def _encoded(shared, cache: int):
         for batch in batches:
             for p in range(0, batch.num_rows, 512):
                 part = batch.slice(p, 512)
-                ids = [np.frombuffer(codec.encode(t or ""), "<u4").astype(np.int32) for t in part.column("text").to_pylist()]
+                ids = [x.astype(np.int32) for x in codec.many(part.column("text").to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))], ["doc_id", "ids"])
 
     return run

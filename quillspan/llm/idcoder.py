@@ -12,7 +12,7 @@ LANES = 4096
 FREQUENCY_BITS, CHANCE_BITS = 20, 12
 _ONE = 1 << CHANCE_BITS
 #: Places for contexts in a block's tables of order 1 and of order 2, and the greatest confidence.
-_SLOTS, _SURE = 1024, 7
+_SLOTS, _SURE = 512, 7
 _U = np.uint64
 _WORD, _LOW = _U(32), _U((1 << 32) - 1)
 

@@ -12,15 +12,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import idcoder
-from .bpe import Pieces, byte_letters
+from .bpe import Texts, byte_letters
 from .common import partitions, range_bounds, stored
 
 #: A file closes with the document that brings it to so many ids.
 FILE_IDS = 1 << 19
 #: Buckets of the order by doc_id, for each shuffle partition, and in all at the most.
 BUCKETS_EACH, BUCKETS_MOST = 16, 1 << 16
-#: Encodings of pre-tokens that a worker keeps, at the most, in each of two generations.
-CACHE = 300_000
+#: Encodings of pieces, and of pre-tokens, that a worker keeps, at the most; then it starts anew.
+CACHE = 600_000
 _HEAD = struct.Struct("<4sHHIQIII")
 _BLOCK = struct.Struct("<III")
 MAGIC, VERSION = b"QTID", 2
@@ -38,15 +38,16 @@ class Library:
         self.model = self.whole.model
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.letters = {b: c for c, b in byte_letters().items()}
-        self.pieces = Pieces(self.piece, cache)
+        self.texts = Texts(self.pretoken, self.special, self.with_special, cache)
 
-    def piece(self, p: str) -> bytes:
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(p.encode().decode("latin-1").translate(self.letters))])
+    def pretoken(self, p: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(self.letters))]
 
-    def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return self.pieces.ids(text)
+    def with_special(self, text: str) -> list[int]:
+        return self.whole.encode(text, add_special_tokens=False).ids
+
+    def many(self, texts: list[str | None]) -> list[np.ndarray]:
+        return self.texts.many(texts)
 
 
 def write_files(files: list[tuple[list[int | None], list[np.ndarray]]]) -> list[bytes]:
@@ -126,13 +127,13 @@ def read_files(files: list[bytes]) -> list[tuple[list[int | None], list[np.ndarr
 def _tokenized(shared, end_id: int, cache: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, bounds = shared.value
-        library, end = Library(tokenizer, cache), end_id.to_bytes(4, "little")
+        library, end = Library(tokenizer, cache), np.array([end_id], np.uint32)
         for batch in batches:
             for p in range(0, batch.num_rows, 512):
                 part = batch.slice(p, 512)
                 keys = part.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy()
                 # ids below 65536 move as two bytes each; a file of larger ids as four
-                ids = [np.frombuffer(library.encode(t or "") + end, "<u4") for t in part.column("text").to_pylist()]
+                ids = [np.concatenate([x, end]) for x in library.many(part.column("text").to_pylist())]
                 small = [x.astype("<u2") if x.max() < 1 << 16 else x for x in ids]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.searchsorted(bounds, keys, "right").astype(np.int64)), pa.array([x.dtype.itemsize for x in small], pa.int32()), pa.array([x.tobytes() for x in small], pa.binary())], ["doc_id", "bucket", "width", "ids"])
 

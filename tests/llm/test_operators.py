@@ -132,7 +132,7 @@ def test_files_of_real_text_are_smaller_than_order_0():
 
     texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").to_pylist()
     library = token_binary.Library(tokenizer_json())
-    ids = [np.frombuffer(library.encode(t or "") + (2).to_bytes(4, "little"), "<u4") for t in texts]
+    ids = [np.append(x, np.uint32(2)) for x in library.many(texts)]
     data = token_binary.write_files([(list(range(len(ids))), ids)])
     flat = np.concatenate(ids)
     n = np.unique(flat, return_counts=True)[1]
@@ -495,3 +495,20 @@ def test_no_machine_local_folder_on_a_cluster():
     spark.conf = SimpleNamespace(get=lambda *_: None)
     with pytest.raises(ValueError):
         common.shared_dir(spark)
+
+
+def test_ids_of_odd_texts_are_the_library_s(monkeypatch):
+    """Texts of every class of characters, cut in small runs and with small tables, by the library's merges and by the backtracking encoder."""
+    from tokenizers import Tokenizer
+
+    from quillspan.llm import pieces
+
+    spec, rng = tokenizer_json(), np.random.default_rng(12)
+    alphabet = [*"abcXYZ019.,'!-_ \n\t\r\x0b\x0c\x00\x1c\x1f\x85\xa0éÉßñ×÷ªº²«»đƒʯ–’€İΣσς中あ😀", "'s", "'ll", " 've", "don't ", "<|endoftext|>", "  ", "\n\n", " \n", "\n "]
+    texts = ["".join(rng.choice(alphabet[: rng.choice([20, 36, 46, len(alphabet)])], rng.integers(0, 40))) for _ in range(6000)] + [None, "", " ", "\n", "  ", "ab, " * 400, "x" * 3000]
+    want = [e.ids for e in Tokenizer.from_str(spec).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    for size, cache in ((1 << 19, 10_000), (32, 50)):
+        monkeypatch.setattr(pieces, "SLICE", size)
+        for coder in (token_binary.Library(spec, cache), bpe.Codec(spec, cache)):
+            got = [x.tolist() for p in range(0, len(texts), 500) for x in coder.many(texts[p : p + 500])]
+            assert [(t, g, w) for t, g, w in zip(texts, got, want) if g != w] == []
