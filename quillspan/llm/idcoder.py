@@ -6,8 +6,16 @@ import numpy as np
 
 #: Ids in a block; a block's model starts anew, so blocks are decoded independently.
 BLOCK = 2048
-#: Blocks that are coded side by side.
+#: About so many blocks are coded side by side.
 LANES = 4096
+
+
+def groups(blocks: int) -> list[tuple[int, int]]:
+    """Even ranges of about LANES blocks: a few left over are no group of their own."""
+    n = max(1, round(blocks / LANES))
+    return [(blocks * k // n, blocks * (k + 1) // n) for k in range(n)] if blocks else []
+
+
 #: Bits of a file's order-0 frequencies, at the most, and of the chance that a prediction holds.
 FREQUENCY_BITS, CHANCE_BITS = 20, 12
 _ONE = 1 << CHANCE_BITS
@@ -82,23 +90,21 @@ class _Model:
     def __init__(self, orders: _Orders):
         lanes = len(orders.base)
         self.orders = orders
-        self.slots, self.contexts = np.arange(lanes, dtype=np.int64) * _SLOTS, np.arange(lanes, dtype=np.int32) * 128
-        self.seen1, self.seen2 = np.zeros(lanes * _SLOTS, np.int32), np.zeros(lanes * _SLOTS, np.int32)
-        self.last, self.context = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
+        # row 0 is order 2, row 1 order 1; a context's place in a lane's table holds rank << 3 | times right
+        self.slots, self.contexts = np.arange(2 * lanes, dtype=np.int64).reshape(2, lanes) * _SLOTS, np.arange(lanes, dtype=np.int64) * 128
+        self.seen, self.last = np.zeros(2 * lanes * _SLOTS, np.int32), np.zeros((2, lanes), np.int32)
         self.hits = np.tile(_FIRST, lanes)
         self.w1, self.w0, self.step = np.full(lanes, 0.8 * 64, np.float32), np.full(lanes, 0.2 * 64, np.float32), 0
 
     def predict(self, n: int) -> np.ndarray:
         """How much of 1/4096 the prediction gets."""
-        slots, last = self.slots[:n], self.last[:n]
-        self.at1 = slots + (last & (_SLOTS - 1))
-        self.at2 = slots + (self.context[:n] & (_SLOTS - 1))
-        v1, v2 = self.seen1.take(self.at1), self.seen2.take(self.at2)
-        self.v1, self.v2, self.c1, self.c2 = v1, v2, v1 & _SURE, v2 & _SURE
-        self.p = np.where(self.c2 > 0, v2, v1) >> 3
-        self.i = self.contexts[:n] + (self.c2 << 4)
-        self.i += self.c1 << 1
-        self.i += (v1 ^ v2) <= _SURE
+        self.at = self.slots[:, :n] + (self.last[:, :n] & (_SLOTS - 1))
+        v = self.v = self.seen.take(self.at)
+        c = self.c = v & _SURE
+        self.p = np.where(c[0] > 0, v[0], v[1]) >> 3
+        self.i = self.contexts[:n] + (c[0] << 4)
+        self.i += c[1] << 1
+        self.i += (v[0] ^ v[1]) <= _SURE
         self.q = self.hits.take(self.i)
         self.s1, self.s0 = _STRETCH.take(self.q >> 4), self.orders.stretch.take(self.orders.base[:n] + self.p, mode="clip")
         x = self.w1[:n] * self.s1
@@ -109,17 +115,17 @@ class _Model:
 
     def update(self, n: int, rank: np.ndarray, hit: np.ndarray) -> None:
         """rank is what came; hit: whether it was predicted."""
-        self.hits[self.i] = self.q + ((hit * np.int32(65535) - self.q) >> 4)
         self.step += 1
+        if self.step % 2 == 0:
+            self.hits[self.i] = self.q + ((hit * np.int32(65535) - self.q) >> 3)
         if self.step % 4 == 0:
             error = (hit * np.float32(_ONE) - self.a) * np.float32(4 / _ONE)
             self.w1[:n] += error * self.s1
             self.w0[:n] += error * self.s0
         fresh = rank << 3
-        for seen, at, v, c in ((self.seen2, self.at2, self.v2, self.c2), (self.seen1, self.at1, self.v1, self.c1)):
-            seen[at] = np.where((v ^ fresh) <= _SURE, v + (c < _SURE), fresh)
-        self.context[:n] = self.last[:n] * np.int32(613) + rank
-        self.last[:n] = rank
+        self.seen[self.at] = np.where((self.v ^ fresh) <= _SURE, self.v + (self.c < _SURE), fresh)
+        self.last[0, :n] = self.last[1, :n] * np.int32(613) + rank
+        self.last[1, :n] = rank
 
 
 def _sorted(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,13 +218,7 @@ def _decoded(data: list[bytes], sizes: list[int], files: list[Frequencies], owne
         lo += skipped
         here -= skipped
         sp[:] = np.where(hit, bound, sp - bound)
-        unit = sp >> orders.bits[:n]
-        # the exact quotient, by a division of doubles and a step back or forth
-        v = (here.astype(np.float64) / unit.astype(np.float64)).astype(np.int64)
-        near = v.view(np.uint64) * unit
-        over = near > here
-        v -= over
-        v += (here - near >= unit) ^ over
+        v = (here // (sp >> orders.bits[:n])).view(np.int64)
         rank = np.where(hit, model.p, ranks.take(orders.points[:n] + v, mode="clip").astype(np.int32))
         _narrow(lo, sp, orders.bits[:n], np.where(hit, orders.whole[:n], orders.packed.take(orders.base[:n] + rank, mode="clip")))
         at, l, s = _spent(lo, sp)

@@ -178,6 +178,7 @@ class Encoder:
         new = miss[distinct(one[miss], two[miss])]
         if self.table.size + len(new) > self.most:
             self.clear()
+            miss = np.arange(len(one))
             new = distinct(one, two)
             if len(new) > self.most:
                 self.most = 2 * len(new)
@@ -196,7 +197,8 @@ class Encoder:
         self.ids[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
         self.table.add(one[new], two[new], np.arange(own.start, own.stop))
-        return self.table.find(one, two)
+        found[miss] = self.table.find(one[miss], two[miss])
+        return found
 
     def many(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""

@@ -63,10 +63,13 @@ def write_files(files: list[tuple[list[int | None], list[np.ndarray]]]) -> list[
     heads, blocks, orders, owner = [], [], [], []
     for docs, ids in files:
         flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-        values, at, n = np.unique(flat, return_inverse=True, return_counts=True)
+        n = np.bincount(flat)
+        values = np.flatnonzero(n).astype(np.uint32)
         if len(values) > 1 << 16:
             raise ValueError("a file holds 65536 distinct ids at the most")
-        ranks, levels = at.ravel().astype(np.uint16), idcoder.Frequencies.levels(n)
+        rank = np.zeros(len(n), np.uint16)
+        rank[values] = np.arange(len(values))
+        ranks, levels = rank[flat], idcoder.Frequencies.levels(n[values])
         own = [(flat[p : p + idcoder.BLOCK], ranks[p : p + idcoder.BLOCK]) for p in range(0, len(flat), idcoder.BLOCK)]
         blocks += own
         owner += [len(orders)] * len(own)
@@ -75,9 +78,9 @@ def write_files(files: list[tuple[list[int | None], list[np.ndarray]]]) -> list[
         packed = zlib.compress(b"".join(tables))
         head = _HEAD.pack(MAGIC, VERSION, 0, len(docs), len(flat), len(values), len(own), len(packed)) + packed
         heads.append([head + struct.pack("<I", zlib.crc32(head))])
-    for p in range(0, len(blocks), idcoder.LANES):
-        part = blocks[p : p + idcoder.LANES]
-        for k, code in enumerate(idcoder.encode([r for _, r in part], orders, owner[p : p + idcoder.LANES])):
+    for p, q in idcoder.groups(len(blocks)):
+        part = blocks[p:q]
+        for k, code in enumerate(idcoder.encode([r for _, r in part], orders, owner[p:q])):
             heads[owner[p + k]].append(_BLOCK.pack(len(part[k][0]), len(code), zlib.crc32(part[k][0].astype("<u4").tobytes())) + code)
     return [b"".join(h) for h in heads]
 
@@ -109,8 +112,8 @@ def read_files(files: list[bytes]) -> list[tuple[list[int | None], list[np.ndarr
             sums.append(crc)
             at += width
     ranks: list[np.ndarray] = []
-    for p in range(0, len(codes), idcoder.LANES):
-        ranks += idcoder.decode(codes[p : p + idcoder.LANES], sizes[p : p + idcoder.LANES], orders, owner[p : p + idcoder.LANES])
+    for p, q in idcoder.groups(len(codes)):
+        ranks += idcoder.decode(codes[p:q], sizes[p:q], orders, owner[p:q])
     out = []
     for ids, lengths, values, first, many in parsed:
         if any(len(r) and r.max() >= len(values) for r in ranks[first : first + many]):

@@ -1,4 +1,4 @@
-"""Operator 3, token counts: a broadcast hash table of frequent pre-tokens' lengths, and a worker's cache behind it."""
+"""Operator 3, token counts: a broadcast hash table of frequent pieces' lengths, and a worker's cache behind it."""
 
 from __future__ import annotations
 
@@ -11,28 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .wordhash import SLICE, Powers, mixed
+from .pieces import Table, borders, distinct, hashes, runs
 
 #: Frequent pieces in the broadcast table, and rows that they are counted in, at the most; counts of tokens don't depend on either.
 FREQUENT, SAMPLE_ROWS = 50_000, 4_000
-#: Lengths of other pieces that a worker keeps, at the most, in each of two generations.
-CACHE = 400_000
+#: Lengths of other pieces that a worker keeps, at the most; then it starts anew.
+CACHE = 600_000
 #: Characters for which white space, lower case and composition are the same in every Unicode version: up to
 #: U+02AF but for separators U+001C to U+001F, U+0085, U+00A0 and U+0130, and common dashes, quotes and signs.
 _ODD = re.compile("[^\x00-\x1b\x20-\x84\x86-\x9f\xa1-įı-ʯ‐-‧‰-⁞€™]")
-_U = np.uint64
-
-
-def _kinds() -> np.ndarray:
-    """1 for white space, 2 for ASCII letters, 3 for other ASCII signs, 0 beyond ASCII."""
-    k = np.zeros(256, np.uint8)
-    k[:128] = 3
-    k[[0x20, *range(0x09, 0x0E)]] = 1
-    k[ord("a") : ord("z") + 1] = 2
-    return k
-
-
-_KIND = _kinds()
+_WORD = re.compile(" ?[a-z]+")
 
 
 def odd(text: str) -> bool:
@@ -40,122 +28,54 @@ def odd(text: str) -> bool:
     return "<|" in text or not text.isascii() and _ODD.search(text) is not None or any(c in text for c in "\x1c\x1d\x1e\x1f")
 
 
-def pieces(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, starts and ends of the pieces of lower-cased UTF-8 bytes.
-
-    Pieces are cut at white space and where a sign comes after a letter: no
-    pre-token of the library goes over such a border, so lengths add up.
-    """
-    kind = _KIND[raw]
-    space = kind == 1
-    letter = kind == 2
-    # the last byte of U+00C0 to U+00FF but for the two signs among them
-    letter[1:] |= (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)
-    first = ~space
-    first[1:] &= space[:-1] | (letter[:-1] & (kind[1:] == 3))
-    starts = np.flatnonzero(first)
-    if not len(starts):
-        return np.zeros(0, np.uint64), starts, starts
-    at = np.arange(len(raw), dtype=np.int64)
-    at[starts[0] :] -= np.repeat(starts, np.diff(np.append(starts, len(raw))))
-    at[space] = 0
-    value = raw.astype(np.uint64)
-    value += _U(1)
-    value *= Powers.of(int(at.max()) + 1)[at]
-    value[space] = 0
-    sizes = np.add.reduceat((~space).astype(np.int64), starts)
-    return np.maximum(mixed(np.add.reduceat(value, starts)), _U(1)), starts, starts + sizes
-
-
-def runs(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, bytes]]:
-    """About SLICE bytes at once of lower-cased texts: which text each part is of, where the parts begin, and the bytes.
-
-    Parts end with white space; a longer text is cut at white space, so memory follows SLICE and its longest word.
-    """
-    owners, parts, held = [], [], 0
-
-    def done():
-        data = b"".join(parts)
-        return np.array(owners), np.cumsum([0, *map(len, parts[:-1])]), data
-
-    for i, t in enumerate(texts):
-        data = t.lower().encode() + b"\n"
-        p = 0
-        while p < len(data):
-            q = len(data)
-            if q - p > SLICE:
-                found = re.compile(rb"[ \t-\r]").search(data, p + SLICE)
-                q = found.end() if found else q
-            owners.append(i)
-            parts.append(data[p:q])
-            held += q - p
-            p = q
-            if held >= SLICE:
-                yield done()
-                owners, parts, held = [], [], 0
-    if parts:
-        yield done()
-
-
-class Table:
-    """A compact hash table from pieces' hashes to their lengths in tokens (1 to 255): open addressing in two arrays, at most a quarter full."""
-
-    def __init__(self, hashes: np.ndarray, lengths: np.ndarray):
-        self.mask = (4 << int(len(hashes)).bit_length()) - 1
-        self.keys, self.sizes = np.zeros(self.mask + 1, np.uint64), np.zeros(self.mask + 1, np.uint8)
-        hashes, at = np.unique(hashes, return_index=True)
-        lengths = lengths[at]
-        place = (hashes & _U(self.mask)).astype(np.int64)
-        while len(hashes):  # all that find a free place in a round are put there, the others go on to the next place
-            free = np.flatnonzero(self.keys[place] == 0)
-            slot, one = np.unique(place[free], return_index=True)
-            self.keys[slot], self.sizes[slot] = hashes[free[one]], lengths[free[one]]
-            left = np.ones(len(hashes), bool)
-            left[free[one]] = False
-            hashes, lengths, place = hashes[left], lengths[left], (place[left] + 1) & self.mask
-
-    def lengths(self, hashes: np.ndarray) -> np.ndarray:
-        """The length of each, 0 where the table has none."""
-        out = np.zeros(len(hashes), np.int64)
-        todo, place = np.arange(len(hashes)), (hashes & _U(self.mask)).astype(np.int64)
-        while len(todo):
-            key = self.keys[place]
-            hit = key == hashes[todo]
-            out[todo[hit]] = self.sizes[place[hit]]
-            more = ~hit & (key != 0)
-            todo, place = todo[more], (place[more] + 1) & self.mask
-        return out
+def pieces(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list]]:
+    """For runs of lower-cased texts: two hashes of each piece, the text each is of, and a function from places to the pieces' strings."""
+    for data, firsts, owners in runs([t.lower().encode() for t in texts]):
+        raw = np.frombuffer(data, np.uint8)
+        starts = borders(raw, firsts)
+        ends = np.append(starts[1:], len(data))
+        yield *hashes(raw, starts), owners[np.searchsorted(firsts, starts, "right") - 1], lambda k, d=data, a=starts, b=ends: [d[x:y].decode() for x, y in zip(a[k].tolist(), b[k].tolist())]
 
 
 class Counter:
-    """Lengths of texts in tokens: pieces by the table, then by the worker's cache, then by the library."""
+    """Lengths of texts in tokens: pieces by the frequent ones' table, then by the worker's own, then by the library."""
 
-    def __init__(self, tokenizer_json: str, table: Table, cache: int = CACHE):
+    def __init__(self, tokenizer_json: str, frequent: Table, cache: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(tokenizer_json)
         self.library.no_truncation()
         self.library.no_padding()
-        self.table, self.most = table, cache
-        self.known: dict[int, int] = {}
-        self.older: dict[int, int] = {}
+        self.model = self.library.model
+        self.frequent, self.most, self.known = frequent, cache, Table(cache)
         self.seen = self.missed = 0
 
-    def encoded(self, texts: list[str]) -> list[int]:
-        return [len(e) for e in self.library.encode_batch(texts, add_special_tokens=False)]
-
-    def missing(self, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, data: bytes) -> np.ndarray:
-        """Lengths of distinct pieces that the table hasn't; those new to the worker go to the library in one call."""
-        if len(self.known) > self.most:
-            self.known, self.older = {}, self.known
-        keys = hashes.tolist()
-        new = [k for k, h in enumerate(keys) if h not in self.known and h not in self.older]
-        self.known.update(zip([keys[k] for k in new], self.encoded([data[starts[k] : ends[k]].decode() for k in new])))
-        for h in keys:
-            if h not in self.known:
-                self.known[h] = self.older[h]
-        return np.array([self.known[h] for h in keys], np.int64)
+    def encoded(self, texts: list[str]) -> np.ndarray:
+        """Lengths by the library: a plain word is one pre-token, which its model takes as it is; the others go through it whole, in one call."""
+        words = [_WORD.fullmatch(t) is not None for t in texts]
+        others = iter(self.library.encode_batch([t for t, w in zip(texts, words) if not w], add_special_tokens=False))
+        return np.array([len(self.model.tokenize(t.lstrip())) if w else len(next(others)) for t, w in zip(texts, words)], np.int64)
+
+    def lengths(self, one: np.ndarray, two: np.ndarray, strings) -> np.ndarray:
+        n = self.frequent.find(one, two)
+        rare = np.flatnonzero(n < 0)
+        self.seen, self.missed = self.seen + len(n), self.missed + len(rare)
+        if not len(rare):
+            return n
+        a, b = one[rare], two[rare]
+        found = self.known.find(a, b)
+        if (found < 0).any():
+            new = np.flatnonzero(found < 0)
+            new = new[distinct(a[new], b[new])]
+            if self.known.size + len(new) > self.most:
+                new = distinct(a, b)
+                self.most = max(self.most, 2 * len(new))
+                self.known = Table(self.most)
+            self.known.add(a[new], b[new], self.encoded(strings(rare[new])))
+            found = self.known.find(a, b)
+        n[rare] = found
+        return n
 
     def count(self, texts: list[str | None]) -> np.ndarray:
         out = np.zeros(len(texts), np.int64)
@@ -165,27 +85,26 @@ class Counter:
                 out[i] = self.encoded([t])[0]
             elif t:
                 plain.append(i)
-        for owners, begins, data in runs([texts[i] for i in plain]):
-            h, starts, ends = pieces(np.frombuffer(data, np.uint8))
-            n = self.table.lengths(h)
-            miss = np.flatnonzero(n == 0)
-            self.seen, self.missed = self.seen + len(h), self.missed + len(miss)
-            if len(miss):
-                keys, one, every = np.unique(h[miss], return_index=True, return_inverse=True)
-                n[miss] = self.missing(keys, starts[miss[one]], ends[miss[one]], data)[every.ravel()]
-            part = np.searchsorted(begins, starts, "right") - 1
-            out += np.bincount(np.array(plain)[owners[part]], n, minlength=len(texts)).astype(np.int64)
+        for one, two, owner, strings in pieces([texts[i] for i in plain]):
+            out += np.bincount(np.array(plain)[owner], self.lengths(one, two, strings), minlength=len(texts)).astype(np.int64)
         return out
 
 
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [t for t in batch.column("text").to_pylist() if t and not odd(t)]
-        for _, _, data in runs(texts):
-            h, starts, ends = pieces(np.frombuffer(data, np.uint8))
-            _, one, n = np.unique(h, return_index=True, return_counts=True)
-            words = [data[a:b].decode() for a, b in zip(starts[one].tolist(), ends[one].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n.astype(np.int64))], ["piece", "n"])
+        for one, _, _, strings in pieces([t for t in batch.column("text").to_pylist() if t and not odd(t)]):
+            _, at, n = np.unique(one, return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(strings(at), pa.string()), pa.array(n.astype(np.int64))], ["piece", "n"])
+
+
+def length_table(found: list[str], tokenizer_json: str) -> Table:
+    """The lengths of distinct pieces, by the library."""
+    table = Table(len(found))
+    if found:
+        n = Counter(tokenizer_json, table).encoded(found)
+        data = [p.encode() for p in found]
+        table.add(*hashes(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data[:-1])])), n)
+    return table
 
 
 def frequent_lengths(docs: DataFrame, tokenizer_json: str, frequent: int = FREQUENT, sample_rows: int = SAMPLE_ROWS) -> Table:
@@ -194,27 +113,17 @@ def frequent_lengths(docs: DataFrame, tokenizer_json: str, frequent: int = FREQU
     Only the sample's pieces are shuffled, as counts for each slice of text;
     the driver gets `frequent` of them, and encodes those.
     """
-    from tokenizers import Tokenizer
-
     rows = docs.count()
     sample = docs.select("text").where("text is not null")
     sample = sample if rows <= sample_rows else sample.sample(sample_rows / rows, seed=3)
     counts = sample.mapInArrow(_partial, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    found = [r["piece"] for r in counts.orderBy(F.desc("n"), "piece").limit(frequent).collect()]
-    library = Tokenizer.from_str(tokenizer_json)
-    n = np.array([len(e) for e in library.encode_batch(found, add_special_tokens=False)], np.int64)
-    if not len(n):
-        return Table(np.zeros(0, np.uint64), n)
-    data = b"".join(p.encode() + b"\n" for p in found)
-    h, *_ = pieces(np.frombuffer(data, np.uint8))
-    fit = (n > 0) & (n < 256)
-    return Table(h[fit], n[fit].astype(np.uint8))
+    return length_table([r["piece"] for r in counts.orderBy(F.desc("n"), "piece").limit(frequent).collect()], tokenizer_json)
 
 
 def _counted(shared, cache: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, table = shared.value
-        counter = Counter(tokenizer, table, cache)
+        tokenizer, frequent = shared.value
+        counter = Counter(tokenizer, frequent, cache)
         for batch in batches:
             for p in range(0, batch.num_rows, 512):
                 part = batch.slice(p, 512)
@@ -224,12 +133,12 @@ def _counted(shared, cache: int, names: list[str]):
 
 
 def token_counts(docs: DataFrame, tokenizer_json: str, limit: int = 2048, cache: int = CACHE) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit of every whole text; one pass, no shuffle of pre-tokens.
+    """doc_id, n_bytes, n_tokens, over_limit of every whole text; one pass, no shuffle of its pre-tokens.
 
     Counts are those of the library without added tokens: its normaliser maps
     white space to spaces and lower-cases, and no pre-token crosses the borders
-    of `pieces`, so a text has the sum of its pieces' lengths. Pieces are told
-    apart by 64-bit hashes. Texts with special strings or characters whose
+    of pieces, so a text has the sum of its pieces' lengths. Pieces are told
+    apart by two 64-bit hashes. Texts with special strings or characters whose
     class varies between Unicode versions go to the library whole. Null and
     empty texts have none; rows may repeat; an empty table gives no rows.
     """

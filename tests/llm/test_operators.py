@@ -374,28 +374,28 @@ def test_frequent_table_catches_most_pieces():
 
     texts = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").to_pylist() if t]
     spec, seen = tokenizer_json(name="word_bpe_49k.json"), Counter()
-    for _, _, data in token_count.runs([t for t in texts[::2] if not token_count.odd(t)]):
-        _, starts, ends = token_count.pieces(np.frombuffer(data, np.uint8))
-        seen.update(data[a:b] for a, b in zip(starts.tolist(), ends.tolist()))
+    for one, _, _, strings in token_count.pieces([t for t in texts[::2] if not token_count.odd(t)]):
+        seen.update(strings(np.arange(len(one))))
     top = [p for p, _ in seen.most_common(token_count.FREQUENT)]
     library = Tokenizer.from_str(spec)
-    n = np.array([len(e) for e in library.encode_batch([p.decode() for p in top], add_special_tokens=False)])
-    h, *_ = token_count.pieces(np.frombuffer(b"\n".join(top), np.uint8))
-    table = token_count.Table(h, n.astype(np.uint8))
-    assert (table.lengths(h) == n).all() and not table.lengths(h + np.uint64(1)).any()
-    counter = token_count.Counter(spec, table)
+    counter = token_count.Counter(spec, token_count.length_table(top, spec))
+    assert counter.encoded(top).tolist() == [len(e) for e in library.encode_batch(top, add_special_tokens=False)]
     assert counter.count(texts[1::2]).tolist() == [len(e) for e in library.encode_batch(texts[1::2], add_special_tokens=False)]
     assert counter.missed < 0.25 * counter.seen
 
 
-def test_pieces_of_odd_texts_add_up_to_the_library():
+def test_pieces_of_odd_texts_add_up_to_the_library(monkeypatch):
     from tokenizers import Tokenizer
 
+    from quillspan.llm import pieces
+
     spec, rng = tokenizer_json(name="word_bpe_49k.json"), np.random.default_rng(4)
     alphabet = [*"abcXYZ019.,'!-_ \n\t\r\x0b\x00éÉßñ×÷ªº²«»–’€đƒ\x1c\x85\xa0İΣσς中", "'s", "'ll", " 've", "<|endoftext|>", "  ", "don't"]
-    texts = ["".join(rng.choice(alphabet, rng.integers(0, 40))) for _ in range(3000)] + ["x" * 600_000, "ab, " * 300_000]
+    texts = ["".join(rng.choice(alphabet[: rng.choice([20, 36, len(alphabet)])], rng.integers(0, 40))) for _ in range(3000)] + ["x" * 600_000, "ab, " * 300_000]
     want = [len(e) for e in Tokenizer.from_str(spec).encode_batch(texts, add_special_tokens=False)]
-    assert token_count.Counter(spec, token_count.Table(np.zeros(0, np.uint64), np.zeros(0, np.uint8)), cache=500).count(texts).tolist() == want
+    for size, cache in ((1 << 19, 10_000), (32, 50)):
+        monkeypatch.setattr(pieces, "SLICE", size)
+        assert token_count.Counter(spec, token_count.length_table([], spec), cache).count(texts[:-2] if size == 32 else texts).tolist() == want[: -2 if size == 32 else None]
 
 
 def grams_of(text):
