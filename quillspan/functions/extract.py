@@ -10,6 +10,7 @@ from quillspan.functions.script import Node, Source, Tokens, parse, walk
 
 #: What the general columns of each fact mean; `owner` is the function, or the handler in a page.
 VIEWS = {
+    "file": {"a": "sha1", "b": "kind"},
     "function": {"a": "visibility", "b": "fingerprint", "c": "kind", "n": "end_line", "items": "params"},
     "doc": {"a": "summary", "b": "returns_type", "c": "returns_text", "d": "returns_fields", "items": "refs"},
     "doc_param": {"a": "param", "b": "type"},
@@ -282,7 +283,7 @@ def body_facts(owner: str, f: Node, src: Source) -> Iterator[tuple]:
             if base.kind == "name":
                 yield row("chain", owner, src.at(n.start), base.text, flag=deep, items=[f"{m}/{len(c.args)}" for m, c in zip(names, calls, strict=True)])
                 if base.text == "ScriptApp" and "newTrigger" in names:
-                    yield row("trigger", owner, at, literal(calls[names.index("newTrigger")].args[0]) if calls[names.index("newTrigger")].args else None, flag=names[-1] == "create")
+                    yield trigger_fact(owner, at, names, calls)
     for name, (at, found) in tables.items():
         if found:
             yield row("array2d", owner, at, name, n=max(found), items=[str(i) for i in sorted(found)])
@@ -291,6 +292,31 @@ def body_facts(owner: str, f: Node, src: Source) -> Iterator[tuple]:
     yield from loop_facts(owner, f.body, src)
 
 
+def trigger_fact(owner: str | None, at, names: list[str], calls: list[Node]) -> tuple:
+    args = calls[names.index("newTrigger")].args
+    return row("trigger", owner, at, literal(args[0]) if args else None, flag=names[-1] == "create")
+
+
+def outer_facts(tree: Node, inner: set[int], src: Source) -> Iterator[tuple]:
+    """Triggers made and deleted outside of the functions at the top; they have no owner."""
+    todo, taken = [tree], set()
+    while todo:
+        n = todo.pop()
+        if id(n) in inner:
+            continue
+        if n.kind == "call" and n.of.kind == "member":
+            if n.of.prop.text == "deleteTrigger":
+                yield row("delete_trigger", None, src.at(n.start))
+            found = None if id(n) in taken else steps_of(n)
+            if found:
+                root, calls = found
+                taken.update(id(c) for c in calls)
+                names = [c.of.prop.text for c in calls]
+                if root.kind == "name" and root.text == "ScriptApp" and "newTrigger" in names:
+                    yield trigger_fact(None, src.at(n.start), names, calls)
+        todo.extend(reversed(list(n.children())))
+
+
 def columns(body: Node, name: str, text: str) -> set[int]:
     return {int(text[n.index.start : n.index.end]) for n in walk(body) if n.kind == "index" and n.of.kind == "name" and n.of.text == name and n.index.kind == "num" and text[n.index.start : n.index.end].isdigit()}
 
@@ -319,7 +345,9 @@ def script_facts(text: str) -> Iterator[tuple]:
     src = Source(text)
     tree, errors = parse(text)
     comments = [(m.end(), m.group(1)) for m in DOC.finditer(text)]
+    inner = set()
     for name, f, s, kind in definitions(tree):
+        inner.add(id(f))
         at = src.at(s.start)
         params = [text[p.target.start : p.target.end] for p in f.params]
         body = re.sub(SCRIPT_SPACE, " ", text[f.body.start : f.body.end]).strip(" ")
@@ -329,6 +357,7 @@ def script_facts(text: str) -> Iterator[tuple]:
             yield from doc_facts(name, at, near[-1][1])
         yield return_fact(name, at, f)
         yield from body_facts(name, f, src)
+    yield from outer_facts(tree, inner, src)
     if any("@OnlyCurrentDoc" in c for _, c in comments):
         yield row("current_doc_only", None, (1, 0))
     for offset, message in errors:
@@ -425,7 +454,9 @@ def resource_facts(text: str) -> Iterator[tuple]:
 
 
 def facts_of(kind: str | None, content: str | None) -> Iterator[tuple]:
-    """Facts of a script (gs) or a page (html); other kinds and null contents have none."""
+    """Facts of a script (gs) or a page (html), with its digest; other kinds and null contents have none."""
+    if kind in ("gs", "html") and content is not None:
+        yield row("file", None, (1, 0), hashlib.sha1(content.encode("utf-8", "replace")).hexdigest(), kind)
     if content:
         yield from script_facts(content) if kind == "gs" else page_facts(content) if kind == "html" else ()
         yield from resource_facts(content) if kind in ("gs", "html") else ()

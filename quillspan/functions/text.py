@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,10 +16,16 @@ def body_fingerprint(text: Column) -> Column:
     return F.substring(F.sha2(F.trim(F.regexp_replace(text, SCRIPT_SPACE, " ")).cast("binary"), 256), 1, 16)
 
 
-def root_receiver(receiver: Column) -> Column:
-    """The capitalised identifier that a receiver starts with, else null."""
-    root = F.regexp_extract(receiver, r"^[A-Za-z_$][A-Za-z0-9_$]*", 0)
-    return F.when(root.rlike("^[A-Z]"), root)
+def _accents() -> tuple[str, str]:
+    """Lower-case Latin letters with marks, and what decomposition leaves of each without its marks."""
+    marked = {c: unicodedata.normalize("NFD", c)[0] for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if c == c.lower()}
+    marked = {c: b for c, b in marked.items() if b != c}
+    return "".join(marked), "".join(marked.values())
+
+
+def folded(text: Column) -> Column:
+    """Lower case without accents: decomposed letters lose their marks, as combining marks do."""
+    return F.translate(F.regexp_replace(F.lower(text), "[\\u0300-\\u036f]", ""), *_accents())
 
 
 def rounded(x: Column) -> Column:

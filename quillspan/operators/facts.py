@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions.extract import VIEWS, facts_of
 from quillspan.operators.relations import first_wins
+from quillspan.sources.shared import stored
 
 SCHEMA = "project string, file string, fact string, owner string, line int, col int, a string, b string, c string, d string, n int, flag boolean, items array<string>"
 #: Rows of facts that a task hands back at once.
@@ -63,15 +62,11 @@ def facts(files: DataFrame) -> DataFrame:
 
 
 def written(store: DataFrame) -> DataFrame:
-    """The store as a table in the shared folder, partitioned by fact: sources are parsed once, and a view reads its own files only."""
-    spark = store.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillspan-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    at = f"{folder}/quillspan-facts-{uuid.uuid4().hex}"
-    store.write.partitionBy("fact").parquet(at)
-    return spark.read.schema(store.schema).parquet(at)
+    """The store as a table in the shared folder, partitioned by fact: sources are parsed once, and a view reads its own files only.
+
+    A task writes a file for each of its facts; Spark sorts its rows by fact first, so one is open at a time.
+    """
+    return stored(store, "fact")
 
 
 SCHEMA_NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -133,6 +128,12 @@ def consumers(store: DataFrame) -> DataFrame:
     return out.unionByName(cut(view(store, "trigger"), "function", "installable_trigger", F.lit(None)))
 
 
+def unresolved(store: DataFrame) -> DataFrame:
+    """Places that name no function of their project (bare calls of built-ins aside), with the same columns as consumers()."""
+    known = functions(store)[0].select("project", F.col("owner").alias("symbol"))
+    return consumers(store).where(~((F.col("kind") == "internal_caller") & F.col("symbol").isin(GLOBALS))).join(known, ["project", "symbol"], "left_anti")
+
+
 def called_by(store: DataFrame) -> DataFrame:
     """Callers by function: the call graph turned round."""
     known = functions(store)[0].select("project", F.col("owner").alias("symbol"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspan.functions.text import folded
+from quillspan.sources.shared import stored
+
 
 def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
     """Rows that are first by key, and the collisions that come later."""
@@ -19,22 +22,38 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key: str, state: str) ->
     return a.join(b, F.col("_a") == F.col("_b"), "full_outer").select(F.coalesce("_a", "_b").alias(key), change.alias("change")).where("change is not null")
 
 
+def ranked(df: DataFrame, key: str, order: str, to: str) -> DataFrame:
+    """df with the row's place among those of its key, by order, from 1.
+
+    Rows are dealt out in ranges of (key, order), so a hot key is spread over
+    many tasks; each range is ranked alone, and a key's ranges are added up.
+    The ranges are written once: what they hold must not change between reads.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(df.repartitionByRange(n, key, order).withColumn("_part", F.spark_partition_id()))
+    counts = dealt.groupBy(F.col(key).alias("_key"), F.col("_part").alias("_p")).agg(F.count("*").alias("_n"))
+    before = counts.select("_key", "_p", F.coalesce(F.sum("_n").over(Window.partitionBy("_key").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before")).where("_before > 0")
+    inside = dealt.withColumn("_i", F.row_number().over(Window.partitionBy(key, "_part").orderBy(order)))
+    out = inside.join(before, (F.col(key) == F.col("_key")) & (F.col("_part") == F.col("_p")), "left")
+    return out.withColumn(to, F.col("_i") + F.coalesce("_before", F.lit(0))).drop("_part", "_i", "_key", "_p", "_before")
+
+
 def pair_one_to_one(removed: DataFrame, added: DataFrame, fingerprint: str, order: str) -> DataFrame:
     """The nth removed row of a fingerprint with its nth added row: what greedy pairing in order finds."""
-    nth = lambda df, o, k: df.select(F.col(fingerprint).alias(f"_f{k}"), F.col(order).alias(o), F.row_number().over(Window.partitionBy(fingerprint).orderBy(order)).alias(f"_n{k}"))
+    nth = lambda df, o, k: ranked(df.select(F.col(fingerprint).alias(f"_f{k}"), F.col(order).alias(o)), f"_f{k}", o, f"_n{k}")
     a, b = nth(removed, "old", 1), nth(added, "new", 2)
     return a.join(b, (F.col("_f1") == F.col("_f2")) & (F.col("_n1") == F.col("_n2"))).select(F.col("_f1").alias(fingerprint), "old", "new")
 
 
 def key_status(uses: DataFrame, keys: list[str], kind: str, read: str, write: str, delete: str) -> DataFrame:
-    """Counts of reads, writes and deletes by key, and write_only, read_only, ok or delete_only. Null keys don't count."""
+    """Counts of reads, writes and deletes by key, and write_only, read_only or ok (a key only deleted is ok). Null keys don't count."""
     n = lambda k: F.count_if(F.col(kind) == k)
     known = uses.where(F.col(kind).isin(read, write, delete))
     for k in keys:
         known = known.where(F.col(k).isNotNull())
     told = known.groupBy(*keys).agg(n(read).alias("reads"), n(write).alias("writes"), n(delete).alias("deletes"))
     r, w = F.col("reads") > 0, F.col("writes") > 0
-    return told.withColumn("status", F.when(r & w, "ok").when(w, "write_only").when(r, "read_only").otherwise("delete_only"))
+    return told.withColumn("status", F.when(w & ~r, "write_only").when(r & ~w, "read_only").otherwise("ok"))
 
 
 def coverage(uncertain: Column) -> Column:
@@ -94,8 +113,8 @@ def similar_names(names: DataFrame, candidates: DataFrame, name: str, most: int)
 
 
 def upsert_counts(entries: DataFrame, text: str, order: list[str]) -> DataFrame:
-    """Entries with the same normalised text count as one: occurrences, first and last time."""
-    need = F.trim(F.regexp_replace(F.lower(F.col(text)), "[^a-z0-9]+", " "))
+    """Entries with the same normalised text (lower case, accents dropped, only letters and digits) count as one: occurrences, first and last time."""
+    need = F.trim(F.regexp_replace(folded(F.col(text)), "[^a-z0-9]+", " "))
     seq = F.struct(*order)
     return entries.groupBy(need.alias("need")).agg(F.count("*").alias("occurrences"), F.min(seq).alias("_a"), F.max(seq).alias("_b")).select("need", "occurrences", F.col("_a")[order[0]].alias("first_seen"), F.col("_b")[order[0]].alias("last_seen"))
 

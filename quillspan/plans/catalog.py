@@ -53,9 +53,11 @@ def resolve_calls_left(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"), "left").select("l_orderkey", "l_linenumber", kind.alias("resolved"))
 
 
-@query("""SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""")
+@query("""SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority LIKE '1%')""")
 def unresolved_anti(spark: SparkSession, d: str) -> DataFrame:
-    return op.anti(table(spark, d, "customer"), table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey")).select("c_custkey")
+    """Customers as calls, urgent orders as definitions: those without one."""
+    urgent = table(spark, d, "orders").where("o_orderpriority LIKE '1%'")
+    return op.anti(table(spark, d, "customer"), urgent, F.col("c_custkey") == F.col("o_custkey")).select("c_custkey")
 
 
 @query("""SELECT l_partkey, count(DISTINCT l_orderkey) AS callers FROM lineitem GROUP BY l_partkey""")
@@ -111,7 +113,7 @@ def param_position_theta(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT user_id, k, count(*) FILTER (event_type = 'view') AS reads, count(*) FILTER (event_type = 'purchase') AS writes, count(*) FILTER (event_type = 'error') AS deletes,
-CASE WHEN bool_or(event_type = 'view') AND bool_or(event_type = 'purchase') THEN 'ok' WHEN bool_or(event_type = 'purchase') THEN 'write_only' WHEN bool_or(event_type = 'view') THEN 'read_only' ELSE 'delete_only' END AS status
+CASE WHEN bool_or(event_type = 'purchase') AND NOT bool_or(event_type = 'view') THEN 'write_only' WHEN bool_or(event_type = 'view') AND NOT bool_or(event_type = 'purchase') THEN 'read_only' ELSE 'ok' END AS status
 FROM (SELECT user_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) WHERE event_type IN ('view', 'purchase', 'error') AND k IS NOT NULL AND user_id IS NOT NULL GROUP BY user_id, k""")
 def key_status_index(spark: SparkSession, d: str) -> DataFrame:
     """Property keys: views read, purchases write, errors delete."""
@@ -202,7 +204,7 @@ def parc_rollup(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").join(geo, F.col("c_nationkey") == F.col("n_nationkey")).rollup("r_name", "n_name").agg(F.count("*").alias("customers"), (F.grouping("r_name") + F.grouping("n_name")).cast("long").alias("level"))
 
 
-@query("""SELECT trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS need, count(*) AS occurrences, min(conv_id) AS first_seen, max(conv_id) AS last_seen FROM conversations GROUP BY 1""")
+@query("""SELECT trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', ' ', 'g')) AS need, count(*) AS occurrences, min(conv_id) AS first_seen, max(conv_id) AS last_seen FROM conversations GROUP BY 1""")
 def request_upsert(spark: SparkSession, d: str) -> DataFrame:
     """Turns as requests: the same normalised text counts up."""
     return op.upsert_counts(table(spark, d, "conversations"), "text", ["conv_id", "turn"])
@@ -243,14 +245,14 @@ def secret_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH f AS (SELECT 'webapp.mixed_content' AS rule, 'warn' AS severity FROM pages WHERE starts_with(url, 'http://') UNION ALL
-SELECT 'calls.unresolved', 'break' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT 'coverage.large', 'info' FROM part WHERE p_size > 45)
+SELECT 'calls.unresolved', 'break' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%') UNION ALL SELECT 'coverage.large', 'info' FROM part WHERE p_size > 45)
 SELECT rule, count(*) FILTER (severity = 'break') AS breaks, count(*) FILTER (severity = 'warn') AS warns, count(*) FILTER (severity = 'info') AS infos, CASE WHEN bool_or(severity = 'break') THEN 'BREAK' WHEN bool_or(severity = 'warn') THEN 'WARN' ELSE 'CLEAN' END AS verdict FROM f GROUP BY 1""")
 def verdict_fold(spark: SparkSession, d: str) -> DataFrame:
     """Findings of three rules, folded to a verdict by rule."""
     return fd.verdict(_findings(spark, d), "rule")
 
 
-@query("""SELECT 'webapp.mixed_content' AS rule, CAST(page_id AS VARCHAR) AS symbol FROM pages WHERE starts_with(url, 'http://') UNION ALL SELECT 'calls.unresolved', CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+@query("""SELECT 'webapp.mixed_content' AS rule, CAST(page_id AS VARCHAR) AS symbol FROM pages WHERE starts_with(url, 'http://') UNION ALL SELECT 'calls.unresolved', CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%')""")
 def severity_filter(spark: SparkSession, d: str) -> DataFrame:
     """Findings that are warnings at least."""
     return fd.at_least(_findings(spark, d), "warn").select("rule", "symbol")
@@ -259,7 +261,7 @@ def severity_filter(spark: SparkSession, d: str) -> DataFrame:
 def _findings(spark: SparkSession, d: str) -> DataFrame:
     return fd.union(
         webapp_mixed_content(spark, d).select(*fd.finding("webapp.mixed_content", "warn", F.col("page_id"), F.lit("plain http"))),
-        unresolved_anti(spark, d).select(*fd.finding("calls.unresolved", "break", F.col("c_custkey"), F.lit("no order"))),
+        unresolved_anti(spark, d).select(*fd.finding("calls.unresolved", "break", F.col("c_custkey"), F.lit("no urgent order"))),
         table(spark, d, "part").where("p_size > 45").select(*fd.finding("coverage.large", "info", F.col("p_partkey"), F.lit("large"))),
     )
 
@@ -298,8 +300,7 @@ def script_changes(spark: SparkSession, d: str) -> DataFrame:
 CASE WHEN o_orderstatus = 'F' THEN 'passes removed parameter b' ELSE 'still names a function that is now h' || o_orderkey END AS reason FROM orders WHERE o_orderstatus IN ('F', 'P')""")
 def script_check(spark: SparkSession, d: str) -> DataFrame:
     """What those changes break: calls that pass the lost parameter, calls by the old name."""
-    none = spark.createDataFrame([], "project string")
-    return rules.diff(fs.written(fs.facts(scripts(spark, d, False))), fs.written(fs.facts(scripts(spark, d, True))), none)
+    return rules.diff(fs.written(fs.facts(scripts(spark, d, False))), fs.written(fs.facts(scripts(spark, d, True))))
 
 
 @query(r"""SELECT CAST(page_id AS VARCHAR) AS file, count(*) AS links FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href="([^"#][^"]*)"[^>]*>')) AS tag FROM pages) WHERE NOT contains(tag, 'target=') GROUP BY 1""")

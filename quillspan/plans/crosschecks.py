@@ -12,23 +12,30 @@ from quillspan.operators.relations import fallback_join
 HOT_A_DAY, ERRORED = 1, 0.05
 
 
-def library_edges(store: DataFrame, manifest: DataFrame, providers: DataFrame) -> DataFrame:
-    """Calls `Prefix.f()` of declared libraries with the project and function that provide them.
+def library_calls(store: DataFrame, manifest: DataFrame, providers: DataFrame | None = None) -> DataFrame:
+    """Calls `Prefix.f()` of declared libraries with the project that provides them; null where none does.
 
     providers: (prefix, env, provider). A project named as the prefix comes first, then the caller's own environment (the last
-    part of its name), dev, prod, any. Only public functions are met; calls without one are left out.
-    Each key has one provider, the least by name, so no join multiplies rows.
+    part of its name), dev, prod, any. Each key has one provider, the least by name, so no join multiplies rows.
     """
+    if providers is None:
+        providers = store.select(F.lit(None).cast("string").alias("prefix"), F.lit(None).cast("string").alias("env"), F.lit(None).cast("string").alias("provider")).where("false")
     declared = manifest.select("project", F.explode("libraries.userSymbol").alias("receiver")).distinct()
-    calls = fs.view(store, "call").join(declared, ["project", "receiver"]).select("project", "file", "line", F.col("owner").alias("caller"), F.col("receiver").alias("prefix"), F.col("final_name").alias("function"))
+    calls = fs.view(store, "call").join(declared, ["project", "receiver"]).select("project", "file", "line", F.col("owner").alias("caller"), F.col("receiver").alias("prefix"), F.col("final_name").alias("function"), F.size("args").alias("n_args"))
     key = lambda env: F.concat_ws("|", "prefix", env)
     calls = calls.withColumn("_own", key(F.element_at(F.split("project", "/"), -1))).withColumn("_dev", key(F.lit("dev"))).withColumn("_prod", key(F.lit("prod")))
     named = store.select(F.col("project").alias("k"), F.col("project").alias("v")).distinct()
     by_env = providers.groupBy(key(F.col("env")).alias("k")).agg(F.min("provider").alias("v"))
     by_any = providers.groupBy(F.col("prefix").alias("k")).agg(F.min("provider").alias("v"))
     met = fallback_join(calls, [(named, "k", "prefix", "v"), (by_env, "k", "_own", "v"), (by_env, "k", "_dev", "v"), (by_env, "k", "_prod", "v"), (by_any, "k", "prefix", "v")], "provider")
+    return met.select("project", "file", "line", "caller", "prefix", "provider", "function", "n_args")
+
+
+def library_edges(store: DataFrame, manifest: DataFrame, providers: DataFrame | None = None) -> DataFrame:
+    """Library calls that meet a public function of their provider; calls without one are left out."""
+    met = library_calls(store, manifest, providers)
     public = fs.functions(store)[0].where("visibility = 'public'").select(F.col("project").alias("provider"), F.col("owner").alias("function"))
-    return met.join(public, ["provider", "function"], "left_semi").select("project", "file", "line", "caller", "prefix", "provider", "function")
+    return met.join(public, ["provider", "function"], "left_semi").select("project", "file", "line", "caller", "prefix", "provider", "function", "n_args")
 
 
 def prod_truth(store: DataFrame, metrics: DataFrame, days: int) -> DataFrame:

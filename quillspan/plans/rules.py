@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillspan.operators import facts as fs
 from quillspan.operators.relations import key_status, pair_one_to_one
+from quillspan.plans.crosschecks import library_calls, library_edges
 
 # What the script host's manifest knows.
 ADVANCED = """AdminDirectory AdminGroupsMigration AdminGroupsSettings AdminLicenseManager AdminReports AdminReseller Analytics AnalyticsReporting AppsActivity
@@ -36,7 +37,9 @@ SCOPES = {
     "Session": [f"{AUTH}userinfo.email", f"{AUTH}userinfo.profile"],
 }
 CURRENT_ONLY = {"SpreadsheetApp": "spreadsheets", "DocumentApp": "documents", "FormApp": "forms", "SlidesApp": "presentations"}
+#: Words in back quotes that are no field names: an own choice, values and types.
 DOC_WORDS = "null undefined true false void this self it string number boolean object array value result".split()
+# Globals of scripts.
 DOC_GLOBALS = "Math JSON Object Array String Number Boolean Date Promise RegExp Error Map Set WeakMap WeakSet Symbol console parseInt parseFloat isNaN isFinite encodeURIComponent decodeURIComponent google".split()
 CHATTY_SITES = 3
 
@@ -129,8 +132,11 @@ def _columns(before, after):
     return matched(before, after, "array2d", ["project", "owner", "variable"], "indices", "max_index")
 
 
-def diff(before: DataFrame, after: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Findings between two snapshots. Joins are on (project, symbol); positions are residuals."""
+def diff(before: DataFrame, after: DataFrame, manifest: DataFrame | None = None, providers: DataFrame | None = None) -> DataFrame:
+    """Findings between two snapshots. Joins are on (project, symbol); positions are residuals.
+
+    With the manifests, calls by the old name from projects that use this one as a library count too.
+    """
     at, r, use, reads = ["project", "symbol"], renames(before, after), fs.consumers(after), fs.field_reads(after)
     as_symbol = lambda df: df.withColumnRenamed("owner", "symbol").drop("file", "line")
     a, b = fs.functions(before)[0], fs.functions(after)[0]
@@ -148,7 +154,12 @@ def diff(before: DataFrame, after: DataFrame, manifest: DataFrame) -> DataFrame:
     broke = held.where("x_serializable = 'true' and y_serializable = 'false'").join(use.where("kind = 'client_call.invocation'"), at)
     null_now = held.where("not x_nullable and y_nullable").select(*at)
     keys = _keys(before, after)
+    outside = []
+    if manifest is not None:
+        calls = library_calls(after, manifest, providers).join(r.select(F.col("project").alias("provider"), F.col("old").alias("function"), "new"), ["provider", "function"])
+        outside = [found(calls, "cross_project_caller", "break", "function", say("still names a function of ", F.col("provider"), " that is now ", F.col("new")))]
     return both(
+        *outside,
         found(stale, F.col("kind"), "break", "symbol", say("still names a function that is now ", F.col("new"))),
         found(lost, "internal_caller", "warn", "owner", say("function removed")),
         found(d.join(reads, ["project", "symbol", "field"]), "client_call.success_handler", "break", "symbol", say("handler reads removed field ", F.col("field"))),
@@ -181,9 +192,13 @@ def parse_change(text: str) -> tuple[str, object]:
     raise ValueError(f"no change: {text}")
 
 
-def impact(store: DataFrame, project: str, name: str, change: str) -> DataFrame:
-    """Findings of a change to one function, before it is made; the store is filtered to the project first."""
+def impact(store: DataFrame, project: str, name: str, change: str, manifest: DataFrame | None = None, providers: DataFrame | None = None) -> DataFrame:
+    """Findings of a change to one function, before it is made; the store is filtered to the project first.
+
+    With the manifests, calls from projects that use this one as a library count too.
+    """
     kind, what = parse_change(change)
+    outside = None if manifest is None else library_edges(store, manifest, providers).where((F.col("provider") == project) & (F.col("function") == name)).withColumn("symbol", F.col("function"))
     store = store.where(F.col("project") == project)
     use = fs.consumers(store).where(F.col("symbol") == name)
     own = fs.functions(store)[0].where(F.col("owner") == name)
@@ -195,12 +210,30 @@ def impact(store: DataFrame, project: str, name: str, change: str) -> DataFrame:
         at = own.select("project", F.array_position("params", what).alias("_pos"))
         unknown = found(own.where(~F.array_contains("params", what)), "internal_caller", "warn", "owner", say(f"no parameter {what}"))
         hit = use.where("n_args is not null").join(at.where("_pos > 0"), "project").where("n_args >= _pos")
-        return unknown.unionByName(found(hit, F.col("kind"), "break", "symbol", say(f"passes removed parameter {what}")))
+        out = unknown.unionByName(found(hit, F.col("kind"), "break", "symbol", say(f"passes removed parameter {what}")))
+        if outside is not None:
+            far = outside.join(at.where("_pos > 0").select(F.col("project").alias("provider"), "_pos"), "provider").where("n_args >= _pos")
+            out = out.unionByName(found(far, "cross_project_caller", "break", "symbol", say(f"passes removed parameter {what}")))
+        return out
     if kind == "rename-param":
         known = F.array_contains("params", what[0])
         return found(own, "internal_caller", "warn", "owner", F.when(known, say(f"{what[0]} becomes {what[1]}: check the body and its documentation")).otherwise(say(f"no parameter {what[0]}")))
     roles = F.when(F.col("owner").isin(fs.WEB_ENTRIES), "entry_point_web").when(F.col("owner").isin(fs.SIMPLE_TRIGGERS), "simple_trigger")
-    return found(use, F.col("kind"), "break", "symbol", say(f"names {name}")).unionByName(found(own.where(roles.isNotNull()), roles, "break", "owner", say("the script host calls this name")))
+    out = found(use, F.col("kind"), "break", "symbol", say(f"names {name}")).unionByName(found(own.where(roles.isNotNull()), roles, "break", "owner", say("the script host calls this name")))
+    return out if outside is None else out.unionByName(found(outside, "cross_project_caller", "break", "symbol", say(f"names {name}")))
+
+
+def impact_safe(store: DataFrame, project: str, name: str, change: str) -> DataFrame:
+    """(project, symbol, field, reason): what a change of the returned shape leaves safe, fields that nobody reads and fields that come."""
+    kind, what = parse_change(change)
+    if kind != "change-return-shape":
+        raise ValueError("only a change of the returned shape has fields")
+    store = store.where(F.col("project") == project)
+    asked = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(s).alias("sign")) for s, f in what])
+    own = fs.functions(store)[0].where(F.col("owner") == name).select("project", F.col("owner").alias("symbol"), F.inline(asked))
+    read = fs.field_reads(store).where(F.col("symbol") == name).select("project", "field").distinct()
+    gone = own.where("sign = '-'").join(read, ["project", "field"], "left_anti").withColumn("reason", F.lit("nobody reads it"))
+    return gone.unionByName(own.where("sign = '+'").withColumn("reason", F.lit("a field more breaks nobody"))).select("project", "symbol", "field", "reason")
 
 
 # ---- manifest
@@ -354,7 +387,11 @@ def environment_rules(store: DataFrame, manifest: DataFrame, targets: DataFrame,
     Ids are met in scripts as whole words of 20 characters or more, so the join to resources is one of equality.
     """
     head = (F.coalesce(F.col("_l.developmentMode"), F.lit(False))) | F.upper(F.coalesce("_l.version", F.lit(""))).isin("", "0", "HEAD")
-    own = manifest.select("project", F.explode("libraries").alias("_l")).join(targets, "project").join(F.broadcast(library), (F.col("_l.userSymbol") == F.col("user_symbol")) | (F.col("_l.libraryId") == F.col("script_id")))
+    used = manifest.select("project", F.explode("libraries").alias("_l")).join(targets, "project")
+    # by symbol or by id: two joins of equality; what the first has found is left out of the second
+    by_symbol = used.join(library, F.col("_l.userSymbol") == F.col("user_symbol"))
+    by_id = used.join(library, (F.col("_l.libraryId") == F.col("script_id")) & ~F.col("_l.userSymbol").eqNullSafe(F.col("user_symbol")))
+    own = by_symbol.unionByName(by_id)
     own = own.withColumn("file", F.lit("appsscript.json")).withColumn("line", F.lit(1)).withColumn("symbol", F.concat_ws("::", "app", F.lit("env"), "env"))
     words = fs.view(store, "long_word").select("project", "file", "line", F.col("word").alias("id")).join(targets, "project")
     owners = resources.groupBy("id").agg(F.collect_set("env").alias("_envs"))
@@ -376,9 +413,18 @@ def environment_rules(store: DataFrame, manifest: DataFrame, targets: DataFrame,
 # ---- all together
 
 
-def check(before: DataFrame, after: DataFrame, manifest: DataFrame, embedded: bool = False) -> DataFrame:
-    """What a change breaks, with the manifest's, run time's and pages' own findings: all but information."""
-    return both(diff(before, after, manifest), manifest_rules(after, manifest), runtime_rules(after, manifest), webapp_rules(after, embedded)).where("severity <> 'info'")
+def check(before: DataFrame, after: DataFrame, manifest: DataFrame, embedded: bool = False, registry: Sequence[tuple] | None = None, providers: DataFrame | None = None, environment: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
+    """What a change breaks, with the findings of the manifest, run time, pages and documentation, and where they are given of
+    the API registry and the environment (targets, library, resources): all but information.
+
+    Both stores should be written: each rule reads its own views of them.
+    """
+    parts = [diff(before, after, manifest, providers), manifest_rules(after, manifest), runtime_rules(after, manifest), webapp_rules(after, embedded), doc_rules(after)]
+    if registry is not None:
+        parts.append(api_rules(after, registry))
+    if environment is not None:
+        parts.append(environment_rules(after, manifest, *environment))
+    return both(*parts).where("severity <> 'info'")
 
 
 def project_map(store: DataFrame, manifest: DataFrame) -> DataFrame:
