@@ -18,6 +18,7 @@ VIEWS = {
     "call": {"a": "callee", "b": "receiver", "c": "final_name", "d": "used_as", "items": "args"},
     "chain": {"a": "root", "flag": "truncated", "items": "steps"},
     "client_call": {"a": "server", "b": "success", "c": "failure", "items": "args"},
+    "chunk": {"a": "ordinal", "n": "length"},
     "handler": {"a": "param"},
     "handler_read": {"a": "field"},
     "scriptlet_call": {"a": "callee"},
@@ -389,9 +390,9 @@ def page_facts(html: str) -> Iterator[tuple]:
             elif word == "data" and t.text[i + 1] == "." and t.kind[min(i + 2, len(t.kind) - 1)] == "name":
                 yield row("scriptlet_read", None, src.at(t.start[i]), t.text[i + 2])
     plain = SCRIPTLET.sub(blank, html)
-    for m in SCRIPT.finditer(plain):
-        if re.search(r"\bsrc\s*=", m.group(1), re.I):
-            continue
+    inline = [m for m in SCRIPT.finditer(plain) if not re.search(r"\bsrc\s*=", m.group(1), re.I)]
+    for ordinal, m in enumerate(inline):
+        yield row("chunk", None, src.at(m.start(2)), str(ordinal), n=len(m.group(2)))
         tree, errors = parse(plain, m.start(2), m.end(2))
         yield from client_facts(tree, Source(plain))
         yield from (row("problem", None, src.at(o), e) for o, e in errors)

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from quillspan.functions import findings as fd
 from quillspan.functions.text import body_fingerprint, rounded
 from quillspan.operators import facts as fs
+from quillspan.operators import incremental
 from quillspan.operators import relations as op
-from quillspan.plans import rules
+from quillspan.operators import workspace as ws
+from quillspan.plans import crosschecks, rules
 from quillspan.sources.tables import process_log, table
 from quillspan.streaming.log import windows
 
@@ -73,15 +75,16 @@ def exposed_semi(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH a AS (SELECT s_nationkey AS k, min(s_suppkey) AS v FROM supplier WHERE s_acctbal > 5000 GROUP BY 1),
 b AS (SELECT n_regionkey AS k, min(s_suppkey) AS v FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 5000 GROUP BY 1)
-SELECT c_custkey, coalesce(a.v, b.v) AS provider FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN a ON a.k = c_nationkey LEFT JOIN b ON b.k = n_regionkey""")
+SELECT c_custkey, coalesce(a.v, b.v, (SELECT min(s_suppkey) FROM supplier)) AS provider FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN a ON a.k = c_nationkey LEFT JOIN b ON b.k = n_regionkey""")
 def cross_project_env_fallback(spark: SparkSession, d: str) -> DataFrame:
-    """A provider of the same nation, else of the same region."""
+    """A provider of the same nation, else of the same region, else the first of all."""
     nation = table(spark, d, "nation").select("n_nationkey", "n_regionkey")
     rich = table(spark, d, "supplier").where("s_acctbal > 5000")
     near = rich.groupBy("s_nationkey").agg(F.min("s_suppkey").alias("v"))
     far = rich.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey").agg(F.min("s_suppkey").alias("v"))
-    customers = table(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    return op.fallback_join(customers, [(near, "s_nationkey", "c_nationkey", "v"), (far, "n_regionkey", "n_regionkey", "v")], "provider").select("c_custkey", "provider")
+    every = table(spark, d, "supplier").agg(F.min("s_suppkey").alias("v")).withColumn("k", F.lit(0))
+    customers = table(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).withColumn("_every", F.lit(0))
+    return op.fallback_join(customers, [(near, "s_nationkey", "c_nationkey", "v"), (far, "n_regionkey", "n_regionkey", "v"), (every, "k", "_every", "v")], "provider").select("c_custkey", "provider")
 
 
 @query("""WITH a AS (SELECT o_orderkey AS k, o_orderstatus AS s FROM orders),
@@ -308,3 +311,122 @@ def page_links(spark: SparkSession, d: str) -> DataFrame:
     """Links without a target by page, from the facts of whole pages."""
     pages = table(spark, d, "pages").select(F.lit("site").alias("project"), F.col("page_id").cast("string").alias("file"), F.lit("html").alias("kind"), F.col("html").alias("content"))
     return fs.view(fs.facts(pages), "html_link").groupBy("file").agg(F.count("*").alias("links"))
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select(F.lit("site").alias("project"), F.col("page_id").cast("string").alias("file"), F.lit("html").alias("kind"), F.col("html").alias("content"))
+
+
+@query(r"""SELECT CAST(page_id AS VARCHAR) AS file, generate_subscripts(b, 1) - 1 AS ordinal, CAST(length(unnest(b)) AS INTEGER) AS length FROM (SELECT page_id, regexp_extract_all(html, '(?s)<script>(.*?)</script>', 1) AS b FROM pages)""")
+def webapp_script_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Inline scripts of whole pages, as the page parser cuts them."""
+    return fs.view(fs.facts(_pages(spark, d)), "chunk").select("file", F.col("ordinal").cast("long").alias("ordinal"), "length")
+
+
+@query("""WITH s AS (SELECT o_custkey, coalesce(list(DISTINCT o_orderpriority) FILTER (o_orderstatus = 'F'), []) AS a, coalesce(list(DISTINCT o_orderpriority) FILTER (o_orderstatus = 'O'), []) AS b FROM orders GROUP BY 1)
+SELECT o_custkey, array_to_string(list_sort(list_filter(a, lambda x: NOT list_contains(b, x))), ',') AS removed, array_to_string(list_sort(list_filter(b, lambda x: NOT list_contains(a, x))), ',') AS added FROM s""")
+def field_set_diff(spark: SparkSession, d: str) -> DataFrame:
+    """Priorities of a customer's filled orders as fields before, of open ones as fields after."""
+    some = lambda s: F.collect_set(F.when(F.col("o_orderstatus") == s, F.col("o_orderpriority")))
+    told = table(spark, d, "orders").groupBy("o_custkey").agg(some("F").alias("a"), some("O").alias("b"))
+    lost = lambda x, y: F.array_join(F.array_sort(F.array_except(x, y)), ",")
+    return told.select("o_custkey", lost("a", "b").alias("removed"), lost("b", "a").alias("added"))
+
+
+@query("""SELECT l_orderkey, CAST(max(l_linenumber) FILTER (l_linestatus = 'F') AS BIGINT) AS was, CAST(max(l_linenumber) AS BIGINT) AS now FROM lineitem GROUP BY 1 HAVING max(l_linenumber) > max(l_linenumber) FILTER (l_linestatus = 'F')""")
+def column_growth(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as variables, line numbers as columns read: those whose greatest grew from the filled lines to all."""
+    line = F.col("l_linenumber").cast("long")
+    told = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max(F.when(F.col("l_linestatus") == "F", line)).alias("was"), F.max(line).alias("now"))
+    return told.where("now > was")
+
+
+_WORDS = """WITH w AS (SELECT DISTINCT doc_id, lang, unnest(regexp_extract_all(text, '[a-z]{9,}')) AS id FROM documents), o AS (SELECT id, min(lang) AS env FROM w GROUP BY 1)"""
+
+
+def _resource_words(spark: SparkSession, d: str) -> DataFrame:
+    """Long words of documents as resource ids in code; each belongs to the first language that has it."""
+    words = table(spark, d, "documents").select("doc_id", "lang", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z]{9,}"), F.lit(0)))).alias("id"))
+    owner = words.groupBy(F.col("id").alias("_id")).agg(F.min("lang").alias("env"))
+    return words.join(owner, F.col("id") == F.col("_id"))
+
+
+@query(_WORDS + " SELECT doc_id, w.id, env FROM w JOIN o ON w.id = o.id WHERE lang <> env")
+def resource_leak(spark: SparkSession, d: str) -> DataFrame:
+    """Ids in documents of another language than their own."""
+    return _resource_words(spark, d).where("lang <> env").select("doc_id", "id", "env")
+
+
+@query(_WORDS + " SELECT lang, count(*) AS hits, count(DISTINCT w.id) AS ids FROM w JOIN o ON w.id = o.id WHERE lang = env GROUP BY 1")
+def resource_hardcode(spark: SparkSession, d: str) -> DataFrame:
+    """Ids written out in documents of their own language."""
+    return _resource_words(spark, d).where("lang = env").groupBy("lang").agg(F.count("*").alias("hits"), F.countDistinct("id").alias("ids"))
+
+
+@query("""SELECT c_custkey, count(*) AS matches FROM customer JOIN supplier ON s_nationkey = c_nationkey OR floor(s_acctbal / 100) = floor(c_acctbal / 100) GROUP BY 1""")
+def disjunctive_match(spark: SparkSession, d: str) -> DataFrame:
+    """Customers by how many suppliers have their nation or their balance in hundreds: counts by either less those by both, so no pair is made."""
+    s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("n"), F.floor(F.col("s_acctbal") / 100).alias("b"))
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("n"), F.floor(F.col("c_acctbal") / 100).alias("b"))
+    count = lambda name, *keys: s.groupBy(*keys).agg(F.count("*").alias(name))
+    out = c.join(count("by_nation", "n"), "n", "left").join(count("by_balance", "b"), "b", "left").join(count("by_both", "n", "b"), ["n", "b"], "left").na.fill(0, ["by_nation", "by_balance", "by_both"])
+    return out.select("c_custkey", (F.col("by_nation") + F.col("by_balance") - F.col("by_both")).alias("matches")).where("matches > 0")
+
+
+_HEAT = """WITH m AS (SELECT c_custkey AS f, CASE WHEN c_custkey % 5 < 4 THEN (SELECT count(*) FROM events WHERE user_id = c_custkey) END AS runs, (SELECT count(*) FROM events WHERE user_id = c_custkey AND event_type = 'error') AS errors, c_mktsegment = 'BUILDING' AS seen FROM customer),
+h AS (SELECT *, CASE WHEN runs IS NULL THEN 'unknown' WHEN runs = 0 THEN 'cold' WHEN runs / 30.0 >= 1 THEN 'hot' ELSE 'warm' END AS heat FROM m)"""
+
+
+def _heated(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as functions, events of the user of that number as their log over 30 days; a fifth has no metrics; one segment counts as exposed."""
+    log = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("e"))
+    out = table(spark, d, "customer").join(log, F.col("c_custkey") == F.col("user_id"), "left")
+    out = out.select(F.col("c_custkey").alias("f"), F.when(F.col("c_custkey") % 5 < 4, F.coalesce("n", F.lit(0))).alias("runs"), F.coalesce("e", F.lit(0)).alias("errors"), (F.col("c_mktsegment") == "BUILDING").alias("seen"))
+    return out.withColumn("heat", crosschecks.heat_of(F.col("runs"), 30))
+
+
+@query(_HEAT + " SELECT f, heat FROM h")
+def heat(spark: SparkSession, d: str) -> DataFrame:
+    return _heated(spark, d).select("f", "heat")
+
+
+@query(_HEAT + " SELECT f, CASE WHEN heat = 'unknown' THEN 'unknown' WHEN runs > 0 AND errors * 100 >= runs * 5 THEN 'errored' WHEN NOT seen AND heat = 'cold' THEN 'confirmed_dead' WHEN NOT seen THEN 'dispatched_dynamic' WHEN heat = 'cold' THEN 'cold_exposed' ELSE 'live' END AS status FROM h")
+def cross_status(spark: SparkSession, d: str) -> DataFrame:
+    return _heated(spark, d).select("f", crosschecks.status_of(F.col("heat"), F.col("runs"), F.col("errors"), F.col("seen")).alias("status"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%') THEN 'live_web_app' WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') THEN 'live_addon' WHEN c_mktsegment = 'BUILDING' THEN 'live_api' ELSE 'head_only' END AS status FROM customer""")
+def dispatch_priority(spark: SparkSession, d: str) -> DataFrame:
+    """The first of three kinds of orders that a customer has: one aggregate, one join."""
+    has = table(spark, d, "orders").groupBy("o_custkey").agg(F.bool_or(F.col("o_orderpriority").like("1%")).alias("web"), F.bool_or(F.col("o_orderstatus") == "P").alias("addon"))
+    out = table(spark, d, "customer").join(has, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return out.select("c_custkey", F.when(F.col("web"), "live_web_app").when(F.col("addon"), "live_addon").when(F.col("c_mktsegment") == "BUILDING", "live_api").otherwise("head_only").alias("status"))
+
+
+@query("""SELECT DISTINCT p_type, word FROM (SELECT p_type, unnest(string_split(p_name, ' ')) AS word FROM part) WHERE word NOT IN (SELECT DISTINCT split_part(p_name, ' ', 1) FROM part)""")
+def doc_drift(spark: SparkSession, d: str) -> DataFrame:
+    """Words of part names that no name starts with, by type: references to nothing known."""
+    part = table(spark, d, "part")
+    known = part.select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("word")).distinct()
+    return part.select("p_type", F.explode(F.split("p_name", " ")).alias("word")).distinct().join(known, "word", "left_anti").select("p_type", "word")
+
+
+@query("""SELECT r_name || '/' || n_name AS project, c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE n_name = 'NATION_3'""")
+def suffix_target(spark: SparkSession, d: str) -> DataFrame:
+    """Customers of the project region/nation that ends in a nation's name."""
+    geo = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.concat_ws("/", "r_name", "n_name").alias("project"))
+    return ws.pick(geo, "NATION_3").join(table(spark, d, "customer"), F.col("c_nationkey") == F.col("n_nationkey")).select("project", "c_custkey")
+
+
+def edited_scripts(spark: SparkSession, d: str) -> DataFrame:
+    """All scripts, those of one order in a hundred with a function more."""
+    more = F.when(F.regexp_extract("file", r"^(\d+)", 1).cast("long") % 100 == 7, "function more() { return f(1); }\n").otherwise("")
+    return scripts(spark, d, False).withColumn("content", F.concat("content", more))
+
+
+@query("""SELECT CAST(o_custkey AS VARCHAR) AS project, CAST(sum(CASE WHEN o_orderkey % 100 = 7 THEN 3 ELSE 2 END) AS BIGINT) AS functions, CAST(sum(CASE WHEN o_orderkey % 100 = 7 THEN 3 ELSE 2 END) AS BIGINT) AS calls FROM orders GROUP BY 1""")
+def scan_incremental(spark: SparkSession, d: str) -> DataFrame:
+    """An incremental scan after one script in a hundred changed: the whole store, of which only those are parsed anew."""
+    store = incremental.scan_incremental(fs.written(fs.facts(scripts(spark, d, False))), edited_scripts(spark, d))
+    n = lambda kind: F.count_if(F.col("fact") == kind)
+    return store.groupBy("project").agg(n("function").alias("functions"), n("call").alias("calls"))

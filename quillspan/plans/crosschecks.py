@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.operators import facts as fs
@@ -38,6 +38,17 @@ def library_edges(store: DataFrame, manifest: DataFrame, providers: DataFrame |
     return met.join(public, ["provider", "function"], "left_semi").select("project", "file", "line", "caller", "prefix", "provider", "function", "n_args")
 
 
+def heat_of(runs: Column, days: int) -> Column:
+    """unknown without a number, cold without a run, hot from HOT_A_DAY runs a day, else warm."""
+    return F.when(runs.isNull(), "unknown").when(runs == 0, "cold").when(runs / max(1, days) >= HOT_A_DAY, "hot").otherwise("warm")
+
+
+def status_of(heat: Column, runs: Column, errors: Column, seen: Column) -> Column:
+    """The first of: unknown, errored, confirmed_dead, dispatched_dynamic, cold_exposed, live; seen: whether code or pages reach it."""
+    failing = (runs > 0) & (errors / F.nullif(runs, F.lit(0)) >= ERRORED)
+    return F.when(heat == "unknown", "unknown").when(failing, "errored").when(~seen & (heat == "cold"), "confirmed_dead").when(~seen, "dispatched_dynamic").when(heat == "cold", "cold_exposed").otherwise("live")
+
+
 def prod_truth(store: DataFrame, metrics: DataFrame, days: int) -> DataFrame:
     """Functions with heat and status by their log; metrics: (project, symbol, runs, errors) over so many days.
 
@@ -48,11 +59,8 @@ def prod_truth(store: DataFrame, metrics: DataFrame, days: int) -> DataFrame:
     f = fs.functions(store)[0].select("project", F.col("owner").alias("symbol"))
     seen = fs.exposures(store).select(*at).unionByName(fs.called_by(store).select(*at)).distinct().withColumn("_seen", F.lit(True))
     out = f.join(metrics, at, "left").join(seen, at, "left").withColumn("_seen", F.coalesce("_seen", F.lit(False)))
-    heat = F.when(F.col("runs").isNull(), "unknown").when(F.col("runs") == 0, "cold").when(F.col("runs") / max(1, days) >= HOT_A_DAY, "hot").otherwise("warm")
-    out = out.withColumn("heat", heat)
-    cold, seen_ = F.col("heat") == "cold", F.col("_seen")
-    status = F.when(F.col("heat") == "unknown", "unknown").when((F.col("runs") > 0) & (F.col("errors") / F.col("runs") >= ERRORED), "errored").when(~seen_ & cold, "confirmed_dead").when(~seen_, "dispatched_dynamic").when(cold, "cold_exposed").otherwise("live")
-    return out.select(*at, "runs", "errors", "heat", status.alias("status"))
+    out = out.withColumn("heat", heat_of(F.col("runs"), days))
+    return out.select(*at, "runs", "errors", "heat", status_of(F.col("heat"), F.col("runs"), F.col("errors"), F.col("_seen")).alias("status"))
 
 
 def deployment_status(store: DataFrame, deployments: DataFrame) -> DataFrame:

@@ -174,7 +174,7 @@ def fx_chains(spark: SparkSession, d: str) -> DataFrame:
 def fx_pages(spark: SparkSession, d: str) -> DataFrame:
     """Facts of a page: resources, links, forms, fetches, calls of the server with handlers, scriptlets."""
     store = fs.facts(fx.files(spark, fx.rows("p", None, fx.PAGE)))
-    return store.where("fact not in ('file', 'long_word')").select("fact", "owner", "line", "a", "b", "c", "flag", joined("items"))
+    return store.where("fact not in ('file', 'long_word', 'chunk')").select("fact", "owner", "line", "a", "b", "c", "flag", joined("items"))
 
 
 @query(
