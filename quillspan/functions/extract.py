@@ -315,7 +315,7 @@ def outer_facts(tree: Node, inner: set[int], src: Source) -> Iterator[tuple]:
                 names = [c.of.prop.text for c in calls]
                 if root.kind == "name" and root.text == "ScriptApp" and "newTrigger" in names:
                     yield trigger_fact(None, src.at(n.start), names, calls)
-        todo.extend(reversed(list(n.children())))
+        todo.extend(reversed(n.children()))
 
 
 def columns(body: Node, name: str, text: str) -> set[int]:
@@ -338,7 +338,7 @@ def loop_facts(owner: str, body: Node, src: Source) -> Iterator[tuple]:
             inner[id(n.body)] = n.kind
         elif n.kind == "call" and n.of.kind == "member" and n.of.prop.text in EACH_METHODS and n.args and n.args[0].kind in FUNCTIONS:
             inner[id(n.args[0])] = f"array.{n.of.prop.text}"
-        todo.extend((c, inner.get(id(c), loop)) for c in reversed(list(n.children())))
+        todo.extend((c, inner.get(id(c), loop)) for c in reversed(n.children()))
 
 
 def script_facts(text: str) -> Iterator[tuple]:

@@ -24,10 +24,10 @@ UNARY = frozenset("! ~ + - typeof void delete".split())
 class Node:
     """kind, start and end offsets, and the parts of the kind as attributes."""
 
-    __slots__ = ("kind", "start", "end", "parts")
+    __slots__ = ("below", "kind", "start", "end", "parts")
 
     def __init__(self, kind: str, start: int, end: int, **parts):
-        self.kind, self.start, self.end, self.parts = kind, start, end, parts
+        self.kind, self.start, self.end, self.parts, self.below = kind, start, end, parts, None
 
     def __getattr__(self, name):
         try:
@@ -35,12 +35,16 @@ class Node:
         except KeyError:
             raise AttributeError(name) from None
 
-    def children(self) -> Iterator[Node]:
-        for v in self.parts.values():
-            if isinstance(v, Node):
-                yield v
-            elif isinstance(v, list):
-                yield from (x for x in v if isinstance(x, Node))
+    def children(self) -> list[Node]:
+        """The nodes among the parts; looked up once, when the tree is whole."""
+        if self.below is None:
+            self.below = []
+            for v in self.parts.values():
+                if isinstance(v, Node):
+                    self.below.append(v)
+                elif isinstance(v, list):
+                    self.below += [x for x in v if isinstance(x, Node)]
+        return self.below
 
 
 def walk(node: Node, into=lambda n: True) -> Iterator[Node]:
@@ -50,7 +54,7 @@ def walk(node: Node, into=lambda n: True) -> Iterator[Node]:
         n = todo.pop()
         yield n
         if n is node or into(n):
-            todo.extend(reversed(list(n.children())))
+            todo.extend(reversed(n.children()))
 
 
 class SyntaxProblem(Exception):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,19 +46,27 @@ def with_projects(files: DataFrame, root: str) -> DataFrame:
 def facts(files: DataFrame) -> DataFrame:
     """All facts of (project, file, kind, content). One pass, no shuffle; a file that is no script gives `problem` rows."""
 
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, rows = SCHEMA_NAMES, []
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
         for batch in batches:
-            for project, file, kind, content in batch.itertuples(index=False):
+            for project, file, kind, content in zip(*(batch.column(c).to_pylist() for c in ("project", "file", "kind", "content"))):
                 for f in facts_of(kind, content):
                     rows.append((project, file, *f))
                     if len(rows) >= BATCH:
-                        yield frame(rows, names)
+                        yield table_of(rows)
                         rows = []
         if rows:
-            yield frame(rows, names)
+            yield table_of(rows)
 
-    return files.select("project", "file", "kind", "content").where("kind in ('gs', 'html')").mapInPandas(extract, SCHEMA)
+    return files.select("project", "file", "kind", "content").where("kind in ('gs', 'html')").mapInArrow(extract, SCHEMA)
+
+
+_TYPES = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+_COLUMNS = [c.split() for c in SCHEMA.split(", ")]
+
+
+def table_of(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(values, _TYPES[kind]) for values, (_, kind) in zip(zip(*rows), _COLUMNS)], [name for name, _ in _COLUMNS])
 
 
 def written(store: DataFrame) -> DataFrame:
@@ -69,13 +77,6 @@ def written(store: DataFrame) -> DataFrame:
     return stored(store, "fact")
 
 
-SCHEMA_NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
-
-
-def frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=names).astype({"line": "Int32", "col": "Int32", "n": "Int32", "flag": "boolean"})
-
-
 def view(store: DataFrame, fact: str) -> DataFrame:
     """Rows of one fact with the columns' own names."""
     return store.where(F.col("fact") == fact).select("project", "file", "owner", "line", "col", *[F.col(k).alias(v) for k, v in VIEWS[fact].items()])

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quillspan.operators import facts as fs
 from quillspan.operators.relations import key_status, pair_one_to_one
 from quillspan.plans.crosschecks import library_calls, library_edges
+from quillspan.sources.shared import stored
 
 # What the script host's manifest knows.
 ADVANCED = """AdminDirectory AdminGroupsMigration AdminGroupsSettings AdminLicenseManager AdminReports AdminReseller Analytics AnalyticsReporting AppsActivity
@@ -67,11 +68,10 @@ def matched(before: DataFrame, after: DataFrame, fact: str, keys: list[str], *co
     return a.join(b, keys)
 
 
-def renames(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(project, old, new): functions gone and come with the same body, paired one to one within a project."""
+def renames(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(project, old, new) of two snapshots' functions: those gone and come with the same body, paired one to one within a project."""
     at = ["project", "owner"]
     key = lambda df: df.withColumn("_k", F.concat_ws("::", "project", "fingerprint"))
-    a, b = fs.functions(before)[0], fs.functions(after)[0]
     pairs = pair_one_to_one(key(a.join(b, at, "left_anti")), key(b.join(a, at, "left_anti")), "_k", "owner")
     return pairs.select(F.expr("substr(_k, 1, length(_k) - 18)").alias("project"), "old", "new")
 
@@ -79,11 +79,13 @@ def renames(before: DataFrame, after: DataFrame) -> DataFrame:
 def changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """(project, change, symbol, detail): every change between two snapshots, harmful or not."""
     at = ["project", "owner"]
-    a, b, r = fs.functions(before)[0], fs.functions(after)[0], renames(before, after)
+    # each is read by several of the branches below, so it is made once
+    a, b = stored(fs.functions(before)[0]), stored(fs.functions(after)[0])
+    r = stored(renames(a, b))
     row = lambda df, change, detail: df.select("project", F.lit(change).alias("change"), F.col("owner").alias("symbol"), detail.cast("string").alias("detail"))
     gone = a.join(b, at, "left_anti").join(r.select("project", F.col("old").alias("owner")), at, "left_anti")
     come = b.join(a, at, "left_anti").join(r.select("project", F.col("new").alias("owner")), at, "left_anti")
-    p, d = _params(before, after), _shapes(before, after)
+    p, d = _params(a, b), _shapes(before, after)
     t, k, c = _templates(before, after), _keys(before, after), _columns(before, after)
     each = lambda df, x, y, change: row(df.withColumn("_v", F.explode(F.array_except(x, y))), change, F.col("_v"))
     held = matched(before, after, "returns", at, "serializable", "nullable")
@@ -101,8 +103,7 @@ def changes(before: DataFrame, after: DataFrame) -> DataFrame:
 REORDERED = "x_params <> y_params and array_sort(x_params) = array_sort(y_params)"
 
 
-def _params(before, after):
-    a, b = fs.functions(before)[0], fs.functions(after)[0]
+def _params(a, b):
     return a.select("project", "owner", F.col("params").alias("x_params")).join(b.select("project", "owner", F.col("params").alias("y_params")), ["project", "owner"])
 
 
@@ -137,13 +138,15 @@ def diff(before: DataFrame, after: DataFrame, manifest: DataFrame | None = None,
 
     With the manifests, calls by the old name from projects that use this one as a library count too.
     """
-    at, r, use, reads = ["project", "symbol"], renames(before, after), fs.consumers(after), fs.field_reads(after)
+    at = ["project", "symbol"]
+    # each is read by several of the branches below, so it is made once
+    a, b, use, reads = stored(fs.functions(before)[0]), stored(fs.functions(after)[0]), stored(fs.consumers(after)), stored(fs.field_reads(after))
+    r = stored(renames(a, b))
     as_symbol = lambda df: df.withColumnRenamed("owner", "symbol").drop("file", "line")
-    a, b = fs.functions(before)[0], fs.functions(after)[0]
     lost = a.join(b, ["project", "owner"], "left_anti").join(r.select("project", F.col("old").alias("owner")), ["project", "owner"], "left_anti")
     stale = use.join(r.withColumnRenamed("old", "symbol"), at)
     d = as_symbol(_shapes(before, after)).withColumn("field", F.explode(F.array_except("x_fields", "y_fields")))
-    p = as_symbol(_params(before, after))
+    p = as_symbol(_params(a, b))
     cut = p.select("project", "symbol", "y_params", F.posexplode("x_params").alias("_pos", "_param")).where("not array_contains(y_params, _param)")
     called = use.where("n_args is not null")
     t = _templates(before, after)
