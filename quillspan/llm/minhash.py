@@ -159,7 +159,7 @@ def linked_pairs(ids: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], left
 def _verify(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        task = None
+        task, seen = None, set()
 
         def links() -> pa.RecordBatch:
             found = []
@@ -172,8 +172,10 @@ def _verify(num: int, den: int):
                 if t != task:
                     if held:
                         yield links()
-                    held, task = [], t
-                held.append(tuple(row))
+                    held, task, seen = [], t, set()
+                if row[0] not in seen:  # repeated rows of one text
+                    seen.add(row[0])
+                    held.append(tuple(row))
         if held:
             yield links()
 
@@ -197,38 +199,84 @@ def _linked_sets(docs: DataFrame, size: int, num: int, den: int, bands: int, row
     reps = stored(full.join(classes.withColumnRenamed("set_key", "_key"), (F.col("doc_id") == F.col("rep")) & (F.col("set_key") == F.col("_key"))).select(F.col("node").alias("id"), "rep", "set_key", "n_shingles", "sig", "bands"), 4 * n)
     buckets = reps.select("id", F.explode("bands").alias("key"))
     least = stored(buckets.groupBy(F.col("key").alias("k")).agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("k", "least"), n)
-    ties = buckets.join(least, F.col("key") == F.col("k")).where("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v"))
-    members = components(ties, n)
+    ties = stored(buckets.join(least, F.col("key") == F.col("k")).where("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v")).distinct(), n)
+    members = stored(components(ties, n), n)
 
+    # the full sets of all documents that have a candidate, made once
+    held = reps.join(members, "id", "left_semi").groupBy("id", "rep", "set_key").agg(F.min("sig").alias("sig"))
+    texts = slim.where("text is not null").join(held, F.col("doc_id") == F.col("rep")).select("id", "set_key", "sig", "text")
+    sets = stored(texts.mapInArrow(_sets(size), "id long, set_key binary, sig binary, shingles binary").select("id", "sig", "shingles"))
     sized = stored(reps.select("id", "n_shingles").distinct().join(members, "id"), n)
-    whole = sized.groupBy("component").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("total")).where((F.col("docs") > BLOCK_DOCS) | (F.col("total") > BLOCK_SHINGLES))
+
+    def linked(tasks: DataFrame) -> DataFrame:
+        """Links found in tasks (id, task, left)."""
+        dealt = sets.join(tasks, "id").select("task", "id", "sig", "shingles", "left")
+        return dealt.repartition(partitions(spark), "task").sortWithinPartitions("task").mapInArrow(_verify(num, den), "u long, v long")
+
+    stars = stored(linked(_star_tasks(ties, sized)), n)
+    classes1 = components(stars, n).select("id", F.col("component").alias("class"))
+    open_ = stored(sized.join(classes1, "id", "left").withColumn("class", F.coalesce("class", "id")), n)
+    several = open_.groupBy("component").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("component")
+    rest = linked(_class_tasks(open_.join(several, "component", "left_semi"), num, den))
+    return known, classes, stars.unionByName(rest), n
+
+
+def _blocks() -> Column:
+    return F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+
+
+def _star_tasks(ties: DataFrame, sized: DataFrame) -> DataFrame:
+    """Tasks (id, task, left) that compare each bucket's documents with its least one, the left of its tasks; blocks are of bounded size, so a hot bucket is spread."""
+    of = sized.select("id", "n_shingles")
+    tied = ties.join(of, F.col("u") == F.col("id"))
+    blocks = tied.groupBy("v").agg(_blocks().alias("blocks"))
+    task = lambda b: F.xxhash64("v", b)
+    many = ties.join(blocks, "v").select(F.col("u").alias("id"), task(F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int")).alias("task"), F.lit(False).alias("left"))
+    return many.unionByName(blocks.select(F.col("v").alias("id"), F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), task)).alias("task"), F.lit(True).alias("left")))
+
+
+def _class_tasks(open_: DataFrame, num: int, den: int) -> DataFrame:
+    """Tasks (id, task, left) that compare all pairs of a cluster but those inside one class of more than half a block.
+
+    open_: (id, n_shingles, component, class). A cluster of bounded size is one
+    task. Others are cut by set size (sets that can link differ by a quarter at
+    the most, so they are of one level or of neighbouring ones) and each level
+    into blocks: of each large class its own, of the others' mixed ones (label -1).
+    Two blocks of one large class don't meet, so a class of n copies beside a
+    few other documents costs n comparisons for each of them, not n squared.
+    """
+    whole = open_.groupBy("component").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("total")).where((F.col("docs") > BLOCK_DOCS) | (F.col("total") > BLOCK_SHINGLES)).select(F.col("component").alias("_big"))
     step = -np.log(num / den)
     level = F.floor(F.log(F.col("n_shingles").cast("double")) / step - 1e-9).cast("int")
-    cut = materialize(sized.join(whole.select("component"), "component", "left_semi").groupBy("component", level.alias("level")).agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")))
-    near = cut.groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("level", "blocks"))).alias("by_level"))
-    placed = sized.join(near, "component", "left").withColumn("level", F.when(F.col("by_level").isNull(), F.lit(0)).otherwise(level))
-    count = lambda d: F.coalesce(F.col("by_level")[F.col("level") + d], F.lit(0))
-    placed = placed.withColumn("own", F.when(F.col("by_level").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("id"), count(0)).cast("int")))
+    rows = open_.join(whole, F.col("component") == F.col("_big"), "left")
+    small = rows.where("_big is null").select("id", F.xxhash64("component").alias("task"), F.lit(True).alias("left"))
+    big = rows.where("_big is not null").withColumn("level", level)
+    at = ["component", "level", "class"]
+    large = big.groupBy(*at).agg(F.count("*").alias("_n")).where(F.col("_n") > BLOCK_DOCS / 2).select(*at, F.col("class").alias("_label"))
+    big = materialize(big.join(large, at, "left").select("id", "n_shingles", "component", "level", F.coalesce("_label", F.lit(-1)).alias("label")))
+    cut = big.groupBy("component", "level", "label").agg(_blocks().alias("blocks"))
+    by_level = cut.groupBy("component", "level").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("label", "blocks"))), lambda x: F.array_repeat(x["label"], x["blocks"]))).alias("labels"))
+    near = by_level.groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("level", "labels"))).alias("by_level"))
+    labels = lambda d: F.coalesce(F.try_element_at("by_level", F.col("level") + d), F.array().cast("array<bigint>"))
+    own_blocks = F.size(F.filter(labels(0), lambda x: x == F.col("label")))
+    placed = big.join(near, "component").withColumn("own", (F.array_position(labels(0), F.col("label")) - 1 + F.pmod(F.xxhash64("id"), own_blocks)).cast("int"))
     # tasks are (cluster, level and block, level and block), the lower first; the row of a task's first block is `left`
     name = lambda l1, b1, l2, b2: F.xxhash64("component", l1, b1, l2, b2)
-    up_to = lambda a, b: F.when(b >= a, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
-    own, lev = F.col("own"), F.col("level")
-    task = lambda t, left: F.struct(t.alias("task"), left.alias("left"))
-    yes, no = F.lit(True), F.lit(False)
-    many = F.concat(
-        F.array(task(name(lev, own, lev, own), yes)),
-        F.transform(up_to(own + 1, count(0) - 1), lambda b: task(name(lev, own, lev, b), yes)),
-        F.transform(up_to(F.lit(0), own - 1), lambda b: task(name(lev, b, lev, own), no)),
-        F.transform(up_to(F.lit(0), count(1) - 1), lambda b: task(name(lev, own, lev + 1, b), yes)),
-        F.transform(up_to(F.lit(0), count(-1) - 1), lambda b: task(name(lev - 1, b, lev, own), no)),
-    )
-    tasks = placed.select("id", F.when(F.col("by_level").isNull(), F.array(task(name(lev, own, lev, own), yes))).otherwise(many).alias("tasks"))
-    ids = reps.select("id", "rep", "set_key", "sig").join(tasks, "id").dropDuplicates(["id"])
-    dealt = slim.where("text is not null").join(ids, F.col("doc_id") == F.col("rep")).select("id", "set_key", "sig", "tasks", "text")
-    kinds = "id long, set_key binary, sig binary, tasks array<struct<task:long,left:boolean>>, shingles binary"
-    dealt = dealt.mapInArrow(_sets(size), kinds).select("id", "sig", "shingles", F.explode("tasks").alias("t")).select(F.col("t.task").alias("task"), "id", "sig", "shingles", F.col("t.left").alias("left"))
-    edges = dealt.repartition(partitions(spark), "task").sortWithinPartitions("task").mapInArrow(_verify(num, den), "u long, v long")
-    return known, classes, edges, n
+    own, lev, mixed_ = F.col("own"), F.col("level"), F.col("label") == -1
+    none = F.array().cast("array<struct<task:bigint,left:boolean>>")
+
+    def against(d: int) -> Column:
+        """Tasks with the blocks of level + d: with its own block only if that is mixed, with none of its own class."""
+        there = F.filter(F.transform(labels(d), lambda x, b: F.struct(b.alias("b"), x.alias("x"))), lambda s: mixed_ | (s["x"] != F.col("label")))
+        first = F.lit(d > 0) if d else None
+        pair = lambda s: F.struct(
+            F.when(s["b"] >= own if d == 0 else first, name(lev, own, lev + d, s["b"])).otherwise(name(lev + d, s["b"], lev, own)).alias("task"),
+            (s["b"] >= own if d == 0 else first).alias("left"),
+        )
+        return F.transform(there, pair)
+
+    tasks = F.concat(none, against(0), against(1), against(-1))
+    return small.unionByName(placed.select("id", F.explode(tasks).alias("t")).select("id", F.col("t.task").alias("task"), F.col("t.left").alias("left")))
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, num: int = 80, den: int = 100, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -240,11 +288,13 @@ def near_duplicates(docs: DataFrame, size: int = 4, num: int = 80, den: int = 10
     2. Members of a band's bucket are tied to the bucket's least id (a partial
        aggregate joined back; no bucket is gathered). Ties make candidate
        clusters: two documents that share any bucket are in the same cluster.
-    3. Inside a cluster every pair is compared, in tasks over two blocks of
-       bounded size; large clusters are cut by set size (pairs that can link
-       differ by a quarter at the most) and a hash, so no task holds a whole
-       cluster. Signatures rule out what is far below the threshold, full sets
-       decide, and a task returns a forest, not all pairs.
+    3. Each bucket's documents are compared with its least one first: that is
+       linear, and what links so is one class. Only clusters that are still of
+       several classes go on: there every pair is compared but those inside a
+       large class, in tasks over two blocks of bounded size (see
+       _class_tasks), so no task holds a whole cluster. Signatures rule out
+       what is far below the threshold, full sets decide, and a task returns a
+       forest, not all pairs.
     4. The least id of each component is found by large-star and small-star.
 
     Null and empty texts have no shingles, component doc_id, kept true. Rows
