@@ -18,6 +18,8 @@ from .wordhash import mixed
 FIT_ROWS = 20_000
 #: Vectors in a block of the grid order, and in a leaf of the recursion.
 BLOCK, LEAF = 2048, 128
+#: Blocks in a row that travel together, and leading directions by which such groups are told apart before they do.
+GROUP, LEADING = 8, 8
 #: Bits of the order: cells of the leading dimensions, place in the first cell, spread of equal places.
 CELL_BITS, PLACE_BITS, SPREAD_BITS = 40, 10, 13
 
@@ -108,10 +110,10 @@ def _packed(grids):
         table = table.sort_by("ord")
         x = np.frombuffer(b"".join(table.column("v").to_pylist()), np.float64).reshape(table.num_rows, -1)
         p = grid.place(x)
-        cells = np.floor(p[:, 0] / grid.eps).astype(np.int64)
         lists = lambda a: pa.array([a.tolist()], pa.list_(pa.float64()))
         blob = lambda c: pa.array([table.column(c).to_numpy().astype(np.int64).tobytes()], pa.binary())
-        return pa.table({"dim": pa.array([x.shape[1]], pa.int32()), "block": pa.array([key[1].as_py()], pa.int64()), "first": pa.array([int(cells.min())], pa.int64()), "last": pa.array([int(cells.max())], pa.int64()), "lo": lists(p.min(0)), "hi": lists(p.max(0)), "reps": blob("rep"), "ns": blob("n"), "vs": pa.array([x.tobytes()], pa.binary())})
+        pad = np.zeros(max(0, LEADING - x.shape[1]))
+        return pa.table({"dim": pa.array([x.shape[1]], pa.int32()), "block": pa.array([key[1].as_py()], pa.int64()), "lo": lists(np.append(p.min(0)[:LEADING], pad)), "hi": lists(np.append(p.max(0)[:LEADING], pad)), "reps": blob("rep"), "ns": blob("n"), "vs": pa.array([x.tobytes()], pa.binary())})
 
     return run
 
@@ -193,34 +195,63 @@ def join_blocks(left: _Side, right: _Side, same: bool, threshold: float) -> tupl
 
 def _joined(grids, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, sides = None, []
+
+        def links() -> Iterator[pa.RecordBatch]:
+            """Of all pairs of blocks of the task's two groups; of one group, of each pair once."""
+            _, left, right = task
+            for i, (group, block, a) in enumerate(sides):
+                for group2, block2, b in sides[i:] if left == right else [x for x in sides if group == left and x[0] == right]:
+                    x, y, forest = join_blocks(a, b, a is b, threshold)
+                    if a is b:
+                        x, y = x + y, x[:0]
+                    ids, n = np.concatenate([a.reps, b.reps[: len(y)]]), np.concatenate([x, y])
+                    ids, n = ids[n > 0], n[n > 0]
+                    u, v = [e[0] for e in forest], [e[1] for e in forest]
+                    if len(ids):
+                        yield pa.RecordBatch.from_arrays([pa.array([*ids.tolist(), *u], pa.int64()), pa.array([*[None] * len(ids), *v], pa.int64()), pa.array([*n.tolist(), *[None] * len(u)], pa.int64())], ["u", "v", "n"])
+
         for batch in batches:
             for i in range(batch.num_rows):
                 r = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-                grid = grids.value[r["dim"]]
-                same = r["block"] == r["block2"]
-                left = _Side(r["reps"], r["ns"], r["vs"], grid)
-                right = left if same else _Side(r["reps2"], r["ns2"], r["vs2"], grid)
-                x, y, forest = join_blocks(left, right, same, threshold)
-                if same:
-                    x, y = x + y, x[:0]
-                ids, n = np.concatenate([left.reps, right.reps[: len(y)]]), np.concatenate([x, y])
-                ids, n = ids[n > 0], n[n > 0]
-                u, v = [e[0] for e in forest], [e[1] for e in forest]
-                yield pa.RecordBatch.from_arrays([pa.array([*ids.tolist(), *u], pa.int64()), pa.array([*[None] * len(ids), *v], pa.int64()), pa.array([*n.tolist(), *[None] * len(u)], pa.int64())], ["u", "v", "n"])
+                if (r["dim"], r["left"], r["right"]) != task:
+                    if task:
+                        yield from links()
+                    task, sides = (r["dim"], r["left"], r["right"]), []
+                sides.append((r["group"], r["block"], _Side(r["reps"], r["ns"], r["vs"], grids.value[r["dim"]])))
+        if task:
+            yield from links()
 
     return run
 
 
+def _near_groups(blocks: DataFrame, eps: float) -> DataFrame:
+    """(dim, left, right): groups of blocks whose boxes are within eps in the leading directions, left <= right.
+
+    Boxes meet in cells of the first two directions; of a pair that meets in
+    several cells one row stays.
+    """
+    k = range(LEADING)
+    boxes = blocks.groupBy("dim", "group").agg(F.array(*[F.min(F.col("lo")[i]) for i in k]).alias("lo"), F.array(*[F.max(F.col("hi")[i]) for i in k]).alias("hi"))
+    cell = lambda c: F.floor(c / eps)
+    spread = lambda df, more: df.withColumn("c1", F.explode(F.sequence(cell(F.col("lo")[0]) - more, cell(F.col("hi")[0]) + more))).withColumn("c2", F.explode(F.sequence(cell(F.col("lo")[1]) - more, cell(F.col("hi")[1]) + more)))
+    here = spread(boxes, 0).withColumnRenamed("group", "left")
+    there = spread(boxes, 1).select("dim", F.col("group").alias("right"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), "c1", "c2")
+    gap = sum((F.pow(F.greatest(F.lit(0.0), F.col("lo2")[i] - F.col("hi")[i], F.col("lo")[i] - F.col("hi2")[i]), 2) for i in k), F.lit(0.0))
+    return here.join(there, ["dim", "c1", "c2"]).where("left <= right").where(gap <= eps * eps + 1e-9).select("dim", "left", "right").distinct()
+
+
 def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept: vectors linked at cosine >= threshold, in double precision.
 
     Equal vectors become one class with a count. Unit vectors are rotated onto
     the principal directions of a bounded sample, sorted by grid cells of
     width eps (cosine >= t is a distance <= sqrt(2 - 2t)) and cut into blocks.
-    Blocks whose bounding boxes are within eps, found by an equi-join of
-    neighbouring cells of the first direction, are joined by recursion over
-    halves of the two sequences. A task returns counts and a forest, never
-    all pairs, so dense groups stay linear in what moves.
+    Groups of blocks in a row whose boxes are within eps, found by an
+    equi-join of neighbouring cells of the first two directions, meet in one
+    task, where blocks are joined by recursion over halves of the two
+    sequences; what is provably far apart is skipped. A task returns counts
+    and a forest, never all pairs, so dense groups stay linear in what moves.
 
     Vectors that are null, empty, zero or hold null, NaN or infinite
     components link with nothing; vectors of different lengths don't link.
@@ -245,21 +276,18 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     grids = sc.broadcast(grids)
     for d, rows in sizes.items():
         blocks = -(-rows // BLOCK)
-        keys = nodes(bounded_sample(reps.where(F.col("dim") == d), "node", rows, 32 * blocks)).mapInArrow(_placed(grids, None), "dim int, ord long").select("ord").toPandas()["ord"].to_numpy(np.int64)
+        keys = nodes(bounded_sample(reps.where(F.col("dim") == d), "node", rows, 8 * blocks)).mapInArrow(_placed(grids, None), "dim int, ord long").select("ord").toPandas()["ord"].to_numpy(np.int64)
         keys.sort()
         bounds[d] = keys[np.linspace(0, len(keys), blocks + 1).astype(np.int64)[1:-1]] if len(keys) else keys
     bounds = sc.broadcast(bounds)
     placed = nodes(reps).mapInArrow(_placed(grids, bounds), "dim int, block long, ord long, rep long, n long, v binary")
-    kinds = "dim int, block long, first long, last long, lo array<double>, hi array<double>, reps binary, ns binary, vs binary"
-    blocks = stored(placed.groupBy("dim", "block").applyInArrow(_packed(grids), kinds))
-    box = blocks.select("dim", "block", "lo", "hi", F.explode(F.sequence("first", "last")).alias("cell"))
-    other = blocks.select("dim", F.col("block").alias("block2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.explode(F.sequence(F.col("first") - 1, F.col("last") + 1)).alias("cell"))
-    gap = F.expr("aggregate(zip_with(zip_with(lo2, hi, (x, y) -> greatest(0D, x - y)), zip_with(lo, hi2, (x, y) -> greatest(0D, x - y)), (x, y) -> greatest(x, y)), 0D, (s, x) -> s + x * x)")
-    pairs = box.join(other, ["dim", "cell"]).where("block <= block2").where(gap <= eps * eps + 1e-9).select("dim", "block", "block2").distinct()
-    side = lambda n: blocks.select(F.col("dim").alias(f"_d{n}"), F.col("block").alias(f"_b{n}"), *[F.col(c).alias(c + n) for c in ("reps", "ns", "vs")])
-    both = pairs.join(side(""), (F.col("dim") == F.col("_d")) & (F.col("block") == F.col("_b"))).drop("_d", "_b")
-    both = both.join(side("2"), (F.col("dim") == F.col("_d2")) & (F.col("block2") == F.col("_b2"))).drop("_d2", "_b2")
-    links = stored(both.repartition(partitions(spark), "block", "block2").mapInArrow(_joined(grids, threshold), "u long, v long, n long"))
+    kinds = "dim int, block long, lo array<double>, hi array<double>, reps binary, ns binary, vs binary"
+    blocks = stored(placed.groupBy("dim", "block").applyInArrow(_packed(grids), kinds).withColumn("group", F.floor(F.col("block") / GROUP).cast("long")))
+    pairs = stored(_near_groups(blocks.select("dim", "group", "lo", "hi"), eps))
+    # a block goes once to each pair of groups that its own is in
+    asked = pairs.select("dim", F.explode(F.array_distinct(F.array("left", "right"))).alias("group"), "left", "right")
+    both = blocks.select("dim", "group", "block", "reps", "ns", "vs").join(asked, ["dim", "group"]).select("dim", "left", "right", "group", "block", "reps", "ns", "vs")
+    links = stored(both.repartition(partitions(spark), "dim", "left", "right").sortWithinPartitions("dim", "left", "right", "block").mapInArrow(_joined(grids, threshold), "u long, v long, n long"))
     found = links.where("n is not null").groupBy(F.col("u").alias("id")).agg(F.sum("n").alias("others"))
     edges = links.where("v is not null").select("u", "v").unionByName(id_ties(usable, classes, "key"))
     linked = least_ids(classes, edges)
