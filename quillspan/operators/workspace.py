@@ -126,10 +126,11 @@ def overview(targets_: DataFrame, store: DataFrame, manifest: DataFrame, library
 def library_scopes(store: DataFrame, manifest: DataFrame, targets_: DataFrame, library_: DataFrame, scopes: dict[str, list[str]]) -> DataFrame:
     """(project, app, env, missing): consumers with explicit scopes that lack some the library needs.
 
-    The library is the app whose project has its id. It needs the scopes its manifest declares, and for each service it uses
+    The library is the app that has its symbol as prefix or its id as a project's. It needs the scopes its manifest declares, and for each service it uses
     any of the scopes that the service accepts; of those the first is told as missing.
     """
-    provider = targets_.join(library_.select("script_id"), "script_id", "left_semi").select("project", "app")
+    by_prefix = targets_.join(library_.select(F.col("user_symbol").alias("library_prefix")), "library_prefix", "left_semi").select("project", "app")
+    provider = targets_.join(library_.select("script_id"), "script_id", "left_semi").select("project", "app").unionByName(by_prefix).distinct()
     told = manifest.join(provider, "project").select("app", F.explode("scopes").alias("scope"))
     needed = told.select("app", F.array("scope").alias("any"), "scope")
     roots = fs.view(store, "call").select("project", fs.root_name("receiver").alias("root")).distinct().join(provider, "project")

@@ -475,15 +475,15 @@ def fx_doc(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "project VARCHAR, kind VARCHAR, severity VARCHAR, symbol VARCHAR",
-    ("", "env.undeclared_resource", "warn", "log"),
-    ("a/dev", "env.library_version_mismatch", "warn", "a::env::dev"),
-    ("a/prod", "env.cross_env_leak", "break", "DDDDDDDDDDDDDDDDDDDDDDDD"),
-    ("a/prod", "env.hardcoded_resource", "warn", "PPPPPPPPPPPPPPPPPPPPPPPP"),
-    ("a/prod", "env.hardcoded_resource", "warn", "ZZZZZZZZZZZZZZZZZZZZZZZZ"),
-    ("a/prod", "env.library_version_mismatch", "break", "a::env::prod"),
-    ("b/prod", "env.library_version_mismatch", "break", "b::env::prod"),
-    ("c/prod", "env.library_version_mismatch", "break", "c::env::prod"),
+    "project VARCHAR, kind VARCHAR, severity VARCHAR, symbol VARCHAR, reason VARCHAR",
+    ("", "env.undeclared_resource", "warn", "env::prod", "not declared: log"),
+    ("a/dev", "env.library_version_mismatch", "warn", "a::env::dev", "development should follow the head"),
+    ("a/prod", "env.cross_env_leak", "break", "a::env::prod", "id of dev in prod: DDDDDDDDDDDDDDDDDDDDDDDD"),
+    ("a/prod", "env.hardcoded_resource", "warn", "a::env::prod", "declared id written out: PPPPPPPPPPPPPPPPPPPPPPPP"),
+    ("a/prod", "env.hardcoded_resource", "warn", "a::env::prod", "undeclared id written out: ZZZZZZZZZZZZZZZZZZZZZZZZ"),
+    ("a/prod", "env.library_version_mismatch", "break", "a::env::prod", "production must use version 11"),
+    ("b/prod", "env.library_version_mismatch", "break", "b::env::prod", "production must use version 11"),
+    ("c/prod", "env.library_version_mismatch", "break", "c::env::prod", "production must use version 11"),
 )
 def fx_env(spark: SparkSession, d: str) -> DataFrame:
     """Projects of environments against a workspace: pinned versions, ids of other environments, ids written out, resources not declared."""
@@ -495,7 +495,7 @@ def fx_env(spark: SparkSession, d: str) -> DataFrame:
     targets = spark.createDataFrame([(p, p[0], p[2:]) for p in ("a/prod", "b/prod", "c/prod", "a/dev", "b/dev")], "project string, app string, env string")
     library = spark.createDataFrame([("Core", "L1", 11)], "user_symbol string, script_id string, prod_version int")
     resources = spark.createDataFrame([("prod", "sheet", prod), ("dev", "sheet", dev), ("dev", "log", dev)], "env string, name string, id string")
-    return rules.environment_rules(fs.facts(f), fs.manifests(f), targets, library, resources).select("project", "kind", "severity", "symbol")
+    return rules.environment_rules(fs.facts(f), fs.manifests(f), targets, library, resources).select("project", "kind", "severity", "symbol", "reason")
 
 
 @query(
@@ -700,7 +700,7 @@ def _park(spark: SparkSession):
     "app VARCHAR, env VARCHAR, present BOOLEAN, lib_version VARCHAR, lib_mode VARCHAR, functions BIGINT, doc_pct BIGINT, verdict VARCHAR",
     ("core", "prod", True, None, "none", 3, 0, "CLEAN"),
     ("later", "dev", False, None, "none", None, None, "CLEAN"),
-    ("shop", "dev", True, "HEAD", "HEAD", 7, 17, "CLEAN"),
+    ("shop", "dev", True, "HEAD", "HEAD", 7, 17, "BREAK"),
     ("shop", "prod", True, "12", "pinned", 7, 17, "BREAK"),
 )
 def fx_park(spark: SparkSession, d: str) -> DataFrame:

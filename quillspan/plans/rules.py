@@ -395,21 +395,22 @@ def environment_rules(store: DataFrame, manifest: DataFrame, targets: DataFrame,
     by_symbol = used.join(library, F.col("_l.userSymbol") == F.col("user_symbol"))
     by_id = used.join(library, (F.col("_l.libraryId") == F.col("script_id")) & ~F.col("_l.userSymbol").eqNullSafe(F.col("user_symbol")))
     own = by_symbol.unionByName(by_id)
-    own = own.withColumn("file", F.lit("appsscript.json")).withColumn("line", F.lit(1)).withColumn("symbol", F.concat_ws("::", "app", F.lit("env"), "env"))
+    own = own.withColumn("file", F.lit("appsscript.json")).withColumn("line", F.lit(1))
+    at = F.concat_ws("::", "app", F.lit("env"), "env")  # what findings of one project are told under
     words = fs.view(store, "long_word").select("project", "file", "line", F.col("word").alias("id")).join(targets, "project")
     owners = resources.groupBy("id").agg(F.collect_set("env").alias("_envs"))
     hit = words.join(owners, "id").withColumn("_right", F.array_contains("_envs", F.col("env")))
     opened = fs.view(store, "resource_open").select("project", "file", "line", "id").join(targets, "project").join(owners, "id", "left_anti")
     declared = resources.agg(F.collect_set("env").alias("_e"), F.collect_set("name").alias("_n"), F.collect_set(F.struct("env", "name")).alias("_p")).withColumn("env", F.explode("_e"))
     has = F.transform(F.filter("_p", lambda x: x["env"] == F.col("env")), lambda x: x["name"])
-    absent = declared.select("env", F.explode(F.array_except("_n", has)).alias("symbol"), F.lit("").alias("project"), F.lit("workspace").alias("file"), F.lit(1).alias("line"))
+    absent = declared.select("env", F.explode(F.array_except("_n", has)).alias("name"), F.lit("").alias("project"), F.lit("workspace").alias("file"), F.lit(1).alias("line"))
     return both(
-        found(own.where((F.col("env") == "prod") & (head | (F.col("_l.version") != F.col("prod_version").cast("string")))), "env.library_version_mismatch", "break", "symbol", say("production must use version ", F.col("prod_version"))),
-        found(own.where((F.col("env") == "dev") & ~head), "env.library_version_mismatch", "warn", "symbol", say("development should follow the head")),
-        found(hit.where("not _right"), "env.cross_env_leak", "break", "id", say("id of ", F.array_join("_envs", ","), " in ", F.col("env"))),
-        found(hit.where("_right"), "env.hardcoded_resource", "warn", "id", say("declared id written out")),
-        found(opened, "env.hardcoded_resource", "warn", "id", say("undeclared id written out")),
-        found(absent, "env.undeclared_resource", "warn", "symbol", say("not declared for ", F.col("env"))),
+        found(own.where((F.col("env") == "prod") & (head | (F.col("_l.version") != F.col("prod_version").cast("string")))), "env.library_version_mismatch", "break", at, say("production must use version ", F.col("prod_version"))),
+        found(own.where((F.col("env") == "dev") & ~head), "env.library_version_mismatch", "warn", at, say("development should follow the head")),
+        found(hit.where("not _right"), "env.cross_env_leak", "break", at, say("id of ", F.array_join("_envs", ","), " in ", F.col("env"), ": ", F.col("id"))),
+        found(hit.where("_right"), "env.hardcoded_resource", "warn", at, say("declared id written out: ", F.col("id"))),
+        found(opened, "env.hardcoded_resource", "warn", at, say("undeclared id written out: ", F.col("id"))),
+        found(absent, "env.undeclared_resource", "warn", F.concat(F.lit("env::"), "env"), say("not declared: ", F.col("name"))),
     )
 
 

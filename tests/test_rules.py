@@ -168,8 +168,11 @@ def test_environment_rules(spark):
     targets = spark.createDataFrame([("core/prod", "core", "prod")], "project string, app string, env string")
     library = spark.createDataFrame([("Core", "L1", 11)], "user_symbol string, script_id string, prod_version int")
     resources = spark.createDataFrame([("prod", "sheet", prod), ("dev", "sheet", dev), ("dev", "log", dev)], "env string, name string, id string")
-    got = kinds(rules.environment_rules(fs.facts(f), fs.manifests(f), targets, library, resources))
-    assert got == [("env.cross_env_leak", "break", dev), ("env.hardcoded_resource", "warn", prod), ("env.hardcoded_resource", "warn", other), ("env.library_version_mismatch", "break", "core::env::prod"), ("env.undeclared_resource", "warn", "log")]
+    found = rules.environment_rules(fs.facts(f), fs.manifests(f), targets, library, resources).collect()
+    at = "core::env::prod"  # findings of a project are told under its app and environment, so that they can be attributed
+    told = sorted((r.kind, r.severity, r.symbol, r.reason.split(": ")[-1]) for r in found if r.kind != "env.library_version_mismatch")
+    assert told == [("env.cross_env_leak", "break", at, dev), ("env.hardcoded_resource", "warn", at, prod), ("env.hardcoded_resource", "warn", at, other), ("env.undeclared_resource", "warn", "env::prod", "log")]
+    assert [(r.severity, r.symbol) for r in found if r.kind == "env.library_version_mismatch"] == [("break", at)]
 
 
 def test_projects_of_a_tree(spark, tmp_path):
