@@ -213,7 +213,7 @@ def _linked_sets(docs: DataFrame, size: int, num: int, den: int, bands: int, row
         dealt = sets.join(tasks, "id").select("task", "id", "sig", "shingles", "left")
         return dealt.repartition(partitions(spark), "task").sortWithinPartitions("task").mapInArrow(_verify(num, den), "u long, v long")
 
-    stars = stored(linked(_star_tasks(ties, sized)), n)
+    stars = stored(linked(_star_tasks(ties, sized)))  # not put together: each task has work to do
     classes1 = components(stars, n).select("id", F.col("component").alias("class"))
     open_ = stored(sized.join(classes1, "id", "left").withColumn("class", F.coalesce("class", "id")), n)
     several = open_.groupBy("component").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("component")
