@@ -1,4 +1,4 @@
-"""The ten operators as queries of the driver's tables, and their SQL."""
+"""The numbered operators as queries of the driver's tables, and their SQL. Each query reads its whole table and derives the digest columns; odd rows are as in the operator it calls."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embed_dedup, fingerprints, langid, minhash, mixing, quality, sharding, token_binary, token_count
+from . import bpe, embed_dedup, fingerprints, kmeans, langid, merkle, minhash, mixing, quality, sharding, substring, token_binary, token_count
 from .tokenizer_files import tokenizer_json
 
 
@@ -54,6 +54,18 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans.cluster_digest(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeats_digest(_table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_digest(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,8 +83,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_mixing": op9_mixing,
     "op10_fingerprints": op10_fingerprints,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_substring_dedup": op12_substring_dedup,
+    "op13_merkle_manifest": op13_merkle_manifest,
     "pipeline": pipeline,
 }
 
 #: Only what SQL can express; the others are tested against brute force.
-ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.MIX_SQL}
+ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.MIX_SQL, "op11_centroid_clustering": kmeans.CLUSTER_SQL, "op12_substring_dedup": substring.REPEATS_SQL, "op13_merkle_manifest": merkle.MANIFEST_SQL}
