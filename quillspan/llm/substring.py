@@ -157,7 +157,7 @@ def _listed(batch: pa.RecordBatch, i: int, j: int) -> tuple[np.ndarray, pa.Struc
 
 
 def _windows(size: int):
-    first, second = _Rolling(0x9E3779B97F4A7C15), _Rolling(0xD6E8FEB86659FD93)
+    rolling = _Rolling(0x9E3779B97F4A7C15)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,11 +168,11 @@ def _windows(size: int):
                 ends = np.cumsum(n)
                 inside = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n)
                 row, pos, m = np.repeat(row, n), np.repeat(pos, n) + inside, np.repeat(m, n)
-                starts = np.asarray(bounds)[row] + pos
-                one = first.of(h, starts, size)
-                two = second.of(mixed(h + _U(1)), starts, size)
-                _, where, times = np.unique(one ^ (two << _U(1)), return_index=True, return_counts=True)  # repeats nearby count at once
-                yield pa.RecordBatch.from_arrays([pa.array(one[where].view(np.int64)), pa.array(two[where].view(np.int64)), pa.array(m[where]), pa.array(docs[i:j][row[where]]), pa.array(pos[where].astype(np.int32)), pa.array(times.astype(np.int32))], ["w1", "w2", "m", "doc", "pos", "n"])
+                w = rolling.of(h, np.asarray(bounds)[row] + pos, size)
+                _, where, times = np.unique(w ^ m.view(_U), return_index=True, return_counts=True)  # repeats nearby count at once
+                order = np.argsort(where)  # as they come: documents and places next to each other shrink well on their way
+                where, times = where[order], times[order]
+                yield pa.RecordBatch.from_arrays([pa.array(w[where].view(np.int64)), pa.array(m[where]), pa.array(docs[i:j][row[where]]), pa.array(pos[where].astype(np.int32)), pa.array(times.astype(np.int32))], ["w", "m", "doc", "pos", "n"])
 
     return run
 
@@ -269,14 +269,15 @@ def _hash(*columns: Column | str) -> Column:
 def repeated_spans(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(doc, start, end): ranges of words covered by windows that start at least twice in the texts (doc, text). Ranges may overlap."""
     found = stored(texts.select("doc", "text").where("text is not null").mapInArrow(_anchors(window, anchor), "m long, doc long, pos int, n int"))
-    often = found.groupBy(F.col("m").alias("_m")).agg(F.count("*").alias("_n")).where("_n > 1").select("_m")
+    # written, so that the join has its own exchange and Spark can split a hot anchor in it
+    often = stored(found.groupBy(F.col("m").alias("_m")).agg(F.count("*").alias("_n")).where("_n > 1").select("_m"))
     runs = stored(found.join(often, F.col("m") == F.col("_m"), "left_semi"))
     with_text = lambda lists: texts.select("doc", "text").join(lists.withColumnRenamed("doc", "_doc"), F.col("doc") == F.col("_doc")).select("doc", "text", "at")
 
     # references: one place of each window that is there more than once
     at = runs.groupBy("doc").agg(F.collect_list(F.struct("pos", "n", "m")).alias("at"))
-    counted = with_text(at).mapInArrow(_windows(window), "w1 long, w2 long, m long, doc long, pos int, n int")
-    twice = counted.groupBy("w1", "w2").agg(F.sum("n").alias("times"), F.min("m").alias("m"), F.min_by("pos", "doc").alias("pos"), F.min("doc").alias("doc"))
+    counted = with_text(at).mapInArrow(_windows(window), "w long, m long, doc long, pos int, n int")
+    twice = counted.groupBy("w", "m").agg(F.sum("n").alias("times"), F.min_by("pos", "doc").alias("pos"), F.min("doc").alias("doc"))
     reference = stored(twice.where("times > 1").select("m", "doc", "pos"))
 
     # shards: anchors of one document's passages stay together; what is too much for a shard is cut by anchor, then by place
@@ -308,8 +309,8 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", window: int = WINDOW,
 
     1. Each window has an anchor, a short run of words that its content
        chooses. Windows whose anchor is nowhere else are out; that loses none.
-    2. Of the others, those found twice or more by 128-bit hashes are the
-       reference: one place of each, so its size follows the distinct repeated
+    2. Of the others, those found twice or more by two 64-bit hashes, of the
+       window and of its anchor, are the reference: one place of each, so its size follows the distinct repeated
        text, not the copies. Counts are partial sums, no group is gathered.
     3. The reference is dealt out to shards of bounded size, by anchor. Each
        shard's words go to every task that streams regions for it, and there
