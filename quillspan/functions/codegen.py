@@ -8,54 +8,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.functions.extract import type_fields
 from quillspan.operators import facts as fs
 
-# What documentation calls the types of declarations.
-PLAIN = {"string": "string", "number": "number", "boolean": "boolean", "object": "Record<string, unknown>", "date": "Date", "void": "void", "null": "null", "undefined": "undefined", "any": "any", "*": "any", "array": "unknown[]", "int": "number", "integer": "number", "float": "number", "bool": "boolean"}
-
-
 def declared_type(doc: str | None) -> str:
-    """The declaration type of a documented one; what can't be told is unknown."""
+    """The declaration type of a documented one: nothing, any and * are unknown; objects of any kind, lists and shapes are written as declarations do; other names stay."""
     t = (doc or "").strip()
-    if not t:
+    if t.lower() in ("", "any", "*"):
         return "unknown"
-    if t[0] in "?!":
-        return declared_type(t[1:]) + (" | null" if t[0] == "?" else "")
-    if t.endswith("="):
-        return declared_type(t[:-1]) + " | undefined"
-    if t.endswith("[]"):
-        inner = declared_type(t[:-2])
-        return (f"({inner})" if "|" in inner else inner) + "[]"
-    low = t.lower()
-    if low in PLAIN:
-        return PLAIN[low]
-    if low.startswith(("array<", "array.<")) and t.endswith(">"):
-        inner = declared_type(t[t.index("<") + 1 : -1])
-        return (f"({inner})" if "|" in inner else inner) + "[]"
-    if t.startswith("{"):
-        fields = type_fields(t)
-        if fields is None:
-            return "unknown"
-        body, rest = [], t[1:-1]
-        for name in fields:
-            rest = rest[rest.index(name) + len(name) :]
-            optional = rest.lstrip().startswith("?")
-            after = rest.split(":", 1)[1] if ":" in rest.split(",")[0] else ""
-            kind, depth = "", 0
-            for c in after:
-                if c == "," and depth == 0:
-                    break
-                depth += (c in "{[(<") - (c in "}])>")
-                kind += c
-            rest = after[len(kind) :] if after else rest
-            body.append(f"{name}{'?' if optional else ''}: {declared_type(kind) if kind.strip() else 'unknown'}")
-        return "{ " + "; ".join(body) + " }"
-    if "|" in t:
-        if t.startswith("(") and t.endswith(")"):
-            t = t[1:-1]
-        return " | ".join(dict.fromkeys(declared_type(x) for x in t.split("|")))
-    return "unknown"
+    if t.lower() == "object":
+        return "object"
+    if t.startswith("Array<") and t.endswith(">") and len(t) > len("Array<>"):
+        return declared_type(t[len("Array<") : -1]) + "[]"
+    if t.startswith("{") and t.endswith("}"):
+        return "{ " + "; ".join(f.strip() for f in t[1:-1].strip().split(",")) + " }"
+    return t
 
 
 def exposed(store: DataFrame) -> DataFrame:

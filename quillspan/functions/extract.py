@@ -40,7 +40,6 @@ VIEWS = {
     "html_fetch": {"a": "url"},
     "html_base": {"a": "target"},
     "resource_open": {"a": "api", "b": "id"},
-    "long_word": {"a": "word"},
     "problem": {"a": "message"},
 }
 
@@ -445,13 +444,12 @@ ID_IN_ADDRESS = re.compile(r"/(?:d|folders)/([\w-]{20,})", re.A)
 
 
 def resource_facts(text: str) -> Iterator[tuple]:
-    """Resources opened by a literal, and all words of 20 characters or more that could be ids."""
+    """Resources opened by a literal."""
     src = Source(text)
     for m in OPENS.finditer(text):
         found = ID_IN_ADDRESS.search(m.group(2)) if m.group(1) == "openByUrl" else re.fullmatch(r"([\w-]{20,})", m.group(2), re.A)
         if found:
             yield row("resource_open", None, src.at(m.start()), m.group(1), found.group(1))
-    yield from (row("long_word", None, src.at(m.start()), m.group()) for m in re.finditer(r"[\w-]{20,}", text, re.A))
 
 
 def facts_of(kind: str | None, content: str | None) -> Iterator[tuple]:

@@ -33,3 +33,12 @@ def verdict(findings: DataFrame, *by: str) -> DataFrame:
     n = lambda s: F.count_if(F.col("severity") == s)
     told = findings.groupBy(*by).agg(n("break").alias("breaks"), n("warn").alias("warns"), n("info").alias("infos"))
     return told.withColumn("verdict", F.when(F.col("breaks") > 0, "BREAK").when(F.col("warns") > 0, "WARN").otherwise("CLEAN"))
+
+
+#: Runs a day from which a function is hot.
+HOT_A_DAY = 1
+
+
+def heat_of(runs: Column, days: int) -> Column:
+    """unknown without a number, cold without a run, hot from HOT_A_DAY runs a day, else warm."""
+    return F.when(runs.isNull(), "unknown").when(runs == 0, "cold").when(runs / max(1, days) >= HOT_A_DAY, "hot").otherwise("warm")

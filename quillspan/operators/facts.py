@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.functions.extract import VIEWS, facts_of
-from quillspan.operators.relations import first_wins
+from quillspan.operators.relations import first_by_key, first_wins
 from quillspan.sources.shared import stored
 
 SCHEMA = "project string, file string, fact string, owner string, line int, col int, a string, b string, c string, d string, n int, flag boolean, items array<string>"
@@ -136,10 +136,11 @@ def unresolved(store: DataFrame) -> DataFrame:
     return consumers(store).where(~((F.col("kind") == "internal_caller") & F.col("symbol").isin(GLOBALS))).join(known, ["project", "symbol"], "left_anti")
 
 
-def called_by(store: DataFrame) -> DataFrame:
-    """Callers by function: the call graph turned round."""
+def called_by(store: DataFrame, most: int = 100) -> DataFrame:
+    """(project, symbol, callers, n_callers): the call graph turned round: how many places name a function, and the first `most` of them."""
     known = functions(store)[0].select("project", F.col("owner").alias("symbol"))
-    return consumers(store).join(known, ["project", "symbol"], "left_semi").groupBy("project", "symbol").agg(F.sort_array(F.collect_list(F.struct("kind", "file", "line", "owner"))).alias("callers"), F.count("*").alias("n_callers"))
+    met = consumers(store).join(known, ["project", "symbol"], "left_semi").select("project", "symbol", "kind", "file", "line", "owner")
+    return first_by_key(met, ["project", "symbol"], ["kind", "file", "line", "owner"], most, "callers", "n_callers")
 
 
 def exposures(store: DataFrame) -> DataFrame:
@@ -152,8 +153,15 @@ def exposures(store: DataFrame) -> DataFrame:
 
 
 def field_reads(store: DataFrame) -> DataFrame:
-    """Fields that success handlers read of a function's value: (project, symbol, field, file, line)."""
-    h = view(store, "handler_read").select("project", "file", F.col("owner").alias("success"), "field", F.col("line").alias("_l"))
+    """Fields that success handlers read of a function's value: (project, symbol, field, file, line).
+
+    Of handlers of one name in a page the first is the one that counts: reads
+    from the second definition on are of handlers that no call means.
+    """
+    named = view(store, "handler").select("project", "file", F.col("owner").alias("success"), F.struct("line", "col").alias("_d"))
+    second = named.groupBy("project", "file", "success").agg(F.min("_d").alias("_first"), F.collect_set("_d").alias("_all")).select("project", "file", "success", F.array_min(F.filter("_all", lambda d: d != F.col("_first"))).alias("_second"))
+    h = view(store, "handler_read").select("project", "file", F.col("owner").alias("success"), "field", F.col("line").alias("_l"), F.struct("line", "col").alias("_at"))
+    h = h.join(second, ["project", "file", "success"], "left").where("_second is null or _at < _second").drop("_at", "_second")
     c = view(store, "client_call").where("success is not null").select("project", "file", F.col("server").alias("symbol"), "success").distinct()
     return c.join(h, ["project", "file", "success"]).select("project", "symbol", "field", "file", F.col("_l").alias("line")).distinct()
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspan.functions.findings import heat_of
 from quillspan.operators.relations import log_metrics, snapshot_diff
 
 PROCESSES = "project string, functionName string, processStatus string, startTime timestamp"
@@ -33,6 +34,23 @@ def metrics_of(functions: DataFrame, log: DataFrame, as_of, days: int) -> DataFr
     return functions.join(told, ["project", "symbol"], "left").select("project", "symbol", F.coalesce("runs", F.lit(0)).alias("runs"), F.coalesce("errors", F.lit(0)).alias("errors"), "last_run")
 
 
+def trailing(log: DataFrame, keys: list[str], days: int) -> DataFrame:
+    """(keys, day, runs, errors, heat) for each day of the log and each key, over the `days` days up to that day.
+
+    The log is summed by day first, so a hot key is a row a day; days without
+    a run are there with none. A window then adds up a range of days. Keys
+    times days of the log are rows of the result, whatever the log's length.
+    """
+    failed = F.col("status").isin("FAILED", "TIMED_OUT")
+    daily = log.groupBy(*keys, F.to_date("started").alias("day")).agg(F.count("*").alias("n"), F.count_if(failed).alias("e"))
+    ends = daily.agg(F.min("day").alias("a"), F.max("day").alias("b")).first()
+    spine = daily.select(*keys).distinct().withColumn("day", F.explode(F.sequence(F.lit(ends["a"]).cast("date"), F.lit(ends["b"]).cast("date"))))
+    full = spine.join(daily, [*keys, "day"], "left").withColumn("_at", F.unix_date("day"))
+    back = Window.partitionBy(*keys).orderBy("_at").rangeBetween(1 - days, 0)
+    told = full.select(*keys, "day", F.sum(F.coalesce("n", F.lit(0))).over(back).alias("runs"), F.sum(F.coalesce("e", F.lit(0))).over(back).alias("errors"))
+    return told.withColumn("heat", heat_of(F.col("runs"), days))
+
+
 def status_counts(truth: DataFrame) -> DataFrame:
     names = ("confirmed_dead", "dispatched_dynamic", "cold_exposed", "errored", "live", "unknown")
     return truth.agg(F.count("*").alias("total"), *[F.count_if(F.col("status") == n).alias(n) for n in names])

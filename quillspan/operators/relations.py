@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.functions.text import folded
+from quillspan.functions.text import normalised
 from quillspan.sources.shared import stored
 
 
@@ -85,38 +85,41 @@ def log_metrics(log: DataFrame, since: Column | None = None) -> DataFrame:
     return told.withColumn("rate_1000", F.floor(F.col("errors") * 1000 / F.col("runs")).cast("long"))
 
 
-def nearest_names(names: DataFrame, name: str, candidates: list[str], most: int) -> DataFrame:
-    """The `most` nearest candidates by edit distance, ties by name: those within max(2, a third of the length) or contained.
-
-    Candidates are a fixed list (methods, functions of one project), so they are an expression: no join, no shuffle.
-    """
-    far = lambda x: F.levenshtein(F.col(name), x).alias("distance")
-    near = F.filter(F.transform(F.array(*map(F.lit, candidates)), lambda x: F.struct(far(x), x.alias("other"))), lambda s: (s["distance"] <= F.greatest(F.lit(2), F.floor(F.length(name) / 3))) | F.col(name).contains(s["other"]))
-    kept = [c for c in names.columns if c != name]
-    return names.select(*kept, F.posexplode(F.slice(F.array_sort(near), 1, most)).alias("_at", "_s")).select(*kept, "_s.other", "_s.distance", (F.col("_at") + 1).alias("place"))
+def upsert_counts(entries: DataFrame, text: str, order: list[str]) -> DataFrame:
+    """Entries with the same normalised text (lower case, marks dropped, only letters and digits of any script) count as one: occurrences, first and last time."""
+    need = normalised(F.col(text))
+    seq = F.struct(*order)
+    return entries.groupBy(need.alias("need")).agg(F.count("*").alias("occurrences"), F.min(seq).alias("_a"), F.max(seq).alias("_b")).select("need", "occurrences", F.col("_a")[order[0]].alias("first_seen"), F.col("_b")[order[0]].alias("last_seen"))
 
 
-def similar_names(names: DataFrame, candidates: DataFrame, name: str, most: int) -> DataFrame:
-    """The `most` nearest of all candidates' names for each row's name, by edit distance of the names in lower case, ties by name.
+def first_by_key(df: DataFrame, keys: list[str], order: list[str], most: int, rows: str, total: str) -> DataFrame:
+    """(keys, rows, total): the first `most` rows of a key as an array of the other columns, in order, and how many it has in all.
 
-    Near are names within max(2, a third of the asked name's length), and names that contain the asked one; a name is
-    not near itself. Both sides are made distinct first. All pairs of distinct names are looked at, in one join without
-    a key: the length is compared first, so most pairs cost no edit distance. A null name has no near one.
+    Of each key only `most` rows leave a task and only so many meet (Spark
+    limits a rank's groups before they are shuffled), so a hot key isn't
+    gathered; the total is a partial count. Order should tell all rows apart,
+    or any of equal ones is taken.
     """
-    asked = names.select(F.col(name).alias("_a")).distinct()
-    known = candidates.select(F.col(name).alias("other")).distinct()
-    a, b, most_far = F.lower("_a"), F.lower("other"), F.greatest(F.lit(2), F.floor(F.length("_a") / 3))
-    close = (F.abs(F.length(a) - F.length(b)) <= most_far) & (F.levenshtein(a, b) <= most_far)
-    near = asked.join(known, (F.col("_a") != F.col("other")) & (close | b.contains(a))).withColumn("distance", F.levenshtein(a, b))
-    first = near.withColumn("place", F.row_number().over(Window.partitionBy("_a").orderBy("distance", "other"))).where(F.col("place") <= most)
-    return names.join(first, F.col(name) == F.col("_a")).select(*[c for c in names.columns if c != name], "other", "distance", "place")
+    others = [c for c in df.columns if c not in keys]
+    first = df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= most)
+    told = first.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", *others))), lambda x: F.struct(*[x[c].alias(c) for c in others])).alias(rows))
+    counts = df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count("*").alias(total))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return told.join(counts, on).select(*keys, rows, total)
 
 
-def upsert_counts(entries: DataFrame, text: str, order: list[str]) -> DataFrame:
-    """Entries with the same normalised text (lower case, accents dropped, only letters and digits) count as one: occurrences, first and last time."""
-    need = F.trim(F.regexp_replace(folded(F.col(text)), "[^a-z0-9]+", " "))
-    seq = F.struct(*order)
-    return entries.groupBy(need.alias("need")).agg(F.count("*").alias("occurrences"), F.min(seq).alias("_a"), F.max(seq).alias("_b")).select("need", "occurrences", F.col("_a")[order[0]].alias("first_seen"), F.col("_b")[order[0]].alias("last_seen"))
+def in_order(df: DataFrame, order: str, to: str, then: str | None = None, collation: str = "UNICODE") -> DataFrame:
+    """df with each row's place, from 1, in the order of a text under a collation, and then of another column.
+
+    Texts are compared as readers do, not by bytes. Rows are dealt out in
+    ranges of that order and each range is numbered alone (ranked), so the
+    place of every row is known without one task that holds them all. Nulls come first.
+    """
+    key = F.collate(F.col(order), collation) if collation else F.col(order)
+    whole = df.select(F.struct(*df.columns).alias("_row"), F.lit(0).alias("_all"), F.struct(key.alias("a"), *([F.col(then).alias("b")] if then else [])).alias("_by"))
+    return ranked(whole, "_all", "_by", "_place").select("_row.*", F.col("_place").alias(to))
 
 
 def content_diff(local: DataFrame, remote: DataFrame, path: str, digest: str) -> DataFrame:

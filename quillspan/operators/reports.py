@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.functions.text import folded, rounded
+from quillspan.functions.text import normalised, rounded, short_hash
 from quillspan.operators import facts as fs
 from quillspan.operators.relations import confidence
 
@@ -54,9 +54,9 @@ def requests(spark: SparkSession, path: str) -> DataFrame:
 def request_counts(entries: DataFrame) -> DataFrame:
     """(key, need, occurrences, first_seen, last_seen, context): requests of one need, told in any case, accents or signs, count as one.
 
-    need is its first wording, context the last that isn't empty; by falling number, then by the last time.
+    key is the short id of the normalised need, of letters and digits of any script; need is its first wording, context the last that isn't empty; by falling number, then by the last time.
     """
-    key = F.substring(F.sha2(F.trim(F.regexp_replace(folded(F.col("need")), "[^a-z0-9]+", " ")).cast("binary"), 256), 1, 12)
+    key = short_hash(normalised(F.col("need")))
     order = F.struct("at", "id")
     told = entries.groupBy(key.alias("key")).agg(F.min_by("need", order).alias("need"), F.count("*").alias("occurrences"), F.min("at").alias("first_seen"), F.max("at").alias("last_seen"), F.max_by(F.nullif(F.trim("context"), F.lit("")), F.when(F.trim("context") != "", order)).alias("context"))
     return told.orderBy(F.desc("occurrences"), F.desc("last_seen"), "key")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.functions.text import rounded
@@ -63,11 +63,9 @@ def owners(resources_: DataFrame) -> DataFrame:
 
 
 def pick(frame: DataFrame, wanted: str, by: str = "project") -> DataFrame:
-    """Rows of the project of that name, else of all whose name ends with `/wanted`."""
-    exact = F.col(by) == wanted
-    any_exact = F.max(exact).over(Window.partitionBy())
-    told = frame.where(exact | F.col(by).endswith("/" + wanted)).withColumn("_exact", any_exact)
-    return told.where(exact | ~F.col("_exact")).drop("_exact")
+    """Rows of the project of that name, else of all whose name ends with `/wanted`; whether there is one is looked up first."""
+    exact = frame.where(F.col(by) == wanted)
+    return frame.where(F.col(by).endswith("/" + wanted)) if exact.isEmpty() else exact
 
 
 def projects_of(store: DataFrame, name: str) -> DataFrame:
@@ -94,14 +92,14 @@ def on_head(version: Column, development: Column) -> Column:
 
 
 def consumed(manifest: DataFrame, library_: DataFrame) -> DataFrame:
-    """(project, version, head): the first entry of a manifest that is the shared library, by symbol or by id."""
+    """(project, version, head, script_id): the first entry of a manifest that is the shared library, by symbol or by id."""
     used = manifest.select("project", F.posexplode("libraries").alias("at", "l"))
-    same = ["project", "at", "l"]
+    same = ["project", "at", F.struct("l", "script_id").alias("l")]
     by_symbol = used.join(library_, F.col("l.userSymbol") == F.col("user_symbol")).select(*same)
     by_id = used.where("l.libraryId <> ''").join(library_, F.col("l.libraryId") == F.col("script_id")).select(*same)
     first = by_symbol.unionByName(by_id).groupBy("project").agg(F.min_by("l", "at").alias("l"))
-    head = on_head(F.col("l.version"), F.col("l.developmentMode"))
-    return first.select("project", F.when(head, "HEAD").otherwise(F.col("l.version")).alias("version"), head.alias("head"))
+    head = on_head(F.col("l.l.version"), F.col("l.l.developmentMode"))
+    return first.select("project", F.when(head, "HEAD").otherwise(F.col("l.l.version")).alias("version"), head.alias("head"), "l.script_id")
 
 
 def overview(targets_: DataFrame, store: DataFrame, manifest: DataFrame, library_: DataFrame, findings: DataFrame) -> DataFrame:
@@ -129,15 +127,15 @@ def library_scopes(store: DataFrame, manifest: DataFrame, targets_: DataFrame, l
     The library is the app that has its symbol as prefix or its id as a project's. It needs the scopes its manifest declares, and for each service it uses
     any of the scopes that the service accepts; of those the first is told as missing.
     """
-    by_prefix = targets_.join(library_.select(F.col("user_symbol").alias("library_prefix")), "library_prefix", "left_semi").select("project", "app")
-    provider = targets_.join(library_.select("script_id"), "script_id", "left_semi").select("project", "app").unionByName(by_prefix).distinct()
-    told = manifest.join(provider, "project").select("app", F.explode("scopes").alias("scope"))
-    needed = told.select("app", F.array("scope").alias("any"), "scope")
+    by_prefix = targets_.drop("script_id").join(library_.select(F.col("user_symbol").alias("library_prefix"), "script_id"), "library_prefix").select("project", "app", "script_id")
+    provider = targets_.join(library_.select("script_id"), "script_id").select("project", "app", "script_id").unionByName(by_prefix).distinct()
+    told = manifest.join(provider, "project").select("app", "script_id", F.explode("scopes").alias("scope"))
+    needed = told.select("app", "script_id", F.array("scope").alias("any"), "scope")
     roots = fs.view(store, "call").select("project", fs.root_name("receiver").alias("root")).distinct().join(provider, "project")
     accept = F.create_map(*[x for k, v in scopes.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    services = roots.select("app", F.try_element_at(accept, F.col("root")).alias("any")).where("any is not null").select("app", "any", F.col("any")[0].alias("scope"))
-    need = needed.unionByName(services).distinct().groupBy(F.col("app").alias("_provider")).agg(F.collect_list(F.struct("any", "scope")).alias("need"))
-    use = targets_.join(consumed(manifest, library_).select("project"), "project", "left_semi").join(manifest.where("size(scopes) > 0").select("project", "scopes"), "project")
+    services = roots.select("app", "script_id", F.try_element_at(accept, F.col("root")).alias("any")).where("any is not null").select("app", "script_id", "any", F.col("any")[0].alias("scope"))
+    need = needed.unionByName(services).distinct().groupBy(F.col("app").alias("_provider"), "script_id").agg(F.collect_list(F.struct("any", "scope")).alias("need"))
+    use = targets_.select("project", "app", "env").join(consumed(manifest, library_).select("project", "script_id"), "project").join(manifest.where("size(scopes) > 0").select("project", "scopes"), "project")
     lack = F.array_sort(F.array_distinct(F.transform(F.filter("need", lambda n: ~F.arrays_overlap(n["any"], F.col("scopes"))), lambda n: n["scope"])))
-    # one library, so one row of needs: the condition keeps it away from itself
-    return use.join(need, F.col("app") != F.col("_provider")).withColumn("missing", lack).where("size(missing) > 0").select("project", "app", "env", "missing")
+    # by the library that is consumed; it doesn't need anything of itself
+    return use.join(need, "script_id").where("app <> _provider").withColumn("missing", lack).where("size(missing) > 0").select("project", "app", "env", "missing")

@@ -17,6 +17,7 @@ from quillspan.operators import facts as fs
 from quillspan.operators import incremental
 from quillspan.operators import relations as op
 from quillspan.operators import workspace as ws
+from quillspan.operators.similarity import similar_names
 from quillspan.plans import crosschecks, rules
 from quillspan.sources.tables import process_log, table
 from quillspan.streaming.log import windows
@@ -207,32 +208,29 @@ def parc_rollup(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").join(geo, F.col("c_nationkey") == F.col("n_nationkey")).rollup("r_name", "n_name").agg(F.count("*").alias("customers"), (F.grouping("r_name") + F.grouping("n_name")).cast("long").alias("level"))
 
 
-@query("""SELECT trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', ' ', 'g')) AS need, count(*) AS occurrences, min(conv_id) AS first_seen, max(conv_id) AS last_seen FROM conversations GROUP BY 1""")
+@query(r"""SELECT trim(regexp_replace(strip_accents(lower(text)), '[^\p{L}\p{N}]+', ' ', 'g')) AS need, count(*) AS occurrences, min(conv_id) AS first_seen, max(conv_id) AS last_seen FROM conversations GROUP BY 1""")
 def request_upsert(spark: SparkSession, d: str) -> DataFrame:
     """Turns as requests: the same normalised text counts up."""
     return op.upsert_counts(table(spark, d, "conversations"), "text", ["conv_id", "turn"])
 
 
-#: Names to choose from, as a type's methods are.
-KNOWN = ["anvil", "bolt", "cold gear", "gear", "gizmo", "plate", "red ring", "ring", "rod", "widget"]
+_SIMILAR = """WITH n AS (SELECT DISTINCT p_name AS name FROM part),
+s AS (SELECT a.name, b.name AS other, levenshtein(lower(a.name), lower(b.name)) AS distance FROM n a JOIN n b ON a.name <> b.name WHERE levenshtein(lower(a.name), lower(b.name)) <= greatest(2, length(a.name) // 3) OR contains(lower(b.name), lower(a.name))),
+t AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY distance, other) AS place FROM s)
+SELECT p_partkey, other, CAST(distance AS INT) AS distance, CAST(place AS INT) AS place FROM part JOIN t ON p_name = name WHERE place <= 3"""
 
 
-@query("""SELECT p_partkey, other, CAST(distance AS INT) AS distance, CAST(place AS INT) AS place FROM (SELECT p_partkey, other, levenshtein(p_name, other) AS distance, row_number() OVER (PARTITION BY p_partkey ORDER BY levenshtein(p_name, other), other) AS place
-FROM part, (SELECT unnest(['anvil', 'bolt', 'cold gear', 'gear', 'gizmo', 'plate', 'red ring', 'ring', 'rod', 'widget']) AS other)
-WHERE levenshtein(p_name, other) <= greatest(2, length(p_name) // 3) OR contains(p_name, other)) WHERE place <= 3""")
+@query(_SIMILAR)
 def topk_similar(spark: SparkSession, d: str) -> DataFrame:
-    """The three nearest of the known names for each part's name, as misspelt methods get theirs."""
-    return op.nearest_names(table(spark, d, "part").select("p_partkey", "p_name"), "p_name", KNOWN, 3)
+    """The three nearest of all part names for each part's name, as misspelt functions get theirs."""
+    part = table(spark, d, "part").select("p_partkey", "p_name")
+    return similar_names(part, part, "p_name", 3)
 
 
-@query("""WITH n AS (SELECT DISTINCT p_name AS name FROM part),
-s AS (SELECT a.name, b.name AS other, levenshtein(lower(a.name), lower(b.name)) AS distance FROM n a JOIN n b ON a.name <> b.name WHERE levenshtein(lower(a.name), lower(b.name)) <= greatest(2, length(a.name) // 3) OR contains(lower(b.name), lower(a.name))),
-t AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY distance, other) AS place FROM s)
-SELECT p_partkey, other, CAST(distance AS INT) AS distance, CAST(place AS INT) AS place FROM part JOIN t ON p_name = name WHERE place <= 3""")
+@query(_SIMILAR)
 def similar_part_names(spark: SparkSession, d: str) -> DataFrame:
-    """The three nearest part names for each part's name, among all part names."""
-    part = table(spark, d, "part").select("p_partkey", "p_name")
-    return op.similar_names(part, part, "p_name", 3)
+    """As topk_similar, under its earlier name."""
+    return topk_similar(spark, d)
 
 
 @query("""SELECT o_custkey, count(*) AS sites, min(o_orderkey) AS first_site FROM orders GROUP BY 1 HAVING count(*) >= 3""")
@@ -352,13 +350,13 @@ def _resource_words(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(_WORDS + " SELECT doc_id, w.id, env FROM w JOIN o ON w.id = o.id WHERE lang <> env")
-def resource_leak(spark: SparkSession, d: str) -> DataFrame:
+def word_leak(spark: SparkSession, d: str) -> DataFrame:
     """Ids in documents of another language than their own."""
     return _resource_words(spark, d).where("lang <> env").select("doc_id", "id", "env")
 
 
 @query(_WORDS + " SELECT lang, count(*) AS hits, count(DISTINCT w.id) AS ids FROM w JOIN o ON w.id = o.id WHERE lang = env GROUP BY 1")
-def resource_hardcode(spark: SparkSession, d: str) -> DataFrame:
+def word_hardcode(spark: SparkSession, d: str) -> DataFrame:
     """Ids written out in documents of their own language."""
     return _resource_words(spark, d).where("lang = env").groupBy("lang").agg(F.count("*").alias("hits"), F.countDistinct("id").alias("ids"))
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.functions.findings import heat_of
 from quillspan.operators import facts as fs
 from quillspan.operators.relations import fallback_join
 
-#: Runs a day from which a function is hot, and the rate of errors from which it counts as failing.
-HOT_A_DAY, ERRORED = 1, 0.05
+#: The rate of errors from which a function counts as failing.
+ERRORED = 0.05
 
 
 def library_calls(store: DataFrame, manifest: DataFrame, providers: DataFrame | None = None) -> DataFrame:
@@ -38,11 +39,6 @@ def library_edges(store: DataFrame, manifest: DataFrame, providers: DataFrame |
     return met.join(public, ["provider", "function"], "left_semi").select("project", "file", "line", "caller", "prefix", "provider", "function", "n_args")
 
 
-def heat_of(runs: Column, days: int) -> Column:
-    """unknown without a number, cold without a run, hot from HOT_A_DAY runs a day, else warm."""
-    return F.when(runs.isNull(), "unknown").when(runs == 0, "cold").when(runs / max(1, days) >= HOT_A_DAY, "hot").otherwise("warm")
-
-
 def status_of(heat: Column, runs: Column, errors: Column, seen: Column) -> Column:
     """The first of: unknown, errored, confirmed_dead, dispatched_dynamic, cold_exposed, live; seen: whether code or pages reach it."""
     failing = (runs > 0) & (errors / F.nullif(runs, F.lit(0)) >= ERRORED)

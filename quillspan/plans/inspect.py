@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.operators import facts as fs
-from quillspan.operators.relations import confidence, coverage, similar_names
+from quillspan.operators.relations import confidence, coverage, first_by_key
+from quillspan.operators.similarity import similar_names
 
 #: Parts of each level of detail; a list of parts given by name wins over the level.
 LEVELS = {
@@ -28,7 +29,7 @@ def signature(store: DataFrame) -> DataFrame:
     return f.select(*at, F.concat("owner", F.lit("("), F.array_join(typed, ", "), F.lit(")"), F.coalesce(F.concat(F.lit(" -> "), "returns_type"), F.lit(""))).alias("signature"))
 
 
-def inspect(store: DataFrame, name: str, project: str | None = None, level: str = "standard", parts: list[str] | None = None, most: int | None = None) -> DataFrame:
+def inspect(store: DataFrame, name: str, project: str | None = None, level: str = "standard", parts: list[str] | None = None, most: int = 100) -> DataFrame:
     """A row for each project that defines the function: project, symbol, signature and the parts asked for.
 
     Filters by name go to the store's scan. `most` limits the callers shown; how many there are in all is told beside them.
@@ -44,8 +45,8 @@ def inspect(store: DataFrame, name: str, project: str | None = None, level: str
     if "definition" in wanted:
         out = add(f.select("project", F.col("owner").alias("symbol"), "file", "line", "end_line", "visibility", "params"))
     if "callers" in wanted:
-        found = fs.consumers(store).where(F.col("symbol") == name).groupBy(*at).agg(F.array_sort(F.collect_list(F.struct("kind", "file", "line", "owner"))).alias("callers"), F.count("*").alias("callers_total"))
-        out = add(found if most is None else found.withColumn("callers", F.slice("callers", 1, most))).withColumn("callers_total", F.coalesce("callers_total", F.lit(0)))
+        found = fs.consumers(store).where(F.col("symbol") == name).select(*at, "kind", "file", "line", "owner")
+        out = add(first_by_key(found, at, ["kind", "file", "line", "owner"], most, "callers", "callers_total")).withColumn("callers_total", F.coalesce("callers_total", F.lit(0)))
         out = out.withColumn("callers_shown", F.coalesce(F.size("callers"), F.lit(0)))
     if "callees" in wanted:
         out = add(fs.view(own, "call").groupBy("project", F.col("owner").alias("symbol")).agg(F.array_sort(F.collect_set("callee")).alias("callees")))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.operators import facts as fs
+from quillspan.operators.patterns import by_owner, containing
 from quillspan.operators.relations import key_status, pair_one_to_one
 from quillspan.plans.crosschecks import library_calls, library_edges
 from quillspan.sources.shared import stored
@@ -338,13 +339,13 @@ def doc_rules(store: DataFrame) -> DataFrame:
 # ---- API
 
 
-def api_rules(store: DataFrame, registry: Sequence[tuple], by_prefix: bool = False) -> DataFrame:
+def api_rules(store: DataFrame, registry: Sequence[tuple]) -> DataFrame:
     """Chains of calls against registry rows (type, method, returns, least arguments, deprecated or None).
 
     The registry, a few hundred rows whatever the input, is one constant map; each chain is folded through it in a
     projection, without a join. A step of a type that the registry hasn't ends the chain quietly; method '*' stands for a type.
-    Near methods are compared in lower case: within max(3, half the length), containing the one asked for, or with by_prefix
-    starting like it, by min(4, half the length) characters.
+    Near methods are compared in lower case: within max(3, half the length), containing the one asked for, or starting like it,
+    by min(4, half the length) characters.
     """
     entries = {f"{t}.{m}": {"returns": r, "arity_min": n, "deprecated": d} for t, m, r, n, d in registry}
     methods: dict[str, list[str]] = {}
@@ -372,7 +373,7 @@ def api_rules(store: DataFrame, registry: Sequence[tuple], by_prefix: bool = Fal
     half = F.floor(F.length("_o.method") / 2)
     start_of = F.substring(asked, F.lit(1), F.least(F.lit(4), half).cast("int"))
     far = lambda x: F.levenshtein(F.lower(x), asked)
-    close = F.filter(F.element_at("_all", F.col("_o.type")), lambda x: (far(x) <= F.greatest(F.lit(3), half)) | F.lower(x).contains(asked) | (F.lit(by_prefix) & (start_of != "") & F.lower(x).startswith(start_of)))
+    close = F.filter(F.element_at("_all", F.col("_o.type")), lambda x: (far(x) <= F.greatest(F.lit(3), half)) | F.lower(x).contains(asked) | ((start_of != "") & F.lower(x).startswith(start_of)))
     near = F.array_sort(F.transform(close, lambda x: F.struct(far(x).alias("d"), x.alias("m"))))
     names = F.array_join(F.transform(F.slice(near, 1, 3), lambda x: x["m"]), ", ")
     kind = F.col("_o.kind")
@@ -383,11 +384,12 @@ def api_rules(store: DataFrame, registry: Sequence[tuple], by_prefix: bool = Fal
 # ---- environments
 
 
-def environment_rules(store: DataFrame, manifest: DataFrame, targets: DataFrame, library: DataFrame, resources: DataFrame) -> DataFrame:
+def environment_rules(store: DataFrame, manifest: DataFrame, targets: DataFrame, library: DataFrame, resources: DataFrame, files: DataFrame) -> DataFrame:
     """Projects against a workspace manifest.
 
-    targets (project, app, env); library (user_symbol, script_id, prod_version), one row or none; resources (env, name, id).
-    Ids are met in scripts as whole words of 20 characters or more, so the join to resources is one of equality.
+    targets (project, app, env); library (user_symbol, script_id, prod_version), one row or none; resources (env, name, id);
+    files (project, file, content). A declared id counts wherever a line of a file contains it, however short it is and
+    also inside of a longer word; lines and ids meet by anchors (patterns.containing), so there may be any number of both.
     """
     head = (F.coalesce(F.col("_l.developmentMode"), F.lit(False))) | F.upper(F.coalesce("_l.version", F.lit(""))).isin("", "0", "HEAD")
     used = manifest.select("project", F.explode("libraries").alias("_l")).join(targets, "project")
@@ -397,18 +399,18 @@ def environment_rules(store: DataFrame, manifest: DataFrame, targets: DataFrame,
     own = by_symbol.unionByName(by_id)
     own = own.withColumn("file", F.lit("appsscript.json")).withColumn("line", F.lit(1))
     at = F.concat_ws("::", "app", F.lit("env"), "env")  # what findings of one project are told under
-    words = fs.view(store, "long_word").select("project", "file", "line", F.col("word").alias("id")).join(targets, "project")
-    owners = resources.groupBy("id").agg(F.collect_set("env").alias("_envs"))
-    hit = words.join(owners, "id").withColumn("_right", F.array_contains("_envs", F.col("env")))
-    opened = fs.view(store, "resource_open").select("project", "file", "line", "id").join(targets, "project").join(owners, "id", "left_anti")
+    lines = files.where("content is not null").join(targets, "project", "left_semi").select("project", "file", F.posexplode(F.split("content", "\n")).alias("_at", "_text")).select("project", "file", (F.col("_at") + 1).alias("line"), "_text")
+    met = containing(lines, "_text", resources, "id").join(targets, "project")
+    hit = by_owner(met, resources, "id", "env")
+    opened = fs.view(store, "resource_open").select("project", "file", "line", "id").join(targets, "project").join(resources, "id", "left_anti")
     declared = resources.agg(F.collect_set("env").alias("_e"), F.collect_set("name").alias("_n"), F.collect_set(F.struct("env", "name")).alias("_p")).withColumn("env", F.explode("_e"))
     has = F.transform(F.filter("_p", lambda x: x["env"] == F.col("env")), lambda x: x["name"])
     absent = declared.select("env", F.explode(F.array_except("_n", has)).alias("name"), F.lit("").alias("project"), F.lit("workspace").alias("file"), F.lit(1).alias("line"))
     return both(
         found(own.where((F.col("env") == "prod") & (head | (F.col("_l.version") != F.col("prod_version").cast("string")))), "env.library_version_mismatch", "break", at, say("production must use version ", F.col("prod_version"))),
         found(own.where((F.col("env") == "dev") & ~head), "env.library_version_mismatch", "warn", at, say("development should follow the head")),
-        found(hit.where("not _right"), "env.cross_env_leak", "break", at, say("id of ", F.array_join("_envs", ","), " in ", F.col("env"), ": ", F.col("id"))),
-        found(hit.where("_right"), "env.hardcoded_resource", "warn", at, say("declared id written out: ", F.col("id"))),
+        found(hit.where("not own"), "env.cross_env_leak", "break", at, say("id of ", F.array_join("owners", ","), " in ", F.col("env"), ": ", F.col("id"))),
+        found(hit.where("own"), "env.hardcoded_resource", "warn", at, say("declared id written out: ", F.col("id"))),
         found(opened, "env.hardcoded_resource", "warn", at, say("undeclared id written out: ", F.col("id"))),
         found(absent, "env.undeclared_resource", "warn", F.concat(F.lit("env::"), "env"), say("not declared: ", F.col("name"))),
     )
@@ -417,9 +419,9 @@ def environment_rules(store: DataFrame, manifest: DataFrame, targets: DataFrame,
 # ---- all together
 
 
-def check(before: DataFrame, after: DataFrame, manifest: DataFrame, embedded: bool = False, registry: Sequence[tuple] | None = None, providers: DataFrame | None = None, environment: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
+def check(before: DataFrame, after: DataFrame, manifest: DataFrame, embedded: bool = False, registry: Sequence[tuple] | None = None, providers: DataFrame | None = None, environment: tuple[DataFrame, DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
     """What a change breaks, with the findings of the manifest, run time, pages and documentation, and where they are given of
-    the API registry and the environment (targets, library, resources): all but information.
+    the API registry and the environment (targets, library, resources, files): all but information.
 
     Both stores should be written: each rule reads its own views of them.
     """

@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
+import fixtures as fx
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +19,6 @@ from quillspan.operators import facts as fs
 from quillspan.operators import incremental, libraries, production, reports, secrets
 from quillspan.operators import workspace as ws
 from quillspan.plans import crosschecks, rules
-from quillspan.plans import fixtures as fx
 from quillspan.plans import inspect as ins
 from quillspan.streaming import hooks
 
@@ -174,7 +174,7 @@ def fx_chains(spark: SparkSession, d: str) -> DataFrame:
 def fx_pages(spark: SparkSession, d: str) -> DataFrame:
     """Facts of a page: resources, links, forms, fetches, calls of the server with handlers, scriptlets."""
     store = fs.facts(fx.files(spark, fx.rows("p", None, fx.PAGE)))
-    return store.where("fact not in ('file', 'long_word', 'chunk')").select("fact", "owner", "line", "a", "b", "c", "flag", joined("items"))
+    return store.where("fact not in ('file', 'chunk')").select("fact", "owner", "line", "a", "b", "c", "flag", joined("items"))
 
 
 @query(
@@ -427,7 +427,7 @@ def fx_scopes(spark: SparkSession, d: str) -> DataFrame:
 def fx_api(spark: SparkSession, d: str) -> DataFrame:
     """Chains of calls against a registry of types."""
     registry = [("SpreadsheetApp", "getActive", "Spreadsheet", 0, None), ("Spreadsheet", "getSheetByName", "Sheet", 1, None), ("Sheet", "getRange", "Range", 1, None), ("Sheet", "getRangeList", "RangeList", 1, None), ("Range", "setValue", "Range", 1, None), ("UserProperties", "getProperty", "string", 1, None), ("UserProperties", "*", None, 0, "PropertiesService")]
-    return rules.api_rules(fs.facts(fx.files(spark, fx.rows("c", fx.CHAINS))), registry, True).select("kind", "severity", "symbol", "line", "reason")
+    return rules.api_rules(fs.facts(fx.files(spark, fx.rows("c", fx.CHAINS))), registry).select("kind", "severity", "symbol", "line", "reason")
 
 
 @query(
@@ -495,7 +495,7 @@ def fx_env(spark: SparkSession, d: str) -> DataFrame:
     targets = spark.createDataFrame([(p, p[0], p[2:]) for p in ("a/prod", "b/prod", "c/prod", "a/dev", "b/dev")], "project string, app string, env string")
     library = spark.createDataFrame([("Core", "L1", 11)], "user_symbol string, script_id string, prod_version int")
     resources = spark.createDataFrame([("prod", "sheet", prod), ("dev", "sheet", dev), ("dev", "log", dev)], "env string, name string, id string")
-    return rules.environment_rules(fs.facts(f), fs.manifests(f), targets, library, resources).select("project", "kind", "severity", "symbol", "reason")
+    return rules.environment_rules(fs.facts(f), fs.manifests(f), targets, library, resources, f).select("project", "kind", "severity", "symbol", "reason")
 
 
 @query(
@@ -693,7 +693,7 @@ def _park(spark: SparkSession):
     head = {"dependencies": {"libraries": [{"userSymbol": "Core", "libraryId": "L1", "developmentMode": True}]}, "oauthScopes": [fx.AUTH + "documents"]}
     core = fx.LIBRARY + "function send() { MailApp.sendEmail('x'); }"
     f = fx.files(spark, fx.rows("shop/dev", fx.SHOP + f"const ID = '{'P' * 24}';", fx.SHOP_PAGE, head), fx.rows("shop/prod", fx.SHOP, None, fx.MANIFEST), fx.rows("Core", core, None, {"oauthScopes": [fx.AUTH + "documents", fx.AUTH + "drive"]}))
-    return fs.written(fs.facts(f)), fs.manifests(f), _workspace(spark)
+    return fs.written(fs.facts(f)), fs.manifests(f), _workspace(spark), f
 
 
 @query(
@@ -705,9 +705,9 @@ def _park(spark: SparkSession):
 )
 def fx_park(spark: SparkSession, d: str) -> DataFrame:
     """Apps by environment: what is there, which version of the library it uses, how much is documented, what is wrong."""
-    store, manifest, w = _park(spark)
+    store, manifest, w, files = _park(spark)
     t, lib = ws.targets(w), ws.library(w)
-    found = rules.environment_rules(store, manifest, t.where("project is not null").select("project", "app", "env"), lib, ws.resources(w))
+    found = rules.environment_rules(store, manifest, t.where("project is not null").select("project", "app", "env"), lib, ws.resources(w), files)
     return ws.overview(t, store, manifest, lib, found)
 
 
@@ -730,7 +730,7 @@ def fx_attributed(spark: SparkSession, d: str) -> DataFrame:
 )
 def fx_library_scopes(spark: SparkSession, d: str) -> DataFrame:
     """Scopes that a library needs and its users do not declare."""
-    store, manifest, w = _park(spark)
+    store, manifest, w, files = _park(spark)
     return ws.library_scopes(store, manifest, ws.targets(w), ws.library(w), rules.SCOPES).select("project", "app", "env", joined("missing"))
 
 
@@ -1070,7 +1070,7 @@ def fx_hooks(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "symbol VARCHAR, line VARCHAR",
-    ("load", "load(a: string | null, b: (number | string)[], c: Record<string, unknown>, d: unknown): Promise<{ id: string; at?: Date; all: number[] }>;"),
+    ("load", "load(a: ?string, b: number|string[], c: object, d: unknown): Promise<{ id: string; at?: Date; all: number[] }>;"),
 )
 def fx_declarations(spark: SparkSession, d: str) -> DataFrame:
     """Declarations of the functions that pages call, with documented types."""

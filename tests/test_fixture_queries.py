@@ -6,8 +6,8 @@ import duckdb
 import pandas as pd
 import pytest
 
+from fixture_queries import FIXTURE_QUERIES, FIXTURE_SQL
 from quillspan.operators import production, reports
-from quillspan.plans.fixture_queries import FIXTURE_QUERIES, FIXTURE_SQL
 from quillspan.streaming import hooks, log
 
 

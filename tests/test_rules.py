@@ -151,15 +151,14 @@ def test_api_rules(spark):
     code = "function f() { SpreadsheetApp.getActive().getSheetByName('a').getRnge(1); SpreadsheetApp.getActive().getSheetByName(); UserProperties.getProperty('a').trim(); SpreadsheetApp.getActive().getSheetByName('a').getRange(1).setValue(2); other.x(); }"
     rows = rules.api_rules(fs.facts(files(spark, code, "")), registry).collect()
     assert sorted((r.kind, r.severity, r.symbol) for r in rows) == [("api.deprecated", "warn", "UserProperties.getProperty"), ("api.unknown_method", "break", "Sheet.getRnge"), ("api.wrong_arity", "break", "Spreadsheet.getSheetByName")]
-    assert next(r.reason for r in rows if r.kind == "api.unknown_method").endswith("near: getRange")
+    assert next(r.reason for r in rows if r.kind == "api.unknown_method").endswith("near: getRange, getRangeList")
 
 
 def test_api_suggestions_in_lower_case_and_by_prefix(spark):
     registry = [("SpreadsheetApp", m, "Spreadsheet", 0, None) for m in ("GETACTIVEXYZ", "getActiveSpreadsheetOfTheWholeProject", "myGETACTIVExyzs", "openById", "create")]
     store = fs.facts(files(spark, "function f() { SpreadsheetApp.getactivexyz(); SpreadsheetApp.open2(); SpreadsheetApp.q(); }", ""))
-    near = lambda by: {r.symbol.split(".")[-1]: r.reason.split("near: ")[-1].strip() for r in rules.api_rules(store, registry, by).collect()}
-    assert near(False)["getactivexyz"] == "GETACTIVEXYZ, myGETACTIVExyzs"
-    assert near(True) == {"getactivexyz": "GETACTIVEXYZ, myGETACTIVExyzs, getActiveSpreadsheetOfTheWholeProject", "open2": "openById", "q": ""}
+    near = {r.symbol.split(".")[-1]: r.reason.split("near: ")[-1].strip() for r in rules.api_rules(store, registry).collect()}
+    assert near == {"getactivexyz": "GETACTIVEXYZ, myGETACTIVExyzs, getActiveSpreadsheetOfTheWholeProject", "open2": "openById", "q": ""}
 
 
 def test_environment_rules(spark):
@@ -168,7 +167,7 @@ def test_environment_rules(spark):
     targets = spark.createDataFrame([("core/prod", "core", "prod")], "project string, app string, env string")
     library = spark.createDataFrame([("Core", "L1", 11)], "user_symbol string, script_id string, prod_version int")
     resources = spark.createDataFrame([("prod", "sheet", prod), ("dev", "sheet", dev), ("dev", "log", dev)], "env string, name string, id string")
-    found = rules.environment_rules(fs.facts(f), fs.manifests(f), targets, library, resources).collect()
+    found = rules.environment_rules(fs.facts(f), fs.manifests(f), targets, library, resources, f).collect()
     at = "core::env::prod"  # findings of a project are told under its app and environment, so that they can be attributed
     told = sorted((r.kind, r.severity, r.symbol, r.reason.split(": ")[-1]) for r in found if r.kind != "env.library_version_mismatch")
     assert told == [("env.cross_env_leak", "break", at, dev), ("env.hardcoded_resource", "warn", at, prod), ("env.hardcoded_resource", "warn", at, other), ("env.undeclared_resource", "warn", "env::prod", "log")]
