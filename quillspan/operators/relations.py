@@ -39,10 +39,20 @@ def ranked(df: DataFrame, key: str, order: str, to: str) -> DataFrame:
 
 
 def pair_one_to_one(removed: DataFrame, added: DataFrame, fingerprint: str, order: str) -> DataFrame:
-    """The nth removed row of a fingerprint with its nth added row: what greedy pairing in order finds."""
-    nth = lambda df, o, k: ranked(df.select(F.col(fingerprint).alias(f"_f{k}"), F.col(order).alias(o)), f"_f{k}", o, f"_n{k}")
-    a, b = nth(removed, "old", 1), nth(added, "new", 2)
-    return a.join(b, (F.col("_f1") == F.col("_f2")) & (F.col("_n1") == F.col("_n2"))).select(F.col("_f1").alias(fingerprint), "old", "new")
+    """(fingerprint, old, new): the nth removed row of a fingerprint with its nth added row: what greedy pairing in order finds.
+
+    Both sides are written once, narrow, and numbered together, so what makes
+    a fingerprint (a regex and a digest of whole texts) runs once for each row;
+    rows of one fingerprint and number then meet in one aggregate. A
+    fingerprint that only one side has is never numbered.
+    """
+    side = lambda df, new: df.select(F.col(fingerprint).alias("_f"), F.lit(new).alias("_new"), F.col(order).alias("_o"))
+    rows = stored(side(removed, False).unionByName(side(added, True)))
+    both = rows.groupBy(F.col("_f").alias("_b")).agg(F.count_if("_new").alias("_y"), F.count_if(~F.col("_new")).alias("_x")).where("_x > 0 and _y > 0")
+    met = rows.join(both.select("_b"), F.col("_f") == F.col("_b"), "left_semi").withColumn("_k", F.struct("_f", "_new"))
+    placed = ranked(met.select("_k", "_o"), "_k", "_o", "_n")
+    pairs = placed.groupBy(F.col("_k._f").alias(fingerprint), "_n").agg(F.max(F.when(~F.col("_k._new"), F.col("_o"))).alias("old"), F.max(F.when(F.col("_k._new"), F.col("_o"))).alias("new"))
+    return pairs.where("old is not null and new is not null").select(fingerprint, "old", "new")
 
 
 def key_status(uses: DataFrame, keys: list[str], kind: str, read: str, write: str, delete: str) -> DataFrame:
