@@ -177,6 +177,7 @@ def test_minhash(docs, rows, empty):
 
 def test_large_clusters_are_cut_without_loss(docs, rows, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK_DOCS", 4)
+    monkeypatch.setattr(minhash, "BUCKET_DOCS", 3)
     sets = sets_of(rows, 4)
     ids = sorted(sets)
     linked = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
@@ -184,6 +185,27 @@ def test_large_clusters_are_cut_without_loss(docs, rows, monkeypatch):
     assert all(r.component_id == want[r.doc_id] for r in minhash.near_duplicates(docs).collect())
 
 
+def test_pairs_of_groups_and_of_blocks():
+    i, j = minhash.pairs_of_groups(np.array([3, 1, 2]))
+    assert list(zip(i.tolist(), j.tolist())) == [(0, 1), (0, 2), (1, 2), (4, 5)]
+    assert len(minhash.pairs_of_groups(np.zeros(0, np.int64))[0]) == 0
+
+
+def test_documents_that_share_no_link_are_hardly_compared(spark, monkeypatch):
+    """3000 documents, each of two texts half alike: of millions of pairs few are verified, and the near copies among them are found."""
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(3000)]
+    base = list(rng.choice(words, 60))
+    texts = [" ".join(base + list(rng.choice(words, 55))) for _ in range(3000)]  # a similarity of about 0.35 to each other
+    texts += [t + " more" for t in texts[:20]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    verified, tasks = [], minhash._star_tasks
+    monkeypatch.setattr(minhash, "_star_tasks", lambda ties, sized: (verified.append(ties.count()), tasks(ties, sized))[1])
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()}
+    assert all(got[i] == (i if i < 3000 else i - 3000) for i in range(len(texts)))
+    assert 0 < sum(verified) < 50 * len(texts)
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(12, 16))
