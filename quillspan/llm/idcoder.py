@@ -16,7 +16,7 @@ def groups(blocks: int) -> list[tuple[int, int]]:
     return [(blocks * k // n, blocks * (k + 1) // n) for k in range(n)] if blocks else []
 
 
-#: Bits of a file's order-0 frequencies, at the most, and of the chance that a prediction holds.
+#: Bits of a file's order-0 frequencies, unless it has more different ids, and of the chance that a prediction holds.
 FREQUENCY_BITS, CHANCE_BITS = 20, 12
 _ONE = 1 << CHANCE_BITS
 #: Places for contexts in a block's tables of order 1 and of order 2, and the greatest confidence.
@@ -45,7 +45,7 @@ class Frequencies:
     """
 
     def __init__(self, levels: np.ndarray, ids: int):
-        self.bits = min(FREQUENCY_BITS, max(12, max(ids, len(levels)).bit_length() + 1))
+        self.bits = max(min(FREQUENCY_BITS, max(12, ids.bit_length() + 1)), len(levels).bit_length() + 1)
         weight = np.floor(np.exp2(np.arange(256) / 8) * 16)[levels]
         # at least one each; the rest by weight; what rounding leaves goes to the first of the heaviest
         self.size = (1 + np.floor(weight * (((1 << self.bits) - len(levels)) / max(1.0, float(weight.sum()))))).astype(np.int64)
@@ -63,6 +63,7 @@ class _Orders:
 
     def __init__(self, files: list[Frequencies], owner: np.ndarray):
         self.files, bits = files, np.array([f.bits for f in files], np.int64)
+        self.kind = np.uint16 if all(len(f.size) <= 1 << 16 for f in files) else np.uint32  # of ranks
         first = lambda n: (np.cumsum(n) - n)[owner]
         self.base, self.points = first(np.array([len(f.size) for f in files], np.int64)), first(np.int64(1) << bits)
         self.bits, self.whole = bits[owner].astype(np.uint64), (np.int64(1) << (bits + 32))[owner].astype(np.uint64)
@@ -72,7 +73,7 @@ class _Orders:
 
     def ranks(self) -> np.ndarray:
         """The rank at each point."""
-        return np.concatenate([np.repeat(np.arange(len(f.size), dtype=np.uint16), f.size) if len(f.size) else np.zeros(1 << f.bits, np.uint16) for f in self.files])
+        return np.concatenate([np.repeat(np.arange(len(f.size), dtype=self.kind), f.size) if len(f.size) else np.zeros(1 << f.bits, self.kind) for f in self.files])
 
 
 class _Model:
@@ -154,10 +155,10 @@ def encode(blocks: list[np.ndarray], files: list[Frequencies], owner: list[int])
     sizes = np.array([len(b) for b in blocks], np.int64)
     order, running = _sorted(sizes)
     lanes = len(blocks)
-    x = np.zeros((len(running), lanes), np.uint16)
+    orders = _Orders(files, np.array(owner, np.int64)[order])
+    x = np.zeros((len(running), lanes), orders.kind)
     for i, k in enumerate(order):
         x[: sizes[k], i] = blocks[k]
-    orders = _Orders(files, np.array(owner, np.int64)[order])
     model, low, span = _Model(orders), np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
     out = np.zeros((lanes, 256), np.uint32)
     used = np.zeros(lanes, np.int64)
@@ -208,7 +209,7 @@ def _decoded(data: list[bytes], sizes: list[int], files: list[Frequencies], owne
     orders = _Orders(files, np.array(owner, np.int64)[order])
     ranks = orders.ranks()
     model, low, span = _Model(orders), np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
-    x = np.zeros((len(running), lanes), np.uint16)
+    x = np.zeros((len(running), lanes), orders.kind)
     for t, n in enumerate(running.tolist()):
         lo, sp, co = low[:n], span[:n], code[:n]
         bound = (sp >> _U(CHANCE_BITS)) * model.predict(n).astype(np.uint64)

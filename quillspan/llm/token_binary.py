@@ -65,9 +65,7 @@ def write_files(files: list[tuple[list[int | None], list[np.ndarray]]]) -> list[
         flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
         n = np.bincount(flat)
         values = np.flatnonzero(n).astype(np.uint32)
-        if len(values) > 1 << 16:
-            raise ValueError("a file holds 65536 distinct ids at the most")
-        rank = np.zeros(len(n), np.uint16)
+        rank = np.zeros(len(n), np.uint16 if len(values) <= 1 << 16 else np.uint32)
         rank[values] = np.arange(len(values))
         ranks, levels = rank[flat], idcoder.Frequencies.levels(n[values])
         own = [(flat[p : p + idcoder.BLOCK], ranks[p : p + idcoder.BLOCK]) for p in range(0, len(flat), idcoder.BLOCK)]

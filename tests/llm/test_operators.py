@@ -127,6 +127,12 @@ def test_range_coder_and_damage():
         token_binary.read_files([data[:-9] + bytes([data[-9] ^ 255]) + data[-8:]])
 
 
+def test_files_of_any_number_of_distinct_ids():
+    ids = [np.random.default_rng(1).permutation(150_000).astype(np.uint32), np.array([149_999, 5, 5], np.uint32)]
+    (docs, back), = token_binary.read_files(token_binary.write_files([([1, 2], ids)]))
+    assert docs == [1, 2] and all((a == b).all() for a, b in zip(ids, back))
+
+
 def test_files_of_real_text_are_smaller_than_order_0():
     import pyarrow.parquet as pq
 
