@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.functions.text import normalised, short_hash
-from quillspan.operators import deltas, patterns, production, walks
+from quillspan.operators import facts as fs
+from quillspan.operators import deltas, incremental, patterns, production, walks
 from quillspan.operators import relations as op
-from quillspan.plans.catalog import query
+from quillspan.plans.catalog import edited_scripts, query, scripts
+from quillspan.sources.shared import shared_folder
 from quillspan.sources.tables import process_log, table
+from quillspan.streaming import counters, log
 
 _PASSAGES = """WITH h AS (SELECT doc_id, item_id, CASE WHEN doc_id % 2 = 0 THEN 'dev' ELSE 'prod' END AS env, CASE WHEN item_id % 2 = 0 THEN 'dev' ELSE 'prod' END AS owner FROM documents JOIN benchmark ON contains(documents.text, benchmark.text))"""
 
@@ -108,8 +113,46 @@ def url_places(spark: SparkSession, d: str) -> DataFrame:
     return op.in_order(table(spark, d, "pages").select("page_id", "url"), "url", "place", "page_id", collation="").withColumn("place", F.col("place").cast("long"))
 
 
-@query(r"""SELECT conv_id, turn, lower(to_base(list_reduce(list_transform(string_split(need, ''), lambda c: CAST(coalesce(unicode(nullif(c, '')), -1) AS BIGINT)), lambda h, c: CASE WHEN c < 0 THEN h ELSE xor(h * 33, c) & 4294967295 END, CAST(5381 AS BIGINT)), 36)) AS id
-FROM (SELECT conv_id, turn, trim(regexp_replace(strip_accents(lower(text)), '[^\p{L}\p{N}]+', ' ', 'g')) AS need FROM conversations)""")
+_NEEDS = r"""n AS (SELECT conv_id, turn, role, text, trim(regexp_replace(strip_accents(lower(text)), '[^\p{L}\p{N}]+', ' ', 'g')) AS need FROM conversations),
+i AS (SELECT conv_id, turn, role, text, lower(to_base(list_reduce(list_transform(string_split(need, ''), lambda c: CAST(coalesce(unicode(nullif(c, '')), -1) AS BIGINT)), lambda h, c: CASE WHEN c < 0 THEN h ELSE xor(h * 33, c) & 4294967295 END, CAST(5381 AS BIGINT)), 36)) AS id FROM n)"""
+
+
+@query("WITH " + _NEEDS + " SELECT conv_id, turn, id FROM i")
 def request_ids(spark: SparkSession, d: str) -> DataFrame:
     """The short id of each turn's text as a need."""
     return table(spark, d, "conversations").select("conv_id", "turn", short_hash(normalised(F.col("text"))).alias("id"))
+
+
+@query("WITH " + _NEEDS + """, t AS (SELECT id AS key, text, conv_id * 1000 + turn AS s, CASE WHEN turn % 2 = 0 THEN role END AS context FROM i)
+SELECT key, arg_min(text, (s, text)) AS need, count(*) AS occurrences, CAST(min(s) AS BIGINT) AS first_seen, CAST(max(s) AS BIGINT) AS last_seen, arg_max(context, (s, context)) FILTER (context IS NOT NULL) AS context FROM t GROUP BY key""")
+def streamed_needs(spark: SparkSession, d: str) -> DataFrame:
+    """Turns as requests of a stream that is read to its end: the state of each need after it, read back from what the stream wrote.
+
+    Every second turn tells a context. The whole stream comes twice, and counts once.
+    """
+    at = F.timestamp_seconds(F.col("conv_id") * 1000 + F.col("turn"))
+    rows = table(spark, d, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("id"), F.col("text").alias("need"), F.when(F.col("turn") % 2 == 0, F.col("role")).otherwise(" ").alias("context"), at.alias("at"))
+    home = f"{shared_folder(spark)}/quillspan-{uuid.uuid4().hex}"
+    for again in range(2):
+        rows.write.mode("append").parquet(f"{home}/in")
+        counters.run(counters.counted_stream(log.stream_of(spark, f"{home}/in")), f"{home}/out", f"{home}/at").awaitTermination()
+    last = counters.current(spark.read.parquet(f"{home}/out"))
+    return last.select("key", "need", "occurrences", F.unix_seconds("first_seen").alias("first_seen"), F.unix_seconds("last_seen").alias("last_seen"), "context")
+
+
+@query("""SELECT CAST(count(*) FILTER (o_orderkey % 100 = 7) AS BIGINT) AS parsed, CAST(count(*) FILTER (o_orderkey % 100 <> 7) AS BIGINT) AS taken_over, CAST(0 AS BIGINT) AS removed, CAST(sum(CASE WHEN o_orderkey % 100 = 7 THEN 3 ELSE 2 END) AS BIGINT) AS functions FROM orders""")
+def scan_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """What an incremental scan did, from the job that wrote its store: files parsed, taken over and removed, functions found."""
+    before = fs.written(fs.facts(scripts(spark, d, False)))
+    _, told = incremental.scan_measured(before, edited_scripts(spark, d))
+    return told
+
+
+@query("""SELECT CAST(o_custkey AS VARCHAR) AS project, CASE WHEN i = 0 THEN 'f' || o_orderkey WHEN i = 1 THEN 'g' || o_orderkey ELSE 'f' END AS symbol, CAST(count(*) AS BIGINT) AS members, CAST(count(*) AS BIGINT) AS links
+FROM (SELECT o_custkey, o_orderkey, unnest(CASE WHEN o_orderkey % 100 = 7 THEN [0, 1, 2] ELSE [0, 1] END) AS i FROM orders) GROUP BY 1, 2""")
+def maintained_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Callers of each name in scripts after one in a hundred changed: the counts of the scan before, kept up by the calls that those files lost and got."""
+    before = fs.written(fs.facts(scripts(spark, d, False)))
+    edges = op.stored(incremental.call_edges(before))
+    counts = op.stored(deltas.members(edges, incremental.CALLED))
+    return incremental.maintained_calls(before, edited_scripts(spark, d), edges, counts)
