@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions.text import normalised, rounded, short_hash
 from quillspan.operators import facts as fs
-from quillspan.operators.relations import confidence
+from quillspan.operators.relations import confidence, first_by_key
 
 REQUEST = "id string, need string, context string, at timestamp"
 
@@ -35,6 +35,28 @@ def diff_coverage(before: DataFrame, after: DataFrame) -> DataFrame:
     return told.withColumn("confidence", confidence(F.col("pct"), 90, 70))
 
 
+UNCERTAIN = ("dynamic_dispatch", "eval", "function_constructor")
+
+
+def project_coverage(store: DataFrame, most: int = 20) -> DataFrame:
+    """One row a project: pct (mean coverage of its functions, rounded), confidence, uncertain places in all and by kind, and how many functions
+    have open returns, dynamic calls or returns that can't be sent to a page, with the first `most` of each by name.
+    """
+    at = ["project"]
+    f = fs.coverage_by_function(store).groupBy(*at).agg(rounded(F.avg("coverage_pct")).alias("pct"))
+    places = fs.view(store, "uncertain").groupBy(*at).agg(F.count("*").alias("uncertain"), *[F.count_if(F.col("what") == k).alias(k) for k in UNCERTAIN])
+    known = fs.functions(store)[0].select("project", "owner")
+    returns = fs.view(store, "returns").join(known, ["project", "owner"], "left_semi")
+    open_ = returns.where("open_object = 'true'")
+    dynamic = fs.view(store, "uncertain").where("what = 'dynamic_dispatch'").join(known, ["project", "owner"], "left_semi")
+    closed = returns.where("serializable = 'false'")
+    out = f.withColumn("confidence", confidence(F.col("pct"))).join(places, at, "left").na.fill(0, ["uncertain", *UNCERTAIN])
+    for name, rows in (("open_returns", open_), ("dynamic", dynamic), ("not_sendable", closed)):
+        out = out.join(first_by_key(rows.select("project", "owner").distinct(), at, ["owner"], most, f"_{name}", name), at, "left")
+        out = out.withColumn(name, F.coalesce(name, F.lit(0))).withColumn(f"{name}_names", F.coalesce(F.col(f"_{name}.owner"), F.array().cast("array<string>"))).drop(f"_{name}")
+    return out
+
+
 def chain_counts(store: DataFrame, types: list[str]) -> DataFrame:
     """One row: chains of calls that are checked against a registry of types, and those left out: cut short or from an unknown root."""
     known, cut = F.col("root").isin(types), F.col("truncated")

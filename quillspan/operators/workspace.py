@@ -75,6 +75,19 @@ def projects_of(store: DataFrame, name: str) -> DataFrame:
     return told.withColumn("choice", F.when(F.size("projects") == 1, F.col("projects")[0]))
 
 
+def merged_settings(existing: DataFrame, generated: DataFrame, key: str, lists: list[str], scalars: list[str]) -> DataFrame:
+    """Settings by key after generated ones came to existing ones: lists keep what they have, in order, and get what is new to them at their end, each once; scalars are filled only where there is none.
+
+    A key that one side has is taken as it is; a null list is an empty one.
+    """
+    columns = [*lists, *scalars]
+    a, b = existing.select(key, *[F.col(c).alias(f"_a_{c}") for c in columns]), generated.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_b_{c}") for c in columns])
+    out = a.join(b, F.col(key) == F.col("_key"), "full_outer")
+    empty = lambda c, x: F.coalesce(F.col(c), F.array().cast(existing.schema[x].dataType))
+    own = lambda c: F.concat(empty(f"_a_{c}", c), F.array_distinct(F.array_except(empty(f"_b_{c}", c), empty(f"_a_{c}", c))))
+    return out.select(F.coalesce(key, "_key").alias(key), *[own(c).alias(c) for c in lists], *[F.coalesce(f"_a_{c}", f"_b_{c}").alias(c) for c in scalars])
+
+
 def rekeyed(store: DataFrame, project: str, new: str) -> DataFrame:
     """The store with a project under another name."""
     return store.withColumn("project", F.when(F.col("project") == project, F.lit(new)).otherwise(F.col("project")))

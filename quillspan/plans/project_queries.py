@@ -119,11 +119,13 @@ def runtime_checks(spark: SparkSession, d: str) -> DataFrame:
 ))
 def doc_checks(spark: SparkSession, d: str) -> DataFrame:
     """Documentation comments against parameters, returned fields and names."""
-    c = customers(spark, d)
+    return told(rules.doc_rules(fs.written(fs.facts(file(customers(spark, d), "main.gs", "gs", _doc_code())))))
+
+
+def _doc_code() -> Column:
     head = F.when(F.expr("k % 2 = 1"), "\n\n").otherwise(F.concat(F.lit("/** Adds.\n * @param {number} "), F.when(F.expr("k % 3 = 0"), "q").otherwise("x"), F.lit("\n */")))
     over = F.concat(F.lit("/** Gives. "), F.when(F.expr("k % 7 = 0"), "{@link gone} ").otherwise("{@link a} "), F.lit("\n * @returns {object} has `sum`"), F.when(F.expr("k % 5 = 0"), " and `lost`").otherwise(""), F.lit("\n */"))
-    code = F.concat_ws("\n", head, F.lit("function a(x) { return x; }"), over, F.lit("function b(y) { return {sum: y}; }"), F.lit(""), F.lit("function z() {}"))
-    return told(rules.doc_rules(fs.written(fs.facts(file(c, "main.gs", "gs", code)))))
+    return F.concat_ws("\n", head, F.lit("function a(x) { return x; }"), over, F.lit("function b(y) { return {sum: y}; }"), F.lit(""), F.lit("function z() {}"))
 
 
 _REGISTRY = [("SpreadsheetApp", "getActive", "Spreadsheet", 0, None), ("Spreadsheet", "getSheetByName", "Sheet", 1, None), ("Sheet", "getRange", "Range", 1, None), ("Sheet", "getRangeList", "RangeList", 1, None), ("Range", "setValue", "Range", 1, None), ("UserProperties", "getProperty", "String", 1, None), ("UserProperties", "*", None, 0, "PropertiesService")]
@@ -134,11 +136,27 @@ UNION ALL SELECT p, 'api.wrong_arity', 'break', 'Spreadsheet.getSheetByName', CA
 UNION ALL SELECT p, 'api.deprecated', 'warn', 'UserProperties.getProperty', CAST(3 AS INTEGER), 'deprecated in UserProperties' FROM c WHERE k % 5 = 0""")
 def api_checks(spark: SparkSession, d: str) -> DataFrame:
     """Chains of calls against a registry of types: methods it hasn't, with near ones, missing arguments, deprecated ones."""
-    code = rendered([
+    return told(rules.api_rules(fs.written(fs.facts(file(customers(spark, d), "main.gs", "gs", _api_code()))), _REGISTRY), "reason")
+
+
+def _api_code() -> Column:
+    return rendered([
         ("k % 2 = 0", "function a() { SpreadsheetApp.getActive().getSheetByName('a').getRnge(1).setValue(); }"), ("k % 3 = 0", "function b() { SpreadsheetApp.getActive().getSheetByName(); }"),
         ("k % 5 = 0", "function f() { UserProperties.getProperty('a').trim(); }"), ("true", "function g() { SpreadsheetApp.getActive().getSheetByName('a').getRange(1).setValue(2); Other.x().y(); }"),
     ])
-    return told(rules.api_rules(fs.written(fs.facts(file(customers(spark, d), "main.gs", "gs", code))), _REGISTRY), "reason")
+
+
+@query(_C + """ SELECT CAST(count(*) + count(*) FILTER (k % 2 = 0) + count(*) FILTER (k % 3 = 0) + count(*) FILTER (k % 5 = 0) + count(*) AS BIGINT) AS chains, CAST(0 AS BIGINT) AS truncated, count(*) AS unknown_root, count(*) FILTER (k % 5 = 0) AS unknown_type,
+CAST(count(*) FILTER (k % 2 = 0) + count(*) FILTER (k % 3 = 0) + count(*) FILTER (k % 5 = 0) AS BIGINT) AS findings FROM c""")
+def api_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Chains of calls in all, those of unknown roots, those that came to an unknown type, and findings."""
+    return rules.api_counts(fs.written(fs.facts(file(customers(spark, d), "main.gs", "gs", _api_code()))), _REGISTRY)
+
+
+@query(expected(("true", "doc.undocumented", "info", "z", 10), ("k % 2 = 1", "doc.undocumented", "info", "a", 4)))
+def doc_selected(spark: SparkSession, d: str) -> DataFrame:
+    """One of the checks of documentation, of public functions only."""
+    return told(rules.doc_rules(fs.written(fs.facts(file(customers(spark, d), "main.gs", "gs", F.concat(_doc_code(), F.lit("\nfunction own_() {}"))))), ["undocumented"], public_only=True))
 
 
 @query(r"""WITH t AS (SELECT CAST(page_id AS VARCHAR) AS file, unnest(regexp_extract_all(html, '<a\b[^>]*>')) AS tag FROM pages), l AS (SELECT file, regexp_extract(tag, 'href="([^"]*)"', 1) AS symbol FROM t WHERE NOT regexp_matches(tag, '\btarget=')),
@@ -379,3 +397,21 @@ def park_overview(spark: SparkSession, d: str) -> DataFrame:
     at = F.concat_ws("::", app, F.lit("env"), F.concat(F.lit("e"), "k"))
     findings = c.where("k % 5 = 0").select(at.alias("symbol"), F.lit("break").alias("severity")).unionByName(c.where("k % 7 = 0").select(at.alias("symbol"), F.lit("warn").alias("severity")))
     return ws.overview(targets, _graph(spark, d), manifest, library, findings)
+
+
+@query(_C + """, f AS (SELECT p, k, 3 + (k % 2 = 0)::INT + (k % 3 = 0)::INT AS n FROM c)
+SELECT p AS project, CAST(floor((100 * n - 5) / n + 0.5) AS BIGINT) AS pct, 'high' AS confidence, CAST(1 AS BIGINT) AS uncertain, CAST(1 AS BIGINT) AS evals, CAST(0 AS BIGINT) AS not_sendable, '' AS names FROM f""")
+def code_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """Mean coverage of a project's functions, what can't be told in them, and the functions that return what no page can get."""
+    out = reports.project_coverage(_graph(spark, d))
+    return out.select("project", "pct", "confidence", "uncertain", F.col("eval").alias("evals"), "not_sendable", F.array_join("not_sendable_names", ",").alias("names"))
+
+
+@query("""WITH a AS (SELECT o_custkey AS k, list_sort(list_distinct(list(o_orderpriority))) AS allow, min(o_orderstatus) AS mode FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), b AS (SELECT o_custkey AS k, list_sort(list_distinct(list(o_orderpriority))) AS allow, min(o_orderstatus) AS mode FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1)
+SELECT coalesce(a.k, b.k) AS k, array_to_string(list_concat(coalesce(a.allow, []), list_filter(coalesce(b.allow, []), lambda x: NOT list_contains(coalesce(a.allow, []), x))), ',') AS allow, coalesce(a.mode, b.mode) AS mode FROM a FULL JOIN b ON a.k = b.k""")
+def merged_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Priorities of a customer's filled orders as a list that exists, of the others as one that is generated: what is new comes after what is there."""
+    o = table(spark, d, "orders")
+    lists = lambda cond: o.where(cond).groupBy(F.col("o_custkey").alias("k")).agg(F.array_sort(F.collect_set("o_orderpriority")).alias("allow"), F.min("o_orderstatus").alias("mode"))
+    out = ws.merged_settings(lists("o_orderstatus = 'F'"), lists("o_orderstatus <> 'F'"), "k", ["allow"], ["mode"])
+    return out.select("k", F.array_join("allow", ",").alias("allow"), "mode")

@@ -317,8 +317,18 @@ def webapp_rules(store: DataFrame, embedded: bool = False) -> DataFrame:
     )
 
 
-def doc_rules(store: DataFrame) -> DataFrame:
-    f, at = fs.functions(store)[0], ["project", "owner"]
+DOC_CHECKS = {"undocumented": "doc.undocumented", "drift": "doc.param_drift", "return_drift": "doc.return_drift", "stale_ref": "doc.stale_ref"}
+
+
+def doc_rules(store: DataFrame, checks: Sequence[str] = (), public_only: bool = False) -> DataFrame:
+    """Documentation comments against the code; checks names some of DOC_CHECKS, all if it is empty; public_only leaves private functions out.
+
+    A reference may name a private function either way.
+    """
+    if unknown := set(checks) - set(DOC_CHECKS):
+        raise ValueError(f"no such checks: {sorted(unknown)}")
+    known, at = fs.functions(store)[0], ["project", "owner"]
+    f = known.where("visibility = 'public'") if public_only else known
     doc = fs.view(store, "doc").drop("file", "line", "col")
     with_doc = f.join(doc, at)
     bare = f.join(doc.where("summary is not null").select(*at), at, "left_anti")
@@ -327,25 +337,24 @@ def doc_rules(store: DataFrame) -> DataFrame:
     told = F.array_distinct(F.filter(F.regexp_extract_all("returns_text", F.lit(r"`([A-Za-z_$][\w$]*)`"), F.lit(1)), lambda x: x.rlike("^[a-z_$]") & ~x.isin(DOC_WORDS)))
     drift = with_doc.where("returns_text is not null").join(shape, at).withColumn("field", F.explode(F.array_except(told, "fields")))
     refs = with_doc.withColumn("ref", F.explode("refs")).withColumn("head", F.regexp_extract("ref", r"^[\w$]+", 0)).where("head <> '' and not ref like 'http%'")
-    lost = refs.join(f.select("project", F.col("owner").alias("head")), ["project", "head"], "left_anti").where(~F.col("head").isin(fs.SERVICES + DOC_GLOBALS))
-    return both(
-        found(bare, "doc.undocumented", "info", "owner", say("no summary")),
-        found(tags, "doc.param_drift", "warn", "owner", say("documents no such parameter: ", F.col("param"))),
-        found(drift, "doc.return_drift", "warn", "owner", say("documents a field that is not returned: ", F.col("field"))),
-        found(lost, "doc.stale_ref", "info", "owner", say("refers to nothing known: ", F.col("ref"))),
-    )
+    lost = refs.join(known.select("project", F.col("owner").alias("head")), ["project", "head"], "left_anti").where(~F.col("head").isin(fs.SERVICES + DOC_GLOBALS))
+    told = {
+        "undocumented": lambda kind: found(bare, kind, "info", "owner", say("no summary")),
+        "drift": lambda kind: found(tags, kind, "warn", "owner", say("documents no such parameter: ", F.col("param"))),
+        "return_drift": lambda kind: found(drift, kind, "warn", "owner", say("documents a field that is not returned: ", F.col("field"))),
+        "stale_ref": lambda kind: found(lost, kind, "info", "owner", say("refers to nothing known: ", F.col("ref"))),
+    }
+    return both(*[make(DOC_CHECKS[name]) for name, make in told.items() if not checks or name in checks])
 
 
 # ---- API
 
 
-def api_rules(store: DataFrame, registry: Sequence[tuple]) -> DataFrame:
-    """Chains of calls against registry rows (type, method, returns, least arguments, deprecated or None).
+def _folded(store: DataFrame, registry: Sequence[tuple]) -> DataFrame:
+    """Chains whose root the registry has, with _f: out, what was met along them, and verdict, why they ended: stop, unknown (a type that the registry hasn't) or nothing.
 
     The registry, a few hundred rows whatever the input, is one constant map; each chain is folded through it in a
-    projection, without a join. A step of a type that the registry hasn't ends the chain quietly; method '*' stands for a type.
-    Near methods are compared in lower case: within max(3, half the length), containing the one asked for, or starting like it,
-    by min(4, half the length) characters.
+    projection, without a join. Method '*' stands for a type.
     """
     entries = {f"{t}.{m}": {"returns": r, "arity_min": n, "deprecated": d} for t, m, r, n, d in registry}
     methods: dict[str, list[str]] = {}
@@ -362,13 +371,32 @@ def api_rules(store: DataFrame, registry: Sequence[tuple]) -> DataFrame:
         old = F.coalesce(hit["deprecated"], F.try_element_at("_r", F.concat(s["type"], F.lit(".*")))["deprecated"])
         make = lambda t, v, o: F.struct(t.alias("type"), F.lit(v).alias("verdict"), o.alias("out"))
         return (
-            F.when((s["verdict"] != "") | ~F.map_contains_key("_all", F.coalesce(s["type"], F.lit(""))), make(s["type"], "stop", s["out"]))
+            F.when(s["verdict"] != "", s)
+            .when(~F.map_contains_key("_all", F.coalesce(s["type"], F.lit(""))), make(s["type"], "unknown", s["out"]))
             .when(hit.isNull(), make(s["type"], "stop", F.concat(s["out"], note("api.unknown_method"))))
             .when(n < F.coalesce(hit["arity_min"], F.lit(0)), make(s["type"], "stop", F.concat(s["out"], note("api.wrong_arity"))))
             .otherwise(make(hit["returns"], "", F.when(old.isNotNull(), F.concat(s["out"], note("api.deprecated"))).otherwise(s["out"])))
         )
 
-    c = c.withColumn("_o", F.explode(F.aggregate("steps", start, step, lambda s: s["out"])))
+    return c.withColumn("_f", F.aggregate("steps", start, step))
+
+
+def api_counts(store: DataFrame, registry: Sequence[tuple]) -> DataFrame:
+    """One row: chains in all, those cut short at their root, those of a root that the registry hasn't, those that came to a type it hasn't, and findings."""
+    types = sorted({t for t, *_ in registry})
+    roots = fs.view(store, "chain").agg(F.count("*").alias("chains"), F.count_if("truncated").alias("truncated"), F.count_if(~F.col("truncated") & ~F.col("root").isin(types)).alias("unknown_root"))
+    walked = _folded(store, registry).agg(F.count_if(F.col("_f.verdict") == "unknown").alias("unknown_type"), F.coalesce(F.sum(F.size("_f.out")), F.lit(0)).cast("long").alias("findings"))
+    return roots.withColumn("_k", F.lit(1)).join(walked.withColumn("_k", F.lit(1)), "_k").drop("_k")
+
+
+def api_rules(store: DataFrame, registry: Sequence[tuple]) -> DataFrame:
+    """Chains of calls against registry rows (type, method, returns, least arguments, deprecated or None).
+
+    A step of a type that the registry hasn't ends the chain quietly. Near methods are compared in lower case: within max(3, half the length), containing the one asked for, or starting like it,
+    by min(4, half the length) characters.
+    """
+    c = _folded(store, registry)
+    c = c.withColumn("_o", F.explode("_f.out"))
     asked = F.lower("_o.method")
     half = F.floor(F.length("_o.method") / 2)
     start_of = F.substring(asked, F.lit(1), F.least(F.lit(4), half).cast("int"))
