@@ -17,12 +17,27 @@ from .wordhash import mixed, shingles, text_hashes
 SAMPLES = 64
 #: Words of a term; a term's weight is how often it occurs.
 TERM_WORDS = 2
+#: Terms whose values are held at once; a text of no more hands them on to its edited text and to the one before it.
+PART = 8192
 #: Buckets of the order by doc_id, for each shuffle partition, and in all at the most.
 BUCKETS_EACH, BUCKETS_MOST = 16, 1 << 16
 _U = np.uint64
 _NONE = np.iinfo(np.int64).min
 
 
+class Values:
+    """ln a of some terms for each sample; steps are those t that may not be 0, of the rows `more`."""
+
+    def __init__(self, x: np.ndarray, w: np.ndarray, a: np.ndarray, more: np.ndarray, steps: np.ndarray):
+        self.x, self.w, self.a, self.more, self.steps = x, w, a, more, steps
+
+    def steps_of(self, rows: np.ndarray, samples: np.ndarray) -> np.ndarray:
+        if not len(self.more):
+            return np.zeros(len(rows), np.float32)
+        at = np.minimum(np.searchsorted(self.more, rows), len(self.more) - 1)
+        return np.where(self.more[at] == rows, self.steps[at, samples], np.float32(0))
+
+
 class Sampler:
     """Improved consistent weighted sampling.
 
@@ -43,29 +58,68 @@ class Sampler:
         u = (np.arange(1 << 16) + 0.5) / (1 << 16)
         x = np.linspace(0, 40, 400_001)
         gamma = np.interp(u, 1 - (1 + x) * np.exp(-x), x)  # the quantiles of Gamma(2, 1)
-        self.gamma, self.log_gamma, self.uniform = gamma.astype(np.float32), np.log(gamma).astype(np.float32), u.astype(np.float32)
+        self.gamma, self.log_gamma = gamma.astype(np.float32), np.log(gamma).astype(np.float32)
 
-    def signature(self, h: np.ndarray) -> np.ndarray:
-        """Of word hashes; all zero without terms. Terms are taken 1024 at once."""
-        terms, counts = np.unique(shingles(h, TERM_WORDS), return_counts=True)
+    def terms(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct terms of word hashes, ascending, and their weights."""
+        return np.unique(shingles(h, TERM_WORDS), return_counts=True)
+
+    def values(self, x: np.ndarray, w: np.ndarray) -> Values:
+        """ln a of terms x of weights w for each sample, 1024 terms at once."""
+        n = len(self.chain)
+        a, more = np.empty((len(x), n), np.float32), np.flatnonzero(w > 1)
+        steps = np.zeros((len(more), n), np.float32)
+        for p in range(0, len(x), 1024):
+            y = x[p : p + 1024]
+            one, two = (y >> _U(52)).astype(np.intp), ((y >> _U(40)) & _U(4095)).astype(np.intp)
+            r, c, b = (u.take(one, axis=0) + z.take(two, axis=0) for u, z in self.tables)
+            r, c = self.gamma[r.astype(np.intp)], self.log_gamma[c.astype(np.intp)]
+            b = (b + np.float32(0.5)) * np.float32(1 / 65536)
+            a[p : p + 1024] = b * r + c - r  # with t = 0, as for every weight of 1
+            i, j = np.searchsorted(more, [p, p + 1024])
+            if i < j:
+                at = more[i:j] - p
+                t = steps[i:j] = np.floor(np.log(w[more[i:j]]).astype(np.float32)[:, None] / r[at] + b[at])
+                a[more[i:j]] = c[at] - r[at] * (t - b[at]) - r[at]
+        return Values(x, w, a, more, steps)
+
+    def printed(self, parts: list[tuple[Values, np.ndarray | None]]) -> np.ndarray:
+        """The signature of the terms of all parts (of some of a part's rows, ascending, if they are given); all zero without terms.
+
+        Of equal least values that of the least term is taken, so parts may be cut in any way.
+        """
         n = len(self.chain)
-        best, code = np.full(n, np.inf, np.float32), np.zeros(n, np.uint64)
-        for p in range(0, len(terms), 1024):
-            x, w = terms[p : p + 1024], counts[p : p + 1024]
-            one, two = (x >> _U(52)).astype(np.intp), ((x >> _U(40)) & _U(4095)).astype(np.intp)
-            r, c, b = (a[one] + z[two] for a, z in self.tables)
-            r, b = self.gamma[r], self.uniform[b]
-            t = np.zeros(r.shape, np.float32)
-            more = np.flatnonzero(w > 1)
-            if len(more):
-                t[more] = np.floor(np.log(w[more]).astype(np.float32)[:, None] / r[more] + b[more])
-            a = self.log_gamma[c] - r * (t - b) - r
-            at = a.argmin(axis=0)
-            own = a[at, np.arange(n)]
-            less = own < best
-            best[less] = own[less]
-            code[less] = (x[at] + t[at, np.arange(n)].astype(np.int64).view(np.uint64) * _U(0x9E3779B97F4A7C15))[less]
-        return (mixed(code ^ self.chain) >> _U(48)).astype("<u2") if len(terms) else np.zeros(n, "<u2")
+        best, term, code, every = np.full(n, np.inf, np.float32), np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.arange(n)
+        some = False
+        for v, rows in parts:
+            count = len(v.x) if rows is None else len(rows)
+            some |= count > 0
+            for p in range(0, count, 1024):
+                of = np.arange(p, min(p + 1024, count)) if rows is None else rows[p : p + 1024]
+                a = v.a[p : p + 1024] if rows is None else v.a[of]
+                at = a.argmin(axis=0)
+                own, row = a[at, every], of[at]
+                x = v.x[row]
+                less = (own < best) | ((own == best) & (x < term))
+                best[less], term[less] = own[less], x[less]
+                code[less] = (x + v.steps_of(row, every).astype(np.int64).view(np.uint64) * _U(0x9E3779B97F4A7C15))[less]
+        return (mixed(code ^ self.chain) >> _U(48)).astype("<u2") if some else np.zeros(n, "<u2")
+
+    def signature(self, h: np.ndarray) -> np.ndarray:
+        """Of word hashes; all zero without terms. Values of PART terms are held at once."""
+        x, w = self.terms(h)
+        return self.printed_in_parts(x, w, [])
+
+    def printed_in_parts(self, x: np.ndarray, w: np.ndarray, known: list[Values]) -> np.ndarray:
+        """The signature of terms x of weights w; values that are known are looked up there, the others are made, PART at once."""
+        parts, rest = [], np.arange(len(x))
+        for v in known:
+            if len(v.x) and len(rest):
+                at = np.minimum(np.searchsorted(v.x, x[rest]), len(v.x) - 1)
+                same = (v.x[at] == x[rest]) & (v.w[at] == w[rest])
+                parts.append((v, at[same]))
+                rest = rest[~same]
+        return self.printed([*parts, *((self.values(x[rest[p : p + PART]], w[rest[p : p + PART]]), None) for p in range(0, len(rest), PART))])
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -135,16 +189,19 @@ def _printed(samples: int):
                     continue  # one of several rows of the first doc_id; the first of them has been taken
                 data = press.decompress(batch.column("z")[i].as_py())
                 text = data.decode()
-                print_ = sampler.signature(text_hashes(data))
+                x, w = sampler.terms(text_hashes(data))
+                values = sampler.values(x, w) if len(x) <= PART else None
+                print_ = sampler.printed([(values, None)]) if values else sampler.printed_in_parts(x, w, [])
                 if before is not None and before[0] == bucket:
-                    _, d, old, old_print = before
+                    _, d, old, old_print, old_values = before
                     n = len(old)
                     edited = (old[: n - n // 4] + text[: n // 4]).encode()
-                    other = sampler.signature(text_hashes(edited))
+                    # most terms of the edited text are those of the two texts it is made of
+                    other = sampler.printed_in_parts(*sampler.terms(text_hashes(edited)), [v for v in (old_values, values) if v])
                     out.append((d, n, hashlib.sha256(edited).hexdigest(), old_print.tobytes().hex(), other.tobytes().hex(), likeness(old_print, other), likeness(old_print, print_)))
                     if len(out) >= 512:
                         yield batch_of()
-                before, closed = (None, bucket) if late else ((bucket, batch.column("doc_id")[i].as_py(), text, print_), closed)
+                before, closed = (None, bucket) if late else ((bucket, batch.column("doc_id")[i].as_py(), text, print_, values), closed)
         if out:
             yield batch_of()
 
