@@ -225,7 +225,8 @@ def round_trip(docs: DataFrame, tokenizer_json: str, cache: int = CACHE) -> Data
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text, encoded and decoded again; one pass, no shuffle.
 
     Null texts count as empty: no ids, and the digests of nothing. Rows may
-    repeat; an empty table gives no rows.
+    repeat; an empty table gives no rows. A very long text is encoded piece by
+    piece; its ids are held by one task, four bytes each.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
     slim = docs.select("doc_id", "text")

@@ -217,7 +217,8 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     to it as a guest. After the last document comes the first, which is its
     own next if it is alone. A null doc_id comes before all others; rows of
     equal doc_id are ordered by a hash of the text. Null texts count as empty;
-    a text without words has a fingerprint of zeros. Memory holds two texts.
+    a text without words has a fingerprint of zeros. An empty table gives no
+    rows. Memory holds two texts and the values of PART terms of each.
     """
     spark = docs.sparkSession
     sc = spark.sparkContext

@@ -178,12 +178,18 @@ def predict(docs: DataFrame, filters: Filters, keep: list[str]) -> tuple[DataFra
 
 
 def language_digest(docs: DataFrame) -> DataFrame:
-    """The digest of op8; where no row has a language, every prediction is 'und'."""
+    """The digest of op8; where no row has a language, every prediction is 'und'.
+
+    Each row is predicted on its own, so repeated rows agree; languages that
+    tie are told in order of their names. Only doc_id, text and, for learning,
+    lang are read, whatever other columns are called. A very long text is read
+    in slices and predicted by all of its n-grams. An empty table gives no rows.
+    """
     out, (lang, score, _) = predict(docs.select("doc_id", "text"), learn(docs), ["doc_id"])
     return out.select("doc_id", (crc_fold("doc_id", 3) == 1).alias("held_out"), F.col(lang).alias("lang_pred"), F.col(score).alias("score"))
 
 
 def language_stage(docs: DataFrame) -> DataFrame:
-    """Keeps documents with letters of whose n-grams the predicted language knows at least 1 - UNKNOWN; columns may have any names."""
+    """Keeps documents with letters of whose n-grams the predicted language knows at least 1 - UNKNOWN; columns may have any names. Null texts go; an empty table stays empty."""
     out, (lang, _, known) = predict(docs, learn(docs), docs.columns)
     return out.where((F.col(lang) != "und") & (F.col(known) >= 1 - UNKNOWN)).select(*docs.columns)

@@ -205,12 +205,18 @@ def scored(docs: DataFrame, machine: Machine, *keep: str) -> tuple[DataFrame, Co
 
 
 def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The digest of op5: doc_id, held_out, score, predicted; null texts are scored as empty ones."""
+    """The digest of op5: doc_id, held_out, score, predicted; null texts are scored as empty ones.
+
+    Each row is scored on its own, so repeated rows get equal scores and ties
+    don't matter; only doc_id and text are read, whatever other columns are
+    called. A very long text is scored whole, by the features it has. An empty
+    table gives no rows; without labels every score is the same.
+    """
     out, score = scored(docs, learn(docs, labels), "doc_id")
     return out.select("doc_id", (crc_fold("doc_id", 4) == 2).alias("held_out"), score.alias("score"), (score >= GOOD).cast("int").alias("predicted"))
 
 
 def quality_stage(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Keeps documents that score GOOD or more; columns may have any names."""
+    """Keeps documents that score GOOD or more; columns may have any names. Null texts are scored as empty ones; an empty table stays empty."""
     out, score = scored(docs, learn(docs, labels), *docs.columns)
     return out.where(score >= GOOD).select(*docs.columns)

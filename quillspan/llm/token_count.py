@@ -140,7 +140,8 @@ def token_counts(docs: DataFrame, tokenizer_json: str, limit: int = 2048, cache:
     of pieces, so a text has the sum of its pieces' lengths. Pieces are told
     apart by two 64-bit hashes. Texts with special strings or characters whose
     class varies between Unicode versions go to the library whole. Null and
-    empty texts have none; rows may repeat; an empty table gives no rows.
+    empty texts have none; rows may repeat; an empty table gives no rows. A
+    very long text is cut like others, and only its length is summed.
     """
     spark: SparkSession = docs.sparkSession
     shared = spark.sparkContext.broadcast((tokenizer_json, frequent_lengths(docs, tokenizer_json)))
