@@ -11,10 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspan.functions import codegen
 from quillspan.operators import facts as fs
-from quillspan.operators import production, reports
+from quillspan.operators import incremental, libraries, production, reports
 from quillspan.operators import workspace as ws
-from quillspan.plans import crosschecks, rules
+from quillspan.plans import crosschecks, inspect, rules
 from quillspan.plans.catalog import query
 from quillspan.sources.shared import stored
 from quillspan.sources.tables import table
@@ -415,3 +416,122 @@ def merged_lists(spark: SparkSession, d: str) -> DataFrame:
     lists = lambda cond: o.where(cond).groupBy(F.col("o_custkey").alias("k")).agg(F.array_sort(F.collect_set("o_orderpriority")).alias("allow"), F.min("o_orderstatus").alias("mode"))
     out = ws.merged_settings(lists("o_orderstatus = 'F'"), lists("o_orderstatus <> 'F'"), "k", ["allow"], ["mode"])
     return out.select("k", F.array_join("allow", ",").alias("allow"), "mode")
+
+
+# ---- shapes, patterns, templates, keys, contracts
+
+
+@query(_C + """ SELECT p AS project, 'r' AS owner, 'true' AS serializable, k % 2 = 1 AS nullable, 'x' AS fields FROM c UNION ALL SELECT p, 'o', CASE WHEN k % 3 = 0 THEN 'false' ELSE 'true' END, k % 3 = 1, '' FROM c UNION ALL SELECT p, 'w', 'true', false, 'a' FROM c""")
+def code_returns(spark: SparkSession, d: str) -> DataFrame:
+    """What functions return: whether a page can get it, whether it may be null, its fields."""
+    own = F.when(F.expr("k % 3 = 0"), "function o() { return new Order(); }").when(F.expr("k % 3 = 1"), "function o() { return [1, undefined]; }").otherwise("function o() { return new Date(); }")
+    code = F.concat_ws("\n", F.when(F.expr("k % 2 = 0"), "function r() { return {x: 1}; }").otherwise("function r(a) { return a ? {x: 1} : null; }"), own, F.lit("function w(k) { return {a: 1, ...k}; }"))
+    return fs.view(fs.written(fs.facts(file(customers(spark, d), "main.gs", "gs", code))), "returns").select("project", "owner", "serializable", "nullable", F.array_join("fields", ",").alias("fields"))
+
+
+@query(_C + """ SELECT p AS project, 'destructuring' AS fact, 'first' AS owner, CAST(2 AS INTEGER) AS line, 'pair' AS a, CAST(3 AS INTEGER) AS n FROM c WHERE k % 2 = 0 UNION ALL SELECT p, 'array2d', 'first', 3, 'data', 7 FROM c WHERE k % 3 = 0
+UNION ALL SELECT p, 'uncertain', 'first', 4, 'dynamic_dispatch', NULL FROM c WHERE k % 5 = 0 UNION ALL SELECT p, 'webapp_html', 'third', 6, 'ALLOWALL', NULL FROM c WHERE k % 7 = 0 UNION ALL SELECT p, 'resource_open', NULL, 7, 'openById', NULL FROM c WHERE k % 11 = 0""")
+def code_patterns(spark: SparkSession, d: str) -> DataFrame:
+    """Patterns in bodies: destructuring, columns read, calls that can't be told, frames, resources that are opened."""
+    code = rendered([
+        ("true", "function first(x) {"), ("k % 2 = 0", "const [a, , y] = pair();"), ("k % 3 = 0", "const data = sheet.getRange(1, 1).getValues(); data.forEach(r => { log(r[0], r[7]); });"), ("k % 5 = 0", "handlers[name](x);"), ("true", "}"),
+        ("k % 7 = 0", "function third() { return HtmlService.createHtmlOutput('a').setXFrameOptionsMode(HtmlService.XFrameOptionsMode.ALLOWALL); }"), ("k % 11 = 0", "SpreadsheetApp.openById('abcdefghijklmnopqrstuvwx');"),
+    ])
+    store = fs.written(fs.facts(file(customers(spark, d), "main.gs", "gs", code)))
+    return store.where("fact in ('destructuring', 'array2d', 'uncertain', 'webapp_html', 'resource_open')").select("project", "fact", "owner", "line", "a", "n")
+
+
+@query(_C + """ SELECT p AS project, 'page' AS template, CASE WHEN k % 2 = 0 THEN 'title,user' ELSE 'title' END AS set_fields, CASE WHEN k % 3 = 0 THEN 'extra,title' ELSE 'title' END AS read_fields, CASE WHEN k % 2 = 0 THEN 'user' ELSE '' END AS unread, CASE WHEN k % 3 = 0 THEN 'extra' ELSE '' END AS unset FROM c""")
+def code_templates(spark: SparkSession, d: str) -> DataFrame:
+    """Fields that scripts set for a template against those that its page reads."""
+    c = customers(spark, d)
+    code = F.concat(F.lit("function doGet() { const t = HtmlService.createTemplateFromFile('page'); t.data = {title: 'x'"), F.when(F.expr("k % 2 = 0"), ", user: 'y'").otherwise(""), F.lit("}; return t.evaluate(); }"))
+    page = F.concat(F.lit("<p><?= data.title ?></p>"), F.when(F.expr("k % 3 = 0"), "<?= data.extra ?>").otherwise(""))
+    told = fs.template_gaps(fs.written(fs.facts(file(c, "main.gs", "gs", code).unionByName(file(c, "page.html", "html", page)))))
+    return told.select("project", "template", *[F.array_join(x, ",").alias(x) for x in ("set_fields", "read_fields", "unread", "unset")])
+
+
+@query(_C + """ SELECT p AS project, 'script' AS store, 'LAST' AS key, CAST((k % 3 = 0)::INT AS BIGINT) AS reads, CAST((k % 2 = 0)::INT AS BIGINT) AS writes, CAST((k % 5 = 0)::INT AS BIGINT) AS deletes, CASE WHEN k % 2 = 0 AND k % 3 <> 0 THEN 'write_only' WHEN k % 3 = 0 AND k % 2 <> 0 THEN 'read_only' ELSE 'ok' END AS status FROM c WHERE k % 2 = 0 OR k % 3 = 0 OR k % 5 = 0""")
+def code_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Keys of property stores that code reads, writes and deletes; keys that are no literals don't count."""
+    at = "PropertiesService.getScriptProperties()"
+    code = rendered([("k % 2 = 0", f"function a() {{ {at}.setProperty('LAST', 1); }}"), ("k % 3 = 0", f"function b() {{ return {at}.getProperty('LAST'); }}"), ("k % 5 = 0", f"function e() {{ {at}.deleteProperty('LAST'); }}"), ("true", f"function z(k) {{ return {at}.getProperty(k); }}")])
+    return rules.property_keys(fs.written(fs.facts(file(customers(spark, d), "main.gs", "gs", code))))
+
+
+_CONTRACT = [("k % 2 = 0", "/** A.\n * @param {Object} a\n * @param {Array<Order>} b\n * @returns {{id: string, at: Date}} it */"), ("true", "function load(a, b) { return a; }"), ("true", "function idle() {}")]
+
+
+def _contract(spark: SparkSession, d: str) -> DataFrame:
+    c = customers(spark, d)
+    page = rendered([("true", "<script>"), ("k % 3 = 0", "google.script.run.withSuccessHandler(x => use(x.id, x.at)).load(1, 2);"), ("k % 3 = 1", "google.script.run.load(1, 2);"), ("true", "</script>")], "")
+    return fs.written(fs.facts(file(c, "main.gs", "gs", rendered(_CONTRACT)).unionByName(file(c, "page.html", "html", page))))
+
+
+@query(_C + """ SELECT p AS project, 'load' AS symbol, CASE WHEN k % 2 = 0 THEN 'load(a: object, b: Order[]): Promise<{ id: string; at: Date }>;' ELSE 'load(a: unknown, b: unknown): Promise<unknown>;' END AS line FROM c WHERE k % 3 < 2""")
+def code_declarations(spark: SparkSession, d: str) -> DataFrame:
+    """A declaration for each function that pages call, with documented types; names of own types stay."""
+    return codegen.declarations(_contract(spark, d))
+
+
+@query(_C + """ SELECT p AS project, 'load' AS symbol, unnest(['id', 'at']) AS field FROM c WHERE k % 3 = 0""")
+def code_contracts(spark: SparkSession, d: str) -> DataFrame:
+    """What a test of each contract asks for: fields that handlers read."""
+    return codegen.contract_tests(_contract(spark, d))
+
+
+@query(_C + """ SELECT p AS project, 'load' AS symbol, CASE WHEN k % 2 = 0 THEN 'load(a: Object, b: Array<Order>) -> {id: string, at: Date}' ELSE 'load(a, b)' END AS signature, CAST((k % 3 < 2)::INT AS BIGINT) AS callers_total, CASE WHEN k % 3 < 2 THEN 'client_call:1' ELSE '' END AS exposures,
+CASE WHEN k % 3 = 0 AND k % 2 = 0 THEN 'mixed' WHEN k % 3 = 0 THEN 'inferred_from_usage' WHEN k % 2 = 0 THEN 'from_documentation' ELSE 'unknown' END AS contract_source FROM c""")
+def code_inspected(spark: SparkSession, d: str) -> DataFrame:
+    """All that is known of one function, in each project that defines it."""
+    told = inspect.inspect(_contract(spark, d), "load", parts=["all"])
+    return told.select("project", "symbol", "signature", "callers_total", F.coalesce(F.array_join(F.transform("exposures", lambda x: F.concat_ws(":", x["type"], x["n_sites"])), ","), F.lit("")).alias("exposures"), "contract_source")
+
+
+@query(_C + """ SELECT p AS project, 'main.gs' AS file, CASE WHEN k % 3 = 0 THEN 'changed' ELSE 'removed' END AS change FROM c WHERE k % 3 < 2 UNION ALL SELECT p, 'new.gs', 'added' FROM c WHERE k % 5 = 0""")
+def code_changed_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files added, removed or changed since a scan, by digest; those with the same text are not told."""
+    c = customers(spark, d)
+    before = file(c, "main.gs", "gs", F.lit("function a() {}"))
+    after = file(c.where("k % 3 <> 1"), "main.gs", "gs", F.when(F.expr("k % 3 = 0"), "function a() { b(); }").otherwise("function a() {}")).unionByName(file(c.where("k % 5 = 0"), "new.gs", "gs", F.lit("1")))
+    return incremental.changed_files(fs.written(fs.facts(before)), after)
+
+
+_LIBRARIES = _C + """, l AS (SELECT p, k, unnest(['L1', 'L2', 'L3']) AS symbol FROM c), n AS (SELECT p, symbol, CASE WHEN symbol = 'L1' AND k % 2 = 0 THEN 2 WHEN symbol = 'L2' AND k % 3 = 0 THEN 1 WHEN symbol = 'L3' THEN 1 ELSE 0 END AS n FROM l),
+v AS (SELECT p AS project, symbol AS user_symbol, CASE WHEN n = 0 THEN 'declared_unused' WHEN symbol = 'L1' THEN 'external_resolved' WHEN symbol = 'L2' THEN 'external_unresolvable' ELSE 'external_unfetched' END AS status, CAST(n AS BIGINT) AS n_calls FROM n)"""
+
+
+def _library_statuses(spark: SparkSession, d: str) -> DataFrame:
+    c = customers(spark, d)
+    code = rendered([("k % 2 = 0", "function a() { L1.go(1); L1.go(2); }"), ("k % 3 = 0", "function b() { L2.x(); }"), ("true", "function e() { L3.y(); }")])
+    manifest = manifest_of([("true", f'{{"userSymbol":"L{i}","libraryId":"I{i}","version":"{i}"}}') for i in (1, 2, 3)])
+    fetched = spark.createDataFrame([("I1", "1", [("m", "SERVER_JS", "function go() {}")], None), ("I2", "2", None, "no access"), ("I3", "9", [], None)], libraries.FETCHED)
+    files = file(c, "main.gs", "gs", code).unionByName(file(c, "appsscript.json", "manifest", manifest))
+    return libraries.statuses(fs.written(fs.facts(files)), stored(fs.manifests(files)), fetched)
+
+
+@query(_LIBRARIES + " SELECT * FROM v")
+def library_states(spark: SparkSession, d: str) -> DataFrame:
+    """Where the code of each project's declared libraries is, and how often it is called."""
+    return _library_statuses(spark, d).select("project", "user_symbol", "status", "n_calls")
+
+
+@query(_LIBRARIES + " SELECT count(*) AS total, " + ", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in ("local", "declared_unused", "external_resolved", "external_unresolvable", "external_unfetched")) + " FROM v")
+def library_state_counts(spark: SparkSession, d: str) -> DataFrame:
+    return libraries.status_counts(_library_statuses(spark, d))
+
+
+@query("""WITH s AS (SELECT source AS project, doc_id % 3 AS version, doc_id, sha1(coalesce(text, '')) AS h FROM documents), v AS (SELECT DISTINCT project, version FROM s WHERE version > 0),
+l AS (SELECT v.project, v.version, s.doc_id, s.h FROM v JOIN s ON s.project = v.project WHERE s.version = 0 OR s.version = v.version), r AS (SELECT project, version, doc_id, CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE h END AS h FROM s WHERE version > 0)
+SELECT coalesce(l.project, r.project) AS project, CAST(coalesce(l.version, r.version) AS BIGINT) AS version, CAST(coalesce(l.doc_id, r.doc_id) AS VARCHAR) AS file, CASE WHEN r.doc_id IS NULL THEN 'only_local' ELSE 'modified' END AS change
+FROM l FULL JOIN r ON l.project = r.project AND l.version = r.version AND l.doc_id = r.doc_id WHERE r.doc_id IS NULL OR l.h <> r.h""")
+def served_content(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as files of the projects that are their sources; a third of them is in no served version, and a fifth of the served ones differs."""
+    s = table(spark, d, "documents").where("source is not null").select(F.col("source").alias("project"), (F.col("doc_id") % 3).alias("version"), F.col("doc_id").cast("string").alias("file"), F.sha1(F.coalesce("text", F.lit("")).cast("binary")).alias("sha1"), "doc_id")
+    versions = s.where("version > 0").select("project", "version").distinct()
+    remote = s.where("version > 0").select("project", "version", "file", F.when(F.col("doc_id") % 5 == 0, "x").otherwise(F.col("sha1")).alias("sha1"))
+    out = []
+    for v in (1, 2):  # local files of a version: those that are in none, and its own
+        local = s.where(f"version in (0, {v})").select("project", "file", "sha1")
+        out.append(production.content_drift(local, remote, versions.where(f"version = {v}")))
+    return out[0].unionByName(out[1])
