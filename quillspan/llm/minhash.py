@@ -252,12 +252,25 @@ def _star_tasks(ties: DataFrame, sized: DataFrame) -> DataFrame:
 
 
 def _bucket_tasks(rows: DataFrame) -> DataFrame:
-    """rows (key, id, ...) with task and left: a bucket of bounded size is one task, all left; of a larger one each block meets each, the lower one left."""
-    blocks = rows.groupBy(F.col("key").alias("_key")).agg(F.ceil(F.count("*") / BUCKET_DOCS).cast("int").alias("blocks"))
-    met = rows.join(stored(blocks.where("blocks > 1")), F.col("key") == F.col("_key"), "left")
-    own, n = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.col("blocks")
-    pair = lambda j: F.struct(F.xxhash64("key", F.least(own, j), F.greatest(own, j)).alias("task"), (own <= j).alias("left"))
-    tasks = F.when(n.isNull(), F.array(F.struct(F.col("key").alias("task"), F.lit(True).alias("left")))).otherwise(F.transform(F.sequence(F.lit(0), n - 1), pair))
+    """rows (key, id, class, ...) with task and left: pairs to look at are those of left rows with the others, or all if all are left.
+
+    A bucket of bounded size is one task. Of a larger one the most frequent
+    class stands apart: its documents are linked already, so they meet those
+    of other classes only, block by block, and those meet each other. A hot
+    bucket of one class and a few others costs what it has documents.
+    """
+    counts = rows.groupBy("key", F.col("class").alias("c")).agg(F.count("*").alias("n"))
+    large = counts.groupBy(F.col("key").alias("_key")).agg(F.max(F.struct("n", "c")).alias("most"), F.sum("n").alias("all")).where(F.col("all") > BUCKET_DOCS)
+    blocks = lambda n: F.ceil(n / BUCKET_DOCS).cast("int")
+    large = stored(large.select("_key", F.col("most.c").alias("_most"), blocks(F.col("most.n")).alias("_m"), blocks(F.col("all") - F.col("most.n")).alias("_o")))
+    met = rows.join(large, F.col("key") == F.col("_key"), "left")
+    own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    task = lambda kind, i, j, left: F.struct(F.xxhash64("key", F.lit(kind), i, j).alias("task"), left.alias("left"))
+    o, m, yes, no = F.col("_o"), F.col("_m"), F.lit(True), F.lit(False)
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    other = F.concat(F.transform(upto(o), lambda j: task(0, F.least(own(o), j), F.greatest(own(o), j), own(o) <= j)), F.transform(upto(m), lambda j: task(1, own(o), j, yes)))
+    most = F.transform(upto(o), lambda i: task(1, i, own(m), no))
+    tasks = F.when(o.isNull(), F.array(F.struct(F.col("key").alias("task"), yes.alias("left")))).when(F.col("class") == F.col("_most"), most).otherwise(other)
     return met.withColumn("_t", F.explode(tasks)).select("id", "sig", "class", "n_shingles", F.col("_t.task").alias("task"), F.col("_t.left").alias("left"))
 
 
@@ -330,8 +343,8 @@ def near_duplicates(docs: DataFrame, size: int = 4, num: int = 80, den: int = 10
     2. Each bucket's documents are compared with its least one first, on full
        sets and in blocks: that is linear, and what links so is one class.
     3. In a bucket that still has documents of several classes, those of
-       different classes are compared by signature (a hot bucket in blocks
-       that meet each other). Pairs that size or signature rule out end here.
+       different classes are compared by signature (a hot bucket in blocks;
+       documents of its most frequent class meet the others only). Pairs that size or signature rule out end here.
        Of two classes the pair that is most alike is verified on full sets
        first, then every pair of classes that are still apart. Documents that
        share no bucket never meet, however many others link their buckets.
