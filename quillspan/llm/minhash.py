@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, partitions, stored
+from .common import WORD, materialize, partitions, stored
 from .components import components, id_ties, least_ids
 from .wordhash import mixed, shingles, word_hashes
 
@@ -219,22 +219,17 @@ def _linked_sets(docs: DataFrame, size: int, num: int, den: int, bands: int, row
         return of.join(told, F.col("id") == F.col("_id"), "left").withColumn("class", F.coalesce("_class", "id")).drop("_id", "_class")
 
     stars = stored(linked(_star_tasks(ties, sized)))  # not put together: each task has work to do
-    # documents of one bucket that are still of several classes; only they meet again, by their signatures first
+    # documents of one bucket that are still of several classes meet by their signatures; what these don't rule out makes clusters
     open_ = stored(with_class(stars, sized.select("id", "n_shingles")), n)
     placed = buckets.join(open_, "id")
     several = stored(placed.groupBy(F.col("key").alias("k")).agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("k"), n)
     mixed_ = placed.join(several, F.col("key") == F.col("k"), "left_semi").join(reps.groupBy("id").agg(F.min("sig").alias("sig")), "id")
     met = _bucket_tasks(mixed_.select("key", "id", "sig", "class", "n_shingles")).repartition(partitions(spark), "task").sortWithinPartitions("task")
-    pairs = stored(met.mapInArrow(_candidates(num, den), "u long, v long, agree int").groupBy("u", "v").agg(F.max("agree").alias("agree")))
-    of = lambda c, name: open_.select(F.col("id").alias(f"_{c}"), F.col("class").alias(name))
-    # of two classes the pair that is most alike first; then, between those that are still apart, every pair
-    told = pairs.join(of("u", "x"), F.col("u") == F.col("_u")).join(of("v", "y"), F.col("v") == F.col("_v"))
-    best = told.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.max(F.struct("agree", "u", "v")).alias("b")).select("b.u", "b.v")
-    links = stored(stars.unionByName(linked(_star_tasks(best, sized))))
-    classes2 = stored(with_class(links, sized.select("id")), n)
-    of = lambda c, name: classes2.select(F.col("id").alias(f"_{c}"), F.col("class").alias(name))
-    apart = pairs.join(of("u", "x"), F.col("u") == F.col("_u")).join(of("v", "y"), F.col("v") == F.col("_v")).where("x <> y").select("u", "v")
-    return known, classes, links.unionByName(linked(_star_tasks(stored(apart), sized))), n
+    likely = stored(met.mapInArrow(_candidates(num, den), "u long, v long").distinct(), n)
+    of_class = components(likely, n).select(F.col("id").alias("_id"), F.col("component").alias("_cluster"))
+    clustered = open_.join(of_class, F.col("class") == F.col("_id")).select("id", "n_shingles", F.col("_cluster").alias("component"), "class")
+    rest = linked(_class_tasks(stored(clustered, n), num, den))
+    return known, classes, stars.unionByName(rest), n
 
 
 def _blocks() -> Column:
@@ -251,6 +246,50 @@ def _star_tasks(ties: DataFrame, sized: DataFrame) -> DataFrame:
     return many.unionByName(blocks.select(F.col("v").alias("id"), F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), task)).alias("task"), F.lit(True).alias("left")))
 
 
+def _class_tasks(open_: DataFrame, num: int, den: int) -> DataFrame:
+    """Tasks (id, task, left) that compare all pairs of a cluster but those inside one class of more than half a block.
+
+    open_: (id, n_shingles, component, class). A cluster of bounded size is one
+    task. Others are cut by set size (sets that can link differ by a quarter at
+    the most, so they are of one level or of neighbouring ones) and each level
+    into blocks: of each large class its own, of the others' mixed ones (label -1).
+    Two blocks of one large class don't meet, so a class of n copies beside a
+    few other documents costs n comparisons for each of them, not n squared.
+    """
+    whole = open_.groupBy("component").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("total")).where((F.col("docs") > BLOCK_DOCS) | (F.col("total") > BLOCK_SHINGLES)).select(F.col("component").alias("_big"))
+    step = -np.log(num / den)
+    level = F.floor(F.log(F.col("n_shingles").cast("double")) / step - 1e-9).cast("int")
+    rows = open_.join(whole, F.col("component") == F.col("_big"), "left")
+    small = rows.where("_big is null").select("id", F.xxhash64("component").alias("task"), F.lit(True).alias("left"))
+    big = rows.where("_big is not null").withColumn("level", level)
+    at = ["component", "level", "class"]
+    large = big.groupBy(*at).agg(F.count("*").alias("_n")).where(F.col("_n") > BLOCK_DOCS / 2).select(*at, F.col("class").alias("_label"))
+    big = materialize(big.join(large, at, "left").select("id", "n_shingles", "component", "level", F.coalesce("_label", F.lit(-1)).alias("label")))
+    cut = big.groupBy("component", "level", "label").agg(_blocks().alias("blocks"))
+    by_level = cut.groupBy("component", "level").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("label", "blocks"))), lambda x: F.array_repeat(x["label"], x["blocks"]))).alias("labels"))
+    near = by_level.groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("level", "labels"))).alias("by_level"))
+    labels = lambda d: F.coalesce(F.try_element_at("by_level", F.col("level") + d), F.array().cast("array<bigint>"))
+    own_blocks = F.size(F.filter(labels(0), lambda x: x == F.col("label")))
+    placed = big.join(near, "component").withColumn("own", (F.array_position(labels(0), F.col("label")) - 1 + F.pmod(F.xxhash64("id"), own_blocks)).cast("int"))
+    # tasks are (cluster, level and block, level and block), the lower first; the row of a task's first block is `left`
+    name = lambda l1, b1, l2, b2: F.xxhash64("component", l1, b1, l2, b2)
+    own, lev, mixed_ = F.col("own"), F.col("level"), F.col("label") == -1
+    none = F.array().cast("array<struct<task:bigint,left:boolean>>")
+
+    def against(d: int) -> Column:
+        """Tasks with the blocks of level + d: with its own block only if that is mixed, with none of its own class."""
+        there = F.filter(F.transform(labels(d), lambda x, b: F.struct(b.alias("b"), x.alias("x"))), lambda s: mixed_ | (s["x"] != F.col("label")))
+        first = F.lit(d > 0) if d else None
+        pair = lambda s: F.struct(
+            F.when(s["b"] >= own if d == 0 else first, name(lev, own, lev + d, s["b"])).otherwise(name(lev + d, s["b"], lev, own)).alias("task"),
+            (s["b"] >= own if d == 0 else first).alias("left"),
+        )
+        return F.transform(there, pair)
+
+    tasks = F.concat(none, against(0), against(1), against(-1))
+    return small.unionByName(placed.select("id", F.explode(tasks).alias("t")).select("id", F.col("t.task").alias("task"), F.col("t.left").alias("left")))
+
+
 def _bucket_tasks(rows: DataFrame) -> DataFrame:
     """rows (key, id, class, ...) with task and left: pairs to look at are those of left rows with the others, or all if all are left.
 
@@ -271,7 +310,7 @@ def _bucket_tasks(rows: DataFrame) -> DataFrame:
     other = F.concat(F.transform(upto(o), lambda j: task(0, F.least(own(o), j), F.greatest(own(o), j), own(o) <= j)), F.transform(upto(m), lambda j: task(1, own(o), j, yes)))
     most = F.transform(upto(o), lambda i: task(1, i, own(m), no))
     tasks = F.when(o.isNull(), F.array(F.struct(F.col("key").alias("task"), yes.alias("left")))).when(F.col("class") == F.col("_most"), most).otherwise(other)
-    return met.withColumn("_t", F.explode(tasks)).select("id", "sig", "class", "n_shingles", F.col("_t.task").alias("task"), F.col("_t.left").alias("left"))
+    return met.withColumn("_t", F.explode(tasks)).select("sig", "class", "n_shingles", F.col("_t.task").alias("task"), F.col("_t.left").alias("left"))
 
 
 def pairs_of_groups(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -284,23 +323,23 @@ def pairs_of_groups(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i, i + 1 + np.arange(len(i)) - first
 
 
-def alike(sig: np.ndarray, size: np.ndarray, of: np.ndarray, i: np.ndarray, j: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of pairs (i, j) those of different classes whose sizes and signatures don't rule a link out, with how many minima agree."""
+def alike(sig: np.ndarray, size: np.ndarray, of: np.ndarray, i: np.ndarray, j: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs (i, j) those of different classes whose sizes and signatures don't rule a link out."""
     want, k = num / den, sig.shape[1]
     may = (of[i] != of[j]) & (den * np.minimum(size[i], size[j]) >= num * np.maximum(size[i], size[j]))
     i, j = i[may], j[may]
     agree = np.concatenate([(sig[i[p : p + 65536]] == sig[j[p : p + 65536]]).sum(axis=1) for p in range(0, len(i), 65536)] or [np.zeros(0, np.int64)])
     may = agree >= k * (want - SLACK * np.sqrt(want * (1 - want) / k))
-    return i[may], j[may], agree[may]
+    return i[may], j[may]
 
 
 def _candidates(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = ("task", "id", "sig", "class", "n_shingles", "left")
+        columns = ("task", "sig", "class", "n_shingles", "left")
         rest: pa.Table | None = None
 
         def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            task, id_, of, size, left = (table.column(c).to_numpy() for c in ("task", "id", "class", "n_shingles", "left"))
+            task, of, size, left = (table.column(c).to_numpy() for c in ("task", "class", "n_shingles", "left"))
             sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(task), -1)
             cut = np.append(np.flatnonzero(np.append(True, task[1:] != task[:-1])), len(task))
             sizes = np.diff(cut)
@@ -315,10 +354,28 @@ def _candidates(num: int, den: int):
                 for x in l:
                     other = r[r > x] if w else r
                     found.append(alike(sig, size, of, np.full(len(other), x), other, num, den))
-            i, j, n = (np.concatenate([x[c] for x in found]) for c in range(3))
-            u, v = np.maximum(id_[i], id_[j]), np.minimum(id_[i], id_[j])
-            if len(u):
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(n.astype(np.int32))], ["u", "v", "agree"])
+            i, j = (np.concatenate([x[c] for x in found]) for c in range(2))
+            names, code = np.unique(of, return_inverse=True)
+            each = np.unique(np.maximum(code[i], code[j]) * len(names) + np.minimum(code[i], code[j]))
+            yield from forest(names[each // len(names)], names[each % len(names)])
+
+        def forest(one: np.ndarray, two: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Of the classes that edges join, as many edges as keep them joined."""
+            parent: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while (up := parent.get(x, x)) != x:
+                    parent[x] = parent.get(up, up)
+                    x = up
+                return x
+
+            kept = []
+            for u, v in zip(one.tolist(), two.tolist()):
+                if (x := root(u)) != (y := root(v)):
+                    parent[max(x, y)] = min(x, y)
+                    kept.append((u, v))
+            if kept:
+                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in kept], pa.int64()) for c in (0, 1)], ["u", "v"])
 
         for batch in batches:
             if batch.num_rows:
@@ -344,10 +401,12 @@ def near_duplicates(docs: DataFrame, size: int = 4, num: int = 80, den: int = 10
        sets and in blocks: that is linear, and what links so is one class.
     3. In a bucket that still has documents of several classes, those of
        different classes are compared by signature (a hot bucket in blocks;
-       documents of its most frequent class meet the others only). Pairs that size or signature rule out end here.
-       Of two classes the pair that is most alike is verified on full sets
-       first, then every pair of classes that are still apart. Documents that
-       share no bucket never meet, however many others link their buckets.
+       documents of its most frequent class meet the others only). Pairs that
+       size or signature rule out end here; the others tie classes to
+       clusters, of which a task returns a forest, not all pairs. So documents
+       that are a little alike don't grow together, however many share buckets.
+       In a cluster every pair is compared on full sets but those inside a
+       large class, in tasks over two blocks of bounded size (see _class_tasks).
     4. The least id of each component is found by large-star and small-star.
 
     Null and empty texts have no shingles, component doc_id, kept true. Rows
