@@ -20,7 +20,7 @@ def duck():
     import duckdb
 
     con = duckdb.connect()
-    for name in "region nation customer supplier part orders lineitem events documents pages conversations".split():
+    for name in "region nation customer supplier part orders lineitem events documents pages benchmark conversations".split():
         p = f"{DATA}/{name}.parquet"
         con.execute(f"create view {name} as select * from '{p + '/*.parquet' if os.path.isdir(p) else p}'")
     return con
