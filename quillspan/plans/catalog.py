@@ -16,6 +16,7 @@ from quillspan.functions.text import body_fingerprint, rounded
 from quillspan.operators import facts as fs
 from quillspan.operators import incremental
 from quillspan.operators import relations as op
+from quillspan.operators import secrets
 from quillspan.operators import workspace as ws
 from quillspan.operators.similarity import similar_names
 from quillspan.plans import crosschecks, rules
@@ -238,11 +239,14 @@ def first_site(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("sites"), F.min("o_orderkey").alias("first_site")).where("sites >= 3")
 
 
-@query(r"""SELECT doc_id, CAST(line AS BIGINT) AS line, 'token_literal' AS pattern FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents) WHERE regexp_matches(l, 'token = "[0-9a-f]+"')""")
+@query(r"""WITH x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
+p AS (SELECT * FROM (VALUES ('token_literal', 'token = "[0-9a-f]+"'), ('GOOGLE_API_KEY', 'AIza[0-9A-Za-z_-]{35}'), ('OAUTH_ACCESS_TOKEN', 'ya29\.[0-9A-Za-z_-]+'), ('SERVICE_ACCOUNT_PRIVATE_KEY', '"private_key":\s*"-----BEGIN')) t(pattern, rx))
+SELECT doc_id, CAST(line AS BIGINT) AS line, pattern FROM x JOIN p ON regexp_matches(l, rx)""")
 def secret_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Lines that hold a token; the pattern's name and the line are told, never the value."""
-    lines = table(spark, d, "documents").where(F.col("text").contains("token = ")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "l"))
-    return lines.where(F.col("l").rlike('token = "[0-9a-f]+"')).select("doc_id", (F.col("at") + 1).cast("long").alias("line"), F.lit("token_literal").alias("pattern"))
+    """Lines of documents that hold a token or one of the known secrets; the pattern's name and the line are told, never the value."""
+    files = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file"), F.col("text").alias("content"))
+    found = secrets.secret_lines(files, patterns={"token_literal": 'token = "[0-9a-f]+"'})
+    return found.select(F.col("file").cast("long").alias("doc_id"), "line", "pattern")
 
 
 @query("""WITH f AS (SELECT 'webapp.mixed_content' AS rule, 'warn' AS severity FROM pages WHERE starts_with(url, 'http://') UNION ALL
