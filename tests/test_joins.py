@@ -165,3 +165,42 @@ def test_needs_of_all_scripts(spark):
     assert {r.s: r.n for r in rows} == want and all(r.h == short(r.s) for r in rows)
     counted = op.upsert_counts(spark.createDataFrame([("привет мир", 1, 1), ("до свидания", 2, 1), ("你好", 3, 1), ("Привет, мир", 4, 1)], "text string, conv_id int, turn int"), "text", ["conv_id", "turn"]).collect()
     assert sorted((r.need, r.occurrences, r.first_seen, r.last_seen) for r in counted) == [("до свидания", 1, 2, 2), ("привет мир", 2, 1, 4), ("你好", 1, 3, 3)]
+
+
+def test_merged_lists_keep_what_is_there(spark):
+    from quillspan.operators.workspace import merged_settings
+
+    schema = "k string, allow array<string>, mode string"
+    old = spark.createDataFrame([("a", ["x", "y", "x"], None), ("b", None, "m"), ("c", ["q"], "n")], schema)
+    new = spark.createDataFrame([("a", ["z", "y", "z"], "g"), ("b", ["w"], "g"), ("d", ["v"], None)], schema)
+    got = {r.k: (r.allow, r["mode"]) for r in merged_settings(old, new, "k", ["allow"], ["mode"]).collect()}
+    assert got == {"a": (["x", "y", "x", "z"], "g"), "b": (["w"], "m"), "c": (["q"], "n"), "d": (["v"], None)}
+
+
+def test_checks_of_documentation_by_name(spark):
+    from quillspan.operators import facts as fs
+    from quillspan.plans import rules
+
+    code = "/** A.\n * @param {number} q\n */\nfunction a(x) {}\nfunction b_() {}\nfunction e() {}"
+    store = fs.facts(spark.createDataFrame([("p", "m.gs", "gs", code)], "project string, file string, kind string, content string"))
+    told = lambda *a, **b: sorted((r.kind, r.symbol) for r in rules.doc_rules(store, *a, **b).collect())
+    assert told() == [("doc.param_drift", "a"), ("doc.undocumented", "b_"), ("doc.undocumented", "e")]
+    assert told(["undocumented"], public_only=True) == [("doc.undocumented", "e")] and told(["drift"]) == [("doc.param_drift", "a")]
+    with pytest.raises(ValueError):
+        rules.doc_rules(store, ["spelling"])
+
+
+def test_first_handler_of_a_name_counts(spark):
+    from quillspan.operators import facts as fs
+
+    page = "<script>\nfunction show(o) { use(o.a); }\nfunction show(p) { use(p.b); }\ngoogle.script.run.withSuccessHandler(show).load(1);\n</script>"
+    rows = [("p", "m.gs", "gs", "function load(x) { return x; }"), ("p", "page.html", "html", page)]
+    reads = fs.field_reads(fs.facts(spark.createDataFrame(rows, "project string, file string, kind string, content string"))).collect()
+    assert [(r.symbol, r.field, r.line) for r in reads] == [("load", "a", 2)]
+
+
+def test_types_of_documentation():
+    from quillspan.functions.codegen import declared_type
+
+    cases = {None: "unknown", " ": "unknown", "any": "unknown", "*": "unknown", "Object": "object", "Order": "Order", "Base.Blob": "Base.Blob", "Array<Array<object>>": "object[][]", "{a: T, b?: U}": "{ a: T; b?: U }", "string|null": "string|null", "Array<>": "Array<>"}
+    assert {k: declared_type(k) for k in cases} == cases
