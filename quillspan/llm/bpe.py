@@ -43,6 +43,8 @@ class Texts:
         self.encoder = Encoder(self._piece, most)
 
     def _piece(self, piece: str) -> list[int]:
+        if piece.removeprefix(" ").isalpha():  # letters are one pre-token
+            return self.encode(piece)
         found = pretokens(piece)
         return self.encode(piece) if len(found) == 1 else [i for p in found for i in self.encode(p)]
 

@@ -73,17 +73,48 @@ def borders(raw: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(first)
 
 
+#: By n, the bits of a little-endian word's first n bytes.
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Longest piece that two words hold beside its length.
+_SHORT = 15
+
+
 def hashes(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of each piece; pieces cover all bytes."""
-    at = np.arange(len(raw), dtype=np.int64)
-    at -= np.repeat(starts, np.diff(np.append(starts, len(raw))))
+    """Two 64-bit hashes of each piece; pieces cover all bytes.
+
+    The bytes and length of a piece of up to 15 are two words, read at its
+    start, so no two such pieces meet; longer ones have two independent hashes.
+    """
+    size = np.diff(np.append(starts, len(raw)))
+    padded = np.zeros(len(raw) + 16, np.uint8)
+    padded[: len(raw)] = raw
+    words = np.ndarray(len(raw) + 9, "<u8", padded, strides=(1,))
+    two = words[starts + 8]
+    two &= _FIRST_BYTES[np.clip(size - 8, 0, 7)]
+    two |= size.astype(np.uint64) << _U(56)
+    one = words[starts]
+    one &= _FIRST_BYTES[np.minimum(size, 8)]
+    one ^= two * _U(0x9E3779B97F4A7C15)
+    one = mixed(one)
+    long = np.flatnonzero(size > _SHORT)
+    if len(long):
+        n = size[long]
+        firsts = np.cumsum(n) - n
+        at = np.arange(int(n.sum()))
+        at -= np.repeat(firsts, n)
+        one[long], two[long] = _long_hashes(raw[at + np.repeat(starts[long], n)], at, firsts)
+    return np.maximum(one, _U(1)), two
+
+
+def _long_hashes(raw: np.ndarray, at: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By the bytes of pieces and the place of each in its piece."""
     power = Powers.of(int(at.max()) + 1)[at]
     value = raw.astype(np.uint64)
     value += _U(1)
     one = np.add.reduceat(value * power, starts)
     power *= power  # another base: the square of the first
     power += _U(0x632BE59BD9B4E019)
-    return np.maximum(mixed(one), _U(1)), np.add.reduceat(value * power, starts)
+    return mixed(one), np.add.reduceat(value * power, starts)
 
 
 def runs(texts: list[bytes]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
@@ -159,7 +190,8 @@ def distinct(one: np.ndarray, two: np.ndarray) -> np.ndarray:
 class Encoder:
     """Ids of texts whose characters are up to U+02AF, piece by piece; what `encode` says of a piece is kept.
 
-    Over `most` pieces the table starts anew, so a worker's memory is bounded.
+    Over `most` pieces the table starts anew with those that were asked for
+    again, if these fill at most half of it, so a worker's memory is bounded.
     """
 
     def __init__(self, encode: Callable[[str], list[int]], most: int):
@@ -169,19 +201,41 @@ class Encoder:
     def clear(self) -> None:
         self.table, self.used = Table(self.most), 0
         self.starts, self.counts, self.ids = np.zeros(self.most + 1, np.int64), np.zeros(self.most + 1, np.int32), np.zeros(1 << 16, np.uint32)
+        self.again = np.zeros(self.most + 1, bool)  # the last place is of pieces that aren't there
+
+    def renew(self) -> None:
+        old, keep = self.table, np.flatnonzero(self.again[: self.table.size])
+        starts, n, ids = self.starts[keep], self.counts[keep], self.ids
+        self.clear()
+        if not 0 < len(keep) <= self.most // 2:
+            return
+        to = np.cumsum(n, dtype=np.int64)
+        self.used = int(to[-1])
+        self.ids = np.zeros(max(1 << 16, 2 * self.used), np.uint32)
+        self.ids[: self.used] = ids[np.arange(self.used) + np.repeat(starts - (to - n), n)]
+        self.starts[: len(keep)], self.counts[: len(keep)] = to - n, n
+        place = np.flatnonzero(old.one)
+        slot = np.zeros(old.size, np.int64)
+        slot[old.value[place]] = place
+        self.table.add(old.one[slot[keep]], old.two[slot[keep]], np.arange(len(keep)))
 
     def numbers(self, data: bytes, starts: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         found = self.table.find(one, two)
+        self.again[found] = True
         miss = np.flatnonzero(found < 0)
         if not len(miss):
             return found
         new = miss[distinct(one[miss], two[miss])]
         if self.table.size + len(new) > self.most:
-            self.clear()
-            miss = np.arange(len(one))
-            new = distinct(one, two)
-            if len(new) > self.most:
-                self.most = 2 * len(new)
+            self.renew()
+            found = self.table.find(one, two)
+            miss = np.flatnonzero(found < 0)
+            new = miss[distinct(one[miss], two[miss])]
+            if self.table.size + len(new) > self.most:
+                miss = np.arange(len(one))
+                new = distinct(one, two)
+                if len(new) > self.most:
+                    self.most = 2 * len(new)
                 self.clear()
         ends = np.append(starts[1:], len(data))
         flat: list[int] = []

@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +39,13 @@ class Library:
         self.model = self.whole.model
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.letters = {b: c for c, b in byte_letters().items()}
+        self.space = self.letters[ord(" ")]
         self.texts = Texts(self.pretoken, self.special, self.with_special, cache)
 
     def pretoken(self, p: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(self.letters))]
+        # of printable ASCII only the space has another letter
+        letters = p.replace(" ", self.space) if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.model.tokenize(letters)]
 
     def with_special(self, text: str) -> list[int]:
         return self.whole.encode(text, add_special_tokens=False).ids
@@ -50,6 +54,12 @@ class Library:
         return self.texts.many(texts)
 
 
+@lru_cache(maxsize=1)
+def library_of(tokenizer_json: str, cache: int) -> Library:
+    """A worker process goes from task to task with the pieces it knows."""
+    return Library(tokenizer_json, cache)
+
+
 def write_files(files: list[tuple[list[int | None], list[np.ndarray]]]) -> list[bytes]:
     """Files of (doc_ids, ids of each document), whose blocks are coded side by side.
 
@@ -128,7 +138,7 @@ def read_files(files: list[bytes]) -> list[tuple[list[int | None], list[np.ndarr
 def _tokenized(shared, end_id: int, cache: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, bounds = shared.value
-        library, end = Library(tokenizer, cache), np.array([end_id], np.uint32)
+        library, end = library_of(tokenizer, cache), np.array([end_id], np.uint32)
         for batch in batches:
             for p in range(0, batch.num_rows, 512):
                 part = batch.slice(p, 512)
