@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions.text import normalised
+from quillspan.operators.similarity import similar_names  # noqa: F401  (callers know it by this module too)
 from quillspan.sources.shared import stored
 
 
