@@ -8,7 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.functions.extract import VIEWS, facts_of
+from quillspan.functions.extract import VIEWS
+from quillspan.functions.shapes import Shapes
 from quillspan.operators.relations import first_by_key, first_wins
 from quillspan.sources.shared import stored
 
@@ -44,13 +45,14 @@ def with_projects(files: DataFrame, root: str) -> DataFrame:
 
 
 def facts(files: DataFrame) -> DataFrame:
-    """All facts of (project, file, kind, content). One pass, no shuffle; a file that is no script gives `problem` rows."""
+    """All facts of (project, file, kind, content). One pass, no shuffle; a file that is no script gives `problem` rows, and files of one shape are parsed once in a task."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
+        shapes = Shapes()
         for batch in batches:
             for project, file, kind, content in zip(*(batch.column(c).to_pylist() for c in ("project", "file", "kind", "content"))):
-                for f in facts_of(kind, content):
+                for f in shapes.facts(kind, content):
                     rows.append((project, file, *f))
                     if len(rows) >= BATCH:
                         yield table_of(rows)

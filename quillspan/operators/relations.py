@@ -56,6 +56,12 @@ def pair_one_to_one(removed: DataFrame, added: DataFrame, fingerprint: str, orde
     return pairs.where("old is not null and new is not null").select(fingerprint, "old", "new")
 
 
+def key_state(reads: Column, writes: Column) -> Column:
+    """write_only, read_only or ok, from the numbers of reads and writes."""
+    r, w = reads > 0, writes > 0
+    return F.when(w & ~r, "write_only").when(r & ~w, "read_only").otherwise("ok")
+
+
 def key_status(uses: DataFrame, keys: list[str], kind: str, read: str, write: str, delete: str) -> DataFrame:
     """Counts of reads, writes and deletes by key, and write_only, read_only or ok (a key only deleted is ok). Null keys don't count."""
     n = lambda k: F.count_if(F.col(kind) == k)
@@ -63,8 +69,7 @@ def key_status(uses: DataFrame, keys: list[str], kind: str, read: str, write: st
     for k in keys:
         known = known.where(F.col(k).isNotNull())
     told = known.groupBy(*keys).agg(n(read).alias("reads"), n(write).alias("writes"), n(delete).alias("deletes"))
-    r, w = F.col("reads") > 0, F.col("writes") > 0
-    return told.withColumn("status", F.when(w & ~r, "write_only").when(r & ~w, "read_only").otherwise("ok"))
+    return told.withColumn("status", key_state(F.col("reads"), F.col("writes")))
 
 
 def coverage(uncertain: Column) -> Column:

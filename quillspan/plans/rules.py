@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillspan.operators import facts as fs
 from quillspan.operators.patterns import by_owner, containing
-from quillspan.operators.relations import key_status, pair_one_to_one
+from quillspan.operators.relations import key_state, key_status, pair_one_to_one
 from quillspan.plans.crosschecks import library_calls, library_edges
 from quillspan.sources.shared import stored
 
@@ -62,60 +62,89 @@ def say(*parts) -> Column:
 # ---- two snapshots
 
 
-def matched(before: DataFrame, after: DataFrame, fact: str, keys: list[str], *columns: str) -> DataFrame:
-    """Rows of a fact that both snapshots have by key, with columns as x_ (before) and y_ (after), and the later place."""
-    a = fs.view(before, fact).dropDuplicates(keys).select(*keys, *[F.col(c).alias(f"x_{c}") for c in columns])
-    b = fs.view(after, fact).dropDuplicates(keys).select(*keys, "file", "line", *[F.col(c).alias(f"y_{c}") for c in columns])
-    return a.join(b, keys)
+def met(before: DataFrame, after: DataFrame, fact: str, keys: list[str], *columns: str) -> DataFrame:
+    """(keys, x, y) of a fact in two snapshots: the first row of a key by place, before and after, null where there is none.
 
+    Both snapshots are read into one grouping, so no join has to hold either side, on a task or, broadcast, on the driver.
+    """
+    side = lambda store, later: fs.view(store, fact).select(*keys, F.lit(later).alias("_later"), F.struct("file", "line", "col", *columns).alias("_v"))
+    first = lambda later: F.min(F.when(F.col("_later") == later, F.col("_v")))
+    return side(before, False).unionByName(side(after, True)).repartition(*keys).groupBy(*keys).agg(first(False).alias("x"), first(True).alias("y"))
 
-def renames(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(project, old, new) of two snapshots' functions: those gone and come with the same body, paired one to one within a project."""
-    at = ["project", "owner"]
-    key = lambda df: df.withColumn("_k", F.concat_ws("::", "project", "fingerprint"))
-    pairs = pair_one_to_one(key(a.join(b, at, "left_anti")), key(b.join(a, at, "left_anti")), "_k", "owner")
+
+def renames(functions: DataFrame) -> DataFrame:
+    """(project, old, new) of two snapshots' functions as of met(): those gone and come with the same body, paired one to one within a project."""
+    side = lambda gone, v: functions.where(f"{gone} is null").select(F.concat_ws("::", "project", f"{v}.fingerprint").alias("_k"), "owner")
+    pairs = pair_one_to_one(side("y", "x"), side("x", "y"), "_k", "owner")
     return pairs.select(F.expr("substr(_k, 1, length(_k) - 18)").alias("project"), "old", "new")
 
 
+def _functions(before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Functions that went, came or have other parameters, as of met(), and renames; each is read by several branches, so it is made once."""
+    f = stored(met(before, after, "function", ["project", "owner"], "params", "fingerprint").where("x is null or y is null or x.params <> y.params"))
+    return f, stored(renames(f))
+
+
 def changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """(project, change, symbol, detail): every change between two snapshots, harmful or not."""
     at = ["project", "owner"]
-    # each is read by several of the branches below, so it is made once
-    a, b = stored(fs.functions(before)[0]), stored(fs.functions(after)[0])
-    r = stored(renames(a, b))
+    f, r = _functions(before, after)
     row = lambda df, change, detail: df.select("project", F.lit(change).alias("change"), F.col("owner").alias("symbol"), detail.cast("string").alias("detail"))
-    gone = a.join(b, at, "left_anti").join(r.select("project", F.col("old").alias("owner")), at, "left_anti")
-    come = b.join(a, at, "left_anti").join(r.select("project", F.col("new").alias("owner")), at, "left_anti")
-    p, d = _params(a, b), _shapes(before, after)
-    t, k, c = _templates(before, after), _keys(before, after), _columns(before, after)
-    each = lambda df, x, y, change: row(df.withColumn("_v", F.explode(F.array_except(x, y))), change, F.col("_v"))
-    held = matched(before, after, "returns", at, "serializable", "nullable")
+    gone = f.where("y is null").join(r.select("project", F.col("old").alias("owner")), at, "left_anti")
+    come = f.where("x is null").join(r.select("project", F.col("new").alias("owner")), at, "left_anti")
+    p, d = _params(f), _shapes(before, after)
+    t, k, c = _templates(before, after).withColumn("owner", F.col("template")), _keys(before, after), _columns(before, after)
+    # several changes of a row are told in one pass over it
+    case = lambda change, detail: F.struct(F.lit(change).alias("change"), detail.cast("string").alias("detail"))
+    told = lambda df, cases: df.withColumn("_c", F.explode(cases)).select("project", "_c.change", F.col("owner").alias("symbol"), "_c.detail")
+    some = lambda df, *cases: told(df, F.array_compact(F.array(*[F.when(F.expr(cond), case(change, detail)) for cond, change, detail in cases])))
+    less = lambda x, y, change: F.transform(F.array_except(x, y), lambda v: case(change, v))
+    each = lambda df, of, change: told(df, F.concat(less(f"x_{of}", f"y_{of}", f"{change}removed"), less(f"y_{of}", f"x_{of}", f"{change}added")))
+    null = F.lit(None)
     return both(
-        row(gone, "function_removed", F.lit(None)), row(come, "function_added", F.lit(None)), r.select("project", F.lit("function_renamed").alias("change"), F.col("old").alias("symbol"), F.col("new").alias("detail")),
-        each(d, "x_fields", "y_fields", "return.field_removed"), each(d, "y_fields", "x_fields", "return.field_added"),
-        each(p, "x_params", "y_params", "param.removed"), each(p, "y_params", "x_params", "param.added"), row(p.where(REORDERED), "param.reordered", F.array_join("y_params", ",")),
-        row(c.where("size(array_except(x_indices, y_indices)) + size(array_except(y_indices, x_indices)) > 0"), "array.column_indices_changed", F.col("variable")), row(c.where("y_max_index > x_max_index"), "array.max_index_grew", F.col("variable")),
-        each(t.withColumn("owner", F.col("template")), "x_set", "y_set", "template.binding_field_removed"), each(t.withColumn("owner", F.col("template")), "y_set", "x_set", "template.binding_field_added"),
-        row(held.where("x_serializable = 'true' and y_serializable = 'false'"), "serializable.broke", F.lit(None)), row(held.where("not x_nullable and y_nullable"), "return.nullability_changed", F.lit(None)),
+        row(gone, "function_removed", null), row(come, "function_added", null), r.select("project", F.lit("function_renamed").alias("change"), F.col("old").alias("symbol"), F.col("new").alias("detail")),
+        each(d, "fields", "return.field_"), each(p, "params", "param."), row(p.where(REORDERED), "param.reordered", F.array_join("y_params", ",")),
+        some(c, ("size(array_except(x_indices, y_indices)) + size(array_except(y_indices, x_indices)) > 0", "array.column_indices_changed", F.col("variable")), ("y_max_index > x_max_index", "array.max_index_grew", F.col("variable"))),
+        each(t, "set", "template.binding_field_"),
+        some(_returns(before, after), (BROKE, "serializable.broke", null), (NULL_NOW, "return.nullability_changed", null)),
         k.select("project", F.concat(F.lit("property_key."), F.col("status")).alias("change"), F.col("key").alias("symbol"), F.col("store").alias("detail")),
     )
 
 
 REORDERED = "x_params <> y_params and array_sort(x_params) = array_sort(y_params)"
+BROKE = "x_serializable = 'true' and y_serializable = 'false'"
+NULL_NOW = "not x_nullable and y_nullable"
+
 
+def _params(f):
+    return f.where("x is not null and y is not null").select("project", "owner", F.col("x.params").alias("x_params"), F.col("y.params").alias("y_params"))
 
-def _params(a, b):
-    return a.select("project", "owner", F.col("params").alias("x_params")).join(b.select("project", "owner", F.col("params").alias("y_params")), ["project", "owner"])
+
+def _changed(before, after, fact, keys, where, *columns):
+    """Rows of a fact that both snapshots have by key and for which `where` holds, with columns as x_ (before) and y_ (after), and the later place."""
+    m = met(before, after, fact, keys, *columns).where("x is not null and y is not null")
+    for k in keys:
+        m = m.where(F.col(k).isNotNull())
+    return m.select(*keys, "y.file", "y.line", *[F.col(f"{v}.{c}").alias(f"{v}_{c}") for c in columns for v in "xy"]).where(where)
 
 
 def _shapes(before, after):
-    d = matched(before, after, "doc", ["project", "owner"], "returns_fields").where("x_returns_fields is not null and y_returns_fields is not null")
-    return d.withColumn("x_fields", F.split("x_returns_fields", ",")).withColumn("y_fields", F.split("y_returns_fields", ","))
+    fields = lambda v: F.split(f"{v}_returns_fields", ",").alias(f"{v}_fields")
+    return _changed(before, after, "doc", ["project", "owner"], "x_returns_fields <> y_returns_fields", "returns_fields").select("project", "owner", fields("x"), fields("y"))
+
+
+def _returns(before, after):
+    return _changed(before, after, "returns", ["project", "owner"], f"{BROKE} or {NULL_NOW}", "serializable", "nullable")
 
 
 def _templates(before, after):
-    x, y = fs.template_gaps(before), fs.template_gaps(after)
-    return x.select("project", "template", F.col("set_fields").alias("x_set")).join(y.select("project", "template", F.col("set_fields").alias("y_set"), "read_fields", "unset"), ["project", "template"])
+    """(project, template, x_set, y_set, unset): fields that scripts set before and after, and those that the later page reads and nothing sets."""
+    s = lambda store, kind: fs.view(store, "template").select("project", "template", F.lit(kind).alias("_kind"), "fields")
+    reads = fs.view(after, "scriptlet_read").select("project", F.regexp_replace("file", r"\.html?$", "").alias("template"), F.lit("read").alias("_kind"), F.array("field").alias("fields"))
+    fields = lambda kind: F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("_kind") == kind, F.col("fields"))))))
+    some = lambda kind: F.bool_or(F.col("_kind") == kind)
+    told = both(s(before, "x"), s(after, "y"), reads).where("template is not null").groupBy("project", "template").agg(fields("x").alias("x_set"), fields("y").alias("y_set"), fields("read").alias("_read"), some("x").alias("_x"), some("y").alias("_y"))
+    return told.where("_x and _y").select("project", "template", "x_set", "y_set", F.array_except("_read", "y_set").alias("unset"))
 
 
 def property_keys(store: DataFrame) -> DataFrame:
@@ -124,59 +153,61 @@ def property_keys(store: DataFrame) -> DataFrame:
 
 def _keys(before, after):
     """Keys that were read and written, and now are one of the two only, at the first such place."""
-    x, y = property_keys(before), property_keys(after)
-    turned = x.where("status = 'ok'").select("project", "store", "key").join(y.where("status in ('write_only', 'read_only')").select("project", "store", "key", "status"), ["project", "store", "key"])
-    first = fs.view(after, "property").where("op in ('read', 'write')").groupBy("project", "store", "key").agg(F.min(F.struct("file", "line")).alias("_w"))
-    return turned.join(first, ["project", "store", "key"]).select("project", "store", "key", "status", "_w.file", "_w.line")
+    side = lambda store, later: fs.view(store, "property").select("project", "store", "key", "op", "file", "line", F.lit(later).alias("_later"))
+    n = lambda later, *ops: F.count_if((F.col("_later") == later) & F.col("op").isin(*ops))
+    told = side(before, False).unionByName(side(after, True)).where("key is not null and store is not null and op in ('read', 'write', 'delete')").groupBy("project", "store", "key").agg(
+        n(False, "read", "write", "delete").alias("_x"), n(False, "read").alias("_xr"), n(False, "write").alias("_xw"), n(True, "read").alias("_r"), n(True, "write").alias("_w"),
+        F.min(F.when(F.col("_later") & F.col("op").isin("read", "write"), F.struct("file", "line"))).alias("_at"),
+    )
+    was, now = key_state(F.col("_xr"), F.col("_xw")), key_state(F.col("_r"), F.col("_w"))
+    return told.where((F.col("_x") > 0) & (was == "ok") & (now != "ok")).select("project", "store", "key", now.alias("status"), "_at.file", "_at.line")
 
 
 def _columns(before, after):
-    return matched(before, after, "array2d", ["project", "owner", "variable"], "indices", "max_index")
+    return _changed(before, after, "array2d", ["project", "owner", "variable"], "x_indices <> y_indices or x_max_index <> y_max_index", "indices", "max_index")
 
 
 def diff(before: DataFrame, after: DataFrame, manifest: DataFrame | None = None, providers: DataFrame | None = None) -> DataFrame:
     """Findings between two snapshots. Joins are on (project, symbol); positions are residuals.
 
+    What changed about functions is one table, and the places that name functions meet it in one join.
     With the manifests, calls by the old name from projects that use this one as a library count too.
     """
     at = ["project", "symbol"]
-    # each is read by several of the branches below, so it is made once
-    a, b, use, reads = stored(fs.functions(before)[0]), stored(fs.functions(after)[0]), stored(fs.consumers(after)), stored(fs.field_reads(after))
-    r = stored(renames(a, b))
-    as_symbol = lambda df: df.withColumnRenamed("owner", "symbol").drop("file", "line")
-    lost = a.join(b, ["project", "owner"], "left_anti").join(r.select("project", F.col("old").alias("owner")), ["project", "owner"], "left_anti")
-    stale = use.join(r.withColumnRenamed("old", "symbol"), at)
-    d = as_symbol(_shapes(before, after)).withColumn("field", F.explode(F.array_except("x_fields", "y_fields")))
-    p = as_symbol(_params(a, b))
-    cut = p.select("project", "symbol", "y_params", F.posexplode("x_params").alias("_pos", "_param")).where("not array_contains(y_params, _param)")
-    called = use.where("n_args is not null")
-    t = _templates(before, after)
+    f, r = _functions(before, after)
+    lost = f.where("y is null").join(r.select("project", F.col("old").alias("owner")), ["project", "owner"], "left_anti").select("project", "owner", "x.file", "x.line")
+    d, p, t = _shapes(before, after), _params(f), _templates(before, after)
+    held = stored(_returns(before, after))
+    none = F.lit(None).cast("string")
+    mark = lambda df, what, detail=none, pos=F.lit(None): df.select("project", F.col("owner").alias("symbol"), F.lit(what).alias("_what"), detail.alias("_detail"), pos.cast("int").alias("_pos"))
+    cut = p.select("project", "owner", "y_params", F.posexplode("x_params").alias("_at", "_param")).where("not array_contains(y_params, _param)")
+    null_now, broke = mark(held.where(NULL_NOW), "null"), mark(held.where(BROKE), "broke")
+    marks = both(mark(r.withColumnRenamed("old", "owner"), "renamed", F.col("new")), mark(cut, "cut", F.col("_param"), F.col("_at")), mark(p.where(REORDERED), "reordered"), broke, null_now)
+    named = fs.consumers(after).join(marks, at).where("""CASE _what WHEN 'renamed' THEN true WHEN 'cut' THEN n_args > _pos WHEN 'reordered' THEN n_args is not null and kind = 'internal_caller'
+        WHEN 'broke' THEN kind = 'client_call.invocation' ELSE used_as like 'assigned:%' END""")
+    what = F.col("_what")
+    reason = (
+        F.when(what == "renamed", say("still names a function that is now ", F.col("_detail"))).when(what == "cut", say("passes removed parameter ", F.col("_detail"))).when(what == "reordered", say("parameters are in another order"))
+        .when(what == "broke", say("value can no longer be sent to a page")).otherwise(say("value may now be null; kept as ", F.col("used_as")))
+    )
+    fields = both(mark(d.withColumn("_field", F.explode(F.array_except("x_fields", "y_fields"))), "removed", F.col("_field")), null_now)
+    read = fs.field_reads(after).join(fields, at).where("_what = 'null' or field = _detail")
+    handled = F.when(what == "null", say("value may now be null; handler reads ", F.col("field"))).otherwise(say("handler reads removed field ", F.col("field")))
     pages = fs.view(after, "scriptlet_read").select("project", F.regexp_replace("file", r"\.html?$", "").alias("template"), "field", "file", "line")
-    unset = t.withColumn("field", F.explode("unset")).join(pages, ["project", "template", "field"]).withColumn("symbol", F.col("template"))
-    dropped = t.withColumn("field", F.explode(F.array_except("x_set", "y_set"))).join(pages, ["project", "template", "field"]).withColumn("symbol", F.col("template"))
-    held = as_symbol(matched(before, after, "returns", ["project", "owner"], "serializable", "nullable"))
-    broke = held.where("x_serializable = 'true' and y_serializable = 'false'").join(use.where("kind = 'client_call.invocation'"), at)
-    null_now = held.where("not x_nullable and y_nullable").select(*at)
-    keys = _keys(before, after)
+    lacking = lambda fields, what: F.transform(fields, lambda v: F.struct(F.lit(what).alias("_what"), v.alias("field")))
+    lacks = pages.join(t.select("project", "template", F.inline(F.concat(lacking(F.array_except("x_set", "y_set"), "dropped"), lacking(F.col("unset"), "unset")))), ["project", "template", "field"])
     outside = []
     if manifest is not None:
         calls = library_calls(after, manifest, providers).join(r.select(F.col("project").alias("provider"), F.col("old").alias("function"), "new"), ["provider", "function"])
         outside = [found(calls, "cross_project_caller", "break", "function", say("still names a function of ", F.col("provider"), " that is now ", F.col("new")))]
     return both(
         *outside,
-        found(stale, F.col("kind"), "break", "symbol", say("still names a function that is now ", F.col("new"))),
+        found(named, F.col("kind"), F.when(what == "null", "warn").otherwise("break"), "symbol", reason),
         found(lost, "internal_caller", "warn", "owner", say("function removed")),
-        found(d.join(reads, ["project", "symbol", "field"]), "client_call.success_handler", "break", "symbol", say("handler reads removed field ", F.col("field"))),
-        found(cut.join(called, at).where("n_args > _pos"), F.col("kind"), "break", "symbol", say("passes removed parameter ", F.col("_param"))),
-        found(p.where(REORDERED).join(called.where("kind = 'internal_caller'"), at), "internal_caller", "break", "symbol", say("parameters are in another order")),
+        found(read, "client_call.success_handler", F.when(what == "null", "warn").otherwise("break"), "symbol", handled),
         found(_columns(before, after).where("y_max_index > x_max_index"), "array2d_consumer", "break", "owner", say("reads column ", F.col("y_max_index"), " of ", F.col("variable"))),
-        found(dropped, "template_scriptlet_reader", "break", "symbol", say("page reads field no longer set: ", F.col("field"))),
-        found(unset, "template_scriptlet_reader", "warn", "symbol", say("page reads field that is not set: ", F.col("field"))),
-        found(broke, "client_call.invocation", "break", "symbol", say("value can no longer be sent to a page")),
-        found(null_now.join(reads, at), "client_call.success_handler", "warn", "symbol", say("value may now be null; handler reads ", F.col("field"))),
-        found(null_now.join(use.where("used_as like 'assigned:%'"), at), "internal_caller", "warn", "symbol", say("value may now be null; kept as ", F.col("used_as"))),
-        found(keys.where("status = 'write_only'"), "property_key_writer", "warn", "key", say("nothing reads this key of ", F.col("store"), " any more")),
-        found(keys.where("status = 'read_only'"), "property_key_reader", "warn", "key", say("nothing writes this key of ", F.col("store"), " any more")),
+        found(lacks, "template_scriptlet_reader", F.when(what == "unset", "warn").otherwise("break"), "template", F.when(what == "unset", say("page reads field that is not set: ", F.col("field"))).otherwise(say("page reads field no longer set: ", F.col("field")))),
+        found(_keys(before, after), F.when(F.col("status") == "write_only", "property_key_writer").otherwise("property_key_reader"), "warn", "key", say("nothing ", F.when(F.col("status") == "write_only", "reads").otherwise("writes"), " this key of ", F.col("store"), " any more")),
     ).dropDuplicates()
 
 
