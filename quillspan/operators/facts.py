@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -44,21 +44,24 @@ def with_projects(files: DataFrame, root: str) -> DataFrame:
     return out.select(project.alias("project"), F.when(project == "", F.col("_r")).otherwise(F.substr("_r", F.length(project) + 2)).alias("file"), *[c for c in files.columns if c != "_r"])
 
 
-def facts(files: DataFrame) -> DataFrame:
-    """All facts of (project, file, kind, content). One pass, no shuffle; a file that is no script gives `problem` rows, and files of one shape are parsed once in a task."""
+def facts(files: DataFrame, only: Iterable[str] | None = None) -> DataFrame:
+    """All facts of (project, file, kind, content). One pass, no shuffle; a file that is no script gives `problem` rows, and files of one shape are parsed once in a task.
+
+    only: the facts that are wanted; others are not made into rows. An incremental scan needs "file" among them.
+    """
+    wanted = None if only is None else frozenset(only)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        shapes = Shapes()
+        shapes, columns = Shapes(wanted), [[] for _ in _COLUMNS]
         for batch in batches:
             for project, file, kind, content in zip(*(batch.column(c).to_pylist() for c in ("project", "file", "kind", "content"))):
-                for f in shapes.facts(kind, content):
-                    rows.append((project, file, *f))
-                    if len(rows) >= BATCH:
-                        yield table_of(rows)
-                        rows = []
-        if rows:
-            yield table_of(rows)
+                n = shapes.add(kind, content, columns[2:])
+                columns[0] += [project] * n
+                columns[1] += [file] * n
+                if len(columns[0]) >= BATCH:
+                    yield from tables_of(columns)
+                    columns = [[] for _ in _COLUMNS]
+        yield from tables_of(columns)
 
     return files.select("project", "file", "kind", "content").where("kind in ('gs', 'html')").mapInArrow(extract, SCHEMA)
 
@@ -67,8 +70,9 @@ _TYPES = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "arra
 _COLUMNS = [c.split() for c in SCHEMA.split(", ")]
 
 
-def table_of(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(values, _TYPES[kind]) for values, (_, kind) in zip(zip(*rows), _COLUMNS)], [name for name, _ in _COLUMNS])
+def tables_of(columns: list[list]) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(columns[0]), BATCH):
+        yield pa.RecordBatch.from_arrays([pa.array(values[at : at + BATCH], _TYPES[kind]) for values, (_, kind) in zip(columns, _COLUMNS)], [name for name, _ in _COLUMNS])
 
 
 def written(store: DataFrame) -> DataFrame:

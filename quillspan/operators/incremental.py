@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -26,7 +28,7 @@ def changed_files(store: DataFrame, files: DataFrame) -> DataFrame:
     return both.select(F.coalesce("project", "_p").alias("project"), F.coalesce("file", "_f").alias("file"), change.alias("change")).where("change is not null")
 
 
-def scan_incremental(store: DataFrame, files: DataFrame) -> DataFrame:
+def scan_incremental(store: DataFrame, files: DataFrame, only: Iterable[str] | None = None) -> DataFrame:
     """The store of `files`: equal to facts(files), but only added and changed files are parsed.
 
     store: the facts of an earlier scan, written. Facts of files that are as
@@ -34,12 +36,13 @@ def scan_incremental(store: DataFrame, files: DataFrame) -> DataFrame:
     so Spark broadcasts them and the store isn't shuffled. What the facts
     mean together (calls, exposures, gaps) is joined anew from them, so no
     edge to a file that went is left. Parsing the same files again gives the
-    same store: an update can be repeated.
+    same store: an update can be repeated. only: as in facts(), if the store
+    before was made so.
     """
     changes = changed_files(store, files)
     kept = store.join(changes.select(*_FILE), _FILE, "left_anti").select(*store.columns)
     fresh = files.join(changes.where("change <> 'removed'").select(*_FILE), _FILE, "left_semi")
-    return kept.unionByName(fs.facts(fresh))
+    return kept.unionByName(fs.facts(fresh, only))
 
 
 def scan_measured(store: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -298,20 +298,20 @@ def scan_scripts(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT CAST(o_custkey AS VARCHAR) AS project, CASE WHEN o_orderstatus = 'F' THEN 'param.removed' ELSE 'function_renamed' END AS change, 'f' || o_orderkey AS symbol, CASE WHEN o_orderstatus = 'F' THEN 'b' ELSE 'h' || o_orderkey END AS detail FROM orders WHERE o_orderstatus IN ('F', 'P')""")
 def script_changes(spark: SparkSession, d: str) -> DataFrame:
     """Changes between two snapshots of parsed scripts."""
-    return rules.changes(*_snapshots(spark, d))
+    return rules.changes(*_snapshots(spark, d, rules.CHANGED))
 
 
 @query("""SELECT CAST(o_custkey AS VARCHAR) AS project, 'internal_caller' AS kind, 'break' AS severity, o_orderkey || '.gs' AS file, CAST(6 AS INT) AS line, 'f' || o_orderkey AS symbol,
 CASE WHEN o_orderstatus = 'F' THEN 'passes removed parameter b' ELSE 'still names a function that is now h' || o_orderkey END AS reason FROM orders WHERE o_orderstatus IN ('F', 'P')""")
 def script_check(spark: SparkSession, d: str) -> DataFrame:
     """What those changes break: calls that pass the lost parameter, calls by the old name."""
-    return rules.diff(*_snapshots(spark, d))
+    return rules.diff(*_snapshots(spark, d, rules.DIFFED))
 
 
-def _snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The stores of the scripts before and after; of the later ones only those that changed are parsed."""
-    before = fs.written(fs.facts(scripts(spark, d, False)))
-    return before, fs.written(incremental.scan_incremental(before, scripts(spark, d, True)))
+def _snapshots(spark: SparkSession, d: str, only: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """The stores of the scripts before and after, of the facts that are asked for; of the later ones only those that changed are parsed."""
+    before = fs.written(fs.facts(scripts(spark, d, False), only))
+    return before, fs.written(incremental.scan_incremental(before, scripts(spark, d, True), only))
 
 
 @query(r"""SELECT CAST(page_id AS VARCHAR) AS file, count(*) AS links FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href="([^"#][^"]*)"[^>]*>')) AS tag FROM pages) WHERE NOT contains(tag, 'target=') GROUP BY 1""")

@@ -221,13 +221,14 @@ _EDITS = {
 _PAGE = "<p><?= data.title ?><?= data.user ?></p>\n<script>\nfunction show(o) { alert(o.total + o.tax); }\nfunction show(p) { alert(p.never); }\ngoogle.script.run.withSuccessHandler(show).getOrder('1', 3);\n</script>"
 
 
-def _snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _snapshots(spark: SparkSession, d: str, only: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """The stores of all projects before and after, of the facts that are asked for."""
     c = customers(spark, d)
     after = [F.lit(x) for x in _BEFORE]
     for k, (line, old, new) in _EDITS.items():
         after[line] = F.when(F.expr(f"k % 12 = {k}"), F.lit(_BEFORE[line].replace(old, new))).otherwise(after[line])
     page = file(c, "page.html", "html", F.lit(_PAGE))
-    store = lambda code: fs.written(fs.facts(file(c, "main.gs", "gs", code).unionByName(page)))
+    store = lambda code: fs.written(fs.facts(file(c, "main.gs", "gs", code).unionByName(page), only))
     return store(F.lit("\n".join(_BEFORE))), store(F.concat_ws("\n", *after))
 
 
@@ -243,7 +244,7 @@ def _changes_sql(*cases: tuple[int, str, str, str | None]) -> str:
 ))
 def code_changes(spark: SparkSession, d: str) -> DataFrame:
     """What changed between two snapshots of all projects: fields, names, parameters, templates, shapes, columns, keys."""
-    return rules.changes(*_snapshots(spark, d))
+    return rules.changes(*_snapshots(spark, d, rules.CHANGED))
 
 
 @query(expected(
@@ -259,7 +260,7 @@ def code_changes(spark: SparkSession, d: str) -> DataFrame:
 ))
 def code_breaks(spark: SparkSession, d: str) -> DataFrame:
     """What those changes break, in scripts and pages; of two handlers of one name the first counts."""
-    return told(rules.diff(*_snapshots(spark, d)))
+    return told(rules.diff(*_snapshots(spark, d, rules.DIFFED)))
 
 
 # ---- what reaches what, and what runs

@@ -85,6 +85,11 @@ def _functions(before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFram
     return f, stored(renames(f))
 
 
+#: The facts that changes() reads, and diff(); "file" is for incremental scans.
+CHANGED = ("file", "function", "doc", "returns", "template", "scriptlet_read", "property", "array2d")
+DIFFED = (*CHANGED, "call", "client_call", "scriptlet_call", "trigger", "handler", "handler_read")
+
+
 def changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """(project, change, symbol, detail): every change between two snapshots, harmful or not."""
     at = ["project", "owner"]

@@ -196,3 +196,13 @@ def test_parser_recovers_and_handles_odd_inputs():
 def test_empty_store(spark):
     f = files(spark).limit(0)
     assert rules.check(fs.facts(f), fs.facts(f), fs.manifests(f)).count() == 0
+
+
+def test_snapshots_need_only_their_facts(spark):
+    """Stores of the facts that changes() and diff() name give what whole stores give; a colliding definition doesn't count for the first."""
+    before = files(spark, CODE + "\nfunction split(x) { return 2; }")
+    after = files(spark, CODE.replace("function split(", "function cut(").replace("getOrder(id, rate)", "getOrder(id)") + "\nfunction cut(x, y) { return 2; }")
+    for rule, only in ((rules.changes, rules.CHANGED), (rules.diff, rules.DIFFED)):
+        whole, some = ([sorted(map(str, rule(fs.facts(before, names), fs.facts(after, names)).collect()))][0] for names in (None, only))
+        assert whole == some != []
+    assert {r.fact for r in fs.facts(before, rules.CHANGED).select("fact").distinct().collect()} <= set(rules.CHANGED)

@@ -16,6 +16,13 @@ TEXTS = [
 NUMBERS = ["10", "99", "37", "10", "123", "4567", "12", "98", "7", "11"]
 
 
+def found(memory: shapes.Shapes, kind: str, content: str) -> list[tuple]:
+    columns = [["before"] for _ in range(extract.WIDTH)]
+    n = memory.add(kind, content, columns)
+    assert all(c[0] == "before" and len(c) == n + 1 for c in columns)
+    return list(zip(*columns))[1:]
+
+
 def numbered(text: str, start: int, equal: bool) -> str:
     n = iter(range(start, start + 99))
     return re.sub("%s", lambda m: NUMBERS[(start if equal else next(n)) % len(NUMBERS)], text)
@@ -26,7 +33,7 @@ def test_shapes_equal_parsing(kind, text):
     memory = shapes.Shapes()
     contents = [numbered(text, i, equal) for equal in (True, False) for i in range(10)] * 2 + [text, text + "\\x41", ""]
     for c in contents:
-        assert [tuple(f) for f in memory.facts(kind, c)] == list(facts_of(kind, c))
+        assert found(memory, kind, c) == list(facts_of(kind, c))
 
 
 def test_one_shape_is_parsed_twice(monkeypatch):
@@ -34,7 +41,7 @@ def test_one_shape_is_parsed_twice(monkeypatch):
     monkeypatch.setattr(shapes, "undigested_facts", lambda kind, content: parsed.append(content) or extract.undigested_facts(kind, content))
     memory = shapes.Shapes()
     for i in range(1000, 1500):
-        list(memory.facts("gs", f"function f{i}(a) {{ return g{i}(a); }}"))
+        found(memory, "gs", f"function f{i}(a) {{ return g{i}(a); }}")
     assert len(parsed) == 2
 
 
@@ -42,10 +49,17 @@ def test_memory_is_bounded(monkeypatch):
     monkeypatch.setattr(shapes, "CHARACTERS", 1000)
     memory = shapes.Shapes()
     for i in range(200):
-        list(memory.facts("gs", f"function f() {{ return {i}; }}"))
+        found(memory, "gs", f"function f() {{ return {i}; }}")
     assert memory.size <= 1000 and memory.size == sum(s.size for s in memory.seen.values())
 
 
+def test_only_wanted_facts():
+    kind, text = TEXTS[0]
+    memory, some = shapes.Shapes(frozenset(["call", "file"])), lambda c: [f for f in facts_of(kind, c) if f[0] in ("call", "file")]
+    for i in range(6):
+        assert found(memory, kind, numbered(text, i, False)) == some(numbered(text, i, False)) != []
+
+
 def test_the_parser_knows_no_numbered_name():
     """A name with two or more digits that the parser gave a meaning would have to keep them."""
     for module in ("extract", "script"):
