@@ -65,3 +65,14 @@ def test_the_parser_knows_no_numbered_name():
     for module in ("extract", "script"):
         source = re.sub(r"\\u[0-9a-f]{4}|# noqa.*", "", (Path(extract.__file__).parent / f"{module}.py").read_text())
         assert set(re.findall(r"[A-Za-z_$]+[0-9]{2,}", source)) <= {"sha256"}
+
+
+def test_scripts_of_orders_are_parsed_once_for_a_shape(monkeypatch):
+    """As the catalog renders them: a parse for every text would be one for each of 2000 orders."""
+    parsed = []
+    monkeypatch.setattr(shapes, "undigested_facts", lambda kind, content: parsed.append(content) or extract.undigested_facts(kind, content))
+    memory = shapes.Shapes()
+    for k in range(0, 2_000_000, 1000):
+        code = f"/** Order. */\nfunction f{k}(a, b) {{\n  if (a > 1) {{ return g{k}(a, 'x)'); }}\n  return null;\n}}\nconst g{k} = x => ({{id: x, s: `${{f{k}(x, 1)}}`}});\n"
+        assert len(found(memory, "gs", code)) == 8
+    assert len(parsed) < 20
