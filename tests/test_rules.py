@@ -206,3 +206,17 @@ def test_snapshots_need_only_their_facts(spark):
         whole, some = ([sorted(map(str, rule(fs.facts(before, names), fs.facts(after, names)).collect()))][0] for names in (None, only))
         assert whole == some != []
     assert {r.fact for r in fs.facts(before, rules.CHANGED).select("fact").distinct().collect()} <= set(rules.CHANGED)
+
+
+def joins(df):
+    return sum(line.lstrip(" :+-").startswith("Join ") for line in df._jdf.queryExecution().optimizedPlan().toString().split("\n"))
+
+
+def test_changes_join_only_renames(spark, base):
+    """Snapshots are compared in groupings: only functions that went or came are joined, with renames; a join for each kind of change broadcast or sorted each side."""
+    assert joins(rules.changes(base, base)) <= 2
+
+
+def test_diff_joins_places_once(spark, base):
+    """Places that name functions, fields that handlers read and fields that pages read meet what changed in a join each, besides renames and the joins that make the reads of handlers."""
+    assert joins(rules.diff(base, base)) <= 4 + joins(fs.field_reads(base))
