@@ -76,3 +76,14 @@ def test_scripts_of_orders_are_parsed_once_for_a_shape(monkeypatch):
         code = f"/** Order. */\nfunction f{k}(a, b) {{\n  if (a > 1) {{ return g{k}(a, 'x)'); }}\n  return null;\n}}\nconst g{k} = x => ({{id: x, s: `${{f{k}(x, 1)}}`}});\n"
         assert len(found(memory, "gs", code)) == 8
     assert len(parsed) < 20
+
+
+def test_edited_scripts_are_few_shapes(monkeypatch):
+    """An edit that many scripts got is one more shape, also where digits differ in number."""
+    parsed = []
+    monkeypatch.setattr(shapes, "undigested_facts", lambda kind, content: parsed.append(content) or extract.undigested_facts(kind, content))
+    memory = shapes.Shapes()
+    for k in range(10_007, 2_000_000, 3000):
+        text = f"function f{k}(a) {{ return g{k}(a); }}\n" + ("function more() { return f(1); }\n" if k % 100 == 7 else "")
+        assert found(memory, "gs", text) == list(facts_of("gs", text))
+    assert len(parsed) <= 20
